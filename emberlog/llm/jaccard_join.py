@@ -11,11 +11,10 @@ or three parts.  Every subset of a partition's parts that leaves out one part is
 set has there.  Linked sets share at least one.
 
 Texts with equal sets are one node.  Nodes that share a signature are candidates, in two rounds
-so that a large group costs a pair for each member, not all pairs: first each node meets the
-smallest node of one of its signatures; then nodes of one signature that are still in different
-components meet each other.  Signatures with more than ``crowd`` such nodes are split by a second,
-independent set of signatures, which linked sets share as well.  Each candidate pair is
-verified on the sets themselves.  No pair is left out.
+so that a large group of near copies costs a few pairs for each member, not all pairs.  First each
+node is compared with its anchor: of the nodes in its signatures the one that meets the most others.  Then the nodes of a signature that are still in different
+components are compared; where more than ``crowd`` nodes have one anchor, their differences from it tell which of them
+may link at all.  Each pair is decided on the sets themselves, and no pair that links is left out.
 
 Defined results: texts without words have an empty set and are linked with nothing; null ids
 stay null and count as the smallest; repeated rows are a group; columns other than id and text
@@ -40,7 +39,7 @@ class Settings:
     words: int = 3  #: words of a shingle
     percent: int = 90
     growth: float = 1.3  #: of the sizes from one band to the next
-    crowd: int = 50
+    crowd: int = 50  #: nodes with one anchor; more are compared by their differences from it
     broadcast_rows: int = 1_000_000  #: ids up to this number are broadcast, more are joined by a shuffle
 
 
@@ -147,17 +146,24 @@ def _sets(settings: Settings):
     return run
 
 
+_COMPARED = "a long, b long, crowded boolean, linked boolean, size_a int, size_b int, difference array<long>"
+
+
 def _linked(settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b["x"], b["y"], strict=True):
+            linked, sizes, differences = [], [], []
+            for x, y, crowded in zip(b["x"], b["y"], b["crowded"].to_pylist(), strict=True):
                 s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 both = np.concatenate([s, t])
                 both.sort()
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * common >= settings.percent * (len(both) - common))
-            yield pa.RecordBatch.from_arrays([b["a"], b["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                again = both[1:] == both[:-1]
+                common = int(np.count_nonzero(again))
+                linked.append(100 * common >= settings.percent * (len(both) - common))
+                sizes.append((len(s), len(t)))
+                differences.append(as_long(both[~(np.append(again, False) | np.append(False, again))]) if crowded else None)
+            columns = [b["a"], b["b"], b["crowded"], pa.array(linked, pa.bool_()), *(pa.array([z[i] for z in sizes], pa.int32()) for i in (0, 1)), pa.array(differences, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _COMPARED.split(", ")])
 
     return run
 
@@ -193,39 +199,82 @@ class Join:
         few = ids.count() <= self.settings.broadcast_rows
         return self.docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs of nodes (a, b) whose sets link."""
+    def all_links(self) -> DataFrame:
+        """Links that make the same components as all links do."""
+        signed = written(self.docs.mapInArrow(_signed(self.settings, 1), "sig long, node long"), "jaccard-signatures")
+        shared = signed.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("sig")
+        members = checkpointed(signed.join(shared, "sig").distinct())
+        # how many others a node meets in its signatures: copies with few changes meet the most
+        size = members.groupBy("sig").agg((F.count("*") - 1).alias("others"))
+        weight = checkpointed(members.join(size, "sig").groupBy("node").agg(F.sum("others").alias("weight")))
+        ranked = members.join(weight, "node")
+        hubs = ranked.groupBy("sig").agg(F.max(F.struct("weight", "node")).alias("hub"))
+        anchors = checkpointed(members.join(hubs, "sig").groupBy("node").agg(F.max("hub").alias("hub")).select("node", F.col("hub.node").alias("anchor")))
+        crowds = checkpointed(anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > self.settings.crowd).select("anchor"))
+        anchors = checkpointed(anchors.join(crowds.withColumn("__c", F.lit(True)), "anchor", "left").select("node", "anchor", F.coalesce("__c", F.lit(False)).alias("crowded")))
+        tried = anchors.filter("node <> anchor").select(F.col("anchor").alias("a"), F.col("node").alias("b"), "crowded")
+        first = self._compared(tried)
+        links = first.filter("linked").select("a", "b")
+        pairs = self._apart(members, anchors, links, first)
+        return links if pairs.isEmpty() else checkpointed(links.union(self._compared(pairs.withColumn("crowded", F.lit(False))).filter("linked").select("a", "b")))
+
+    def _compared(self, pairs: DataFrame) -> DataFrame:
+        """The pairs of nodes (a, b, crowded) with: linked, the sizes, and for crowded ones the difference of their sets."""
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         sets = checkpointed(self.texts(wanted).mapInArrow(_sets(self.settings), "node long, members binary").dropDuplicates(["node"]))
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
-        return checkpointed(both.mapInArrow(_linked(self.settings), "a long, b long"))
+        return checkpointed(both.mapInArrow(_linked(self.settings), _COMPARED))
 
-    def all_links(self) -> DataFrame:
-        """Links that make the same components as all links do."""
-        signed = written(self.docs.mapInArrow(_signed(self.settings, 1), "sig long, node long"), "jaccard-signatures")
-        shared = signed.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub < other").select("sig", "hub")
-        members = checkpointed(signed.join(shared, "sig").select("sig", "hub", "node"))
-        count = members.filter("node > hub").groupBy("node", "hub").count()
-        first = count.groupBy("node").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub"))
-        tried = checkpointed(first.select(F.col("hub").alias("a"), F.col("node").alias("b")))
-        links = self.links(tried)
-        apart = self._apart(members, links)
-        pairs = checkpointed(apart.join(tried, ["a", "b"], "left_anti"))
-        return links if pairs.isEmpty() else checkpointed(links.union(self.links(pairs)))
-
-    def _apart(self, members: DataFrame, links: DataFrame) -> DataFrame:
-        """Pairs of nodes with a common signature that the links leave in different components."""
+    def _apart(self, members: DataFrame, anchors: DataFrame, links: DataFrame, first: DataFrame) -> DataFrame:
+        """Pairs of nodes (a, b) that may link and that the links so far leave in different components."""
         roots = components(links)
-        rows = members.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
-        mixed = rows.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).filter("low < high").select("sig", "size")
-        rows = checkpointed(rows.join(mixed, "sig").distinct())
-        few = rows.filter(F.col("size") <= self.settings.crowd).select("sig", F.lit(0).cast("long").alias("sub"), "node", "root")
-        many = rows.filter(F.col("size") > self.settings.crowd)
-        if not many.isEmpty():
-            second = self.texts(many.select("node").distinct()).mapInArrow(_signed(self.settings, 0x51ED2701), "sig long, node long").withColumnRenamed("sig", "sub")
-            few = few.union(many.join(second, "node").select("sig", "sub", "node", "root"))
-        one, two = (few.select("sig", "sub", F.col("node").alias(n), F.col("root").alias(r)) for n, r in (("a", "ra"), ("b", "rb")))
-        return one.join(two, ["sig", "sub"]).filter("a < b AND ra <> rb").select("a", "b").distinct()
+        known = checkpointed(anchors.join(roots, "node", "left").select("node", "anchor", "crowded", F.coalesce("root", "node").alias("root")))
+        rows = members.join(known, "node")
+        mixed = rows.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("sig")
+        rows = checkpointed(rows.join(mixed, "sig"))
+        one, two = (rows.select("sig", *[F.col(c).alias(f"{c}_{n}") for c in ("node", "root", "anchor", "crowded")]) for n in "ab")
+        # nodes of one crowd are compared by their differences from its anchor instead
+        other = ~F.col("crowded_a") | (F.col("anchor_a") != F.col("anchor_b"))
+        met = one.join(two, "sig").filter(F.col("node_a") < F.col("node_b")).filter((F.col("root_a") != F.col("root_b")) & other)
+        near = self._near_in_crowds(first.filter("crowded"), known)
+        pairs = met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).union(near).distinct()
+        done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return checkpointed(pairs.join(done, ["a", "b"], "left_anti"))
+
+    def _near_in_crowds(self, compared: DataFrame, known: DataFrame) -> DataFrame:
+        """Pairs of nodes with one anchor that may link, where at least one doesn't link with the anchor.
+
+        The sets x and y differ in as many shingles as their differences X and Y from the anchor do.
+        So with K the largest difference that linked sets may have, a pair links only if
+        |X and Y| >= (|X| + |Y| - K) / 2.  One of them, the outsider, has at least the smallest difference
+        ``least`` of all outsiders, hence the other shares at least (its own + least - K) / 2 shingles with it; and
+        an outsider shares at least |X| - K with a node inside.  By the prefix principle, with shingles
+        ordered from rare to frequent, the first |X| - overlap + 1 of both have one in common.  Where no overlap
+        is needed a mark stands for it.
+        """
+        p = self.settings.percent
+        d = compared.select(F.col("a").alias("anchor"), F.col("b").alias("node"), "linked", "size_a", "size_b", "difference").join(known.select("node", "root"), "node")
+        d = checkpointed(d.withColumn("m", F.size("difference")))
+        facts = d.groupBy("anchor").agg(F.floor(2 * F.greatest(F.max("size_a"), F.max("size_b")) * (100 - p) / (100 + p)).alias("k"), F.min(F.when(~F.col("linked"), F.col("m"))).alias("least")).filter("least IS NOT NULL")
+        each = d.select("anchor", "node", F.explode("difference").alias("shingle"))
+        rare = each.groupBy("anchor", "shingle").agg(F.count("*").alias("often"))
+        listed = each.join(rare, ["anchor", "shingle"]).groupBy("anchor", "node").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("listed"))
+        x = d.join(facts, "anchor").join(listed, ["anchor", "node"])
+        need = lambda o: F.greatest(o.cast("int"), F.lit(1))
+        first_of = lambda overlap: F.slice("listed.shingle", F.lit(1), F.greatest(F.col("m") - overlap + 1, F.lit(0)))
+        x = x.withColumns(
+            {
+                "half": first_of(need(F.ceil((F.col("m") + F.col("least") - F.col("k")) / 2))),
+                "long": first_of(need(F.col("m") - F.col("k"))),
+            }
+        ).drop("difference", "listed")
+        mark = lambda c, cond: F.when(cond, F.concat(c, F.array(F.lit(0).cast("long")))).otherwise(F.col(c))
+        x = checkpointed(x.select("anchor", "node", "root", "linked", "m", "k", mark("half", F.col("m") <= F.col("k") - F.col("least")).alias("half"), mark("long", F.col("m") < F.col("k")).alias("long")))
+        side = lambda rows, c, n: rows.select("anchor", F.explode(c).alias("shingle"), F.col("node").alias(f"node_{n}"), F.col("root").alias(f"root_{n}"))
+        outside, inside = x.filter(~F.col("linked")), x.filter("linked")
+        apart = side(outside, "half", "a").join(side(outside, "half", "b"), ["anchor", "shingle"]).filter("node_a < node_b")
+        across = side(outside.filter(F.col("m") <= 2 * F.col("k")), "long", "a").join(side(inside, "half", "b"), ["anchor", "shingle"])
+        return apart.union(across).filter("root_a <> root_b").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
 
     def groups(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row."""
