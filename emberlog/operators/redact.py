@@ -89,10 +89,18 @@ def _with_pairs(rows: DataFrame, key: str, column: str, held: Column, pairs: Dat
     return rows.join(each.groupBy(key).agg(F.array_sort(F.collect_set(order)).alias("__pairs")), key, "left")
 
 
+def _runs(piece: Column) -> Column:
+    """The parts of a piece and their runs, cut where letters and digits meet other marks; runs of 15 cuts at most."""
+    parts = F.split(piece, r"(?<=[A-Za-z0-9])(?=[^A-Za-z0-9])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])")
+    n = F.size(parts)
+    from_here = lambda i: F.transform(F.sequence(F.lit(1), F.least(n - i, F.lit(15))), lambda k: F.array_join(F.slice(parts, i + 1, k), ""))
+    return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), from_here))
+
+
 def redact(rows: DataFrame, key: str, column: str, tokens: DataFrame) -> DataFrame:
     """The rows with the identifiers in ``column`` replaced; ``key`` is unique."""
     pieces = F.split(F.regexp_replace(F.coalesce(column, F.lit("")), r"[^A-Za-z0-9_@=+.-]+", " "), " ")
-    held = F.array_distinct(F.concat(F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(_ANY), F.lit(0)), pieces, F.flatten(F.transform(pieces, lambda p: F.split(p, r"[_@=+.]")))))
+    held = F.array_distinct(F.concat(F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(_ANY), F.lit(0)), F.flatten(F.transform(F.array_distinct(pieces), _runs))))
     joined = _with_pairs(rows, key, column, held, tokens.select(F.col("value").alias("old"), F.col("token").alias("new")))
     return joined.withColumn(column, F.when(F.col("__pairs").isNotNull(), _replaced(F.col(column), F.col("__pairs"), True)).otherwise(F.col(column))).drop("__pairs")
 

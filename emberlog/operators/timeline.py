@@ -86,9 +86,11 @@ def verify(spark, folder: str, case: str) -> DataFrame:
     """(path, state): OK, MODIFIED or MISSING for every file of the manifest."""
     root = f"{folder.rstrip('/')}/{case_id(case)}"
     listed = spark.read.schema("path string, sha256 string").json(f"{root}/manifest")
-    now = hashes(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/artifacts")).withColumnRenamed("sha256", "now")
-    state = F.when(F.col("now").isNull(), "MISSING").when(F.col("now") == F.col("sha256"), "OK").otherwise("MODIFIED")
-    return listed.join(now, "path", "left").select("path", state.alias("state"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(f"{root}/artifacts")
+    there = files.select(F.regexp_extract("path", r"/artifacts/(.*)$", 1).alias("path"), F.lit(True).alias("there"))  # reads no contents
+    now = hashes(files).withColumnRenamed("sha256", "now")  # a file that fails its own checksum has no hash
+    state = F.when(F.col("there").isNull(), "MISSING").when(F.coalesce(F.col("now") == F.col("sha256"), F.lit(False)), "OK").otherwise("MODIFIED")
+    return listed.join(there, "path", "left").join(now, "path", "left").select("path", state.alias("state"))
 
 
 def row_hashes(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

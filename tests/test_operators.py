@@ -233,7 +233,7 @@ def test_preserve_and_tamper(spark, tmp_path):
     parts = {n: spark.range(2) for n in ("events", "findings", "sequences", "correlation", "enrichment", "landscape", "stats")}
     timeline.preserve(parts, str(tmp_path), "case-1")
     assert {r["state"] for r in timeline.verify(spark, str(tmp_path), "case-1").collect()} == {"OK"}
-    victim = next((tmp_path / "case-1" / "artifacts" / "events").glob("part-*.json"))
+    victim = next(p for p in (tmp_path / "case-1" / "artifacts" / "events").glob("part-*.json") if p.stat().st_size)
     victim.write_text("changed")
     assert "MODIFIED" in {r["state"] for r in timeline.verify(spark, str(tmp_path), "case-1").collect()}
     for bad in ("../x", "a/b", ".."):
