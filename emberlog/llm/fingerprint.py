@@ -75,7 +75,8 @@ def sampled(texts: pa.Array, samples: int) -> np.ndarray:
         d = np.log1p(f / e)
         r, c = (d + g).take(rows, 0), (e + f).take(rows, 0)
         b = _F(1) - d.take(rows, 0) / r
-        value[many] = c * np.exp(-r * (np.floor(log_tf / r + b) - b + _F(1)))
+        t = np.floor(log_tf / r + b)
+        value[many] = np.where(t == 0, e.take(rows, 0), c * np.exp(-r * (t - b + _F(1))))  # for t = 0 to the last bit as of weight 1
         least = np.minimum.reduceat(value, at, 0)
         bits = mix(np.ascontiguousarray(least).view(np.uint32).astype(np.uint64) + np.uint64(1))
         out[doc[at], part] = (bits >> np.uint64(48)).astype(np.uint16)

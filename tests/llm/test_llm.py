@@ -1,0 +1,393 @@
+"""The training-data operators against plain versions, on small inputs with odd rows."""
+
+import hashlib
+import math
+import random
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from emberlog.llm import common, decontamination, fingerprint, jaccard_join, language_id, lm_scoring, packing, pii, sharding, url_filter, warc
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(t):
+    return (t or "").encode().lower().split()
+
+
+@pytest.fixture(scope="module")
+def texts():
+    r = random.Random(7)
+    en, fr = ["the", "of", "thing", "and", "other", "that", "inner", "ther"], ["le", "eau", "été", "quelle", "aux", "mentoi", "çion", "les"]
+    out = []
+    for i in range(160):
+        w = en if i % 2 else fr
+        out.append(" ".join(r.choice(w) + (r.choice(w) if r.random() < 0.6 else "") for _ in range(r.randint(5, 120))))
+    out += [None, "", " \t\n", "one", "one two", "x" * 5000, "\u00a0é\u2028b 😀", "🙂 " * 3, "1234 !!", out[0], out[0], "Word " * 3000]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    lang = [("en" if i % 2 else "fr") if i < 160 else None for i in range(len(texts))]
+    return spark.createDataFrame([(i * 3, t, lang[i], "s", len(t or "")) for i, t in enumerate(texts)], DOCS).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def test_words_split_and_hash_like_bytes(texts):
+    w = common.Words(pa.array(texts))
+    assert np.diff(w.first).tolist() == [len(words(t)) for t in texts]
+    seen = {}
+    for h, token in zip(w.hash.tolist(), [x for t in texts for x in words(t)], strict=True):
+        assert seen.setdefault(token, h) == h
+    assert len(set(seen.values())) == len(seen)
+    long = common.Words(pa.array(["a " * 70000 + "b" * 100000 + " a"]))
+    assert len(set(long.hash.tolist())) == 2
+
+
+def test_hash_table():
+    keys = common.mix(np.arange(1000, dtype=np.uint64))
+    t = common.HashTable(keys[:500])
+    assert t.find(keys).tolist() == [*range(500), *[-1] * 500]
+    assert common.HashTable(keys[:0]).find(keys).max() == -1
+
+
+def test_lm_scores(docs, texts, empty):
+    rows = {r["doc_id"]: r for r in lm_scoring.score(docs, lm_scoring.Settings(known_words=20)).collect()}
+    c, n = Counter(), 0
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i * 3).encode()) % 5 != 1:
+            c.update([*words(t), None])
+    n = sum(c.values())
+    for i, t in enumerate(texts):
+        r, tokens = rows[i * 3], [*words(t), None]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(tokens), sum(c[w] > 0 for w in tokens), n)
+        assert r["held_out"] == (zlib.crc32(str(i * 3).encode()) % 5 == 1)
+        assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (len(c) + 1))) for w in tokens), rel=1e-9)
+    held = [r for r in rows.values() if r["held_out"] and r["doc_id"] < 480]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    assert lm_scoring.score(empty).count() == 0
+
+
+def test_lm_classes_are_a_distribution(docs):
+    m, vocabulary, n, v = lm_scoring.train(docs.select("doc_id", "text"))
+    assert m.tokens.sum() == n and m.types.sum() == v == vocabulary.count()
+    p = lm_scoring._softmax(m.logits(np.zeros((4, 1), np.int64), m.weights))
+    assert p.sum() == pytest.approx(1, abs=1e-5)
+    inside = sum((m.tokens[k] + 0.5 * (m.types[k] + 1)) / 10 ** m.log10_size[k] for k in range(len(m.tokens)))
+    assert inside == pytest.approx(len(m.tokens))
+
+
+def luhn(d):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(int(c) * 2, 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+PII = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(re.sub("[^0-9]", "", m)) <= 19 and luhn(re.sub("[^0-9]", "", m))),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15),
+]
+
+
+def base_spans(t):
+    return [f"{k}:{m.start()}:{m.end()}" for k, p, ok in PII for m in re.finditer(p, t) if ok(m[0])]
+
+
+def test_pii(spark, empty):
+    r = random.Random(3)
+    bits = ["a@b.com", "_x@y.zz", ".", " ", "1.2.3.4", "999.1.1.1", "+1 (743) 555-3824", "4111 1111-1111 1111", "4111111111111112", "é😀", "12345678901234567890", "foo", "@", "+", "-", "\n", "001.02.3.255"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 30))) for _ in range(300)] + [None, "", "9 " * 3000, "4111111111111111 a@b.c " * 400, "a" * 20000]
+    got = {x["doc_id"]: x for x in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        want = base_spans(t or "")
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest(), t
+        assert set(want) <= set(got[i]["spans"].split(",")) | {""}
+    extra = spark.createDataFrame([(1, "ssn 123-45-6789, bank DE89370400440532013000 but DE88370400440532013000"), (2, "123-45-6789")], "doc_id long, text string")
+    assert {x["doc_id"]: x["spans"] for x in pii.report(extra).collect()} == {1: "iban:22:44,ssn:4:15", 2: ""}
+    assert pii.report(empty).count() == 0
+
+
+def test_pii_redaction(spark):
+    df = spark.createDataFrame([(1, "mail a@b.com, card 4111 1111 1111 1111.", 40, "x"), (2, None, 0, "y"), (3, "clean", 5, "z")], "doc_id long, text string, n_chars long, pii_spans string")
+    got = {r["doc_id"]: r for r in pii.redact(df).collect()}
+    assert got[1]["text"] == "mail [EMAIL], card [CARD]." and got[1]["n_chars"] == 26 and got[1]["pii_spans"] == "x"
+    assert (got[2]["text"], got[3]["text"], got[3]["n_chars"]) == (None, "clean", 5)
+
+
+def test_url_rules(spark):
+    urls = ["http://A.Example.com/en/7?x", "https://example.com/en/8", "http://x.net/de/1", "http://b.example.net/de/8#t", "http://org/es/", "http://myorg/es/", None, "no scheme", "http://h", "http://u/?q://z"]
+    df = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in url_filter.judge(df).collect()}
+    assert [got[i]["rule"] for i in range(10)] == ["example.com/en/7", "com/en/", "net/de/", "example.net/de/8", "org/es/", None, None, None, None, None]
+    assert (got[0]["host"], got[0]["path"], got[6]["host"], got[9]["host"], got[9]["path"]) == ("a.example.com", "/en/7", "", "u", "/")
+    assert [got[i]["verdict"] for i in range(6)] == ["allow", "block", "allow", "block", "block", "allow"]
+
+
+def test_trust_spreads_over_links(spark):
+    page = lambda i, host, path, *to: (i, f"http://{host}{path}", " ".join(f'<a href="http://{t}/">' for t in to))
+    rows = [page(1, "bad.org", "/es/", "mid.io"), page(2, "mid.io", "/", "bad.org"), page(3, "far.io", "/", "mid.io"), page(4, "ok.net", "/de/1", "good.io"), page(5, "good.io", "/")]
+    got = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    value = dict.fromkeys(("bad.org", "mid.io", "far.io", "ok.net", "good.io"), 0.0)
+    for _ in range(200):  # distrust runs from a page's target to the page; each host's shares sum to 1
+        value = {"bad.org": 1 + 0.85 * value["mid.io"] / 2, "mid.io": 0.85 * value["bad.org"], "far.io": 0.85 * value["mid.io"] / 2, "ok.net": 0.85 * value["good.io"], "good.io": 0.0}
+    for i, h in ((1, "bad.org"), (2, "mid.io"), (3, "far.io")):
+        assert got[i]["distrust"] == pytest.approx(value[h], abs=1e-3)
+    assert got[5]["trust"] == pytest.approx(0.85) and got[2]["verdict"] == "block" and got[5]["verdict"] == "allow"
+
+
+def test_warc_round_trip(spark, tmp_path):
+    big, r = "y" * 100, random.Random(1)
+    noise = "".join(chr(r.randint(33, 1000)) for _ in range(200_000))
+    pages = [(5, "u", big), (2, "http://x\r\nInjected: 1", big), (9, None, big), (3, "u", "short"), (4, "u", "short"), (6, "u", None), (7, "é", "é" * 50), (8, "v", "é" * 50), (10, "w", noise)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {x["page_id"]: x for x in warc.round_trip(df, str(tmp_path / "w")).collect()}
+    for i, _, h in pages:
+        p = (h or "").encode()
+        assert (got[i]["payload_bytes"], got[i]["payload_digest"]) == (len(p), hashlib.sha256(p).hexdigest())
+    assert {i: x["refers_to"] for i, x in got.items() if x["record_type"] == "revisit"} == {5: 2, 9: 2, 8: 7}
+    read = spark.read.format("warc").load(str(tmp_path / "w"))
+    assert read.filter("target_uri = 'v'").count() == 1 and read.filter("record_type IN ('revisit')").count() == 3
+    assert spark.read.format("warc").option("payload", "false").load(str(tmp_path / "w")).filter("payload IS NOT NULL").count() == 0
+    assert warc.round_trip(df.limit(0), str(tmp_path / "none")).count() == 0
+
+
+def test_foreign_warc(spark, tmp_path):
+    import gzip
+
+    one = lambda t, body: f"WARC/1.0\r\nWARC-Type: {t}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+    bodies = [("warcinfo", b"WARC/1.0\r\nnot a record\r\n\r\n"), ("response", b"x" * 200_000), ("request", b"")]
+    (tmp_path / "a.warc").write_bytes(b"".join(one(*x) for x in bodies))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(one(*x)) for x in bodies))
+    warc.register(spark)
+    rows = spark.read.format("warc").load(str(tmp_path)).collect()
+    assert Counter((r["record_type"], bytes(r["payload"])) for r in rows) == Counter({x: 2 for x in bodies})
+    assert spark.read.format("warc").load(str(tmp_path)).filter("record_type = 'request'").count() == 2
+
+
+def test_fingerprints(docs, texts, empty):
+    rows = {r["doc_id"]: r for r in fingerprint.edit_report(docs, fingerprint.Settings(rows_in_range=20, rows_at_once=7)).collect()}
+    likes = []
+    for i, t in enumerate(texts):
+        t, nxt = t or "", texts[(i + 1) % len(texts)] or ""
+        e = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        r = rows[i * 3]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(e.encode()).hexdigest())
+        a, b = Counter(words(t)), Counter(words(e))
+        if a and b:
+            likes.append(r["near_edited"] - sum((a & b).values()) / sum((a | b).values()))
+    assert abs(np.mean(likes)) < 0.05 and np.std(likes) < 0.12
+    assert rows[0]["fingerprint"] == rows[169 * 3]["fingerprint"] == rows[170 * 3]["fingerprint"] and rows[169 * 3]["near_next"] == 1.0
+    assert {r["doc_id"]: r["fingerprint"] for r in fingerprint.fingerprints(docs).collect()} == {k: r["fingerprint"] for k, r in rows.items()}
+    assert fingerprint.edit_report(empty).count() == 0
+
+
+def test_fingerprints_with_repeated_and_null_ids(spark):
+    df = spark.createDataFrame([(1, "b b"), (1, "a a"), (None, "n"), (2, "c")], "doc_id long, text string")
+    got = {(r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in fingerprint.edit_report(df).collect()}
+    h = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got == {(None, 1, h("n")), (1, 3, h("a b")), (1, 3, h("b c")), (2, 1, h("c"))}
+
+
+def test_sampling_rate_is_the_weighted_jaccard():
+    a, b = "x x x y z", "x y y w"
+    got = fingerprint.likeness(*[fingerprint.sampled(pa.array([t]), 4096) for t in (a, b)])[0]
+    assert got == pytest.approx(2 / 7, abs=0.03)
+
+
+def test_decontamination(spark, empty):
+    r = random.Random(5)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
+    some = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [some(n) for n in (5, 6, 9, 20, 33, 64, 3)] + [[]]
+    docs = [some(300) for _ in range(30)]
+    for i, d in enumerate(docs[:21]):
+        item = list(items[i % 7])
+        if i >= 14 and len(item) > 18:
+            item[len(item) // 2] = "changed"
+        d[50:50] = item
+    docs += [docs[0], [], items[3]]
+    d = spark.createDataFrame([(i, ", ".join(x).title() if i % 2 else " ".join(x)) for i, x in enumerate(docs)] + [(99, None)], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] + [(50, " ".join(items[3]).upper()), (51, None)], "item_id long, text string")
+    sets = lambda x, n: {tuple(x[i : i + n]) for i in range(len(x) - n + 1)}
+    want = {}
+    for j, it in enumerate(items):
+        n = min(5, len(it))
+        for i, x in enumerate(docs):
+            if n and len(sets(it, n) & sets(x, n)) >= 0.8 * len(sets(it, n)) - 1e-9:
+                want[i, j] = 2 if j == 3 else 1
+    for settings in (decontamination.Settings(), decontamination.Settings(broadcast_rows=0)):
+        got = {(x["doc_id"], x["item_id"]): x["item_copies"] for x in decontamination.find(d, b, settings).collect()}
+        assert got == want
+    kept = {x["doc_id"] for x in decontamination.drop_contaminated(d, b).collect()}
+    assert kept == {*range(len(docs)), 99} - {i for i, _ in want}
+    assert decontamination.find(empty, b).count() == 0 and decontamination.find(d, b.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_sharding_is_minimax(spark, seed):
+    r = random.Random(seed)
+    texts = ["".join(r.choice("ab") for _ in range(r.choice([1, 3, 8, 200 if seed else 20]))) for _ in range(300)] + (["hot" * 400] * 60 if seed > 1 else []) + [None, ""]
+    df = spark.createDataFrame([(r.randint(0, 10**6), t, 1) for t in texts], "doc_id long, text string, shard long")
+    rows = sharding.shard(df, sharding.Settings(first_digits=1, more_digits=1)).collect()
+    groups = defaultdict(int)
+    for t in texts:
+        groups[hashlib.md5((t or "").encode()).hexdigest()] += len(t or "") + 1
+    sizes = [groups[k] for k in sorted(groups)]
+
+    def shards(capacity):
+        n, room = 1, capacity
+        for s in sizes:
+            n, room = (n + 1, capacity) if s > room else (n, room)
+            room -= s
+        return n
+
+    best = next(c for c in range(max(max(sizes), -(-sum(sizes) // 16)), sum(sizes) + 1) if shards(c) <= 16)
+    load = defaultdict(int)
+    for x in rows:
+        load[x["shard"]] += x["size"]
+    assert max(load.values()) == best and len(rows) == len(texts) and set(load) <= set(range(16))
+    assert len({(x["text_crc32"], x["size"], x["shard"]) for x in rows}) <= len(groups) + 1
+    for s in load:
+        assert sorted(x["slot"] for x in rows if x["shard"] == s) == list(range(sum(x["shard"] == s for x in rows)))
+
+
+def test_sharding_of_nothing(empty):
+    assert sharding.shard(empty).count() == 0
+
+
+def test_language(docs, texts, empty):
+    rows = {r["doc_id"]: r for r in language_id.identify(docs, language_id.Settings(sample_per_language=30, landmarks_per_language=8)).collect()}
+    held = [r for r in rows.values() if r["held_out"] and r["doc_id"] < 480]
+    assert all(r["lang_pred"] == ("en" if r["doc_id"] // 3 % 2 else "fr") for r in held) and len(held) > 15
+    for i, t in enumerate(texts):
+        if not any(c.isalpha() for c in t or ""):
+            assert (rows[i * 3]["lang_pred"], rows[i * 3]["score"]) == ("und", 0.0)
+        assert 0 <= rows[i * 3]["score"] <= 1 and rows[i * 3]["held_out"] == (zlib.crc32(str(i * 3).encode()) % 5 == 0)
+    kept = language_id.keep_identified(docs.withColumnRenamed("source", "score"))
+    assert kept.columns == ["doc_id", "text", "lang", "score", "n_chars"] and kept.count() == sum(any(c.isalpha() for c in t or "") for t in texts)
+    assert language_id.identify(empty).count() == 0
+
+
+def test_language_kernel_is_the_presence_kernel():
+    c = language_id.Classifier(language_id.Settings(), ["abcab", "xyz"], ["a", "b"], [True, True])
+    grams = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    x, y = grams("abc"), grams("abcab")
+    assert c._kernels(["abc"])[0][0] == pytest.approx(len(x & y) / math.sqrt(len(x) * len(y)), abs=1e-5)
+    assert language_id.Classifier(language_id.Settings(), [], [], []).predict(["abc"])[0] == ["und"]
+
+
+def test_packing(docs, texts, empty):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = {i * 3: [*t.encode(x or "", add_special_tokens=False).ids, 2] for i, x in enumerate(texts)}
+    rows = packing.pack(docs, packing.Settings(block_tokens=3000)).collect()
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r["doc_id"]].append(r)
+        by_sequence[r["sequence_id"]].append(r)
+        piece = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert r["ids_crc32"] == zlib.crc32(struct.pack(f"<{len(piece)}I", *piece)) and r["doc_tokens"] == len(ids[r["doc_id"]])
+    for d, x in ids.items():
+        at = 0
+        for r in sorted(by_doc[d], key=lambda r: r["start"]):
+            assert r["start"] == at
+            at += r["length"]
+        assert at == len(x)
+    padded = 0
+    for s in by_sequence.values():
+        at = 0
+        for r in sorted(s, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 4096
+        padded += at & (at - 1) > 0
+    assert padded <= 3  # one for each task
+    groups = defaultdict(int)
+    for s in by_sequence.values():
+        groups[s[0]["step_group"]] += sum(r["length"] for r in s)
+    assert max(groups.values()) <= packing.Settings().step_tokens
+    assert packing.pack(empty).count() == 0
+
+
+def test_tokens_of_odd_words():
+    tokens = packing.Tokens(packing.Settings(cached_words=3))
+    for t in ("Don't STOP...now", "a.b, c!! 12.5", "É́té I\u0307 ΑΣ ﬁ 你好 x\u00a0y\x1cz", "<|endoftext|> <|startoftext|>x", "naïve, café. straße?"):
+        want = tokens.tokenizer.encode(t, add_special_tokens=False).ids + [2]
+        assert list(struct.unpack(f"<{len(want)}I", tokens.of(t))) == want
+
+
+def plain_groups(texts):
+    sets = []
+    for t in texts:
+        w = words(t)
+        sets.append({tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set())
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 90 * len(a | sets[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return [(len(s), find(i)) for i, s in enumerate(sets)]
+
+
+@pytest.mark.parametrize("crowd", [2, 50])
+def test_jaccard_join(spark, crowd):
+    r = random.Random(11)
+    vocabulary = ["".join(r.choice("abcdef") for _ in range(4)) for _ in range(500)]
+    texts = [None, "", " ", "one", "One", "one two", "a b c", "A b c a b c"]
+    for size, copies in ((9, 5), (20, 12), (60, 40), (150, 30), (400, 10)):
+        base = [r.choice(vocabulary) for _ in range(size)]
+        for _ in range(copies):
+            t = list(base)
+            for _ in range(r.randint(0, max(1, size // 25))):
+                t[r.randrange(len(t))] = r.choice(vocabulary)
+            texts.append(" ".join(t))
+    shared = " ".join(r.choice(vocabulary) for _ in range(30))
+    texts += [shared + " " + " ".join(r.choice(vocabulary) for _ in range(r.randint(0, 12))) for _ in range(60)]
+    texts += texts[:20]
+    df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, node long").repartition(5)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_join.join_groups(df, jaccard_join.Settings(crowd=crowd)).collect()}
+    want = plain_groups(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    if crowd == 50:
+        assert {x["doc_id"] for x in jaccard_join.keep_first(df).collect()} == {i for i, (_, c) in enumerate(want) if c == i}
+
+
+def test_jaccard_join_of_nothing_and_null_ids(spark, empty):
+    assert jaccard_join.join_groups(empty).count() == 0
+    df = spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (4, "a b c d")], "doc_id long, text string")
+    assert Counter((r["doc_id"], r["component_id"]) for r in jaccard_join.join_groups(df).collect()) == Counter({(None, None): 1, (4, None): 2})
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_linked_sets_share_a_signature(seed):
+    r = np.random.default_rng(seed)
+    bands = jaccard_join._bands(jaccard_join.Settings(), 3000)
+    for n in (10, 11, 19, 40, 99, 100, 400, 1200):
+        a = np.unique(r.integers(1, 1 << 62, n).astype(np.uint64))
+        common = -(-9 * len(a) // 10)  # a subset at the threshold itself
+        b = a[np.sort(r.permutation(len(a))[:common])]
+        assert set(jaccard_join.signatures(a, bands, 1).tolist()) & set(jaccard_join.signatures(b, bands, 1).tolist())
+        k = len(a) * 2 * 10 // 190 // 2  # as many changes as may be
+        c = np.unique(np.concatenate([a[k:], r.integers(1, 1 << 62, k).astype(np.uint64)]))
+        if 100 * (len(a) - k) >= 90 * (len(a) + k):
+            assert set(jaccard_join.signatures(a, bands, 1).tolist()) & set(jaccard_join.signatures(c, bands, 1).tolist())
