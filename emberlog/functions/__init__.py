@@ -1,0 +1 @@
+"""Scalar helpers and configuration."""

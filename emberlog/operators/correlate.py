@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog import rules
+from emberlog.functions.dates import minutes_between
 from emberlog.schema import actor_of, first_param, truncated
 
 TIME = "event_time"
@@ -76,7 +77,7 @@ def logging_gaps(events: DataFrame, disable: Sequence[str] = rules.DISABLE, enab
     return pairs.select(
         F.col(TIME).alias("start"),
         "end",
-        F.round((F.unix_micros("end_ts") - F.unix_micros("event_ts")) / 6e7, 1).alias("duration_minutes"),
+        minutes_between(F.col("event_ts"), F.col("end_ts")).alias("duration_minutes"),
         actor_of().alias("disabled_by"),
         F.col("event_name").alias("disable_event"),
         "resource",
@@ -167,6 +168,7 @@ def attack_patterns(events: DataFrame, weight: str = "rows") -> DataFrame:
         total(name.isin("PutBucketAcl", "PutBucketPolicy", "PutObjectAcl", "AuthorizeSecurityGroupIngress", "ModifyDBInstance")).alias("exposed"),
     )
     c = F.col
+    # Names, thresholds, techniques and texts of the rules.
     found = [
         ("cryptomining_indicator", c("runs") >= 3, "T1496", "Resource Hijacking", F.when((c("runs") >= 10) | (c("regions") >= 3), "high").otherwise("medium"), F.concat(c("runs"), F.lit(" RunInstances across "), c("regions"), F.lit(" region(s)"))),
         ("s3_ransomware_indicator", (c("deletes") >= 20) | ((c("tamper") > 0) & (c("deletes") > 0)), "T1485", "Data Destruction", F.lit("critical"), F.concat(c("deletes"), F.lit(" delete calls, "), c("tamper"), F.lit(" lifecycle/versioning changes"))),

@@ -55,6 +55,7 @@ def readiness(regions: DataFrame) -> DataFrame:
     guard, config, flows, hub = F.col("guardduty_enabled"), F.col("config_recording"), F.col("vpc_flow_logs_count") > 0, F.col("securityhub_enabled")
     points = lambda cond, n: F.when(cond, F.lit(R[n])).otherwise(0)
     score = sum((points(c, n) for c, n in ((some, "trail"), (multi, "multi_region"), (valid, "validation"), (data, "data_events"), (guard, "guardduty"), (config, "config"), (flows, "flow_logs"), (hub, "hub"))), F.lit(0)).cast("double")
+    # The texts of gaps and strengths.
     gaps = F.array_compact(
         F.array(
             F.when(some & ~multi, "No multi-region CloudTrail: activity in unmonitored regions is invisible"),

@@ -295,3 +295,12 @@ def test_streaming_gaps(spark, tmp_path):
         q.awaitTermination(120)
     assert [r["duration_minutes"] for r in spark.table("gaps").collect()] == [5.0]
     assert [r["event"] for r in spark.table("steps").collect()] == ["CreateUser"]
+
+
+def test_config(tmp_path):
+    from emberlog.functions import config
+
+    assert config.load(str(tmp_path / "none.json"))["thresholds"]["critical"] == 7.5
+    (tmp_path / "c.json").write_text(json.dumps({"priority_thresholds": {"critical": 7.0}}))
+    got = config.load(str(tmp_path / "c.json"))
+    assert got["thresholds"] == {"critical": 7.0, "high": 5.0, "medium": 2.5} and got["weights"] == rules.WEIGHTS
