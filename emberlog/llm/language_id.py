@@ -97,7 +97,10 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Classifier:
     rank = Window.partitionBy("lang").orderBy("order", "doc_id")
     usable = docs.filter(F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     order = F.xxhash64("doc_id", "text")
-    first = usable.select("doc_id", "lang", order.alias("order")).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= settings.sample_per_language)
+    # first in 64 parts of each language, so that one with very many texts is no single task's
+    part = Window.partitionBy("lang", F.pmod("order", F.lit(64))).orderBy("order", "doc_id")
+    parts = usable.select("doc_id", "lang", order.alias("order")).withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= settings.sample_per_language)
+    first = parts.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= settings.sample_per_language)
     # the labels bound the rows here: so many of each
     chosen = usable.withColumn("order", order).join(F.broadcast(first), ["doc_id", "lang", "order"]).select("lang", "rank", "text").dropDuplicates(["lang", "rank"])
     rows = sorted(chosen.collect(), key=lambda r: (r["lang"], r["rank"]))

@@ -329,11 +329,11 @@ def test_tokens_of_odd_words():
         assert list(struct.unpack(f"<{len(want)}I", tokens.of(t))) == want
 
 
-def plain_groups(texts):
+def plain_groups(texts, n=3, percent=90):
     sets = []
     for t in texts:
         w = words(t)
-        sets.append({tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set())
+        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set())
     root = list(range(len(texts)))
 
     def find(x):
@@ -343,14 +343,14 @@ def plain_groups(texts):
 
     for i, a in enumerate(sets):
         for j in range(i):
-            if a and sets[j] and 100 * len(a & sets[j]) >= 90 * len(a | sets[j]):
+            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
     return [(len(s), find(i)) for i, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize("crowd", [2, 50])
-def test_jaccard_join(spark, crowd):
+@pytest.mark.parametrize(("crowd", "n", "percent"), [(2, 3, 90), (50, 3, 90), (3, 5, 80)])
+def test_jaccard_join(spark, crowd, n, percent):
     r = random.Random(11)
     vocabulary = ["".join(r.choice("abcdef") for _ in range(4)) for _ in range(500)]
     texts = [None, "", " ", "one", "One", "one two", "a b c", "A b c a b c"]
@@ -365,8 +365,8 @@ def test_jaccard_join(spark, crowd):
     texts += [shared + " " + " ".join(r.choice(vocabulary) for _ in range(r.randint(0, 12))) for _ in range(60)]
     texts += texts[:20]
     df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, node long").repartition(5)
-    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_join.join_groups(df, jaccard_join.Settings(crowd=crowd)).collect()}
-    want = plain_groups(texts)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_join.join_groups(df, jaccard_join.Settings(crowd=crowd, words=n, percent=percent)).collect()}
+    want = plain_groups(texts, n, percent)
     assert [got[i] for i in range(len(texts))] == want
     if crowd == 50:
         assert {x["doc_id"] for x in jaccard_join.keep_first(df).collect()} == {i for i, (_, c) in enumerate(want) if c == i}
