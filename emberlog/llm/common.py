@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +92,17 @@ def string_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
+def sliced(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches with at most so many bytes of ``text``, or one row, so that memory doesn't depend on the rows' length."""
+    for b in batches:
+        _, offs = string_buffer(b["text"])
+        at = 0
+        while at < len(b):
+            to = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
+            yield b.slice(at, to - at)
+            at = to
+
+
 class Words:
     """Words of a batch of texts as 64-bit hashes.
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, as_long, checkpointed, mix, written
+from .common import Words, as_long, checkpointed, mix, sliced, written
 
 
 @dataclass(frozen=True)
@@ -103,7 +103,7 @@ def signatures(s: np.ndarray, bands: list[tuple[int, int, int]], seed: int) -> n
 
 def _nodes(settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             sets = shingle_sets(b["text"], settings.words)
             yield pa.record_batch({"id": b["id"], "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array([_node(s) for s in sets], pa.int64())})
 
@@ -116,7 +116,7 @@ def _signed(settings: Settings, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands: list[tuple[int, int, int]] = []
         seen: set[int] = set()
-        for b in batches:
+        for b in sliced(batches):
             sets = shingle_sets(b["text"], settings.words)
             most = max(map(len, sets), default=0)
             if not bands or bands[-1][1] < most:
@@ -139,7 +139,7 @@ def _signed(settings: Settings, seed: int):
 
 def _sets(settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             sets = shingle_sets(b["text"], settings.words)
             yield pa.record_batch({"node": pa.array([_node(s) for s in sets], pa.int64()), "members": pa.array([s.tobytes() for s in sets], pa.binary())})
 
