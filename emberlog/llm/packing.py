@@ -27,6 +27,7 @@ import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -41,16 +42,21 @@ class Settings:
     tokenizer: str = "word_bpe_49k.json"  #: a file of public_tokenizers, or a path
     end_id: int = 2
     block_tokens: int = 8_000_000
-    cached_words: int = 400_000
+    cached_words: int = 800_000
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, step_group long"
 
 
 class Tokens:
-    """Token ids of texts as little-endian 32-bit numbers, word by word with a bounded cache."""
+    """Token ids of texts as little-endian 32-bit numbers, word by word with a bounded cache.
 
-    _PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
+    The cache has two generations: when the younger is full it becomes the older one, from which words that
+    come again are taken over.
+    """
+
+    #: Letters that normalisation leaves as they are, then marks that no special token has: one run of each, and so a piece of each.
+    _FORM = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:;=?@\[-`{}~]*)")
 
     def __init__(self, settings: Settings):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,46 +66,57 @@ class Tokens:
         path = settings.tokenizer if os.path.exists(settings.tokenizer) else public_tokenizers.path(settings.tokenizer)
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.most = settings.cached_words
+        self.most = max(1, settings.cached_words // 2)
         self.end = settings.end_id.to_bytes(4, "little")
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
         # byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
-        self.letter = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.letter = {b: 256 + i for i, b in enumerate(rest)}
 
-    def _ids(self, word: bytes) -> bytes:
-        text = word.decode()
-        if self._PLAIN.fullmatch(text):  # one run of letters: the model's own step is all there is
-            ids = [t.id for t in self.model.tokenize("".join([self.letter[b] for b in word]))]
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+    def _piece(self, piece: bytes) -> bytes:
+        """A run of letters or of marks: the model's own step is all there is."""
+        text = piece.decode() if piece.isascii() else piece.decode("latin-1").translate(self.letter)
+        return b"".join([self.id_bytes[t.id] for t in self.model.tokenize(text)])
 
-    def _learn(self, word: bytes) -> bytes:
-        # a last mark after a letter is a token run of its own
-        if len(word) > 1 and word[-1:] in b".,;:!?" and (b"a" <= word[-2:-1] <= b"z"):
-            out = self._get(word[:-1]) + self._get(word[-1:])
-        else:
-            out = self._ids(word)
-        self.cache[word] = out
-        return out
+    def _part(self, piece: bytes) -> bytes:
+        got = self.cache.get(piece) or self.older.get(piece) or self._piece(piece)
+        self.cache[piece] = got
+        return got
 
-    def _get(self, word: bytes) -> bytes:
-        got = self.cache.get(word)
-        return self._learn(word) if got is None else got
+    def _learn(self, word: bytes) -> bytes:
+        got = self.cache.get(word) or self.older.get(word)
+        if got is None:
+            if word.isalpha():  # of bytes: ASCII alone
+                got = self._piece(word)
+            elif form := self._FORM.fullmatch(word.decode()):
+                letters, marks = form[1].encode(), form[2].encode()
+                got = self._part(letters) + self._part(marks) if marks else self._piece(letters)
+            else:
+                got = b"".join([self.id_bytes[i] for i in self.tokenizer.encode(word.decode(), add_special_tokens=False).ids])
+        self.cache[word] = got
+        return got
 
     def of(self, text: str | None) -> bytes:
         """The ids of the text and the end."""
         if len(self.cache) > self.most:
-            self.cache.clear()
+            self.cache, self.older = {}, self.cache
         words = (text or "").encode().lower().split()
-        parts = list(map(self.cache.get, words))
-        if None in parts:
-            parts = [self._learn(w) if p is None else p for w, p in zip(words, parts, strict=True)]
+        parts, at = list(map(self.cache.get, words)), 0
+        for _ in range(parts.count(None)):
+            at = parts.index(None, at)
+            parts[at] = self._learn(words[at])
         return b"".join(parts) + self.end
 
 
+@lru_cache(maxsize=1)
+def tokens_of(settings: Settings) -> Tokens:
+    """One for each Python worker, whose tasks share the cache."""
+    return Tokens(settings)
+
+
 class Packer:
     """Packs pieces (length, number, start) of a block; what doesn't fill a window stays in ``rests``."""
 
@@ -144,7 +161,7 @@ class Packer:
 
 def _pack(settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, packer = Tokens(settings), Packer(settings)
+        tokens, packer = tokens_of(settings), Packer(settings)
         task = TaskContext.get()
         base = (task.partitionId() if task else 0) << 32
         made, by_tier = 0, dict.fromkeys(settings.tiers, 0)

@@ -324,7 +324,7 @@ def test_packing(docs, texts, empty):
 
 def test_tokens_of_odd_words():
     tokens = packing.Tokens(packing.Settings(cached_words=3))
-    for t in ("Don't STOP...now", "a.b, c!! 12.5", "É́té I\u0307 ΑΣ ﬁ 你好 x\u00a0y\x1cz", "<|endoftext|> <|startoftext|>x", "naïve, café. straße?"):
+    for t in ("Don't STOP...now", "a.b, c!! 12.5", "É́té I\u0307 ΑΣ ﬁ 你好 x\u00a0y\x1cz", "<|endoftext|> <|startoftext|>x", "naïve, café. straße?", "abc$$$ abc*** é.,_; x&y <abc|> abc|> ab<|endoftext|>, (abc) abc' 12abc, \u0130, abc"):
         want = tokens.tokenizer.encode(t, add_special_tokens=False).ids + [2]
         assert list(struct.unpack(f"<{len(want)}I", tokens.of(t))) == want
 
