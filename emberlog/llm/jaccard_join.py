@@ -8,7 +8,9 @@ Sizes are cut into bands that overlap so far that two linked sets have a band in
 k the largest difference in a band, the domain of shingles is dealt to k // 2 + 1 partitions, of
 which one has at most one differing shingle between two linked sets, and each partition to two
 or three parts.  Every subset of a partition's parts that leaves out one part is a signature: what the
-set has there.  Linked sets share at least one.
+set has there.  Linked sets share at least one.  Where a partition has two parts, a set with more filled parts than
+it may differ in from any other shares a filled part with each that it links with, so empty parts are signatures only
+of sets with fewer.
 
 Texts with equal sets are one node.  Nodes that share a signature are candidates, in two rounds
 so that a large group of near copies costs a few pairs for each member, not all pairs.  First each
@@ -81,8 +83,8 @@ def _bands(settings: Settings, most: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def signatures(s: np.ndarray, bands: list[tuple[int, int, int]], seed: int) -> np.ndarray:
-    """All signatures of a set; none where only equal sets can link."""
+def signatures(s: np.ndarray, bands: list[tuple[int, int, int]], seed: int, percent: int = 90) -> np.ndarray:
+    """The signatures of a set; none where only equal sets can link."""
     out = []
     dealt = mix(s ^ np.uint64(seed))
     value = mix(s + np.uint64(0x632BE59BD9B4E019))
@@ -97,7 +99,13 @@ def signatures(s: np.ndarray, bands: list[tuple[int, int, int]], seed: int) -> n
         sums = np.bincount(cell, low, n1 * n2).astype(np.uint64) + (np.bincount(cell, high, n1 * n2).astype(np.uint64) << np.uint64(32))
         sums = sums.reshape(n1, n2)
         without = sums.sum(1, dtype=np.uint64)[:, None] - sums
-        out.append(mix(without.ravel() + mix(np.arange(n1 * n2, dtype=np.uint64) + np.uint64(number << 32))))
+        found = mix(without.ravel() + mix(np.arange(n1 * n2, dtype=np.uint64) + np.uint64(number << 32)))
+        if n2 == 2:
+            filled = np.bincount(cell, minlength=n1 * n2).reshape(n1, n2)[:, ::-1].ravel() > 0
+            largest = min(most, len(s) * 100 // percent)  # of the sets that this one may link with
+            if np.count_nonzero(filled) > (len(s) + largest) * (100 - percent) // (100 + percent):
+                found = found[filled]
+        out.append(found)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -128,7 +136,7 @@ def _signed(settings: Settings, seed: int):
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(k)
-                sig.append(signatures(s, bands, seed))
+                sig.append(signatures(s, bands, seed, settings.percent))
                 node.append(k)
                 n.append(len(sig[-1]))
             if sig:
@@ -201,9 +209,9 @@ class Join:
 
     def all_links(self) -> DataFrame:
         """Links that make the same components as all links do."""
-        signed = written(self.docs.mapInArrow(_signed(self.settings, 1), "sig long, node long"), "jaccard-signatures")
+        signed = self.docs.mapInArrow(_signed(self.settings, 1), "sig long, node long")  # made twice, as they are several times the texts
         shared = signed.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("sig")
-        members = checkpointed(signed.join(shared, "sig").distinct())
+        members = written(signed.join(shared, "sig").distinct(), "jaccard-members")
         # how many others a node meets in its signatures: copies with few changes meet the most
         size = members.groupBy("sig").agg((F.count("*") - 1).alias("others"))
         weight = checkpointed(members.join(size, "sig").groupBy("node").agg(F.sum("others").alias("weight")))
@@ -231,7 +239,7 @@ class Join:
         known = checkpointed(anchors.join(roots, "node", "left").select("node", "anchor", "crowded", F.coalesce("root", "node").alias("root")))
         rows = members.join(known, "node")
         mixed = rows.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("sig")
-        rows = checkpointed(rows.join(mixed, "sig"))
+        rows = written(rows.join(mixed, "sig"), "jaccard-apart")
         one, two = (rows.select("sig", *[F.col(c).alias(f"{c}_{n}") for c in ("node", "root", "anchor", "crowded")]) for n in "ab")
         # nodes of one crowd are compared by their differences from its anchor instead
         other = ~F.col("crowded_a") | (F.col("anchor_a") != F.col("anchor_b"))

@@ -378,16 +378,18 @@ def test_jaccard_join_of_nothing_and_null_ids(spark, empty):
     assert Counter((r["doc_id"], r["component_id"]) for r in jaccard_join.join_groups(df).collect()) == Counter({(None, None): 1, (4, None): 2})
 
 
+@pytest.mark.parametrize("percent", [90, 80])
 @pytest.mark.parametrize("seed", range(3))
-def test_linked_sets_share_a_signature(seed):
+def test_linked_sets_share_a_signature(seed, percent):
     r = np.random.default_rng(seed)
-    bands = jaccard_join._bands(jaccard_join.Settings(), 3000)
-    for n in (10, 11, 19, 40, 99, 100, 400, 1200):
+    bands = jaccard_join._bands(jaccard_join.Settings(percent=percent), 3000)
+    signed = lambda x: set(jaccard_join.signatures(x, bands, 1, percent).tolist())
+    for n in (10, 11, 19, 40, *range(60, 140, 3), 400, 1200):
         a = np.unique(r.integers(1, 1 << 62, n).astype(np.uint64))
-        common = -(-9 * len(a) // 10)  # a subset at the threshold itself
+        common = -(-percent * len(a) // 100)  # a subset at the threshold itself
         b = a[np.sort(r.permutation(len(a))[:common])]
-        assert set(jaccard_join.signatures(a, bands, 1).tolist()) & set(jaccard_join.signatures(b, bands, 1).tolist())
-        k = len(a) * 2 * 10 // 190 // 2  # as many changes as may be
+        assert signed(a) & signed(b)
+        k = len(a) * 2 * (100 - percent) // (100 + percent) // 2  # as many changes as may be
         c = np.unique(np.concatenate([a[k:], r.integers(1, 1 << 62, k).astype(np.uint64)]))
-        if 100 * (len(a) - k) >= 90 * (len(a) + k):
-            assert set(jaccard_join.signatures(a, bands, 1).tolist()) & set(jaccard_join.signatures(c, bands, 1).tolist())
+        if 100 * (len(a) - k) >= percent * (len(a) + k):
+            assert signed(a) & signed(c)
