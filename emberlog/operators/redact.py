@@ -82,31 +82,53 @@ def _replaced(text: Column, pairs: Column, bounded: bool) -> Column:
     return F.aggregate(pairs, text, step)
 
 
-def _with_pairs(rows: DataFrame, key: str, column: str, held: Column, pairs: DataFrame) -> DataFrame:
-    """Joins each row with the (old, new) pairs of what it holds, the longest first."""
-    each = rows.select(key, F.explode(held).alias("old")).join(pairs, "old")
+def _with_pairs(rows: DataFrame, key: str, column: str, held: Column, pairs: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """Joins each row with the (old, new) pairs of what it holds, and of ``more`` (key, old), the longest first."""
+    each = rows.select(key, F.explode(held).alias("old"))
+    each = (each if more is None else each.union(more)).join(pairs, "old")
     order = F.struct((-F.length("old")).alias("long"), "old", "new")
     return rows.join(each.groupBy(key).agg(F.array_sort(F.collect_set(order)).alias("__pairs")), key, "left")
 
 
-def _runs(piece: Column) -> Column:
-    """The parts of a piece and their runs, cut where letters and digits meet other marks; runs of 15 cuts at most."""
-    parts = F.split(piece, r"(?<=[A-Za-z0-9])(?=[^A-Za-z0-9])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])")
+def _parts(piece: Column) -> Column:
+    """A piece, cut where letters and digits meet other marks."""
+    return F.split(piece, r"(?<=[A-Za-z0-9])(?=[^A-Za-z0-9])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])")
+
+
+def _runs(piece: Column, longest: Column) -> Column:
+    """The runs of a piece's parts, of ``longest`` parts at most."""
+    parts = _parts(piece)
     n = F.size(parts)
-    from_here = lambda i: F.transform(F.sequence(F.lit(1), F.least(n - i, F.lit(15))), lambda k: F.array_join(F.slice(parts, i + 1, k), ""))
+    from_here = lambda i: F.transform(F.sequence(F.lit(1), F.least(n - i, longest)), lambda k: F.array_join(F.slice(parts, i + 1, k), ""))
     return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), from_here))
 
 
+def _other_names(rows: DataFrame, key: str, column: str, names: DataFrame) -> DataFrame:
+    """(key, old): the names (value) of any characters that a row's text contains.
+
+    A name is looked up by its first run of ASCII letters and digits, or else its first character.  As names are
+    only replaced between other characters than these, a text that holds a name holds that run as one of its own.
+    """
+    run = F.regexp_extract("value", "[A-Za-z0-9]+", 0)
+    named = names.select("value", F.when(run != "", run).otherwise(F.regexp_extract("value", "(?s)^.", 0)).alias("__word"))
+    words = rows.select(key, F.col(column).alias("__text"), F.explode(F.array_distinct(F.regexp_extract_all(column, F.lit("(?s)[A-Za-z0-9]+|[^A-Za-z0-9]"), F.lit(0)))).alias("__word"))
+    return words.join(named, "__word").filter(F.contains("__text", "value")).select(key, F.col("value").alias("old"))
+
+
 def redact(rows: DataFrame, key: str, column: str, tokens: DataFrame) -> DataFrame:
     """The rows with the identifiers in ``column`` replaced; ``key`` is unique."""
+    plain = F.col("value").rlike(r"^[A-Za-z0-9_@=+.-]+\z")
+    longest = tokens.filter(plain).agg(F.coalesce(F.max(F.size(_parts(F.col("value")))), F.lit(1)).alias("__longest"))
     pieces = F.split(F.regexp_replace(F.coalesce(column, F.lit("")), r"[^A-Za-z0-9_@=+.-]+", " "), " ")
-    held = F.array_distinct(F.concat(F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(_ANY), F.lit(0)), F.flatten(F.transform(F.array_distinct(pieces), _runs))))
-    joined = _with_pairs(rows, key, column, held, tokens.select(F.col("value").alias("old"), F.col("token").alias("new")))
-    return joined.withColumn(column, F.when(F.col("__pairs").isNotNull(), _replaced(F.col(column), F.col("__pairs"), True)).otherwise(F.col(column))).drop("__pairs")
+    runs = F.flatten(F.transform(F.array_distinct(pieces), lambda p: _runs(p, F.col("__longest"))))
+    held = F.array_distinct(F.concat(F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(_ANY), F.lit(0)), runs))
+    others = _other_names(rows, key, column, tokens.filter(~plain & ~F.col("value").rlike(f"^(?:{PATTERNS[0][1]})\\z")))
+    joined = _with_pairs(rows.crossJoin(F.broadcast(longest)), key, column, held, tokens.select(F.col("value").alias("old"), F.col("token").alias("new")), others)
+    return joined.withColumn(column, F.when(F.col("__pairs").isNotNull(), _replaced(F.col(column), F.col("__pairs"), True)).otherwise(F.col(column))).drop("__pairs", "__longest")
 
 
 def restore(rows: DataFrame, key: str, column: str, tokens: DataFrame) -> DataFrame:
-    held = F.array_distinct(F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(r"\b(?:PRINCIPAL|ROLE|BUCKET|FUNCTION|RESOURCE|TRAIL|KEY|ACCOUNT|IP-PRIVATE|IP)-\d+\b"), F.lit(0)))
+    held = F.array_distinct(F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(r"(?<![A-Za-z0-9])(?:PRINCIPAL|ROLE|BUCKET|FUNCTION|RESOURCE|TRAIL|KEY|ACCOUNT|IP-PRIVATE|IP)-\d+(?![A-Za-z0-9])"), F.lit(0)))
     back = tokens.groupBy(F.col("token").alias("old")).agg(F.max("restored").alias("new"))
     joined = _with_pairs(rows, key, column, held, back)
     return joined.withColumn(column, F.when(F.col("__pairs").isNotNull(), _replaced(F.col(column), F.col("__pairs"), False)).otherwise(F.col(column))).drop("__pairs")

@@ -221,6 +221,20 @@ def test_redaction_round_trip(spark):
     assert back[0] == texts[0] and back[4] == texts[4]
 
 
+def test_redaction_of_long_names_and_other_characters(spark):
+    long = "prod-us-east-1-data-platform-etl-worker-role-of-team"
+    given = ["Jane Doe", "team/blue:one", "Łukasz", "Ωμέγα", "a.b-" * 20 + "end"]
+    texts = [f"arn:aws:iam::123456789012:role/{long}", f"x {long}, y", "by Jane Doe.", "team/blue:one", "(Łukasz)", "éΩμέγα", f"<{given[4]}>", "Jane and Doe, team/blue:ones", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    tokens = redact.mapping(df, "t", spark.createDataFrame([(n,) for n in given], "name string"))
+    hidden = {r["id"]: r["t"] for r in redact.redact(df, "id", "t", tokens).collect()}
+    for i, secret in enumerate([long, *given], 1):
+        assert secret not in hidden[i], (secret, hidden)
+    assert hidden[1].startswith("x ROLE-") and hidden[7] == texts[7] and hidden[8] is None
+    back = {r["id"]: r["t"] for r in redact.restore(redact.redact(df, "id", "t", tokens), "id", "t", tokens).collect()}
+    assert all(back[i] == texts[i] for i in (0, 2, 3, 4, 5, 6))
+
+
 def test_timeline_tags(spark):
     e = frame(spark, [ev("2026-01-01T00:00:00Z", "ConsoleLogin"), ev("2026-01-01T00:01:00Z", "CreateUser"), ev("2026-01-01T00:02:00Z", "ListUsers")])
     none = correlate.session_chains(e.filter("1 = 0"))
