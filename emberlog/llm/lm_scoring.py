@@ -3,9 +3,13 @@
 P(word | history) = P(class | history) * P(word | class).  The class softmax is a
 maximum-entropy model over hashed features of the history: the previous word, the
 previous two words, and skip features for the second and third word back.  Within a
-class the only features are the words themselves, for which the maximum-likelihood
-weights are the smoothed relative frequencies, so no inner softmax has to be summed.
-Each class keeps one unit of smoothing for words that were never seen.
+cluster the softmax is factored further, into a binary tree of the cluster's words, cut
+where the counts are halved; every decision is a maximum-entropy model over the same
+features of the history, with a weight for each (feature, node), and starts from the
+smoothed relative frequencies.  The words that tasks don't hold share one leaf of this tree
+and part below it by the bits of their hashes, as many as leave a few words together, which
+share by their frequencies.  Each class, and each such leaf, keeps one unit of smoothing for
+words that were never seen.
 
 Classes: the end of a text, the most frequent words one by one, and clusters of the other
 words by their last letters; word endings that follow similar endings share a cluster.
@@ -30,6 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +53,7 @@ class Settings:
     classes: int = 16
     hot_words: int = 4  #: words with a class of their own
     known_words: int = 1 << 18  #: most frequent words that tasks hold; the others are joined
+    inner_bits: int = 21  #: at most 2**21 weights of the trees in the clusters, fewer for few tokens
     rounds: int = 2
     step: int = 16384  #: tokens in one gradient step
     rate: float = 0.3
@@ -121,6 +127,9 @@ class Model:
         self.hot_counts = [count_of[w] for w in hot.tolist()]
         self.tokens, self.types = tokens, types
         self.weights = np.zeros((settings.features, c), np.float32)
+        pairs_at_most = max(int(4 * tokens.sum()), 1 << 13)
+        self.inner = np.zeros(1 << min(settings.inner_bits, pairs_at_most.bit_length()), np.float32)
+        self.rare_bits = 0
         self.finish()
 
     def take_hot_from(self, keys: list[int]) -> None:
@@ -130,6 +139,78 @@ class Model:
             self.types[self.class_of_key[key]] -= 1
         self.finish()
 
+    def plant(self, keys: np.ndarray) -> None:
+        """The trees of the clusters; keys: the ending keys of the words."""
+        s = self.settings
+        c = self.classes(self.words, keys)
+        rare_types = self.types - np.bincount(c, minlength=s.classes)
+        self.rare_bits = int(np.ceil(np.log2(max(1.0, rare_types.max()))))
+        mass = self.counts + 0.5
+        rest = np.maximum(10**self.log10_size - np.bincount(c, mass, s.classes), 0.5)
+        mass, c = np.append(mass, rest), np.append(c, np.arange(s.classes))
+        order = np.lexsort((-mass, c))
+        self.place = np.empty(len(order), np.int32)  # of each word, then of each class's rare words
+        self.place[order] = np.arange(len(order))
+        total = np.append(0.0, np.cumsum(mass[order]))
+        # a node is named by where it parts its range; ranges of one word are leaves, -1
+        self.split_bias = np.zeros(len(order) + 1, np.float32)
+        self.child = np.full((2, len(order) + 1), -1, np.int32)
+        edge = np.searchsorted(c[order], np.arange(s.classes + 1))
+        low, high = edge[:-1], edge[1:]
+
+        def cut(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+            middle = np.searchsorted(total, (total[low] + total[high]) / 2)
+            return np.where(high - low > 1, np.clip(middle, low + 1, high - 1), -1).astype(np.int32)
+
+        middle = self.root = cut(low, high)
+        self.root[: 1 + s.hot_words] = -1  # the end and the hot words are alone in their classes
+        while len(middle):
+            low, high, middle = low[middle >= 0], high[middle >= 0], middle[middle >= 0]
+            self.split_bias[middle] = np.log((total[high] - total[middle]) / (total[middle] - total[low]))
+            self.child[0, middle], self.child[1, middle] = cut(low, middle), cut(middle, high)
+            low, high, middle = np.append(low, middle), np.append(middle, high), np.append(*self.child[:, middle])
+
+    def inside(self, h: np.ndarray, c: np.ndarray, row: np.ndarray, kinds: np.ndarray, learn=None) -> np.ndarray:
+        """log P(word | class, history); of a rare word that of its leaf.
+
+        row: the words' rows among the known ones, or -1; learn(slots, z, bit) is called before the
+        next nodes are looked up.  The end and hot words take their share of their class.
+        """
+        s = self.settings
+        shift = np.uint64(65 - len(self.inner).bit_length())
+        out = np.zeros(len(h))
+        alone = c <= s.hot_words
+        out[alone] = np.log(np.append(self.counts, 0)[row[alone]] + 0.5) - self.log10_size[c[alone]] * np.log(10)
+
+        def decide(at: np.ndarray, kinds: np.ndarray, node: np.ndarray, bias: np.ndarray | float, bit: np.ndarray) -> None:
+            slots = ((kinds ^ (node * np.uint64(_NODE))) * np.uint64(_SLOT) >> shift).astype(np.int64)
+            z = (self.inner if learn is None else learn.weights).take(slots).sum(0) + bias
+            if learn is not None:
+                learn(slots, z, bit)
+            out[at] -= np.logaddexp(0, np.where(bit, -z, z))
+
+        place = self.place[np.where(row >= 0, row, len(self.words) + c)]
+        node = self.root[c]
+        at = np.flatnonzero(node >= 0)
+        node = node[at]
+        while len(at):
+            bit = place[at] >= node
+            decide(at, kinds[:, at], node.astype(np.uint64), self.split_bias[node], bit)
+            node = self.child[bit.astype(np.int8), node]
+            at, node = at[node >= 0], node[node >= 0]
+        at = np.flatnonzero((row < 0) & ~alone)
+        always = np.vstack([kinds[:, at], np.zeros((1, len(at)), np.uint64)])  # no counts tell these nodes' bias
+        for k in range(self.rare_bits if len(at) else 0):
+            above = h[at] >> np.uint64(64 - k) if k else np.zeros(len(at), np.uint64)
+            node = mix(above * np.uint64(64) + np.uint64(k + 1) + (c[at].astype(np.uint64) << np.uint64(56)))
+            decide(at, always, node, 0.0, (h[at] >> np.uint64(63 - k) & np.uint64(1)).astype(bool))
+        return out
+
+    def leaf(self, h: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The leaf of a rare word: its class and the first bits of its hash."""
+        top = h >> np.uint64(64 - self.rare_bits) if self.rare_bits else np.zeros(len(h), np.uint64)
+        return as_long(top * np.uint64(self.settings.classes) + c.astype(np.uint64))
+
     def finish(self) -> None:
         self.bias = np.log((self.tokens + 0.5) / (self.tokens.sum() + 0.5 * len(self.tokens))).astype(np.float32)
         self.log10_size = np.log10(self.tokens + 0.5 * (self.types + 1))
@@ -140,14 +221,14 @@ class Model:
             self.known = HashTable(self.words)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "known"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "rare")}
 
     def classes(self, h: np.ndarray, key: np.ndarray) -> np.ndarray:
         c, hot = self.class_of_key[key], self.hot.find(h)
         return np.where(hot >= 0, hot + 1, c)
 
-    def features(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Four rows of the weight table for each token; histories don't cross texts."""
+    def features(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Four hashed features of each token's history and their rows of the weight table; histories don't cross texts."""
         starts = np.repeat(first[:-1], np.diff(first))
         place = np.arange(len(h)) - starts
 
@@ -159,8 +240,8 @@ class Model:
 
         one, two, three = back(1), back(2), back(3)
         kinds = (one * np.uint64(3), one * np.uint64(5) ^ two * np.uint64(7), two * np.uint64(9), three * np.uint64(11))
-        mask = np.uint64(self.settings.features - 1)
-        return np.stack([(mix(x + np.uint64(i + 1)) & mask).astype(np.int64) for i, x in enumerate(kinds)])
+        hashed = np.stack([mix(x + np.uint64(i + 1)) for i, x in enumerate(kinds)])
+        return hashed, (hashed & np.uint64(self.settings.features - 1)).astype(np.int64)
 
     def logits(self, f: np.ndarray, weights: np.ndarray) -> np.ndarray:
         out = weights.take(f[0], 0)
@@ -196,10 +277,31 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class _Learner:
+    """Gradient steps on a copy of the trees' weights."""
+
+    def __init__(self, weights: np.ndarray, rate: float):
+        self.weights, self.rate = weights.copy(), rate
+        self.seen, self.square, self.total = (np.zeros(len(weights), np.float32) for _ in range(3))
+
+    def __call__(self, slots: np.ndarray, z: np.ndarray, bit: np.ndarray) -> None:
+        u = slots.ravel()
+        g = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - bit).astype(np.float32)
+        np.add.at(self.total, u, np.tile(g, len(slots)))
+        np.add.at(self.seen, u, np.float32(1))
+        total = self.total[u]
+        # equal slots write equal values
+        self.square[u] = square = self.square[u] + total**2
+        self.weights[u] = self.weights[u] - self.rate * total / np.sqrt(square + 1)
+        self.total[u] = 0
+
+
 def _train(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
+        m.prepare()
         s = m.settings
+        inner = _Learner(m.inner, s.rate)
         weights, seen = m.weights.copy(), np.zeros(s.features, np.float32)
         square = np.zeros(s.features, np.float32)
 
@@ -214,9 +316,11 @@ def _train(shared):
 
         for b in sliced(batches):
             h, key, first = _tokens(b["text"])
-            f, c = m.features(h, first), m.classes(h, key)
+            (kinds, f), c, row = m.features(h, first), m.classes(h, key), m.known.find(h)
             for at in range(0, len(h), s.step):
-                step(f[:, at : at + s.step], c[at : at + s.step])
+                part = slice(at, at + s.step)
+                step(f[:, part], c[part])
+                m.inside(h[part], c[part], row[part], kinds[:, part], inner)
         u = np.flatnonzero(seen)
         moved = ((weights[u] - m.weights[u]) * seen[u, None]).astype(np.float32)
         for at in range(0, len(u), 4096):
@@ -225,11 +329,28 @@ def _train(shared):
                 {"f": u[part].astype(np.int32), "n": seen[u[part]], "moved": pa.array([x.tobytes() for x in moved[part]], pa.binary())},
                 _MOVED,
             )
+        for at in range(0, len(m.inner) if len(u) else 0, _BLOCK):
+            part = slice(at, at + _BLOCK)
+            if inner.seen[part].any():
+                yield _block(at, inner.seen[part], inner.weights[part] - m.inner[part])
 
     return run
 
 
 _MOVED = pa.schema([("f", pa.int32()), ("n", pa.float32()), ("moved", pa.binary())])
+_BLOCK = 4096  #: slots of the trees' weights in a row, whose f is -1 less the block's number
+_NODE, _SLOT = 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15
+
+
+def _block(at: int, seen: np.ndarray, moved: np.ndarray) -> pa.RecordBatch:
+    """A row with the counts and the mean changes of a block of slots."""
+    packed = seen.astype(np.float32).tobytes() + moved.astype(np.float16).tobytes()
+    return pa.record_batch({"f": pa.array([-1 - at // _BLOCK], pa.int32()), "n": pa.array([0], pa.float32()), "moved": pa.array([packed], pa.binary())}, _MOVED)
+
+
+def _of_block(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(packed) // 6
+    return np.frombuffer(packed, np.float32, n), np.frombuffer(packed, np.float16, n, 4 * n).astype(np.float64)
 
 
 def _add(classes: int):
@@ -238,22 +359,30 @@ def _add(classes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: dict[int, float] = {}
         moved: dict[int, np.ndarray] = {}
+        blocks: dict[int, np.ndarray] = {}
         for b in batches:
+            inner = pc.less(b["f"], 0)
+            for f, x in zip(b["f"].filter(inner).to_pylist(), b["moved"].filter(inner).to_pylist(), strict=True):
+                seen, change = _of_block(x)
+                blocks[f] = blocks.get(f, 0) + np.stack([seen, seen * change])
+            b = b.filter(pc.invert(inner))
             rows = np.frombuffer(b"".join(b["moved"].to_pylist()), np.float32).reshape(-1, classes)
             for f, k, x in zip(b["f"].to_pylist(), b["n"].to_pylist(), rows, strict=True):
                 n[f] = n.get(f, 0.0) + k
                 moved[f] = moved[f] + x if f in moved else x.astype(np.float64)
         keys = list(n)
         yield pa.record_batch({"f": pa.array(keys, pa.int32()), "n": pa.array([n[k] for k in keys], pa.float32()), "moved": pa.array([moved[k].astype(np.float32).tobytes() for k in keys], pa.binary())}, _MOVED)
+        for f, (seen, change) in blocks.items():
+            yield _block((-1 - f) * _BLOCK, seen, change / np.maximum(seen, 1))
 
     return run
 
 
-def _most_frequent(vocabulary: DataFrame, most: int) -> pd.DataFrame:
+def _most_frequent(vocabulary: DataFrame, most: int) -> tuple[pd.DataFrame, DataFrame]:
     """The frequent words, ``most`` at most: those above the lowest count level that leaves no more.
 
     Levels are sixteenths of powers of two, so a few hundred numbers tell where to cut, and no task sends
-    words that others outdo.
+    words that others outdo.  The second result are the other words.
     """
     level = F.floor(F.log2("n") * 16)
     sizes = sorted(vocabulary.groupBy(level.alias("level")).count().collect(), reverse=True)
@@ -264,7 +393,8 @@ def _most_frequent(vocabulary: DataFrame, most: int) -> pd.DataFrame:
             break
         low = at
     chosen = vocabulary.filter(level >= low) if low is not None else vocabulary.limit(0)
-    return chosen.toPandas().sort_values(["n", "h"], ascending=[False, True])
+    others = vocabulary.filter(level < low) if low is not None else vocabulary
+    return chosen.toPandas().sort_values(["n", "h"], ascending=[False, True]), others
 
 
 def train(docs: DataFrame, settings: Settings = Settings()) -> tuple[Model, DataFrame, int, int]:
@@ -279,19 +409,25 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> tuple[Model, Data
     pairs = np.zeros(ENDINGS * CONTEXTS)
     for h, n in counted.filter(F.col("key") == PAIR).select("h", "n").collect():
         pairs[h] = n
-    top = _most_frequent(vocabulary, settings.known_words)
+    top, others = _most_frequent(vocabulary, settings.known_words)
     words = top["h"].to_numpy(np.int64).view(np.uint64)
     model = Model(settings, words, top["n"].to_numpy(np.int64), pairs.reshape(ENDINGS, CONTEXTS), by_key)
     key_of = dict(zip(words.tolist(), top["key"].tolist(), strict=True))
     model.take_hot_from([key_of[w] for w in model.hot.keys.tolist()])
+    model.plant(top["key"].to_numpy(np.int32))
+    model.rare = others
     n_tokens, n_types = int(by_key[0].sum()), int(by_key[1].sum())
     turn = (F.floor(F.crc32(F.coalesce(docs["doc_id"].cast("string"), F.lit("")).cast("binary")) / 5) % settings.rounds).cast("int")
     for r in range(settings.rounds if n_tokens else 0):
         shared = spark.sparkContext.broadcast(model)  # of a size that the settings bound
         moved = docs.filter(turn == r).select("text").mapInArrow(_train(shared), "f int, n float, moved binary")
         total = moved.repartition("f").mapInArrow(_add(settings.classes), "f int, n float, moved binary").collect()
-        for f, n, x in total:  # a row for each feature at most
-            model.weights[f] += np.frombuffer(x, np.float32) / n
+        for f, n, x in total:  # a row for each feature and block of slots at most
+            if f >= 0:
+                model.weights[f] += np.frombuffer(x, np.float32) / n
+            else:
+                at = (-1 - f) * _BLOCK
+                model.inner[at : at + _BLOCK] += _of_block(x)[1]
         shared.destroy()
     return model, vocabulary.select("h", "n"), n_tokens, n_types
 
@@ -306,15 +442,16 @@ def _score(shared):
         log10_count = np.append(np.log10(m.counts + 0.5), 0.0)
         for b in sliced(batches):
             h, key, first = _tokens(b["text"])
-            f, c = m.features(h, first), m.classes(h, key)
+            (kinds, f), c, row = m.features(h, first), m.classes(h, key), m.known.find(h)
             log_p = np.empty(len(h))
             for i in range(0, len(h), m.settings.step):
-                x, ci = m.logits(f[:, i : i + m.settings.step], m.weights), c[i : i + m.settings.step]
-                log_p[i : i + m.settings.step] = np.log(np.maximum(_softmax(x)[np.arange(len(x)), ci], 1e-30))
-            row = m.known.find(h)
+                part = slice(i, i + m.settings.step)
+                x, ci = m.logits(f[:, part], m.weights), c[part]
+                log_p[part] = np.log(np.maximum(_softmax(x)[np.arange(len(x)), ci], 1e-30))
+                log_p[part] += m.inside(h[part], ci, row[part], kinds[:, part])
             known = (row >= 0).astype(np.int64)
             # -1 takes the zero at the end; each text has its end, so no slice is empty
-            per_token = (log10_count[row], log_p * (1 / np.log(10)) - m.log10_size[c], known)
+            per_token = (log10_count[row], log_p * (1 / np.log(10)), known)
             sums = [np.add.reduceat(x, first[:-1]) for x in per_token]
             yield pa.record_batch(
                 {
@@ -332,7 +469,8 @@ def _rare(shared):
         m: Model = shared.value
         m.prepare()
         for b in sliced(batches):
-            h, _, first = _tokens(b["text"])
+            h, key, first = _tokens(b["text"])
+            leaf = m.leaf(h, m.classes(h, key))
             keys = b["text_key"].to_numpy()
             at = np.flatnonzero(m.known.find(h) < 0)
             doc = np.searchsorted(first, at, "right") - 1
@@ -340,12 +478,23 @@ def _rare(shared):
                 {
                     "text_key": np.concatenate([keys[doc], keys]),
                     "h": pa.concat_arrays([pa.array(as_long(h[at])), pa.nulls(len(keys), pa.int64())]),
+                    "leaf": pa.concat_arrays([pa.array(leaf[at]), pa.nulls(len(keys), pa.int64())]),
                 }
             )
 
     return run
 
 
+def _leaves(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = shared.value
+        for b in batches:
+            h = b["h"].to_numpy().view(np.uint64)
+            yield pa.record_batch({"leaf": m.leaf(h, m.classes(h, b["key"].to_numpy())), "h": b["h"], "n": b["n"]})
+
+    return run
+
+
 def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Scores the text of every row; trains on those whose crc32 of the id modulo 5 isn't 1.
 
@@ -355,18 +504,22 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("held_out", crc_mod_5(docs["doc_id"]) == 1)
-    model, vocabulary, n_tokens, n_types = train(docs.filter(~F.col("held_out")).select("doc_id", "text"), settings)
+    model, _, n_tokens, n_types = train(docs.filter(~F.col("held_out")).select("doc_id", "text"), settings)
     shared = spark.sparkContext.broadcast(model)
     docs = docs.withColumn("text_key", F.xxhash64("text"))
     scored = docs.mapInArrow(_score(shared), _SCORED)
-    rare = docs.select("text", "text_key").mapInArrow(_rare(shared), "text_key long, h long")
+    rare = docs.select("text", "text_key").mapInArrow(_rare(shared), "text_key long, h long, leaf long")
+    leaves = model.rare.select("h", "key", "n").mapInArrow(_leaves(shared), "leaf long, h long, n long")
+    leaves = leaves.groupBy("leaf").agg((F.sum(F.col("n") + 0.5) + 0.5).alias("size"), F.map_from_entries(F.collect_list(F.struct("h", "n"))).alias("words"))
     rare = (
-        rare.join(vocabulary, "h", "left")
+        rare.join(leaves, "leaf", "left")
+        .select("text_key", "h", "size", F.when(F.col("h").isNotNull(), F.try_element_at("words", F.col("h"))).alias("n"))
         .groupBy("text_key")
         .agg(
             F.count_if(F.col("h").isNull()).alias("copies"),
             F.count("n").alias("rare_known"),
             F.sum(F.when(F.col("h").isNotNull(), F.log10(F.coalesce("n", F.lit(0)) + 0.5))).alias("rare_counts"),
+            F.sum(F.when(F.col("h").isNotNull(), F.log10(F.coalesce("size", F.lit(0.5))))).alias("rare_sizes"),
         )
     )
     n_known = F.col("n_known") + F.col("rare_known").cast("double") / F.col("copies")
@@ -378,5 +531,5 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         F.round(n_known).cast("long").alias("n_known"),
         F.lit(n_tokens).cast("long").alias("train_tokens"),
         (counts - F.col("n_tokens") * F.log10(F.lit(n_tokens + 0.5 * (n_types + 1)))).alias("base_score"),
-        (counts + F.col("classes")).alias("score"),
+        (F.col("classes") + (F.coalesce("rare_counts", F.lit(0.0)) - F.coalesce("rare_sizes", F.lit(0.0))) / F.col("copies")).alias("score"),
     )

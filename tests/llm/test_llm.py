@@ -88,6 +88,34 @@ def test_lm_classes_are_a_distribution(docs):
     assert inside == pytest.approx(len(m.tokens))
 
 
+@pytest.mark.parametrize("known", [3, 1000])
+def test_lm_history_tells_the_words_of_a_cluster(spark, known):
+    r = random.Random(5)
+    pairs = [(f"{chr(97 + i)}x", f"{chr(110 + i)}zing") for i in range(12)]
+    texts = [" ".join(f"{a} {b}" for a, b in (r.choice(pairs) for _ in range(60))) for _ in range(300)]
+    right = [" ".join(f"{a} {b}" for a, b in pairs)] * 40
+    wrong = [" ".join(f"{a} {b}" for (a, _), (_, b) in zip(pairs, pairs[1:] + pairs[:1], strict=True))] * 40
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 5 == 1]
+    ids = [i for i in range(1000) if i not in set(held)]
+    rows = [*zip(ids, texts, strict=False), *zip(held, right + wrong, strict=False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    settings = lm_scoring.Settings(known_words=known, hot_words=1, step=512)
+    score = {x["doc_id"]: x["score"] for x in lm_scoring.score(docs, settings).collect()}
+    assert score[held[0]] > score[held[40]] + 3
+    if known == 1000:
+        m, _, _, _ = lm_scoring.train(docs, settings)
+        h, key, first = lm_scoring._tokens(pa.array([texts[0]]))
+        m.prepare()
+        kinds = m.features(h, first)[0][:, 7:8]
+        assert np.any(m.inner)
+        key_of = dict(zip(h.tolist(), key.tolist(), strict=True))
+        for c in set(m.classes(h, key).tolist()) - {0, 1}:
+            rows = [i for i, w in enumerate(m.words.tolist()) if w in key_of and m.classes(m.words[i : i + 1], np.array([key_of[w]]))[0] == c] + [-1]
+            n = len(rows)
+            p = np.exp(m.inside(np.resize(m.words, n), np.full(n, c), np.array(rows), np.repeat(kinds, n, 1)))
+            assert p.sum() == pytest.approx(1, abs=1e-4)
+
+
 def luhn(d):
     return sum(int(c) if i % 2 == 0 else sum(divmod(int(c) * 2, 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
