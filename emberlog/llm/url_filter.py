@@ -8,7 +8,7 @@ blocked seed by the share that a rule blocks.  Trust follows the links between h
 (the same on the reversed links).  Both are scaled so that a seed without links keeps its share.
 A host is blocked when its distrust exceeds its trust by more than the threshold.
 
-Links come from absolute addresses in href attributes of the HTML; they are counted by host pair
+Links come from absolute addresses in href attributes of the HTML, with or without http: or https:; they are counted by host pair
 before anything else, so a host with very many pages is one row of the graph.  Spark SQL
 throughout; each step is checkpointed and the steps end when no value moves any more.
 
@@ -47,7 +47,6 @@ class Rule:
 class Settings:
     damping: float = 0.85
     threshold: float = 0.5
-    steps: int = 30
     tolerance: float = 1e-4
     broadcast_hosts: int = 500_000  #: hosts up to this number are broadcast, more are joined by a shuffle
 
@@ -83,9 +82,9 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
 
 def links(pages: DataFrame) -> DataFrame:
     """(src, dst, n): how many pages of a host link to another host."""
-    hrefs = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"""(?i)href\s*=\s*["']?(https?://[^"'\s<>]+)"""), F.lit(1))
-    targets = F.array_distinct(F.transform(hrefs, host_of))
-    some = pages.filter(F.col("html").contains("://"))
+    hrefs = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"""(?i)href\s*=\s*["']?(?:https?:)?(//[^"'\s<>]+)"""), F.lit(1))
+    targets = F.array_distinct(F.transform(hrefs, lambda h: host_of(F.concat(F.lit(":"), h))))
+    some = pages.filter(F.col("html").contains("//"))
     pairs = some.select(host_of(F.col("url")).alias("src"), F.explode(targets).alias("dst"))
     return pairs.filter("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
@@ -93,16 +92,19 @@ def links(pages: DataFrame) -> DataFrame:
 def spread(seeds: DataFrame, edges: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(host, value): value = seed + damping * (shares of the values of those that point to it).
 
-    seeds: (host, seed) of every host; edges: (src, dst, share), the shares of a src sum to 1.
+    seeds: (host, seed) of every host; edges: (src, dst, share), the shares of a src sum to 1.  The sum of
+    all moves falls by the damping in each step, so the steps end.
     """
+    if not 0 <= settings.damping < 1 or settings.tolerance <= 0:
+        raise ValueError("damping must be at least 0 and less than 1, and tolerance positive")
     values = checkpointed(seeds.withColumn("value", F.col("seed")))
-    for _ in range(settings.steps if not edges.isEmpty() else 0):
+    moving = not edges.isEmpty()
+    while moving:
         flow = edges.join(values.select(F.col("host").alias("src"), "value"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("value") * F.col("share")).alias("flow"))
         moved = values.join(flow, "host", "left").select("host", "seed", F.col("value").alias("old"), (F.col("seed") + settings.damping * F.coalesce("flow", F.lit(0.0))).alias("value"))
         moved = checkpointed(moved)
         values = moved.select("host", "seed", "value")
-        if moved.filter(F.abs(F.col("value") - F.col("old")) > settings.tolerance).isEmpty():
-            break
+        moving = not moved.filter(F.abs(F.col("value") - F.col("old")) > settings.tolerance).isEmpty()
     return values.select("host", "value")
 
 

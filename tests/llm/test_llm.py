@@ -174,6 +174,14 @@ def test_trust_spreads_over_links(spark):
     assert got[5]["trust"] == pytest.approx(0.85) and got[2]["verdict"] == "block" and got[5]["verdict"] == "allow"
 
 
+def test_distrust_settles_in_a_cycle_of_links_without_a_scheme(spark):
+    page = lambda i, host, path, to: (i, f"http://{host}{path}", f'<a href="//{to}/">')
+    rows = [page(1, "bad.org", "/es/", "mid.io"), page(2, "mid.io", "/", "bad.org")]
+    got = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1]["distrust"] == pytest.approx(1 / (1 - 0.85**2), abs=1e-3)
+    assert got[2]["distrust"] == pytest.approx(0.85 / (1 - 0.85**2), abs=1e-3)
+
+
 def test_warc_round_trip(spark, tmp_path):
     big, r = "y" * 100, random.Random(1)
     noise = "".join(chr(r.randint(33, 1000)) for _ in range(200_000))
