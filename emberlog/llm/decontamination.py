@@ -65,25 +65,34 @@ def _items(benchmark: DataFrame, settings: Settings) -> DataFrame:
     return rows.withColumn("need", need).withColumn("keys", F.slice("shingles", F.lit(1), keys))
 
 
+def candidates(held: DataFrame, keys: DataFrame) -> DataFrame:
+    """(doc_id, text_key, held, item_id): documents with the items that they hold a key of.
+
+    held: (doc_id, text_key, held), the items' shingles in each document; keys: (item_id, shingle).
+    """
+    found = held.select("doc_id", "text_key", "held", F.explode("held").alias("shingle")).join(keys, "shingle")
+    return found.dropDuplicates(["doc_id", "text_key", "item_id"]).select("doc_id", "text_key", "held", "item_id")
+
+
 def find(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, item_id, shared, item_shingles, containment, item_copies: one row for each contained item."""
     items = checkpointed(_items(benchmark, settings))
     size, widths = items.agg(F.sum(F.size("shingles")), F.collect_set("width")).first()  # widths: 1 to 5
     small = (size or 0) <= settings.broadcast_rows
     held = lambda df: F.broadcast(df) if small else df
-    keys = items.select(F.explode("keys").alias("shingle")).distinct()
-    members = items.select("item_id", F.explode("shingles").alias("shingle"))
+    keys = items.select("item_id", F.explode("keys").alias("shingle"))
+    members = items.select(F.explode("shingles").alias("shingle")).distinct()
     words = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("words"))
     found = F.array().cast("array<bigint>")
     for n in sorted(widths):
         found = F.concat(found, shingles_of(F.col("words"), n))
     shingles = words.select("doc_id", "text_key", F.explode(found).alias("shingle"))
     # of the documents' shingles only the items' own matter; most are gone before any shuffle
-    hits = shingles.join(held(members.select("shingle").distinct()), "shingle", "left_semi").distinct()
-    pairs = hits.join(held(members), "shingle").join(held(keys.withColumn("is_key", F.lit(True))), "shingle", "left")
-    shared = pairs.groupBy("doc_id", "text_key", "item_id").agg(F.count("*").alias("shared"), F.max(F.coalesce("is_key", F.lit(False))).alias("candidate"))
-    facts = items.select("item_id", "copies", F.size("shingles").alias("item_shingles"), "need")
-    out = shared.filter("candidate").join(held(facts), "item_id").filter("shared >= need")
+    hits = shingles.join(held(members), "shingle", "left_semi")
+    found = candidates(hits.groupBy("doc_id", "text_key").agg(F.collect_set("shingle").alias("held")), held(keys))
+    facts = items.select("item_id", "copies", "shingles", F.size("shingles").alias("item_shingles"), "need")
+    shared = found.join(held(facts), "item_id").withColumn("shared", F.size(F.array_intersect("held", "shingles")))
+    out = shared.filter("shared >= need")
     return out.select(
         "doc_id",
         "text_key",

@@ -182,6 +182,13 @@ def test_distrust_settles_in_a_cycle_of_links_without_a_scheme(spark):
     assert got[2]["distrust"] == pytest.approx(0.85 / (1 - 0.85**2), abs=1e-3)
 
 
+def test_only_keys_make_candidates(spark):
+    held = spark.createDataFrame([(1, 10, [5, 6, 7]), (2, 20, [7, 8]), (None, 30, [5])], "doc_id long, text_key long, held array<long>")
+    keys = spark.createDataFrame([("a", 5), ("a", 6), ("b", 6)], "item_id string, shingle long")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.candidates(held, keys).collect()}
+    assert got == {(1, "a"), (1, "b"), (None, "a")}
+
+
 def test_warc_round_trip(spark, tmp_path):
     big, r = "y" * 100, random.Random(1)
     noise = "".join(chr(r.randint(33, 1000)) for _ in range(200_000))
