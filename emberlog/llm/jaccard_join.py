@@ -8,9 +8,17 @@ Sizes are cut into bands that overlap so far that two linked sets have a band in
 k the largest difference in a band, the domain of shingles is dealt to k // 2 + 1 partitions, of
 which one has at most one differing shingle between two linked sets, and each partition to two
 or three parts.  Every subset of a partition's parts that leaves out one part is a signature: what the
-set has there.  Linked sets share at least one.  Where a partition has two parts, a set with more filled parts than
-it may differ in from any other shares a filled part with each that it links with, so empty parts are signatures only
-of sets with fewer.
+set has there.  Linked sets share at least one.
+
+Empty subsets would be shared by sets that have nothing in common, so they are no signatures.  To take from a set all
+its filled subsets, two shingles have to change in each partition with two or three filled parts, and one in each with one
+filled part.  A set that needs more changes than it may differ in from any other shares a filled subset with each
+that it links with.  The other sets are few; they are dealt again with another seed, and add the signatures of
+that: of two linked sets that were both among the few, either one is not any more, or both are dealt once more.  Only what is left after
+``deals`` rounds has signatures of empty subsets.  Where a change takes one signature at most, one more than the
+changes is enough: each set takes its least, and the least that two linked sets share is among those of both.
+
+Signatures are made and shuffled once: a window over each signature's rows keeps those that two sets share.
 
 Texts with equal sets are one node.  Nodes that share a signature are candidates, in two rounds
 so that a large group of near copies costs a few pairs for each member, not all pairs.  First each
@@ -30,7 +38,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, as_long, checkpointed, mix, sliced, written
@@ -42,6 +50,9 @@ class Settings:
     percent: int = 90
     growth: float = 1.3  #: of the sizes from one band to the next
     crowd: int = 50  #: nodes with one anchor; more are compared by their differences from it
+    deals: int = 8  #: rounds of dealing shingles to partitions, for sets that are badly dealt
+    seen: int = 100_000  #: sets that a task remembers so as to sign copies once; a matter of speed only
+    slice_bytes: int = 1 << 20  #: bytes of text at a time
     broadcast_rows: int = 1_000_000  #: ids up to this number are broadcast, more are joined by a shuffle
 
 
@@ -83,10 +94,9 @@ def _bands(settings: Settings, most: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def signatures(s: np.ndarray, bands: list[tuple[int, int, int]], seed: int, percent: int = 90) -> np.ndarray:
+def signatures(s: np.ndarray, bands: list[tuple[int, int, int]], seed: int, percent: int = 90, deals: int = 8) -> np.ndarray:
     """The signatures of a set; none where only equal sets can link."""
     out = []
-    dealt = mix(s ^ np.uint64(seed))
     value = mix(s + np.uint64(0x632BE59BD9B4E019))
     low, high = (value & np.uint64(0xFFFFFFFF)).astype(np.float64), (value >> np.uint64(32)).astype(np.float64)
     for number, (least, most, k) in enumerate(bands):
@@ -94,24 +104,32 @@ def signatures(s: np.ndarray, bands: list[tuple[int, int, int]], seed: int, perc
             continue
         n1 = k // 2 + 1
         n2 = 3 if n1 <= 8 else 2
-        part = ((dealt >> np.uint64(32)) * np.uint64(n1)) >> np.uint64(32)
-        cell = (part * np.uint64(n2) + (((dealt & np.uint64(0xFFFFFFFF)) * np.uint64(n2)) >> np.uint64(32))).astype(np.int64)
-        sums = np.bincount(cell, low, n1 * n2).astype(np.uint64) + (np.bincount(cell, high, n1 * n2).astype(np.uint64) << np.uint64(32))
-        sums = sums.reshape(n1, n2)
-        without = sums.sum(1, dtype=np.uint64)[:, None] - sums
-        found = mix(without.ravel() + mix(np.arange(n1 * n2, dtype=np.uint64) + np.uint64(number << 32)))
-        if n2 == 2:
-            filled = np.bincount(cell, minlength=n1 * n2).reshape(n1, n2)[:, ::-1].ravel() > 0
-            largest = min(most, len(s) * 100 // percent)  # of the sets that this one may link with
-            if np.count_nonzero(filled) > (len(s) + largest) * (100 - percent) // (100 + percent):
-                found = found[filled]
-        out.append(found)
+        largest = min(most, len(s) * 100 // percent)  # of the sets that this one may link with
+        differing = (len(s) + largest) * (100 - percent) // (100 + percent)
+        for deal in range(deals):
+            dealt = mix(s ^ np.uint64(seed + deal))
+            part = ((dealt >> np.uint64(32)) * np.uint64(n1)) >> np.uint64(32)
+            cell = (part * np.uint64(n2) + (((dealt & np.uint64(0xFFFFFFFF)) * np.uint64(n2)) >> np.uint64(32))).astype(np.int64)
+            sums = np.bincount(cell, low, n1 * n2).astype(np.uint64) + (np.bincount(cell, high, n1 * n2).astype(np.uint64) << np.uint64(32))
+            sums = sums.reshape(n1, n2)
+            without = sums.sum(1, dtype=np.uint64)[:, None] - sums
+            found = mix(without.ravel() + mix(np.arange(n1 * n2, dtype=np.uint64) + np.uint64((number << 32) + (deal << 48))))
+            filled = np.bincount(cell, minlength=n1 * n2).reshape(n1, n2) > 0
+            parts = filled.sum(1)
+            well = np.minimum(parts, 2).sum() > differing
+            if well or deal < deals - 1:
+                found = found[(parts[:, None] > filled).ravel()]
+            if well and n2 == 2:  # each change takes one of them, so any linked set has one of these
+                found = np.sort(found)[: differing + 1]
+            out.append(found)
+            if well:
+                break
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def _nodes(settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
+        for b in sliced(batches, settings.slice_bytes):
             sets = shingle_sets(b["text"], settings.words)
             yield pa.record_batch({"id": b["id"], "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array([_node(s) for s in sets], pa.int64())})
 
@@ -119,12 +137,12 @@ def _nodes(settings: Settings):
 
 
 def _signed(settings: Settings, seed: int):
-    """(signature, node) of each text; of a text that a task has seen before, nothing."""
+    """(signature, node) of each text; of a text that a task has seen lately, nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands: list[tuple[int, int, int]] = []
         seen: set[int] = set()
-        for b in sliced(batches):
+        for b in sliced(batches, settings.slice_bytes):
             sets = shingle_sets(b["text"], settings.words)
             most = max(map(len, sets), default=0)
             if not bands or bands[-1][1] < most:
@@ -134,9 +152,10 @@ def _signed(settings: Settings, seed: int):
                 k = _node(s)
                 if k in seen:
                     continue
-                if len(seen) < 1_000_000:
-                    seen.add(k)
-                sig.append(signatures(s, bands, seed, settings.percent))
+                if len(seen) >= settings.seen:
+                    seen.clear()
+                seen.add(k)
+                sig.append(signatures(s, bands, seed, settings.percent, settings.deals))
                 node.append(k)
                 n.append(len(sig[-1]))
             if sig:
@@ -147,7 +166,7 @@ def _signed(settings: Settings, seed: int):
 
 def _sets(settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
+        for b in sliced(batches, settings.slice_bytes):
             sets = shingle_sets(b["text"], settings.words)
             yield pa.record_batch({"node": pa.array([_node(s) for s in sets], pa.int64()), "members": pa.array([s.tobytes() for s in sets], pa.binary())})
 
@@ -209,9 +228,10 @@ class Join:
 
     def all_links(self) -> DataFrame:
         """Links that make the same components as all links do."""
-        signed = self.docs.mapInArrow(_signed(self.settings, 1), "sig long, node long")  # made twice, as they are several times the texts
-        shared = signed.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("sig")
-        members = written(signed.join(shared, "sig").distinct(), "jaccard-members")
+        signed = self.docs.mapInArrow(_signed(self.settings, 1), "sig long, node long")
+        own = Window.partitionBy("sig")
+        shared = signed.withColumns({"low": F.min("node").over(own), "high": F.max("node").over(own)}).filter("low < high")
+        members = written(shared.select("sig", "node").distinct(), "jaccard-members")
         # how many others a node meets in its signatures: copies with few changes meet the most
         size = members.groupBy("sig").agg((F.count("*") - 1).alias("others"))
         weight = checkpointed(members.join(size, "sig").groupBy("node").agg(F.sum("others").alias("weight")))
