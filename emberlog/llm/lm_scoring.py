@@ -1,29 +1,26 @@
 """Language-model scoring by a hashed maximum-entropy model.
 
-P(word | history) = P(class | history) * P(word | class).  The class softmax is a
-maximum-entropy model over hashed features of the history: the previous word, the
-previous two words, and skip features for the second and third word back.  Within a
-cluster the softmax is factored further, into a binary tree of the cluster's words, cut
-where the counts are halved; every decision is a maximum-entropy model over the same
-features of the history, with a weight for each (feature, node), and starts from the
-smoothed relative frequencies.  The words that tasks don't hold share one leaf of this tree
-and part below it by the bits of their hashes, as many as leave a few words together, which
-share by their frequencies.  Each class, and each such leaf, keeps one unit of smoothing for
-words that were never seen.
-
-Classes: the end of a text, the most frequent words one by one, and clusters of the other
-words by their last letters; word endings that follow similar endings share a cluster.
-
-Training: every round deals the training texts of that round to tasks, each task makes
-gradient steps on a copy of the weights, and the weight changes of a feature are averaged
-with the feature's counts as weights.  Every training text is used in one round.
-
-Words are counted, joined and hashed as 64-bit values (two different words share a value
-with probability 2**-64).
+P(word | history) = P(class | history) * P(word | class, history).  Classes partition the words anew for each history: the words that
+its n-gram contexts foretell are classes of their own (the most frequent follower of the last two words, that of the skip context
+of the last and the third last word, that of the last word), and all other words fall into the fixed classes: the end of a text, the
+most frequent words one by one, and clusters of words by their last letters; endings that follow similar endings share a cluster.  The
+class softmax is a maximum-entropy model over hashed features of the history: the last word, the last two, the skip features of the
+last and third last word and of the second last word alone, and how often and how clearly the contexts foretell a word.  In a class words have their
+smoothed shares, without those that the history's own classes have taken, so that all probabilities of a history sum to 1.
+
+Distribution: all tokens are dealt by their last word to blocks of about ``block_tokens``, so that a block holds all that its features
+ever see; last words with many tokens are dealt on by the second last word.  Blocks, hence weights and contexts, grow in number with the corpus.
+A block takes gradient steps over its training tokens on its own hashed weights, then scores all its tokens; sums by text come back.  In
+training the contexts of a token are counted without it, so that what has been seen once does not foretell itself.
+
+Words that are not among the ``known_words`` most frequent of the training texts share their cluster's rest evenly, with one unit for
+words that were never seen.  A word's exact count, for the base score, is the number of training tokens whose last word it is: its block knows.
+
+Words are hashed to 64 bits (two different words share a hash with probability 2**-64); inside blocks contexts and unknown words have 20 to 24 bits.
 
 Defined results: a null or empty text has just its end as a token; repeated rows are scored
 each on its own; columns other than the id and the text are ignored; an empty table gives an
-empty result, and without any training text the class model stays uniform.
+empty result, and without any training text the classes stay uniform.
 """
 
 from __future__ import annotations
@@ -34,11 +31,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashTable, Words, as_long, crc_mod_5, mix, sliced, written
+from .common import HashTable, Words, as_long, crc_mod_5, forget, mix, sliced, written
 
 END = np.uint64(0x5D588B656C078965)
 PAIR = -1  #: key of the rows that count pairs of endings
@@ -49,13 +46,12 @@ _PUNCTUATION[np.frombuffer(b".,;:!?\"'()[]{}*#$%&", np.uint8)] = True
 
 @dataclass(frozen=True)
 class Settings:
-    features: int = 1 << 15  #: rows of the hashed weight table
-    classes: int = 16
+    classes: int = 16  #: fixed classes, 16 at most
     hot_words: int = 4  #: words with a class of their own
-    known_words: int = 1 << 18  #: most frequent words that tasks hold; the others are joined
-    inner_bits: int = 21  #: at most 2**21 weights of the trees in the clusters, fewer for few tokens
-    rounds: int = 2
-    step: int = 16384  #: tokens in one gradient step
+    known_words: int = 1 << 18  #: most frequent words, which tasks hold; at most 2**18
+    block_tokens: int = 1 << 19
+    dealt_tokens: int = 1 << 20  #: tokens that a task holds before it deals them out
+    step: int = 8192  #: tokens in one gradient step
     rate: float = 0.3
 
 
@@ -107,148 +103,62 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
-class Model:
-    """What tasks need: word classes, counts of the frequent words, and the class weights."""
+class Vocabulary:
+    """What all tasks share, of a size that the settings bound: the known words with counts, the classes and their sizes."""
 
-    def __init__(self, settings: Settings, words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, by_key: np.ndarray):
-        """words, counts: the most frequent; pairs: ENDINGS x CONTEXTS; by_key: tokens and types of each key."""
-        self.settings = settings
-        self.words, self.counts = words, counts
-        hot = words[words != END][: settings.hot_words]
-        self.hot = HashTable(hot)
-        clusters = settings.classes - 1 - settings.hot_words
-        self.class_of_key = np.append(_clusters(pairs, clusters) + 1 + settings.hot_words, 0).astype(np.int32)
+    def __init__(self, settings: Settings, words: np.ndarray, counts: np.ndarray, keys: np.ndarray, pairs: np.ndarray, by_key: np.ndarray):
+        """words, counts, keys: the most frequent; pairs: ENDINGS x CONTEXTS; by_key: tokens and types of each key."""
+        if END not in words:
+            words, counts, keys = np.append(words, END), np.append(counts, np.int64(by_key[0, ENDINGS])), np.append(keys, ENDINGS)
+        self.settings, self.words, self.counts = settings, words, counts
         c = settings.classes
+        hot = np.flatnonzero(words != END)[: settings.hot_words]
+        self.class_of_key = np.append(_clusters(pairs, c - 1 - settings.hot_words) + 1 + settings.hot_words, 0).astype(np.int64)
+        self.of_known = self.class_of_key[keys]
         tokens, types = (np.bincount(self.class_of_key, by_key[i], c) for i in (0, 1))
-        count_of = dict(zip(words.tolist(), counts.tolist(), strict=True))
-        for i, w in enumerate(hot.tolist()):
-            tokens[1 + i] += count_of[w]
-            types[1 + i] += 1
-        self.hot_counts = [count_of[w] for w in hot.tolist()]
+        for i, at in enumerate(hot):
+            old = self.of_known[at]
+            tokens[old], types[old] = tokens[old] - counts[at], types[old] - 1
+            tokens[1 + i], types[1 + i] = counts[at], 1
+            self.of_known[at] = 1 + i
+        self.alone = 1 + len(hot)  # the classes below have one word each
         self.tokens, self.types = tokens, types
-        self.weights = np.zeros((settings.features, c), np.float32)
-        pairs_at_most = max(int(4 * tokens.sum()), 1 << 13)
-        self.inner = np.zeros(1 << min(settings.inner_bits, pairs_at_most.bit_length()), np.float32)
-        self.rare_bits = 0
-        self.finish()
-
-    def take_hot_from(self, keys: list[int]) -> None:
-        """Moves the hot words, whose ending keys are given, out of the clusters."""
-        for n, key in zip(self.hot_counts, keys, strict=True):
-            self.tokens[self.class_of_key[key]] -= n
-            self.types[self.class_of_key[key]] -= 1
-        self.finish()
-
-    def plant(self, keys: np.ndarray) -> None:
-        """The trees of the clusters; keys: the ending keys of the words."""
-        s = self.settings
-        c = self.classes(self.words, keys)
-        rare_types = self.types - np.bincount(c, minlength=s.classes)
-        self.rare_bits = int(np.ceil(np.log2(max(1.0, rare_types.max()))))
-        mass = self.counts + 0.5
-        rest = np.maximum(10**self.log10_size - np.bincount(c, mass, s.classes), 0.5)
-        mass, c = np.append(mass, rest), np.append(c, np.arange(s.classes))
-        order = np.lexsort((-mass, c))
-        self.place = np.empty(len(order), np.int32)  # of each word, then of each class's rare words
-        self.place[order] = np.arange(len(order))
-        total = np.append(0.0, np.cumsum(mass[order]))
-        # a node is named by where it parts its range; ranges of one word are leaves, -1
-        self.split_bias = np.zeros(len(order) + 1, np.float32)
-        self.child = np.full((2, len(order) + 1), -1, np.int32)
-        edge = np.searchsorted(c[order], np.arange(s.classes + 1))
-        low, high = edge[:-1], edge[1:]
-
-        def cut(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-            middle = np.searchsorted(total, (total[low] + total[high]) / 2)
-            return np.where(high - low > 1, np.clip(middle, low + 1, high - 1), -1).astype(np.int32)
-
-        middle = self.root = cut(low, high)
-        self.root[: 1 + s.hot_words] = -1  # the end and the hot words are alone in their classes
-        while len(middle):
-            low, high, middle = low[middle >= 0], high[middle >= 0], middle[middle >= 0]
-            self.split_bias[middle] = np.log((total[high] - total[middle]) / (total[middle] - total[low]))
-            self.child[0, middle], self.child[1, middle] = cut(low, middle), cut(middle, high)
-            low, high, middle = np.append(low, middle), np.append(middle, high), np.append(*self.child[:, middle])
-
-    def inside(self, h: np.ndarray, c: np.ndarray, row: np.ndarray, kinds: np.ndarray, learn=None) -> np.ndarray:
-        """log P(word | class, history); of a rare word that of its leaf.
-
-        row: the words' rows among the known ones, or -1; learn(slots, z, bit) is called before the
-        next nodes are looked up.  The end and hot words take their share of their class.
-        """
-        s = self.settings
-        shift = np.uint64(65 - len(self.inner).bit_length())
-        out = np.zeros(len(h))
-        alone = c <= s.hot_words
-        out[alone] = np.log(np.append(self.counts, 0)[row[alone]] + 0.5) - self.log10_size[c[alone]] * np.log(10)
-
-        def decide(at: np.ndarray, kinds: np.ndarray, node: np.ndarray, bias: np.ndarray | float, bit: np.ndarray) -> None:
-            slots = ((kinds ^ (node * np.uint64(_NODE))) * np.uint64(_SLOT) >> shift).astype(np.int64)
-            z = (self.inner if learn is None else learn.weights).take(slots).sum(0) + bias
-            if learn is not None:
-                learn(slots, z, bit)
-            out[at] -= np.logaddexp(0, np.where(bit, -z, z))
-
-        place = self.place[np.where(row >= 0, row, len(self.words) + c)]
-        node = self.root[c]
-        at = np.flatnonzero(node >= 0)
-        node = node[at]
-        while len(at):
-            bit = place[at] >= node
-            decide(at, kinds[:, at], node.astype(np.uint64), self.split_bias[node], bit)
-            node = self.child[bit.astype(np.int8), node]
-            at, node = at[node >= 0], node[node >= 0]
-        at = np.flatnonzero((row < 0) & ~alone)
-        always = np.vstack([kinds[:, at], np.zeros((1, len(at)), np.uint64)])  # no counts tell these nodes' bias
-        for k in range(self.rare_bits if len(at) else 0):
-            above = h[at] >> np.uint64(64 - k) if k else np.zeros(len(at), np.uint64)
-            node = mix(above * np.uint64(64) + np.uint64(k + 1) + (c[at].astype(np.uint64) << np.uint64(56)))
-            decide(at, always, node, 0.0, (h[at] >> np.uint64(63 - k) & np.uint64(1)).astype(bool))
-        return out
-
-    def leaf(self, h: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """The leaf of a rare word: its class and the first bits of its hash."""
-        top = h >> np.uint64(64 - self.rare_bits) if self.rare_bits else np.zeros(len(h), np.uint64)
-        return as_long(top * np.uint64(self.settings.classes) + c.astype(np.uint64))
-
-    def finish(self) -> None:
-        self.bias = np.log((self.tokens + 0.5) / (self.tokens.sum() + 0.5 * len(self.tokens))).astype(np.float32)
-        self.log10_size = np.log10(self.tokens + 0.5 * (self.types + 1))
+        held = np.bincount(self.of_known, counts + 0.5, c)
+        self.size = tokens + 0.5 * (types + 1)  # a unit for words that were never seen
+        self.size[: self.alone] = held[: self.alone]
+        rare_types = np.maximum(types - np.bincount(self.of_known, minlength=c), 0) + 1
+        self.rare_share = np.maximum(self.size - held, 0.5) / rare_types
+        self.size = np.where(np.arange(c) < self.alone, self.size, held + self.rare_share * rare_types)
+        self.n_tokens, self.n_types = int(by_key[0].sum()), int(by_key[1].sum())
+        # held-out texts are about a fourth more
+        self.blocks = max(1, -(-self.n_tokens * 5 // (4 * settings.block_tokens)))
+        # so many pieces for the tokens after a known word, and one for the starts of texts at the end
+        self.pieces = np.append(np.maximum(1, counts * 5 // settings.block_tokens), 1)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "known"}
 
     def prepare(self) -> None:
-        """The look-up tables, made once in each Python worker."""
+        """The look-up table, made once in each Python worker."""
         if not hasattr(self, "known"):
             self.known = HashTable(self.words)
 
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("known", "rare")}
-
-    def classes(self, h: np.ndarray, key: np.ndarray) -> np.ndarray:
-        c, hot = self.class_of_key[key], self.hot.find(h)
-        return np.where(hot >= 0, hot + 1, c)
+    def codes(self, h: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row of each word among the known ones, or -1; and 24 bits that tell it: the row, or class and hash."""
+        row = self.known.find(h).astype(np.int64)
+        rare = _RARE + self.class_of_key[key] * _PER_CLASS + (h >> np.uint64(40)).astype(np.int64) % _PER_CLASS
+        return row, np.where(row >= 0, row, rare)
 
-    def features(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Four hashed features of each token's history and their rows of the weight table; histories don't cross texts."""
-        starts = np.repeat(first[:-1], np.diff(first))
-        place = np.arange(len(h)) - starts
+    def about(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class and share of the words with these codes; -1 for none: no class and no share."""
+        known = (code >= 0) & (code < _RARE)
+        c = np.where(known, np.append(self.of_known, 0)[np.where(known, code, len(self.words))], np.maximum(code - _RARE, 0) // _PER_CLASS)
+        share = np.where(known, np.append(self.counts + 0.5, 0)[np.where(known, code, len(self.words))], self.rare_share[np.minimum(c, len(self.rare_share) - 1)])
+        return np.where(code >= 0, c, -1), np.where(code >= 0, share, 0.0)
 
-        def back(k: int) -> np.ndarray:
-            x = np.zeros(len(h), np.uint64)
-            x[k:] = h[:-k] if k < len(h) else h[:0]
-            x[place < k] = 0
-            return x
 
-        one, two, three = back(1), back(2), back(3)
-        kinds = (one * np.uint64(3), one * np.uint64(5) ^ two * np.uint64(7), two * np.uint64(9), three * np.uint64(11))
-        hashed = np.stack([mix(x + np.uint64(i + 1)) for i, x in enumerate(kinds)])
-        return hashed, (hashed & np.uint64(self.settings.features - 1)).astype(np.int64)
-
-    def logits(self, f: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        out = weights.take(f[0], 0)
-        for k in range(1, len(f)):
-            out += weights.take(f[k], 0)
-        out += self.bias
-        return out
+_RARE = 1 << 18
+_PER_CLASS = ((1 << 24) - _RARE) // 16
 
 
 def _clusters(pairs: np.ndarray, k: int) -> np.ndarray:
@@ -270,119 +180,11 @@ def _clusters(pairs: np.ndarray, k: int) -> np.ndarray:
     return near
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """In place; the weights stay far from where exp would overflow, and are held there."""
-    np.exp(np.minimum(x, 60, out=x), out=x)
-    x /= (x @ np.ones(x.shape[1], np.float32))[:, None]
-    return x
-
-
-class _Learner:
-    """Gradient steps on a copy of the trees' weights."""
-
-    def __init__(self, weights: np.ndarray, rate: float):
-        self.weights, self.rate = weights.copy(), rate
-        self.seen, self.square, self.total = (np.zeros(len(weights), np.float32) for _ in range(3))
-
-    def __call__(self, slots: np.ndarray, z: np.ndarray, bit: np.ndarray) -> None:
-        u = slots.ravel()
-        g = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - bit).astype(np.float32)
-        np.add.at(self.total, u, np.tile(g, len(slots)))
-        np.add.at(self.seen, u, np.float32(1))
-        total = self.total[u]
-        # equal slots write equal values
-        self.square[u] = square = self.square[u] + total**2
-        self.weights[u] = self.weights[u] - self.rate * total / np.sqrt(square + 1)
-        self.total[u] = 0
-
-
-def _train(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = shared.value
-        m.prepare()
-        s = m.settings
-        inner = _Learner(m.inner, s.rate)
-        weights, seen = m.weights.copy(), np.zeros(s.features, np.float32)
-        square = np.zeros(s.features, np.float32)
-
-        def step(f: np.ndarray, c: np.ndarray) -> None:
-            g = _softmax(m.logits(f, weights))
-            g[np.arange(len(c)), c] -= 1
-            flat = f.ravel()
-            total = np.stack([np.bincount(flat, np.tile(gk, len(f)), s.features) for gk in g.T.astype(np.float64)])
-            square[:] += (total**2).sum(0)
-            seen[:] += np.bincount(flat, minlength=s.features)
-            weights[:] -= (s.rate * total / np.sqrt(square + 1)).T
-
-        for b in sliced(batches):
-            h, key, first = _tokens(b["text"])
-            (kinds, f), c, row = m.features(h, first), m.classes(h, key), m.known.find(h)
-            for at in range(0, len(h), s.step):
-                part = slice(at, at + s.step)
-                step(f[:, part], c[part])
-                m.inside(h[part], c[part], row[part], kinds[:, part], inner)
-        u = np.flatnonzero(seen)
-        moved = ((weights[u] - m.weights[u]) * seen[u, None]).astype(np.float32)
-        for at in range(0, len(u), 4096):
-            part = slice(at, at + 4096)
-            yield pa.record_batch(
-                {"f": u[part].astype(np.int32), "n": seen[u[part]], "moved": pa.array([x.tobytes() for x in moved[part]], pa.binary())},
-                _MOVED,
-            )
-        for at in range(0, len(m.inner) if len(u) else 0, _BLOCK):
-            part = slice(at, at + _BLOCK)
-            if inner.seen[part].any():
-                yield _block(at, inner.seen[part], inner.weights[part] - m.inner[part])
-
-    return run
-
-
-_MOVED = pa.schema([("f", pa.int32()), ("n", pa.float32()), ("moved", pa.binary())])
-_BLOCK = 4096  #: slots of the trees' weights in a row, whose f is -1 less the block's number
-_NODE, _SLOT = 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15
-
-
-def _block(at: int, seen: np.ndarray, moved: np.ndarray) -> pa.RecordBatch:
-    """A row with the counts and the mean changes of a block of slots."""
-    packed = seen.astype(np.float32).tobytes() + moved.astype(np.float16).tobytes()
-    return pa.record_batch({"f": pa.array([-1 - at // _BLOCK], pa.int32()), "n": pa.array([0], pa.float32()), "moved": pa.array([packed], pa.binary())}, _MOVED)
-
-
-def _of_block(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(packed) // 6
-    return np.frombuffer(packed, np.float32, n), np.frombuffer(packed, np.float16, n, 4 * n).astype(np.float64)
-
-
-def _add(classes: int):
-    """Sums the weight changes of each feature in a task, in bounded memory."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: dict[int, float] = {}
-        moved: dict[int, np.ndarray] = {}
-        blocks: dict[int, np.ndarray] = {}
-        for b in batches:
-            inner = pc.less(b["f"], 0)
-            for f, x in zip(b["f"].filter(inner).to_pylist(), b["moved"].filter(inner).to_pylist(), strict=True):
-                seen, change = _of_block(x)
-                blocks[f] = blocks.get(f, 0) + np.stack([seen, seen * change])
-            b = b.filter(pc.invert(inner))
-            rows = np.frombuffer(b"".join(b["moved"].to_pylist()), np.float32).reshape(-1, classes)
-            for f, k, x in zip(b["f"].to_pylist(), b["n"].to_pylist(), rows, strict=True):
-                n[f] = n.get(f, 0.0) + k
-                moved[f] = moved[f] + x if f in moved else x.astype(np.float64)
-        keys = list(n)
-        yield pa.record_batch({"f": pa.array(keys, pa.int32()), "n": pa.array([n[k] for k in keys], pa.float32()), "moved": pa.array([moved[k].astype(np.float32).tobytes() for k in keys], pa.binary())}, _MOVED)
-        for f, (seen, change) in blocks.items():
-            yield _block((-1 - f) * _BLOCK, seen, change / np.maximum(seen, 1))
-
-    return run
-
-
-def _most_frequent(vocabulary: DataFrame, most: int) -> tuple[pd.DataFrame, DataFrame]:
+def _most_frequent(vocabulary: DataFrame, most: int) -> pd.DataFrame:
     """The frequent words, ``most`` at most: those above the lowest count level that leaves no more.
 
     Levels are sixteenths of powers of two, so a few hundred numbers tell where to cut, and no task sends
-    words that others outdo.  The second result are the other words.
+    words that others outdo.
     """
     level = F.floor(F.log2("n") * 16)
     sizes = sorted(vocabulary.groupBy(level.alias("level")).count().collect(), reverse=True)
@@ -393,143 +195,369 @@ def _most_frequent(vocabulary: DataFrame, most: int) -> tuple[pd.DataFrame, Data
             break
         low = at
     chosen = vocabulary.filter(level >= low) if low is not None else vocabulary.limit(0)
-    others = vocabulary.filter(level < low) if low is not None else vocabulary
-    return chosen.toPandas().sort_values(["n", "h"], ascending=[False, True]), others
+    return chosen.toPandas().sort_values(["n", "h"], ascending=[False, True])
 
 
-def train(docs: DataFrame, settings: Settings = Settings()) -> tuple[Model, DataFrame, int, int]:
-    """Learns from all rows of ``docs`` (id, text); returns the model, all word counts (h, n), tokens and types."""
-    spark = docs.sparkSession
+def vocabulary(docs: DataFrame, settings: Settings = Settings()) -> Vocabulary:
+    """Of all rows of ``docs`` (text)."""
     counted = docs.select("text").mapInArrow(_count, "h long, key int, n long").groupBy("h", "key").agg(F.sum("n").alias("n"))
     counted = written(counted, "lm-counts")
-    vocabulary = counted.filter(F.col("key") != PAIR)
+    words = counted.filter(F.col("key") != PAIR)
     by_key = np.zeros((2, ENDINGS + 1))
-    for key, n, types in vocabulary.groupBy("key").agg(F.sum("n"), F.count("*")).collect():  # a row for each key at most
+    for key, n, types in words.groupBy("key").agg(F.sum("n"), F.count("*")).collect():  # a row for each key at most
         by_key[:, key] = n, types
     pairs = np.zeros(ENDINGS * CONTEXTS)
     for h, n in counted.filter(F.col("key") == PAIR).select("h", "n").collect():
         pairs[h] = n
-    top, others = _most_frequent(vocabulary, settings.known_words)
-    words = top["h"].to_numpy(np.int64).view(np.uint64)
-    model = Model(settings, words, top["n"].to_numpy(np.int64), pairs.reshape(ENDINGS, CONTEXTS), by_key)
-    key_of = dict(zip(words.tolist(), top["key"].tolist(), strict=True))
-    model.take_hot_from([key_of[w] for w in model.hot.keys.tolist()])
-    model.plant(top["key"].to_numpy(np.int32))
-    model.rare = others
-    n_tokens, n_types = int(by_key[0].sum()), int(by_key[1].sum())
-    turn = (F.floor(F.crc32(F.coalesce(docs["doc_id"].cast("string"), F.lit("")).cast("binary")) / 5) % settings.rounds).cast("int")
-    for r in range(settings.rounds if n_tokens else 0):
-        shared = spark.sparkContext.broadcast(model)  # of a size that the settings bound
-        moved = docs.filter(turn == r).select("text").mapInArrow(_train(shared), "f int, n float, moved binary")
-        total = moved.repartition("f").mapInArrow(_add(settings.classes), "f int, n float, moved binary").collect()
-        for f, n, x in total:  # a row for each feature and block of slots at most
-            if f >= 0:
-                model.weights[f] += np.frombuffer(x, np.float32) / n
-            else:
-                at = (-1 - f) * _BLOCK
-                model.inner[at : at + _BLOCK] += _of_block(x)[1]
-        shared.destroy()
-    return model, vocabulary.select("h", "n"), n_tokens, n_types
+    top = _most_frequent(words, min(settings.known_words, _RARE - 2))
+    forget(counted)
+    return Vocabulary(settings, top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), top["key"].to_numpy(np.int64), pairs.reshape(ENDINGS, CONTEXTS), by_key)
 
 
-_SCORED = "doc_id long, held_out boolean, text_key long, n_tokens long, n_known long, counts double, classes double"
+def _packed(x: np.ndarray, size: int) -> np.ndarray:
+    """The low bytes of integers, a row for each."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size])
 
 
-def _score(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = shared.value
-        m.prepare()
-        log10_count = np.append(np.log10(m.counts + 0.5), 0.0)
-        for b in sliced(batches):
-            h, key, first = _tokens(b["text"])
-            (kinds, f), c, row = m.features(h, first), m.classes(h, key), m.known.find(h)
-            log_p = np.empty(len(h))
-            for i in range(0, len(h), m.settings.step):
-                part = slice(i, i + m.settings.step)
-                x, ci = m.logits(f[:, part], m.weights), c[part]
-                log_p[part] = np.log(np.maximum(_softmax(x)[np.arange(len(x)), ci], 1e-30))
-                log_p[part] += m.inside(h[part], ci, row[part], kinds[:, part])
-            known = (row >= 0).astype(np.int64)
-            # -1 takes the zero at the end; each text has its end, so no slice is empty
-            per_token = (log10_count[row], log_p * (1 / np.log(10)), known)
-            sums = [np.add.reduceat(x, first[:-1]) for x in per_token]
-            yield pa.record_batch(
-                {
-                    "doc_id": b["doc_id"], "held_out": b["held_out"], "text_key": b["text_key"],
-                    "n_tokens": np.diff(first).astype(np.int64), "n_known": sums[2],
-                    "counts": sums[0], "classes": sums[1],
-                }
-            )
+def _unpacked(raw: bytes, at: int, n: int, size: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :size] = np.frombuffer(raw, np.uint8, n * size, at).reshape(n, size)
+    return out.view("<u8").ravel()
+
+
+_DEALT = pa.schema([("block", pa.int64()), ("batch", pa.int64()), ("at", pa.int64()), ("data", pa.binary())])
+_TEXT = np.dtype([("id", "<i8"), ("null", "?"), ("held_out", "?"), ("tokens", "<i8"), ("known", "<i8"), ("base", "<f8")])
+_PART = np.dtype([("text", "<u2"), ("score", "<f4")])
+_COUNTS = np.dtype([("text", "<u2"), ("known", "<u4"), ("base", "<f8")])
 
-    return run
 
+def _deal(shared):
+    """Rows of (block, batch, data): tokens of a batch of texts for each block, and what is known of the texts themselves (block < 0)."""
 
-def _rare(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = shared.value
-        m.prepare()
-        for b in sliced(batches):
+        v: Vocabulary = shared.value
+        v.prepare()
+        task = TaskContext.get()
+        batch = (task.partitionId() if task else 0) << 32
+        log_known = np.log10(v.counts + 0.5)
+        held: list[tuple[np.ndarray, ...]] = []
+        texts: list[np.ndarray] = []
+        n_tokens = n_texts = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            last, row, two, three, code, text, out, block = (np.concatenate(x) for x in zip(*held, strict=True))
+            group = out * 2 + (row < 0)
+            order = np.argsort(block * 4 + group, kind="stable")
+            edges = np.searchsorted((block * 4 + group)[order], np.arange(4 * v.blocks + 1))
+            start = [_packed(np.maximum(row, 0)[order], 3), _packed(last[order], 6)]
+            rest = [_packed(x[order], size) for x, size in ((two, 3), (three, 3), (code, 3), (text, 2))]
+            data, blocks = [np.concatenate(texts).tobytes()], [-1 - batch % 1009]
+            for k in np.flatnonzero(edges[4::4] > edges[:-4:4]).tolist():
+                e = edges[4 * k : 4 * k + 5]
+                data.append(np.diff(e).astype("<u4").tobytes() + b"".join(start[i % 2][a:b].tobytes() for i, (a, b) in enumerate(zip(e[:-1].tolist(), e[1:].tolist(), strict=True))) + b"".join(x[e[0] : e[4]].tobytes() for x in rest))
+                blocks.append(k)
+            yield pa.record_batch([pa.array(blocks, pa.int64()), pa.array(np.full(len(blocks), batch)), pa.array(np.zeros(len(blocks), np.int64)), pa.array(data, pa.binary())], schema=_DEALT)
+
+        for b in sliced(batches, 1 << 20):
             h, key, first = _tokens(b["text"])
-            leaf = m.leaf(h, m.classes(h, key))
-            keys = b["text_key"].to_numpy()
-            at = np.flatnonzero(m.known.find(h) < 0)
-            doc = np.searchsorted(first, at, "right") - 1
-            yield pa.record_batch(
-                {
-                    "text_key": np.concatenate([keys[doc], keys]),
-                    "h": pa.concat_arrays([pa.array(as_long(h[at])), pa.nulls(len(keys), pa.int64())]),
-                    "leaf": pa.concat_arrays([pa.array(leaf[at]), pa.nulls(len(keys), pa.int64())]),
-                }
-            )
+            n = np.diff(first)
+            row, code = v.codes(h, key)
+            ids = b["doc_id"].fill_null(0).to_numpy()
+            text = np.repeat(np.arange(len(n)), n)
+            place = np.arange(len(h)) - first[text]
+
+            def back(x: np.ndarray, k: int, none: int, place=place) -> np.ndarray:
+                out = np.full_like(x, none)
+                out[k:] = x[:-k]
+                out[place < k] = none
+                return out
+
+            last, two, three = (back(h, k, 0) for k in (1, 2, 3))
+            # the starts of texts count as after a word of their own
+            last_row = np.where(place == 0, len(v.words), back(row, 1, 0))
+            pieces = v.pieces[np.where(last_row >= 0, last_row, len(v.words))].astype(np.uint64)
+            own = mix(ids.astype(np.int64).view(np.uint64) + np.uint64(1))[text]
+            piece = np.where(pieces > 1, mix(two + own % (pieces // np.uint64(4096) + np.uint64(1))) % pieces, 0).astype(np.uint64)
+            block = (np.where(place == 0, own, mix(last + piece * np.uint64(0x9E3779B97F4A7C15))) % np.uint64(v.blocks)).astype(np.int64)
+            out = b["held_out"].to_numpy(zero_copy_only=False).astype(np.int64)
+            if held and n_texts + len(n) > 60_000:
+                yield from flush()
+                held, texts, n_tokens, n_texts, batch = [], [], 0, 0, batch + 1
+            held.append((last, last_row, two >> np.uint64(40), three >> np.uint64(40), code, text + n_texts, out[text], block))
+            about = np.zeros(len(n), _TEXT)
+            about["id"], about["null"], about["held_out"], about["tokens"] = ids, b["doc_id"].is_null().to_numpy(zero_copy_only=False), out > 0, n
+            known = (np.append(v.counts, 0)[row] > 0).astype(np.int64)  # -1 takes the zero
+            about["known"] = np.add.reduceat(known, first[:-1])  # each text has its end, so no slice is empty
+            about["base"] = np.add.reduceat(np.append(log_known, 0.0)[row], first[:-1])
+            texts.append(about)
+            n_tokens, n_texts = n_tokens + len(h), n_texts + len(n)
+            if n_tokens >= v.settings.dealt_tokens:
+                yield from flush()
+                held, texts, n_tokens, n_texts, batch = [], [], 0, 0, batch + 1
+        if held:
+            yield from flush()
 
     return run
 
 
-def _leaves(shared):
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, int]:
+    u, at = np.unique(x, return_inverse=True)
+    return at.astype(np.int64), len(u)
+
+
+class Followers:
+    """For each context of a block: how many training tokens it has, and its two most frequent words with their counts."""
+
+    def __init__(self, context: np.ndarray, contexts: int, code: np.ndarray, train: int):
+        """The first ``train`` tokens are those for training."""
+        self.n = np.bincount(context[:train], minlength=contexts)
+        self.word, self.count = np.full((2, contexts), -1, np.int64), np.zeros((2, contexts), np.int64)
+        if not train:
+            return
+        runs = np.sort(context[:train] << 24 | code[:train])
+        first = np.flatnonzero(np.append(True, runs[1:] != runs[:-1]))
+        runs, count = runs[first], np.diff(np.append(first, train))
+        of = runs >> 24
+        value = count << 24 | (runs & 0xFFFFFF)
+        edge = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        there = of[edge]
+        for k in (0, 1):
+            best = np.maximum.reduceat(value, edge)
+            some = best > 0
+            self.word[k, there[some]], self.count[k, there[some]] = best[some] & 0xFFFFFF, best[some] >> 24
+            value[value == np.repeat(best, np.diff(np.append(edge, len(of))))] = 0
+
+    def foretold(self, context: np.ndarray, code: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(word or -1, how sure it is: 0 to 7) for tokens of these contexts; with ``code`` each token is left out of its own context."""
+        n, word, count = self.n[context], self.word[0, context], self.count[0, context]
+        if code is not None:
+            other, less = self.word[1, context], self.count[1, context]
+            own = word == code
+            n, count = n - 1, count - own
+            second = own & (less > count)
+            word, count = np.where(second, other, word), np.where(second, less, count)
+        word = np.where(count > 0, word, -1)
+        share = count / np.maximum(n, 1)
+        sure = np.select([n <= 0, n == 1, (n == 2) & (share < 1), n == 2, share < 0.3, share < 0.7, (n < 8) | (share < 0.9)], np.arange(7), 7)
+        return word, sure
+
+
+class Block:
+    """The tokens of a block, training tokens first, and the model that they make."""
+
+    def __init__(self, v: Vocabulary, last: np.ndarray, two: np.ndarray, three: np.ndarray, code: np.ndarray, train: int):
+        """last: a number for each last word; two, three: 24 bits of the words before; code: that of the word itself."""
+        self.v, self.code, self.train = v, code, train
+        pair, skip = (last.astype(np.uint64) << np.uint64(24) | x for x in (two, three))
+        self.context = []
+        self.followers = []
+        for x in (pair, skip, last):
+            at, n = _numbered(x)
+            self.context.append(at)
+            self.followers.append(Followers(at, n, code, train))
+        kept = sum(int(np.count_nonzero(f.n > 1)) for f in self.followers)
+        bits = max(8, int(np.ceil(np.log2(2 * kept + 1))))
+        rows = []
+        for kind, (x, at, f) in enumerate(zip((pair, skip, last.astype(np.uint64)), self.context, self.followers, strict=True)):
+            hashed = (mix(x * np.uint64(8) + np.uint64(kind + 1)) >> np.uint64(64 - bits)).astype(np.int64) + _SURE
+            rows.append(np.where(f.n[at] > 1, hashed, _SURE + (1 << bits)))  # contexts that were seen once share a row
+        rows.append((mix(two.astype(np.uint64) * np.uint64(8) + np.uint64(5)) >> np.uint64(64 - bits)).astype(np.int64) + _SURE)
+        self.rows = rows
+        self.classes = v.settings.classes
+        self.width = len(self.followers) + self.classes
+        self.weights = np.zeros((_SURE + (1 << bits) + 1, self.width), np.float32)
+        self.bias = np.zeros(self.width, np.float32)
+
+    def part(self, at: slice, learning: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the tokens of a slice: rows of the weights, classes that can't be, their class, and log10 P(word | class, history)."""
+        v, code = self.v, self.code[at]
+        n, k = len(code), len(self.followers)
+        out = np.zeros((n, self.width), bool)
+        own, share = v.about(code)
+        label, taken = own + k, np.zeros(n)
+        level = np.zeros(n, np.int64)
+        earlier: list[np.ndarray] = []
+        for i, (f, context) in enumerate(zip(self.followers, self.context, strict=True)):
+            word, sure = f.foretold(context[at], code if learning else None)
+            level = level * 8 + sure
+            for e in earlier:
+                word = np.where(word == e, -1, word)
+            earlier.append(word)
+            out[:, i] = word < 0
+            c, q = v.about(word)
+            lone = np.flatnonzero((c >= 0) & (c < v.alone))
+            out[lone, k + c[lone]] = True
+            taken += np.where(c == own, q, 0)
+            label = np.where((word == code) & (label >= k), i, label)
+        rows = np.stack([level, *[r[at] for r in self.rows]])
+        rest = np.maximum(v.size[own] - taken, 1e-9)
+        inside = np.where(label < k, 0.0, np.log10(share) - np.log10(rest))
+        return rows, out, label, np.minimum(inside, 0)
+
+    def chances(self, rows: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """P(class | history)."""
+        x = self.weights.take(rows[0], 0)
+        for r in rows[1:]:
+            x += self.weights.take(r, 0)
+        x += self.bias
+        x[out] = -1e9
+        x -= x.max(1, keepdims=True)
+        np.exp(x, out=x)
+        x /= x.sum(1, keepdims=True)
+        return x
+
+    def learn(self) -> None:
+        step, rate = self.v.settings.step, self.v.settings.rate
+        square = np.zeros(len(self.weights), np.float32)
+        prior = np.append(np.full(len(self.followers), self.train * 0.1 + 1), self.v.tokens / max(self.v.tokens.sum(), 1) * self.train + 1)
+        self.bias[:] = np.log(prior / prior.sum())
+        for start in range(0, self.train, step):
+            rows, out, label, _ = self.part(slice(start, min(start + step, self.train)), True)
+            g = self.chances(rows, out)
+            g[np.arange(len(label)), label] -= 1
+            flat = rows.ravel()
+            order = np.argsort(flat, kind="stable")
+            flat = flat[order]
+            first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+            total = np.add.reduceat(g[order % len(label)], first, axis=0)
+            u = flat[first]
+            square[u] += (total**2).sum(1)
+            self.weights[u] -= rate * total * (3 / np.sqrt(square[u] + 1))[:, None]
+
+    def score(self) -> np.ndarray:
+        """log10 of the probability of each token."""
+        step = self.v.settings.step
+        out = []
+        for start in range(0, len(self.code), step):
+            rows, no, label, inside = self.part(slice(start, start + step), False)
+            p = self.chances(rows, no)[np.arange(len(label)), label]
+            out.append(np.log10(np.maximum(p, 1e-30)) + inside)
+        return np.concatenate(out)
+
+
+_SURE = 512  #: rows of the weights for how sure the three contexts are
+
+
+def _read(batches: list[bytes]) -> tuple[dict[str, np.ndarray], int, np.ndarray]:
+    """The tokens of a block out of its batches, training tokens first; how many those are; and the batch of each."""
+    names = ("last", "two", "three", "code", "text")
+    groups: list[list[tuple[np.ndarray, ...]]] = [[], []]
+    for number, raw in enumerate(batches):
+        n = np.frombuffer(raw, "<u4", 4).astype(np.int64)
+        at, last = 16, []
+        for i, k in enumerate(n.tolist()):
+            last.append(_unpacked(raw, at, k, 3 if i % 2 == 0 else 6) | np.uint64(0 if i % 2 == 0 else 1 << 63))
+            at += k * (3 if i % 2 == 0 else 6)
+        columns = [np.concatenate(last)]
+        for size in (3, 3, 3, 2):
+            columns.append(_unpacked(raw, at, int(n.sum()), size))
+            at += int(n.sum()) * size
+        columns.append(np.full(int(n.sum()), number, np.uint64))
+        cut = int(n[:2].sum())
+        groups[0].append(tuple(x[:cut] for x in columns))
+        groups[1].append(tuple(x[cut:] for x in columns))
+    all_ = [np.concatenate(x) for x in zip(*groups[0], *groups[1], strict=True)]
+    return dict(zip(names, all_[:5], strict=True)), sum(len(g[0]) for g in groups[0]), all_[5].astype(np.int64)
+
+
+def _scored_block(v: Vocabulary, block: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    """Sums by text of what a block knows: the model's score, and counts of the words that aren't known."""
+    x, train, batch = _read([data for _, data in block])
+    rare = x["last"] >> np.uint64(63) > 0
+    last, lasts = _numbered(x["last"])
+    model = Block(v, last, x["two"], x["three"], x["code"].astype(np.int64), train)
+    model.learn()
+    score = model.score()
+    seen = np.bincount(last[:train], minlength=lasts)[last]
+    text = batch << 16 | x["text"].astype(np.int64)
+    u, at = np.unique(text, return_inverse=True)
+    part = np.zeros(len(u), _PART)
+    part["text"], part["score"] = u & 0xFFFF, np.bincount(at, score)
+    some = np.bincount(at, rare) > 0
+    counts = np.zeros(len(u), _COUNTS)
+    counts["text"], counts["known"] = u & 0xFFFF, np.bincount(at, rare & (seen > 0))
+    counts["base"] = np.bincount(at, np.where(rare, np.log10(seen + 0.5), 0))
+    data, batches = [], []
+    edges = np.searchsorted(u >> 16, np.arange(len(block) + 1))
+    for number, (name, _) in enumerate(block):
+        own = slice(edges[number], edges[number + 1])
+        data.append(np.uint32(own.stop - own.start).tobytes() + part[own].tobytes() + counts[own][some[own]].tobytes())
+        batches.append(name)
+    return pa.record_batch([pa.array(np.zeros(len(data), np.int64)), pa.array(batches, pa.int64()), pa.array(np.ones(len(data), np.int64)), pa.array(data, pa.binary())], schema=_DEALT)
+
+
+def _learn_and_score(shared):
+    """Rows come sorted by block; those of texts (block < 0) pass through."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = shared.value
+        v: Vocabulary = shared.value
+        held: list[tuple[int, bytes]] = []
+        now = None
         for b in batches:
-            h = b["h"].to_numpy().view(np.uint64)
-            yield pa.record_batch({"leaf": m.leaf(h, m.classes(h, b["key"].to_numpy())), "h": b["h"], "n": b["n"]})
+            through = [i for i, block in enumerate(b["block"].to_pylist()) if block < 0]
+            if through:
+                yield b.take(pa.array(through))
+            for i in range(len(through), len(b)):  # negative blocks come first
+                block = b["block"][i].as_py()
+                if block != now and held:
+                    yield _scored_block(v, held)
+                    held = []
+                now = block
+                held.append((b["batch"][i].as_py(), b["data"][i].as_py()))
+        if held:
+            yield _scored_block(v, held)
 
     return run
 
 
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, counts double, score double"
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by batch, that of its texts first."""
+    texts: np.ndarray | None = None
+    score: np.ndarray | None = None
+
+    def done() -> pa.RecordBatch:
+        return pa.record_batch(
+            {
+                "doc_id": pa.array(texts["id"], mask=texts["null"]), "held_out": texts["held_out"], "n_tokens": texts["tokens"], "n_known": texts["known"],
+                "counts": texts["base"], "score": score,
+            }
+        )
+
+    for b in batches:
+        for kind, data in zip(b["at"].to_pylist(), b["data"].to_pylist(), strict=True):
+            if kind == 0:
+                if texts is not None:
+                    yield done()
+                texts = np.frombuffer(data, _TEXT).copy()
+                score = np.zeros(len(texts))
+            else:
+                n = int(np.frombuffer(data, "<u4", 1)[0])
+                part = np.frombuffer(data, _PART, n, 4)
+                counts = np.frombuffer(data, _COUNTS, -1, 4 + n * _PART.itemsize)
+                score[part["text"]] += part["score"]
+                texts["known"][counts["text"]] += counts["known"]
+                texts["base"][counts["text"]] += counts["base"]
+    if texts is not None:
+        yield done()
+
+
 def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Scores the text of every row; trains on those whose crc32 of the id modulo 5 isn't 1.
 
-    Rare words of all texts are joined with the word counts and summed by text; copies of a
-    text bring their words again, so the sums are divided by the number of copies.
+    ``gain``: by how much the model's log10 probability of a token beats the base on average.
     """
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("held_out", crc_mod_5(docs["doc_id"]) == 1)
-    model, _, n_tokens, n_types = train(docs.filter(~F.col("held_out")).select("doc_id", "text"), settings)
-    shared = spark.sparkContext.broadcast(model)
-    docs = docs.withColumn("text_key", F.xxhash64("text"))
-    scored = docs.mapInArrow(_score(shared), _SCORED)
-    rare = docs.select("text", "text_key").mapInArrow(_rare(shared), "text_key long, h long, leaf long")
-    leaves = model.rare.select("h", "key", "n").mapInArrow(_leaves(shared), "leaf long, h long, n long")
-    leaves = leaves.groupBy("leaf").agg((F.sum(F.col("n") + 0.5) + 0.5).alias("size"), F.map_from_entries(F.collect_list(F.struct("h", "n"))).alias("words"))
-    rare = (
-        rare.join(leaves, "leaf", "left")
-        .select("text_key", "h", "size", F.when(F.col("h").isNotNull(), F.try_element_at("words", F.col("h"))).alias("n"))
-        .groupBy("text_key")
-        .agg(
-            F.count_if(F.col("h").isNull()).alias("copies"),
-            F.count("n").alias("rare_known"),
-            F.sum(F.when(F.col("h").isNotNull(), F.log10(F.coalesce("n", F.lit(0)) + 0.5))).alias("rare_counts"),
-            F.sum(F.when(F.col("h").isNotNull(), F.log10(F.coalesce("size", F.lit(0.5))))).alias("rare_sizes"),
-        )
-    )
-    n_known = F.col("n_known") + F.col("rare_known").cast("double") / F.col("copies")
-    counts = F.col("counts") + F.coalesce("rare_counts", F.lit(0.0)) / F.col("copies")
-    return scored.join(rare, "text_key").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        F.round(n_known).cast("long").alias("n_known"),
-        F.lit(n_tokens).cast("long").alias("train_tokens"),
-        (counts - F.col("n_tokens") * F.log10(F.lit(n_tokens + 0.5 * (n_types + 1)))).alias("base_score"),
-        (F.col("classes") + (F.coalesce("rare_counts", F.lit(0.0)) - F.coalesce("rare_sizes", F.lit(0.0))) / F.col("copies")).alias("score"),
+    v = vocabulary(docs.filter(~F.col("held_out")), settings)
+    shared = docs.sparkSession.sparkContext.broadcast(v)  # of a size that the settings bound
+    schema = "block long, batch long, at long, data binary"
+    dealt = docs.mapInArrow(_deal(shared), schema).repartition("block").sortWithinPartitions("block")
+    parts = dealt.mapInArrow(_learn_and_score(shared), schema).repartition("batch").sortWithinPartitions("batch", "at")
+    scored = parts.mapInArrow(_summed, _SCORED)
+    base = F.col("counts") - F.col("n_tokens") * F.lit(float(np.log10(v.n_tokens + 0.5 * (v.n_types + 1))))
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(v.n_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score", ((F.col("score") - base) / F.col("n_tokens")).alias("gain")
     )

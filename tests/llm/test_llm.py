@@ -76,16 +76,80 @@ def test_lm_scores(docs, texts, empty):
         assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (len(c) + 1))) for w in tokens), rel=1e-9)
     held = [r for r in rows.values() if r["held_out"] and r["doc_id"] < 480]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    assert all(r["gain"] == pytest.approx((r["score"] - r["base_score"]) / r["n_tokens"]) for r in rows.values())
     assert lm_scoring.score(empty).count() == 0
 
 
-def test_lm_classes_are_a_distribution(docs):
-    m, vocabulary, n, v = lm_scoring.train(docs.select("doc_id", "text"))
-    assert m.tokens.sum() == n and m.types.sum() == v == vocabulary.count()
-    p = lm_scoring._softmax(m.logits(np.zeros((4, 1), np.int64), m.weights))
-    assert p.sum() == pytest.approx(1, abs=1e-5)
-    inside = sum((m.tokens[k] + 0.5 * (m.types[k] + 1)) / 10 ** m.log10_size[k] for k in range(len(m.tokens)))
-    assert inside == pytest.approx(len(m.tokens))
+def test_lm_base_is_exact_over_many_blocks(docs, texts):
+    """Frequent words are dealt to several blocks, and texts to several batches."""
+    rows = {r["doc_id"]: r for r in lm_scoring.score(docs, lm_scoring.Settings(known_words=60, block_tokens=300, dealt_tokens=500)).collect()}
+    c = Counter()
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i * 3).encode()) % 5 != 1:
+            c.update([*words(t), None])
+    n = sum(c.values())
+    for i, t in enumerate(texts):
+        tokens = [*words(t), None]
+        assert rows[i * 3]["n_known"] == sum(c[w] > 0 for w in tokens)
+        assert rows[i * 3]["base_score"] == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (len(c) + 1))) for w in tokens), rel=1e-9)
+
+
+def lm_block(spark, texts, known, **more):
+    settings = lm_scoring.Settings(known_words=known, hot_words=2, step=256, **more)
+    v = lm_scoring.vocabulary(spark.createDataFrame([(t,) for t in texts], "text string"), settings)
+    v.prepare()
+    h, key, first = lm_scoring._tokens(pa.array(texts))
+    _, code = v.codes(h, key)
+    place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
+    back = lambda k: np.where(place < k, np.uint64(0), np.roll(h, k))
+    last, _ = lm_scoring._numbered(back(1))
+    block = lm_scoring.Block(v, last, back(2) >> np.uint64(40), back(3) >> np.uint64(40), code, len(h))
+    block.learn()
+    return v, block, code
+
+
+@pytest.mark.parametrize("known", [6, 1000])
+def test_lm_probabilities_of_a_history_sum_to_one(spark, texts, known):
+    v, block, code = lm_block(spark, [t for t in texts[:40]], known)
+    every = np.unique(np.append(code, np.arange(len(v.words))))
+    assert block.weights.any()
+    for at in (5, 100, len(code) - 3):
+        total = 0.0
+        for word in every:
+            block.code = code.copy()
+            block.code[at] = word
+            total += 10 ** block_score(block, at)
+        unseen = 0.0  # each cluster keeps a unit for words that were never seen; distinct words have distinct codes here
+        block.code = code
+        rows, no, _, _ = block.part(slice(at, at + 1), False)
+        p = block.chances(rows, no)[0]
+        foretold = [f.foretold(x[at : at + 1])[0][0] for f, x in zip(block.followers, block.context, strict=True)]
+        for c in range(v.alone, v.settings.classes):
+            taken = sum(v.about(np.array([w]))[1][0] for w in set(foretold) if w >= 0 and v.about(np.array([w]))[0][0] == c)
+            unseen += p[len(block.followers) + c] * v.rare_share[c] / (v.size[c] - taken)
+        assert total + unseen == pytest.approx(1, abs=1e-3)
+
+
+def block_score(block, at):
+    rows, no, label, inside = block.part(slice(at, at + 1), False)
+    return math.log10(block.chances(rows, no)[0, label[0]]) + inside[0]
+
+
+def test_lm_softmax_against_a_plain_one(spark, texts):
+    v, block, code = lm_block(spark, texts[:60], 1000)
+    score = block.score()
+    for at in (0, 3, 50, 333):
+        x = [sum(float(block.weights[r][c]) for r in [block.part(slice(at, at + 1), False)[0][k, 0] for k in range(5)]) + float(block.bias[c]) for c in range(block.width)]
+        _, no, label, inside = block.part(slice(at, at + 1), False)
+        e = [0.0 if no[0, c] else math.exp(x[c]) for c in range(block.width)]
+        assert score[at] == pytest.approx(math.log10(e[label[0]] / sum(e)) + inside[0], abs=1e-4)
+
+
+def test_lm_followers_leave_the_token_itself_out():
+    context, code = np.array([0, 0, 0, 1, 1, 2, 0]), np.array([7, 7, 8, 5, 6, 4, 9])
+    f = lm_scoring.Followers(context, 4, code, 6)
+    assert f.foretold(np.array([0, 1, 2, 3]))[0].tolist() == [7, 6, 4, -1]
+    assert f.foretold(context[:6], code[:6])[0].tolist() == [7, 7, 7, 6, 5, -1]
 
 
 @pytest.mark.parametrize("known", [3, 1000])
@@ -102,18 +166,12 @@ def test_lm_history_tells_the_words_of_a_cluster(spark, known):
     settings = lm_scoring.Settings(known_words=known, hot_words=1, step=512)
     score = {x["doc_id"]: x["score"] for x in lm_scoring.score(docs, settings).collect()}
     assert score[held[0]] > score[held[40]] + 3
-    if known == 1000:
-        m, _, _, _ = lm_scoring.train(docs, settings)
-        h, key, first = lm_scoring._tokens(pa.array([texts[0]]))
-        m.prepare()
-        kinds = m.features(h, first)[0][:, 7:8]
-        assert np.any(m.inner)
-        key_of = dict(zip(h.tolist(), key.tolist(), strict=True))
-        for c in set(m.classes(h, key).tolist()) - {0, 1}:
-            rows = [i for i, w in enumerate(m.words.tolist()) if w in key_of and m.classes(m.words[i : i + 1], np.array([key_of[w]]))[0] == c] + [-1]
-            n = len(rows)
-            p = np.exp(m.inside(np.resize(m.words, n), np.full(n, c), np.array(rows), np.repeat(kinds, n, 1)))
-            assert p.sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_lm_odd_rows(spark):
+    df = spark.createDataFrame([(None, "a b", 1.0, "x"), (None, "a b", 2.0, "y"), (7, None, 3.0, None)], "doc_id long, text string, score double, held_out string")
+    got = sorted(((r["doc_id"] is None, r["n_tokens"], round(r["score"], 6)) for r in lm_scoring.score(df).collect()), reverse=True)
+    assert [g[:2] for g in got] == [(True, 3), (True, 3), (False, 1)] and got[0] == got[1]
 
 
 def luhn(d):
@@ -415,6 +473,21 @@ def test_jaccard_join(spark, crowd, n, percent):
         assert {x["doc_id"] for x in jaccard_join.keep_first(df).collect()} == {i for i, (_, c) in enumerate(want) if c == i}
 
 
+def test_one_of_each_group_stays(spark):
+    rows = [(4, "a b c d e f", 1), (4, "a b c d e f", 2), (5, "a b c d e f", 3), (4, "other words that are here now", 4), (None, "x y z u v w", 5), (None, "x y z u v w", 6), (9, "x y z u v w", 7), (8, "", 8), (8, "", 9), (8, None, 10)]
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in jaccard_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string, node int")).collect())
+    assert kept == [(0, "x y z u v w"), (4, "a b c d e f"), (4, "other words that are here now"), (8, ""), (8, ""), (8, "")]
+
+
+def test_parities_bound_the_difference():
+    r = np.random.default_rng(1)
+    for n, k in ((50, 3), (400, 90), (3000, 10)):
+        s = np.unique(r.integers(1, 1 << 62, n).astype(np.uint64))
+        t = np.append(s[k:], r.integers(1, 1 << 62, k).astype(np.uint64))
+        cells = sum(int(x).bit_count() for x in (jaccard_join.parities(s) ^ jaccard_join.parities(t)).view(np.uint64))
+        assert 0 < cells <= 2 * k
+
+
 def test_jaccard_join_of_nothing_and_null_ids(spark, empty):
     assert jaccard_join.join_groups(empty).count() == 0
     df = spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (4, "a b c d")], "doc_id long, text string")
