@@ -12,8 +12,9 @@ A task packs the documents that it reads, by blocks of bounded size, without a s
 is left of a block goes to the next one.  Sequence numbers have the task's number in the upper
 32 bits.
 
-Words are tokenised once per cache: white space always ends a token and case is folded, so a
-text's tokens are those of its words in a row.
+With the tokenizer that folds case and drops white space, words are tokenised once per cache: white space always ends a token, so a
+text's tokens are those of its words in a row.  Words that hold a special token in any letter case are encoded as they stand, as special
+tokens are told before case is folded.  Any other tokenizer encodes whole texts.
 
 Defined results: a null or empty text is its end token; repeated rows and ids are packed each
 on its own; columns other than id and text are ignored; an empty table gives an empty result.
@@ -21,6 +22,7 @@ on its own; columns other than id and text are ignored; an empty table gives an
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -34,6 +36,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -45,6 +49,11 @@ class Settings:
     cached_words: int = 800_000
 
 
+#: The tokenizer whose words are independent: these must be its normalizer and its pre-tokenizer.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [_SPLIT, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, step_group long"
 
 
@@ -65,6 +74,15 @@ class Tokens:
 
         path = settings.tokenizer if os.path.exists(settings.tokenizer) else public_tokenizers.path(settings.tokenizer)
         self.tokenizer = Tokenizer.from_file(path)
+        shape = json.loads(self.tokenizer.to_str())
+        added = shape["added_tokens"]
+        #: Special tokens inside words only, and words on their own: else texts are encoded whole.
+        self.by_words = (
+            (shape["normalizer"], shape["pre_tokenizer"]) == (_NORMALIZER, _PRE_TOKENIZER)
+            and shape["model"]["end_of_word_suffix"] == "</w>"
+            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or t["content"].split() != [t["content"]] for t in added)
+        )
+        self.special = [t["content"].lower().encode() for t in added]
         self.model = self.tokenizer.model
         self.most = max(1, settings.cached_words // 2)
         self.end = settings.end_id.to_bytes(4, "little")
@@ -95,16 +113,27 @@ class Tokens:
                 letters, marks = form[1].encode(), form[2].encode()
                 got = self._part(letters) + self._part(marks) if marks else self._piece(letters)
             else:
-                got = b"".join([self.id_bytes[i] for i in self.tokenizer.encode(word.decode(), add_special_tokens=False).ids])
+                got = self._whole(word.decode())
         self.cache[word] = got
         return got
 
+    def _whole(self, text: str) -> bytes:
+        return b"".join([self.id_bytes[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+
     def of(self, text: str | None) -> bytes:
         """The ids of the text and the end."""
+        if not self.by_words:
+            return self._whole(text or "") + self.end
         if len(self.cache) > self.most:
             self.cache, self.older = {}, self.cache
-        words = (text or "").encode().lower().split()
+        raw = (text or "").encode()
+        low = raw.lower()
+        words = low.split()
         parts, at = list(map(self.cache.get, words)), 0
+        if any(t in low for t in self.special):
+            for i, word in enumerate(raw.split()):
+                if any(t in words[i] for t in self.special):
+                    parts[i] = self._whole(word.decode())
         for _ in range(parts.count(None)):
             at = parts.index(None, at)
             parts[at] = self._learn(words[at])
@@ -186,7 +215,7 @@ def _pack(settings: Settings):
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], [f.split()[0] for f in SCHEMA.split(", ")])
 
         size, full = 0, []
-        for b in batches:
+        for b in sliced(batches):
             for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
                 ids = tokens.of(text)
                 held[number] = doc_id, ids

@@ -423,13 +423,21 @@ def test_packing(docs, texts, empty):
     assert packing.pack(empty).count() == 0
 
 
-def test_tokens_of_odd_words():
-    tokens = packing.Tokens(packing.Settings(cached_words=3))
-    for t in ("Don't STOP...now", "a.b, c!! 12.5", "É́té I\u0307 ΑΣ ﬁ 你好 x\u00a0y\x1cz", "<|endoftext|> <|startoftext|>x", "naïve, café. straße?", "abc$$$ abc*** é.,_; x&y <abc|> abc|> ab<|endoftext|>, (abc) abc' 12abc, \u0130, abc"):
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_tokens_of_odd_words(file):
+    tokens = packing.Tokens(packing.Settings(cached_words=3, tokenizer=file))
+    assert tokens.by_words == (file == "word_bpe_49k.json")
+    for t in ("<|ENDOFTEXT|> a", "A <|EndOfText|>b", "x<|endoftext|>Y <|STARTOFTEXT|><|startoftext|>", "<|endoftext|><|ENDOFTEXT|>, \u0130<|EndOfText|>", "Don't STOP...now", "a.b, c!! 12.5", "É́té I\u0307 ΑΣ ﬁ 你好 x\u00a0y\x1cz", "<|endoftext|> <|startoftext|>x", "naïve, café. straße?", "abc$$$ abc*** é.,_; x&y <abc|> abc|> ab<|endoftext|>, (abc) abc' 12abc, \u0130, abc"):
         want = tokens.tokenizer.encode(t, add_special_tokens=False).ids + [2]
         assert list(struct.unpack(f"<{len(want)}I", tokens.of(t))) == want
 
 
+def test_packing_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", 5, "x"), (1, "a b", 6, "y"), (None, None, 7, "z")], "doc_id long, text string, start long, tier string")
+    got = sorted((r["doc_id"] or 0, r["length"], r["doc_tokens"]) for r in packing.pack(df).collect())
+    assert got == [(0, 1, 1), (1, 3, 3), (1, 3, 3)]
+
+
 def plain_groups(texts, n=3, percent=90):
     sets = []
     for t in texts:
