@@ -1,9 +1,10 @@
 """Personal data in texts: spans proposed by regular expressions and confirmed by validators.
 
 Base kinds are e-mail addresses, IPv4 addresses (parts up to 255), payment cards (Luhn) and
-international phone numbers (digit count).  Two kinds come on top: IBANs, confirmed by their
-remainder modulo 97, and social security numbers, which no checksum covers, so that only a
-word about them nearby lifts their score over the threshold.  Every span has a score: what its
+international phone numbers (digit count).  More kinds come on top: IBANs, confirmed by their
+remainder modulo 97, social security numbers, which no checksum covers, so that only a
+word about them nearby lifts their score over the threshold, ids of access keys, and secrets that are assigned to a name
+(letters and digits both confirm them).  Every span has a score: what its
 kind is worth, more with a word of its kind within ``NEAR`` code points before or after it.
 
 All of it is Spark SQL: the matches of a pattern and the pieces of text between them give the
@@ -36,6 +37,8 @@ class Kind:
     mask: str
 
 
+_NAME = r"(?:[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY)[\x20\"']{0,3}[=:][\x20\"']{0,3}"
+
 BASE = (
     Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.8, r"mail|contact|write to", "[EMAIL]"),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", 0.7, r"\bip\b|address|host|server", "[IP]"),
@@ -45,6 +48,8 @@ BASE = (
 EXTRA = (
     Kind("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", r"[A-Z]{2}[0-9]{2}", 0.8, r"iban|account|bank|konto", "[IBAN]"),
     Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.3, r"ssn|social security", "[SSN]"),
+    Kind("key", r"(?:AKIA|ASIA)[A-Z0-9]{16}", r"(?:AKIA|ASIA)", 0.8, r"key|access|credential", "[KEY]"),
+    Kind("secret", rf"{_NAME}[A-Za-z0-9+/_.-]{{8,}}", _NAME, 0.6, r"login|user|credential|auth", "[SECRET]"),
 )
 KINDS = BASE + EXTRA
 LIFT, THRESHOLD = 0.2, 0.5
@@ -72,6 +77,9 @@ def confirmed(kind: str, m: Column) -> Column:
         return F.length(_digits(m)).between(9, 15)
     if kind == "iban":
         return F.length(F.replace(m, F.lit(" "))).between(15, 34) & (_mod97(m) == 1)
+    if kind == "secret":
+        value = F.regexp_extract(m, r"[A-Za-z0-9+/_.-]+$", 0)
+        return value.rlike("[0-9]") & value.rlike("[A-Za-z]")
     return F.lit(True)
 
 
@@ -117,12 +125,12 @@ def _places(df: DataFrame, kind: Kind) -> DataFrame:
     return df.withColumn(f"__spans_{kind.name}", kept).drop("__m", "__g", "__step", "__block", "__before", "__found")
 
 
-def detect(docs: DataFrame) -> DataFrame:
-    """Adds ``pii_spans`` to the rows: array of (kind, start, stop, score) by kind, then start."""
+def detect(docs: DataFrame, into: str = "pii_spans") -> DataFrame:
+    """Adds a column to the rows: array of (kind, start, stop, score) by kind, then start."""
     df = docs.withColumn("__text", F.coalesce("text", F.lit("")))
     for kind in KINDS:
         df = _places(df, kind)
-    return df.withColumn("pii_spans", F.flatten(F.array(*[F.col(f"__spans_{k.name}") for k in KINDS]))).drop("__text", *[f"__spans_{k.name}" for k in KINDS])
+    return df.withColumn(into, F.flatten(F.array(*[F.col(f"__spans_{k.name}") for k in KINDS]))).drop("__text", *[f"__spans_{k.name}" for k in KINDS])
 
 
 def _listed(spans: Column) -> Column:
@@ -134,39 +142,32 @@ def _number(spans: Column, kind: str) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, a count for each base kind, the hash of the base spans, and all spans as text."""
+    """doc_id, a count for each base kind, the hash of the base spans, all spans and their scores as text, more counts."""
     found = detect(docs.select("doc_id", "text"))
     base = F.filter("pii_spans", lambda s: s["kind"].isin([k.name for k in BASE]))
     counts = [_number(F.col("pii_spans"), k.name).alias(f"n_{k.name}") for k in KINDS]
-    return found.select("doc_id", *counts[: len(BASE)], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("pii_spans")).alias("spans"), *counts[len(BASE) :])
-
-
-def _masked(matches: Column, kind: Kind) -> Column:
-    return F.transform(matches, lambda m: F.when(confirmed(kind.name, m), kind.mask).otherwise(m))
+    scores = F.array_join(F.transform("pii_spans", lambda s: s["score"].cast("decimal(3,2)").cast("string")), ",")
+    total = F.size("pii_spans").cast("long").alias("n_spans")
+    return found.select("doc_id", *counts[: len(BASE)], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("pii_spans")).alias("spans"), scores.alias("scores"), *counts[len(BASE) :], total)
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The rows with personal data in ``text`` replaced by masks, and ``n_chars``, if there is one, made to fit.
+    """The rows with the spans that ``detect`` finds in ``text`` masked, and ``n_chars``, if there is one, made to fit.
 
-    Kinds are masked one after the other; a social security number only with a word about it
-    anywhere in the text.
+    Of spans that overlap the first gives the mask for all.
     """
     columns = docs.columns
-    df = docs.withColumn("__text", F.col("text"))
-    for kind in (*EXTRA, *BASE):
-        some = F.col("__text").contains("@") if kind.trigger == "@" else F.col("__text").rlike(kind.trigger)
-        if kind.worth < THRESHOLD:
-            some = some & F.lower("__text").rlike(kind.context)
-        df = df.withColumns(
-            {
-                "__m": F.when(some, F.regexp_extract_all("__text", F.lit(kind.pattern), F.lit(0))).otherwise(_none("array<string>")),
-                "__g": F.when(some, F.split("__text", kind.pattern, -1)).otherwise(F.array("__text")),
-            }
-        )
-        masked = _masked(F.col("__m"), kind)
-        joined = F.array_join(F.zip_with("__g", masked, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
-        df = df.withColumn("__text", F.when(F.size("__m") > 0, joined).otherwise(F.col("__text"))).drop("__m", "__g")
+    some = F.size("__pii") > 0
+    three = lambda s, *more: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"), *more)
+    df = detect(docs, "__pii").withColumn("__pii", F.array_sort(F.transform("__pii", lambda s: three(s))))
+    before = lambda i: F.coalesce(F.array_max(F.transform(F.slice("__pii", F.lit(1), i), lambda s: s["stop"])), F.lit(0).cast("long"))
+    df = df.withColumn("__pii", F.transform("__pii", lambda s, i: three(s, before(i).alias("before"))))
+    cut = lambda at, n: F.substr("text", (at + 1).cast("int"), n.cast("int"))
+    mask = lambda kind: F.coalesce(*[F.when(kind == k.name, k.mask) for k in KINDS])
+    pieces = F.transform("__pii", lambda s: F.concat(cut(s["before"], F.greatest(s["start"] - s["before"], F.lit(0))), F.when(s["start"] >= s["before"], mask(s["kind"])).otherwise("")))
+    end = F.array_max(F.transform("__pii", lambda s: s["stop"]))
+    df = df.withColumn("__text", F.when(some, F.concat(F.array_join(pieces, ""), F.substr("text", (end + 1).cast("int")))).otherwise(F.col("text")))
     new = {"text": F.col("__text")}
     if "n_chars" in columns:
-        new["n_chars"] = F.when(F.col("text") == F.col("__text"), F.col("n_chars")).otherwise(F.length("__text")).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(some, F.length("__text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return df.select(*[new[c].alias(c) if c in new else F.col(c) for c in columns])

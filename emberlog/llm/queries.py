@@ -43,7 +43,9 @@ WITH kinds(kind, ord, pattern) AS (VALUES
   ('card', 3, '[0-9](?:[\x20-]?[0-9])+'),
   ('phone', 4, '\+[0-9][\x20().0-9-]+[0-9]'),
   ('iban', 5, '[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?'),
-  ('ssn', 6, '[0-9]{3}-[0-9]{2}-[0-9]{4}')),
+  ('ssn', 6, '[0-9]{3}-[0-9]{2}-[0-9]{4}'),
+  ('key', 7, '(?:AKIA|ASIA)[A-Z0-9]{16}'),
+  ('secret', 8, '(?:[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY)[\x20"'']{0,3}[=:][\x20"'']{0,3}[A-Za-z0-9+/_.-]{8,}')),
 docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 found AS (SELECT r, t, kind, ord, regexp_extract_all(t, pattern) AS ms, string_split_regex(t, pattern) AS gs FROM docs, kinds),
 each AS (SELECT r, t, kind, ord, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, generate_subscripts(ms, 1) AS i FROM found WHERE len(ms) > 0),
@@ -51,7 +53,9 @@ placed AS (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS d, replace(m, ' ',
     CAST(sum(length(g) + length(m)) OVER (PARTITION BY r, kind ORDER BY i) AS BIGINT) AS stop FROM each),
 near AS (SELECT *, stop - length(m) AS start,
     lower(substr(t, greatest(stop - length(m) - 39, 1), least(stop - length(m), 40)) || ' ' || substr(t, stop + 1, 40)) AS around FROM placed),
-spans AS (SELECT r, kind, ord, start, stop FROM near WHERE CASE kind
+spans AS (SELECT r, kind, ord, start, stop, CASE kind WHEN 'email' THEN 0.8 WHEN 'ip' THEN 0.7 WHEN 'card' THEN 0.8 WHEN 'phone' THEN 0.7 WHEN 'iban' THEN 0.8 WHEN 'ssn' THEN 0.3 WHEN 'key' THEN 0.8 ELSE 0.6 END
+    + CASE WHEN regexp_matches(around, CASE kind WHEN 'email' THEN 'mail|contact|write to' WHEN 'ip' THEN '\bip\b|address|host|server' WHEN 'card' THEN 'card|visa|amex|payment' WHEN 'phone' THEN 'tel|phone|call|mobile|fax'
+      WHEN 'iban' THEN 'iban|account|bank|konto' WHEN 'ssn' THEN 'ssn|social security' WHEN 'key' THEN 'key|access|credential' ELSE 'login|user|credential|auth' END) THEN 0.2 ELSE 0 END AS score FROM near WHERE CASE kind
   WHEN 'email' THEN true
   WHEN 'ip' THEN len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(ltrim(x, '0') AS INTEGER), 0) > 255)) = 0
   WHEN 'card' THEN length(d) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda i:
@@ -59,13 +63,17 @@ spans AS (SELECT r, kind, ord, start, stop FROM near WHERE CASE kind
   WHEN 'phone' THEN length(d) BETWEEN 9 AND 15
   WHEN 'iban' THEN length(p) BETWEEN 15 AND 34 AND list_reduce(list_transform(string_split(p[5:] || p[1:4], ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END),
       lambda a, c: (a * CASE WHEN c > 9 THEN 100 ELSE 10 END + c) % 97) = 1
-  ELSE regexp_matches(around, 'ssn|social security') END),
+  WHEN 'ssn' THEN regexp_matches(around, 'ssn|social security')
+  WHEN 'secret' THEN regexp_matches(regexp_extract(m, '[A-Za-z0-9+/_.-]+$'), '[0-9]') AND regexp_matches(regexp_extract(m, '[A-Za-z0-9+/_.-]+$'), '[A-Za-z]')
+  ELSE true END),
 listed AS (SELECT r, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card,
     count(*) FILTER (kind = 'phone') AS n_phone, count(*) FILTER (kind = 'iban') AS n_iban, count(*) FILTER (kind = 'ssn') AS n_ssn,
+    count(*) FILTER (kind = 'key') AS n_key, count(*) FILTER (kind = 'secret') AS n_secret, count(*) AS n_spans, string_agg(CAST(CAST(score AS DECIMAL(3, 2)) AS VARCHAR), ',' ORDER BY ord, start) AS scores,
     string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY ord, start) FILTER (ord <= 4) AS base,
     string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY ord, start) AS spans FROM spans GROUP BY r)
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_iban, 0) AS n_iban, coalesce(n_ssn, 0) AS n_ssn
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_iban, 0) AS n_iban, coalesce(n_ssn, 0) AS n_ssn,
+  coalesce(scores, '') AS scores, coalesce(n_key, 0) AS n_key, coalesce(n_secret, 0) AS n_secret, coalesce(n_spans, 0) AS n_spans
 FROM docs LEFT JOIN listed USING (r)
 """
 
