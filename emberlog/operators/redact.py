@@ -1,8 +1,9 @@
-"""Reversible pseudonyms for identifiers in text columns.
+"""Reversible pseudonyms for identifiers in text columns, JSON texts among them.
 
-The mapping is a DataFrame (value, token, kind, shown): every distinct identifier gets a number of its kind.
-Rows are rewritten with the mapping of the identifiers that they hold, joined by value, so the
-mapping may be as large as it likes and is never written anywhere.
+The mapping is a DataFrame (value, token, kind, restored): every distinct identifier gets a number of its kind.
+Rows are rewritten with the mapping of the identifiers that they hold, so the mapping may be as large as it likes and is never
+written anywhere.  What the patterns find is joined by value.  Bare names are joined by their longest run of letters and digits, which a text
+that holds the name has as a word of its own.  A text is rewritten in one pass, so that no token is replaced again.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ def bare_name(arn: Column) -> Column:
 
 
 def mapping(texts: DataFrame, column: str, names: DataFrame | None = None, name_kind: str = "PRINCIPAL") -> DataFrame:
-    """(value, token, kind, restored) of all identifiers in a text column, and of bare names (name).
+    """(value, token, kind, restored) of all identifiers in a text column, and of bare names (name, and kind where there is one).
 
     A bare name shares the token of the ARN that holds it; the ARN is what the token is restored to.
     Tokens are numbered by kind: within slices of the values' hashes, with the slices' sizes added up.
@@ -54,8 +55,9 @@ def mapping(texts: DataFrame, column: str, names: DataFrame | None = None, name_
     owned = arns.filter("name IS NOT NULL").groupBy("name").agg(F.min_by(F.struct("value", "kind"), "value").alias("o"))
     bare = owned.select("name", F.col("o.value").alias("owner"), F.col("o.kind").alias("kind"))
     if names is not None:
-        given = names.select("name").filter(F.length("name") >= 3).distinct()
-        bare = bare.join(given, "name", "full_outer").select("name", F.coalesce("owner", "name").alias("owner"), F.coalesce("kind", F.lit(name_kind)).alias("kind"))
+        own = F.col("kind") if "kind" in names.columns else F.lit(name_kind)
+        given = names.filter(F.length("name") >= 3).groupBy("name").agg(F.min(own).alias("__kind"))
+        bare = bare.join(given, "name", "full_outer").select("name", F.coalesce("owner", "name").alias("owner"), F.coalesce("kind", "__kind").alias("kind"))
     keys = arns.join(bare.select("name", "owner"), "name", "left").select("value", "kind", F.coalesce("owner", "value").alias("owner"))
     keys = keys.union(bare.select(F.col("name").alias("value"), "kind", "owner"))
     return keys.join(numbered(keys.select("owner", "kind").distinct(), "kind", "owner"), ["owner", "kind"]).select("value", F.concat_ws("-", "kind", F.col("number").cast("string")).alias("token"), "kind", F.col("owner").alias("restored")).dropDuplicates(["value"])
@@ -71,67 +73,83 @@ def numbered(rows: DataFrame, kind: str, value: str, slices: int = 64) -> DataFr
     return r.withColumn("__own", own).join(F.broadcast(size), [kind, "__slice"]).withColumn("number", F.col("__ahead") + F.col("__own")).drop("__slice", "__own", "__ahead")
 
 
-def _replaced(text: Column, pairs: Column, bounded: bool) -> Column:
-    """Applies (old, new) pairs in order; bounded ones only between characters that aren't letters or digits."""
+_OUTSIDE = "[A-Za-z0-9]"  #: bare names stand between other characters than these
 
-    def step(s: Column, p: Column) -> Column:
-        if not bounded:
-            return F.replace(s, p["old"], p["new"])
-        return F.regexp_replace(s, F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), p["old"], F.lit(r"\E(?![A-Za-z0-9])")), p["new"])
 
-    return F.aggregate(pairs, text, step)
+def _rewritten(text: Column, pattern: Column, pairs: Column) -> Column:
+    """The text with what the pattern finds replaced by the (old, new) pairs; what has no pair stays."""
+    known = F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["old"], p["new"])))
+    found = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: F.coalesce(F.try_element_at(known, m), m))
+    return F.array_join(F.zip_with(F.split(text, pattern, -1), found, lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
 
 
-def _with_pairs(rows: DataFrame, key: str, column: str, held: Column, pairs: DataFrame, more: DataFrame | None = None) -> DataFrame:
-    """Joins each row with the (old, new) pairs of what it holds, and of ``more`` (key, old), the longest first."""
-    each = rows.select(key, F.explode(held).alias("old"))
-    each = (each if more is None else each.union(more)).join(pairs, "old")
-    order = F.struct((-F.length("old")).alias("long"), "old", "new")
-    return rows.join(each.groupBy(key).agg(F.array_sort(F.collect_set(order)).alias("__pairs")), key, "left")
+def _probe(name: Column) -> Column:
+    """The longest run of letters and digits of a name, or else its first character."""
+    runs = F.array_sort(F.transform(F.regexp_extract_all(name, F.lit(f"{_OUTSIDE}+"), F.lit(0)), lambda r: F.struct((-F.length(r)).alias("long"), r.alias("run"))))
+    return F.coalesce(F.get(runs, F.lit(0))["run"], F.substring(name, 1, 1))
 
 
-def _parts(piece: Column) -> Column:
-    """A piece, cut where letters and digits meet other marks."""
-    return F.split(piece, r"(?<=[A-Za-z0-9])(?=[^A-Za-z0-9])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])")
+def _with_pairs(rows: DataFrame, key: str, each: DataFrame) -> DataFrame:
+    """Adds ``__pairs``, the longest first, out of each (key, old, new, bare)."""
+    each = each.groupBy(key, "old").agg(F.max("new").alias("new"), F.max("bare").alias("bare"))
+    order = F.struct((-F.length("old")).alias("long"), "old", "new", "bare")
+    return rows.join(each.groupBy(key).agg(F.array_sort(F.collect_list(order)).alias("__pairs")), key, "left")
 
 
-def _runs(piece: Column, longest: Column) -> Column:
-    """The runs of a piece's parts, of ``longest`` parts at most."""
-    parts = _parts(piece)
-    n = F.size(parts)
-    from_here = lambda i: F.transform(F.sequence(F.lit(1), F.least(n - i, longest)), lambda k: F.array_join(F.slice(parts, i + 1, k), ""))
-    return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), from_here))
+def redact(rows: DataFrame, key: str, column: str, tokens: DataFrame) -> DataFrame:
+    """The rows with the identifiers in ``column`` replaced; ``key`` is unique."""
+    text = F.coalesce(column, F.lit(""))
+    values = rows.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)))).alias("old"))
+    values = values.join(tokens.select(F.col("value").alias("old"), F.col("token").alias("new")), "old").select(key, "old", "new", F.lit(False).alias("bare"))
+    names = tokens.filter(~F.col("value").rlike(f"^(?:{_ANY})\\z")).select(F.col("value").alias("old"), F.col("token").alias("new"), _probe(F.col("value")).alias("probe"))
+    words = rows.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s){_OUTSIDE}+|."), F.lit(0)))).alias("probe"))
+    joined = _with_pairs(rows, key, values.union(words.join(names, "probe").select(key, "old", "new", F.lit(True).alias("bare"))))
+    joined = joined.withColumn("__pairs", F.filter("__pairs", lambda p: ~p["bare"] | F.contains(F.col(column), p["old"])))
+    bare = F.transform(F.filter("__pairs", lambda p: p["bare"]), lambda p: F.replace(p["old"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")))
+    pattern = F.when(F.size(bare) > 0, F.concat(F.lit(f"{_ANY}|(?<!{_OUTSIDE})(?:\\Q"), F.array_join(bare, "\\E|\\Q"), F.lit(f"\\E)(?!{_OUTSIDE})"))).otherwise(_ANY)
+    return joined.withColumn(column, F.when(F.size("__pairs") > 0, _rewritten(F.col(column), pattern, F.col("__pairs"))).otherwise(F.col(column))).drop("__pairs")
 
 
-def _other_names(rows: DataFrame, key: str, column: str, names: DataFrame) -> DataFrame:
-    """(key, old): the names (value) of any characters that a row's text contains.
+_TOKEN = r"(?<![A-Za-z0-9])(?:PRINCIPAL|ROLE|BUCKET|FUNCTION|RESOURCE|TRAIL|KEY|ACCOUNT|IP-PRIVATE|IP)-\d+(?![A-Za-z0-9])"
 
-    A name is looked up by its first run of ASCII letters and digits, or else its first character.  As names are
-    only replaced between other characters than these, a text that holds a name holds that run as one of its own.
-    """
-    run = F.regexp_extract("value", "[A-Za-z0-9]+", 0)
-    named = names.select("value", F.when(run != "", run).otherwise(F.regexp_extract("value", "(?s)^.", 0)).alias("__word"))
-    words = rows.select(key, F.col(column).alias("__text"), F.explode(F.array_distinct(F.regexp_extract_all(column, F.lit("(?s)[A-Za-z0-9]+|[^A-Za-z0-9]"), F.lit(0)))).alias("__word"))
-    return words.join(named, "__word").filter(F.contains("__text", "value")).select(key, F.col("value").alias("old"))
 
+def restore(rows: DataFrame, key: str, column: str, tokens: DataFrame) -> DataFrame:
+    held = rows.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(_TOKEN), F.lit(0)))).alias("old"))
+    back = tokens.groupBy(F.col("token").alias("old")).agg(F.max("restored").alias("new"))
+    joined = _with_pairs(rows, key, held.join(back, "old").select(key, "old", "new", F.lit(False).alias("bare")))
+    return joined.withColumn(column, F.when(F.size("__pairs") > 0, _rewritten(F.col(column), F.lit(_TOKEN), F.col("__pairs"))).otherwise(F.col(column))).drop("__pairs")
 
-def redact(rows: DataFrame, key: str, column: str, tokens: DataFrame) -> DataFrame:
-    """The rows with the identifiers in ``column`` replaced; ``key`` is unique."""
-    plain = F.col("value").rlike(r"^[A-Za-z0-9_@=+.-]+\z")
-    longest = tokens.filter(plain).agg(F.coalesce(F.max(F.size(_parts(F.col("value")))), F.lit(1)).alias("__longest"))
-    pieces = F.split(F.regexp_replace(F.coalesce(column, F.lit("")), r"[^A-Za-z0-9_@=+.-]+", " "), " ")
-    runs = F.flatten(F.transform(F.array_distinct(pieces), lambda p: _runs(p, F.col("__longest"))))
-    held = F.array_distinct(F.concat(F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(_ANY), F.lit(0)), runs))
-    others = _other_names(rows, key, column, tokens.filter(~plain & ~F.col("value").rlike(f"^(?:{PATTERNS[0][1]})\\z")))
-    joined = _with_pairs(rows.crossJoin(F.broadcast(longest)), key, column, held, tokens.select(F.col("value").alias("old"), F.col("token").alias("new")), others)
-    return joined.withColumn(column, F.when(F.col("__pairs").isNotNull(), _replaced(F.col(column), F.col("__pairs"), True)).otherwise(F.col(column))).drop("__pairs", "__longest")
 
+# The members of JSON texts that hold a bare name.
+NAME_FIELDS = (
+    "userName", "UserName", "roleName", "RoleName", "principalName", "sessionName", "user_name", "role_name",
+    "trailName", "TrailName", "name", "Name", "functionName", "FunctionName",
+)
 
-def restore(rows: DataFrame, key: str, column: str, tokens: DataFrame) -> DataFrame:
-    held = F.array_distinct(F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(r"(?<![A-Za-z0-9])(?:PRINCIPAL|ROLE|BUCKET|FUNCTION|RESOURCE|TRAIL|KEY|ACCOUNT|IP-PRIVATE|IP)-\d+(?![A-Za-z0-9])"), F.lit(0)))
-    back = tokens.groupBy(F.col("token").alias("old")).agg(F.max("restored").alias("new"))
-    joined = _with_pairs(rows, key, column, held, back)
-    return joined.withColumn(column, F.when(F.col("__pairs").isNotNull(), _replaced(F.col(column), F.col("__pairs"), False)).otherwise(F.col(column))).drop("__pairs")
+
+def harvested(texts: DataFrame, column: str) -> DataFrame:
+    """(name, kind): the bare names of three characters or more in the name fields of JSON texts, at any depth; the kind follows from the field."""
+    member = rf'"({"|".join(NAME_FIELDS)})"\s*:\s*"((?:[^"\\]|\\.)*)"'
+    part = lambda i: F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(member), F.lit(i))
+    each = texts.select(F.explode(F.arrays_zip(part(1).alias("field"), part(2).alias("name"))).alias("m")).select(F.lower("m.field").alias("field"), _unescaped(F.col("m.name")).alias("name"))
+    field = F.col("field")
+    kind = F.when(field.contains("role"), "ROLE").when(field.contains("trail"), "TRAIL").when(field.contains("function"), "FUNCTION").when(field == "name", "RESOURCE").otherwise("PRINCIPAL")
+    return each.filter(F.length("name") >= 3).groupBy("name").agg(F.min(kind).alias("kind"))
+
+
+def _unescaped(text: Column) -> Column:
+    return F.get_json_object(F.concat(F.lit('{"v":"'), text, F.lit('"}')), "$.v")
+
+
+def redact_json(rows: DataFrame, key: str, column: str, tokens: DataFrame) -> DataFrame:
+    """The same for JSON texts, keys and values at any depth.
+
+    Texts are written anew first, so that no escape hides an identifier; a text that is no JSON is taken as it stands.  Names
+    are looked for as JSON spells them.
+    """
+    plain = rows.withColumn(column, F.coalesce(F.to_json(F.try_parse_json(column)), F.col(column)))
+    spelt = F.expr("substring(to_json(named_struct('v', value)), 7, length(to_json(named_struct('v', value))) - 8)")
+    return redact(plain, key, column, tokens.union(tokens.withColumn("value", spelt)).dropDuplicates(["value"]))
 
 
 def mapping_summary(tokens: DataFrame) -> DataFrame:
