@@ -42,19 +42,25 @@ def timelines(events: DataFrame, phases: dict[str, tuple[str, ...]] = rules.PHAS
     )
 
 
-def positions(events: DataFrame, time: str = TIME, digits: int = 13) -> DataFrame:
-    """Adds ``upto`` and ``before``: how many rows have a time not after, and before, this one's.
+def counts_at(events: DataFrame, times: DataFrame, time: str = TIME) -> DataFrame:
+    """(at, upto, before): how many events have a time not after, and before, each of the distinct times (at).
 
-    Rows are ranked within the hour that the first ``digits`` characters of the time give; sums
-    over the hours come on top, so no task sorts more than an hour.
+    Times are texts.  Events are counted by their first 19 characters (the second), where tasks combine; within the seconds of the times asked for
+    they are counted by whole times.  Running sums go over those counts: by time within a second, by second within an hour, by hour.
     """
-    e = events.withColumn("__hour", F.substring(time, 1, digits))
-    total = e.filter(F.col(time).isNotNull()).groupBy("__hour").agg(F.count("*").alias("__n"))
-    total = total.withColumn("__ahead", F.coalesce(F.sum("__n").over(Window.orderBy("__hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    within = Window.partitionBy("__hour").orderBy(time).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    same = Window.partitionBy("__hour", time)
-    e = e.withColumn("__upto", F.count(time).over(within)).withColumn("__same", F.count(time).over(same)).join(total, "__hour", "left")
-    return e.withColumns({"upto": F.col("__ahead") + F.col("__upto"), "before": F.col("__ahead") + F.col("__upto") - F.col("__same")}).drop("__hour", "__upto", "__same", "__ahead")
+    stamp = events.select(F.col(time).alias("at")).filter("at IS NOT NULL").withColumns({"second": F.substring("at", 1, 19), "hour": F.substring("at", 1, 13)})
+    ahead = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    sum_ahead = lambda *by: F.coalesce(F.sum("n").over(ahead(*by)), F.lit(0))
+    seconds = stamp.groupBy("hour", "second").agg(F.count("*").alias("n"))
+    hours = seconds.groupBy("hour").agg(F.sum("n").alias("n")).withColumn("in_hours", sum_ahead("hour")).drop("n")  # a row for each hour of the log
+    asked = times.select("at").distinct().withColumns({"second": F.substring("at", 1, 19), "hour": F.substring("at", 1, 13)})
+    seconds = seconds.join(asked.select("hour").distinct(), "hour", "left_semi").withColumn("in_seconds", sum_ahead("hour", "second")).drop("n")
+    whole = stamp.join(asked.select("second").distinct(), "second", "left_semi").groupBy("second", "at").agg(F.count("*").alias("n"))
+    # the times asked for are events' own times, so they are among the counted ones
+    whole = whole.withColumn("in_second", sum_ahead("second", "at"))
+    found = asked.join(whole, ["second", "at"]).join(seconds, ["hour", "second"]).join(hours, "hour")
+    before = F.col("in_hours") + F.col("in_seconds") + F.col("in_second")
+    return found.select("at", (before + F.col("n")).alias("upto"), before.alias("before"))
 
 
 def gap_resource() -> Column:
@@ -68,23 +74,26 @@ def logging_gaps(events: DataFrame, disable: Sequence[str] = rules.DISABLE, enab
     all events strictly inside a closed window, whoever caused them.
     """
     name = F.col("event_name")
-    ranked = positions(events.withColumn("resource", resource if resource is not None else gap_resource()))
-    turns = ranked.filter(name.isin(*disable, *enable)).withColumns({"account": F.coalesce("account", F.lit("")), "region": F.coalesce("region", F.lit(""))})
+    turns = events.filter(name.isin(*disable, *enable)).withColumn("resource", resource if resource is not None else gap_resource())
+    turns = turns.select("row_id", TIME, "event_ts", "event_name", "resource", F.coalesce("account", F.lit("")).alias("account"), F.coalesce("region", F.lit("")).alias("region"), actor_of().alias("disabled_by"))
     w = Window.partitionBy("account", "region", "resource").orderBy(F.coalesce(TIME, F.lit("")), "row_id")
     nxt = lambda c: F.lead(c).over(w)
-    pairs = turns.withColumns({"next_name": nxt("event_name"), "end": nxt(TIME), "end_ts": nxt("event_ts"), "end_before": nxt("before")}).filter(name.isin(*disable))
+    pairs = turns.withColumns({"next_name": nxt("event_name"), "end": nxt(TIME), "end_ts": nxt("event_ts")}).filter(name.isin(*disable))
     pairs = pairs.filter(F.col("next_name").isNull() | F.col("next_name").isin(*enable))
+    ends = pairs.filter("next_name IS NOT NULL").select(F.explode(F.array(TIME, "end")).alias("at")).filter("at IS NOT NULL")
+    at = counts_at(events, ends)
+    pairs = pairs.join(at.select(F.col("at").alias(TIME), "upto"), TIME, "left").join(at.select(F.col("at").alias("end"), "before"), "end", "left")
     return pairs.select(
         F.col(TIME).alias("start"),
         "end",
         minutes_between(F.col("event_ts"), F.col("end_ts")).alias("duration_minutes"),
-        actor_of().alias("disabled_by"),
+        "disabled_by",
         F.col("event_name").alias("disable_event"),
         "resource",
         "account",
         "region",
         F.col("next_name").isNull().alias("still_open"),
-        F.when(F.col("next_name").isNull(), F.lit(0)).otherwise(F.greatest(F.col("end_before") - F.col("upto"), F.lit(0))).cast("bigint").alias("events_during_gap"),
+        F.when(F.col("next_name").isNull(), F.lit(0)).otherwise(F.greatest(F.coalesce(F.col("before") - F.col("upto"), F.lit(0)), F.lit(0))).cast("bigint").alias("events_during_gap"),
     )
 
 
@@ -101,12 +110,17 @@ def followers(events: DataFrame, access: Sequence[str] = rules.ACCESS, escalatio
     """(access event, escalation event) of one actor, the second after the first and within the window.
 
     The band join runs on buckets as long as the window: an event meets its own bucket and the next, so an actor
-    with very many events is dealt over its buckets.  A row without a readable time between the two ends the search.
+    with very many events is dealt over its buckets.  A row without a readable time between the two ends the search: ``torn`` numbers the stretches
+    between such rows, counted within each hour of an actor, with the hours' own sums added.
     """
-    rows = events.withColumn("actor_key", actor_of()).filter("actor_key <> ''")
-    torn = F.count_if(F.col("event_ts").isNull()).over(Window.partitionBy("actor_key").orderBy(F.coalesce(TIME, F.lit("")), "row_id"))
-    name = F.col("event_name")
-    rows = rows.withColumn("torn", torn).filter(name.isin(*access, *escalation) & F.col("event_ts").isNotNull())
+    name, unread = F.col("event_name"), F.col("event_ts").isNull()
+    rows = events.withColumn("actor_key", actor_of()).filter((F.col("actor_key") != "") & (name.isin(*access, *escalation) | unread))
+    rows = rows.select("actor_key", TIME, "row_id", "event_name", "account", "region", "event_ts", F.substring(F.coalesce(TIME, F.lit("")), 1, 13).alias("hour"))
+    hours = rows.groupBy("actor_key", "hour").agg(F.count_if(unread).alias("n"))
+    ahead = Window.partitionBy("actor_key").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
+    within = F.count_if(unread).over(Window.partitionBy("actor_key", "hour").orderBy(F.coalesce(TIME, F.lit("")), "row_id"))
+    rows = rows.withColumn("within", within).filter(~unread).join(hours, ["actor_key", "hour"]).withColumn("torn", F.col("ahead") + F.col("within"))
     micros = minutes * 60_000_000
     rows = rows.select("actor_key", "torn", TIME, "row_id", "event_name", "account", "region", F.unix_micros("event_ts").alias("at")).withColumn("bucket", F.floor(F.col("at") / micros))
     side = lambda df, p: df.select([F.col(c).alias(f"{p}_{c}") for c in df.columns])
@@ -139,17 +153,15 @@ def session_chains(events: DataFrame, after_mint_only: bool = False, listed: int
     joined = origin.join(done, "key", "left").withColumn("own", F.col("row_id").isNotNull() & (F.col("row_id") != F.col("mint_row")))
     if after_mint_only:
         joined = joined.withColumn("own", F.col("own") & (F.col("time") >= F.col("assumed_at")))
-    # the first ones of each key by rank, so that no list grows with a session
-    rank = F.row_number().over(Window.partitionBy("key", "own").orderBy("time", "row_id"))
-    joined = joined.withColumn("rank", rank)
     notable = F.col("event").isin(*rules.ESCALATION, *rules.DISABLE, *rules.EXFILTRATION)
     own = F.col("own")
-    step = F.struct("time", "row_id", "event", "account", "region")
-    return joined.groupBy("key", "assumed_by", "assumed_at", "role", "source_ip").agg(
-        F.count_if(own).alias("action_count"),
-        F.array_sort(F.collect_list(F.when(own & (F.col("rank") <= listed), step))).alias("actions"),
-        F.array_sort(F.collect_set(F.when(own & notable, F.col("event")))).alias("notable"),
-    ).withColumn("session_key", F.when(F.length("key") > 8, F.concat(F.substring("key", 1, 8), F.lit("..."))).otherwise(F.col("key")))
+    about = joined.groupBy("key", "assumed_by", "assumed_at", "role", "source_ip").agg(F.count_if(own).alias("action_count"), F.array_sort(F.collect_set(F.when(own & notable, F.col("event")))).alias("notable"))
+    # the first ones of each key by rank: tasks send no more than those on, and no list grows with a session
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("time", "row_id"))
+    first = joined.filter(own).select("key", "time", "row_id", "event", "account", "region").withColumn("rank", rank).filter(F.col("rank") <= listed)
+    first = first.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("time", "row_id", "event", "account", "region"))).alias("actions"))
+    out = about.join(first, "key", "left").withColumn("actions", F.coalesce("actions", F.array().cast(first.schema["actions"].dataType)))
+    return out.withColumn("session_key", F.when(F.length("key") > 8, F.concat(F.substring("key", 1, 8), F.lit("..."))).otherwise(F.col("key")))
 
 
 def attack_patterns(events: DataFrame, weight: str = "rows") -> DataFrame:
@@ -193,7 +205,9 @@ def link_findings(findings: DataFrame, lines: DataFrame, by_short_name: bool = F
     best = F.min(F.struct("first_seen", "actor"))["actor"]
     exact = keys.join(named, "key").groupBy("finding_id").agg(best.alias("actor"), F.lit("principal").alias("matched_by"))
     rest = findings.join(exact, "finding_id", "left_anti").select("finding_id", F.explode("ips").alias("ip")).distinct()
-    by_ip = rest.join(lines.select("actor", "first_seen", F.explode("source_ips").alias("ip")), "ip").groupBy("finding_id").agg(best.alias("actor"), F.lit("address").alias("matched_by"))
+    # one actor for each address first, so that a shared address meets each finding once
+    seen = lines.select(F.struct("first_seen", "actor").alias("who"), F.explode("source_ips").alias("ip")).groupBy("ip").agg(F.min("who").alias("who"))
+    by_ip = rest.join(seen, "ip").groupBy("finding_id").agg(F.min("who")["actor"].alias("actor"), F.lit("address").alias("matched_by"))
     return exact.union(by_ip)
 
 

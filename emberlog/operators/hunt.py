@@ -32,7 +32,8 @@ def hunt_events(events: DataFrame, suspects: DataFrame | None = None, table: Dat
     suspects: (actor); compared without case.  table: mechanisms, a row for each event name.
     """
     spark = events.sparkSession
-    hit = events.join(F.broadcast(table if table is not None else mechanisms(spark)), "event_name").withColumn("actor_key", actor_of(principal=False))
+    # the built-in table is small; of a given one Spark knows the size
+    hit = events.join(table if table is not None else F.broadcast(mechanisms(spark)), "event_name").withColumn("actor_key", actor_of(principal=False))
     if suspects is None:
         hit = hit.withColumn("suspect", F.lit(False))
     else:
@@ -89,8 +90,8 @@ def recent_users(users: DataFrame, cutoff: str) -> DataFrame:
     return _state(users.filter(F.col("create_date") >= F.lit(cutoff).cast("timestamp")), "iam_backdoor", "T1136.003", "Create Account: Cloud Account", F.lit("high"), F.col("user_name"), F.concat(F.lit("IAM user created recently: "), F.col("user_name")), F.col("create_date"))
 
 
-def many_keys(keys: DataFrame, most_users: int | None = 500) -> DataFrame:
-    """Users with more than one active key, of the first users of each account by name; None takes all.
+def many_keys(keys: DataFrame, most_users: int | None = None) -> DataFrame:
+    """Users with more than one active key; ``most_users`` takes the first users of each account by name only.
 
     keys: (account, user_name, access_key_id, status).
     """

@@ -69,7 +69,10 @@ def indicators_in(text: Column, hashes: bool = True) -> Column:
 def event_indicators(events: DataFrame) -> DataFrame:
     """(kind, value, context): of source addresses; one that isn't an address may hold domains. The first event wins."""
     dotted = F.col("source_ip").rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
-    address = F.when(routable("source_ip"), F.array(F.struct(F.lit("ip").alias("kind"), F.lower("source_ip").alias("value"))))
+    ip = F.col("source_ip")
+    # only addresses with colons reach Python
+    public = F.when(ip.contains(":"), routable(F.when(ip.contains(":"), ip))).otherwise(routable_ipv4(ip))
+    address = F.when(public, F.array(F.struct(F.lit("ip").alias("kind"), F.lower("source_ip").alias("value"))))
     domains = F.when(~dotted, F.filter(indicators_in(F.col("source_ip"), hashes=False), lambda i: i["kind"] == "domain"))
     found = events.filter("source_ip <> ''").select("event_time", "row_id", F.concat(F.col("event_name"), F.lit(" by "), F.coalesce(F.nullif("actor.arn", F.lit("")), F.nullif("actor.user_name", F.lit("")), F.lit("unknown"))).alias("context"), F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(address, domains))))).alias("i"))
     return found.groupBy("i.kind", "i.value").agg(F.min_by("context", F.struct("event_time", "row_id")).alias("context"))
@@ -99,14 +102,13 @@ def group_name(gid: Column) -> Column:
     return F.coalesce(*[F.when(gid == g, name) for g, name, _, _ in rules.THREAT_GROUPS])
 
 
-def enrich(indicators: DataFrame, feed: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
+def enrich(indicators: DataFrame, feed: DataFrame) -> DataFrame:
     """Indicators with what the feeds say: highest confidence, all groups, categories and feeds.
 
-    feed: (feed, kind, indicator, confidence, category, description, group_id).
+    feed: (feed, kind, indicator, confidence, category, description, group_id); Spark broadcasts it if its size is below the threshold.
     """
-    small = feed.count() <= broadcast_rows
     f = feed.select(F.col("kind"), F.col("indicator").alias("value"), "feed", "confidence", "category", "group_id")
-    hits = indicators.join(F.broadcast(f) if small else f, ["kind", "value"], "left")
+    hits = indicators.join(f, ["kind", "value"], "left")
     sets = lambda c: F.array_sort(F.collect_set(c))
     return hits.groupBy("kind", "value").agg(
         F.first("context").alias("context"),

@@ -24,25 +24,36 @@ def allowlist(groups: Sequence[str] = rules.DEFAULT_GROUPS, extra: dict[str, tup
     return tuple(dict.fromkeys(names if strict else [*names, *rules.LOGGING_RESTORE, *rules.CORRELATED_ONLY]))
 
 
+def is_in_window(start: str, end: str) -> Column:
+    return F.col("event_ts").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"))
+
+
 def in_window(events: DataFrame, start: str, end: str) -> DataFrame:
     """Tier 1: both ends belong to the window."""
-    return events.filter(F.col("event_ts").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")))
+    return events.filter(is_in_window(start, end))
+
+
+def has_name(names: Sequence[str]) -> Column:
+    return F.col("event_name").isin(*names)
 
 
 def with_names(events: DataFrame, names: Sequence[str]) -> DataFrame:
     """Tier 2."""
-    return events.filter(F.col("event_name").isin(*names))
+    return events.filter(has_name(names))
 
 
-def with_actors(events: DataFrame, parts: Sequence[str]) -> DataFrame:
-    """Tier 3: actors that contain any of the parts; case counts, and no parts keep all."""
+def has_actor(parts: Sequence[str]) -> Column:
     if not parts:
-        return events
-    actor = actor_of()
-    hit = F.lit(False)
+        return F.lit(True)
+    actor, hit = actor_of(), F.lit(False)
     for p in parts:
         hit = hit | actor.contains(p)
-    return events.filter((actor != "") & hit)
+    return (actor != "") & hit
+
+
+def with_actors(events: DataFrame, parts: Sequence[str]) -> DataFrame:
+    """Tier 3: actors that contain any of the parts; case counts, and no parts keep all."""
+    return events.filter(has_actor(parts))
 
 
 def collapse_runs(events: DataFrame) -> DataFrame:
@@ -50,21 +61,13 @@ def collapse_runs(events: DataFrame) -> DataFrame:
 
     Alike: same name, actor, address, account and region, over the whole input.
     """
-    alike = [F.coalesce(c, F.lit("")) for c in (F.col("event_name"), actor_of(), F.col("source_ip"), F.col("account"), F.col("region"))]
-    order = [F.coalesce("event_time", F.lit("")), F.col("row_id")]
-    w = Window.partitionBy(*alike)
-    ranked = events.withColumns({"__n": F.count("*").over(w), "__up": F.row_number().over(w.orderBy(*order))})
-    # the times at the ends need no second sort: the window over the whole group has them
-    ranked = ranked.withColumns({"__from": F.min(F.struct(*order)).over(w), "__to": F.max(F.struct(*order)).over(w)})
-    first, long = F.col("__up") == 1, F.col("__n") > 2
-    kept = ranked.filter(~long | first | (F.col("__up") == F.col("__n")))
-    marked = long & first
-    return kept.withColumns(
-        {
-            "repeat_count": F.when(marked, F.col("__n")).otherwise(F.col("repeat_count")),
-            "repeat_window": F.when(marked, F.array(F.col("__from")["col1"], F.col("__to")["col1"])).otherwise(F.col("repeat_window")),
-        }
-    ).drop("__n", "__up", "__from", "__to")
+    alike = [F.coalesce(c, F.lit("")).alias(f"__k{i}") for i, c in enumerate((F.col("event_name"), actor_of(), F.col("source_ip"), F.col("account"), F.col("region")))]
+    # tasks combine: of each group a count and its two ends are sent on, however long the run is
+    row = F.struct(F.coalesce("event_time", F.lit("")).alias("at"), F.col("row_id").alias("id"), F.struct("*").alias("row"))
+    runs = events.groupBy(*alike).agg(F.count("*").alias("n"), F.min(row).alias("first"), F.max(row).alias("last"))
+    window = F.when(F.col("n") > 2, F.array("first.at", "last.at"))
+    first = F.col("first.row").withField("repeat_count", F.coalesce(F.when(F.col("n") > 2, F.col("n")), F.col("first.row.repeat_count"))).withField("repeat_window", F.coalesce(window, F.col("first.row.repeat_window")))
+    return runs.select(F.inline(F.when(F.col("n") > 1, F.array(first, F.col("last.row"))).otherwise(F.array(first)))).select(*events.columns)
 
 
 def signal_rank(name: Column) -> Column:
@@ -147,20 +150,24 @@ def fit_budget(events: DataFrame, tokens: int = 40_000) -> DataFrame:
 
 def reduce_events(events: DataFrame, start: str, end: str, names: Sequence[str] | None = None, actors: Sequence[str] = (), tokens: int = 40_000) -> tuple[DataFrame, DataFrame]:
     """All five tiers: the selected events, and a row of counts."""
-    t1 = in_window(events, start, end)
-    t2 = with_names(t1, names if names is not None else allowlist())
-    t3 = with_actors(t2, actors)
+    steps = {"in_window": is_in_window(start, end), "allowed": has_name(names if names is not None else allowlist()), "scoped": has_actor(actors)}
+    t3 = events.filter(steps["in_window"] & steps["allowed"] & steps["scoped"])
     t4 = collapse_runs(t3)
     t5 = fit_budget(t4, tokens)
-    return t5, tier_counts({"raw": events, "in_window": t1, "allowed": t2, "scoped": t3, "collapsed": t4, "selected": t5})
-
-
-def tier_counts(tiers: dict[str, DataFrame]) -> DataFrame:
-    """One row: the count of each tier, and the share of the first that the last leaves out."""
-    first, *_, last = tiers
-    rows = None
-    for name, df in tiers.items():
-        one = df.select(F.lit(name).alias("tier"))
-        rows = one if rows is None else rows.union(one)
-    counts = rows.agg(*[F.count_if(F.col("tier") == n).alias(n) for n in tiers])
-    return counts.withColumn("reduction_ratio", F.when(F.col(first) > 0, F.round(1 - F.col(last) / F.col(first), 4)).otherwise(F.lit(0.0)))
+    return t5, tier_counts(events, steps, {"collapsed": t4, "selected": t5})
+
+
+def tier_counts(raw: DataFrame, steps: dict[str, Column], later: dict[str, DataFrame]) -> DataFrame:
+    """One row: the count of each tier, and the share of the first that the last leaves out.
+
+    steps: conditions that narrow ``raw`` one after the other, all counted in one pass; later: tiers that are no conditions.
+    """
+    passed, counts = F.lit(True), [F.count("*").alias("raw")]
+    for name, condition in steps.items():
+        passed = passed & condition
+        counts.append(F.count_if(passed).alias(name))
+    out = raw.agg(*counts)
+    for name, df in later.items():
+        out = out.crossJoin(df.agg(F.count("*").alias(name)))  # one row each
+    last = [*steps, *later][-1]
+    return out.withColumn("reduction_ratio", F.when(F.col("raw") > 0, F.round(1 - F.col(last) / F.col("raw"), 4)).otherwise(F.lit(0.0)))

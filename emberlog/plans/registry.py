@@ -77,10 +77,8 @@ def _(spark, sf_dir):
       round(1 - (SELECT CAST(coalesce(sum(least(c, 2)), 0) AS DOUBLE) FROM n) / (SELECT count(*) FROM e), 4) AS reduction_ratio""",
 )
 def _(spark, sf_dir):
-    t0 = events(spark, sf_dir)
-    t1 = reduce.in_window(t0, START, END)
-    t2 = reduce.with_names(t1, KEPT)
-    return reduce.tier_counts({"raw": t0, "in_window": t1, "allowed": t2, "collapsed": reduce.collapse_runs(t2)})
+    e, steps = events(spark, sf_dir), {"in_window": reduce.is_in_window(START, END), "allowed": reduce.has_name(KEPT)}
+    return reduce.tier_counts(e, steps, {"collapsed": reduce.collapse_runs(e.filter(steps["in_window"] & steps["allowed"]))})
 
 
 PHASES = {"access": ("signup",), "impact": ("purchase", "error"), "recon": ("view", "click")}

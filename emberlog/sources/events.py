@@ -62,8 +62,8 @@ def partition_filter(start: str, end: str, scheme: str) -> Column:
     return F.lit(True)
 
 
-def scan(table: DataFrame, adapter: Callable[[DataFrame], DataFrame], start: str, end: str, names: Sequence[str], accounts: Sequence[str] = (), regions: Sequence[str] = (), actors: Sequence[str] = (), row_cap: int | None = 20_000, scheme: str = "none") -> DataFrame:
-    """A bounded scan: partitions, times (both ends included), names, accounts, regions, parts of actors; oldest first up to a cap."""
+def scan(table: DataFrame, adapter: Callable[[DataFrame], DataFrame], start: str, end: str, names: Sequence[str], accounts: Sequence[str] = (), regions: Sequence[str] = (), actors: Sequence[str] = (), row_cap: int | None = None, scheme: str = "none") -> DataFrame:
+    """A bounded scan: partitions, times (both ends included), names, accounts, regions, parts of actors; with a cap the oldest rows."""
     e = adapter(table.filter(partition_filter(start, end, scheme)))
     e = e.filter(F.col("event_time").between(start, end) & F.col("event_name").isin(*names))
     for column, values in (("account", accounts), ("region", regions)):
