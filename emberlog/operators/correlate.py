@@ -221,6 +221,22 @@ def is_sequence() -> Column:
     return F.col("type").contains("AttackSequence") | (F.coalesce(F.size("signals"), F.lit(0)) > 0)
 
 
+def split_findings(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Single findings, and attack sequences."""
+    hit = F.coalesce(is_sequence(), F.lit(False))
+    return findings.filter(~hit), findings.filter(hit)
+
+
+def findings_summary(findings: DataFrame) -> DataFrame:
+    """Single findings in short."""
+    return split_findings(findings)[0].select("type", "severity", "title", "account", "region")
+
+
+def by_count(lines: DataFrame) -> DataFrame:
+    """Timelines, the busiest actors first; of equal ones those seen first."""
+    return lines.orderBy(F.desc("event_count"), "first_seen", "actor")
+
+
 def compromised_principals(chains: DataFrame, sessions: DataFrame, patterns: DataFrame) -> DataFrame:
     """Distinct principals behind chains, sessions with notable actions, and severe patterns."""
     found = chains.select("actor").union(sessions.filter(F.size("notable") > 0).select("assumed_by")).union(patterns.filter(F.col("severity").isin("critical", "high")).select("actor"))

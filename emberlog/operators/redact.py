@@ -141,15 +141,19 @@ def _unescaped(text: Column) -> Column:
     return F.get_json_object(F.concat(F.lit('{"v":"'), text, F.lit('"}')), "$.v")
 
 
+def plain_json(rows: DataFrame, column: str) -> DataFrame:
+    """The rows with JSON texts written anew, without escapes or spaces that aren't needed; a text that is no JSON stays."""
+    return rows.withColumn(column, F.coalesce(F.to_json(F.try_parse_json(column)), F.col(column)))
+
+
 def redact_json(rows: DataFrame, key: str, column: str, tokens: DataFrame) -> DataFrame:
     """The same for JSON texts, keys and values at any depth.
 
     Texts are written anew first, so that no escape hides an identifier; a text that is no JSON is taken as it stands.  Names
     are looked for as JSON spells them.
     """
-    plain = rows.withColumn(column, F.coalesce(F.to_json(F.try_parse_json(column)), F.col(column)))
     spelt = F.expr("substring(to_json(named_struct('v', value)), 7, length(to_json(named_struct('v', value))) - 8)")
-    return redact(plain, key, column, tokens.union(tokens.withColumn("value", spelt)).dropDuplicates(["value"]))
+    return redact(plain_json(rows, column), key, column, tokens.union(tokens.withColumn("value", spelt)).dropDuplicates(["value"]))
 
 
 def mapping_summary(tokens: DataFrame) -> DataFrame:

@@ -8,10 +8,10 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import StringType
 
 from emberlog import rules
-from emberlog.schema import actor_of
+from emberlog.schema import actor_of, truncated
 
 
 def allowlist(groups: Sequence[str] = rules.DEFAULT_GROUPS, extra: dict[str, tuple[str, ...]] | None = None, strict: bool = False) -> tuple[str, ...]:
@@ -76,47 +76,77 @@ def signal_rank(name: Column) -> Column:
     return F.when(name.isin(*rules.CRITICAL_EVENTS), 0).when(name.isin(*g["identity_mutation"]), 1).when(name.isin(*g["data_access"]), 2).when(name.isin(*g["persistence"]), 3).otherwise(4)
 
 
-def pruned(params: str | None, limit: int = 260) -> object:
-    """Request parameters as they go into a slim record."""
-    if not params:
-        return None
-    try:
-        value = json.loads(params)
-    except ValueError:
-        return params[:limit]
-    text = json.dumps(value)
-    if len(text) <= limit:
-        return value
-    if isinstance(value, dict):
-        short = {k: str(v) for k, v in list(value.items())[:8]}
-        return {k: v if len(v) <= 60 else v[:57] + "..." for k, v in short.items()}
-    return text[:limit]
-
-
-@F.pandas_udf(LongType())
-def _slim_length(rows: pd.DataFrame) -> pd.Series:
-    def length(r: dict) -> int:
-        slim = {
-            "eventTime": r["event_time"], "eventName": r["event_name"], "eventSource": r["event_source"], "awsRegion": r["region"],
-            "sourceIPAddress": r["source_ip"], "userAgent": r["user_agent"], "account": r["account"],
-            "actor": {"type": r["type"], "arn": r["arn"], "userName": r["user_name"]},
-            "accessKeyId": r["access_key_id"],
-            "responseElements": {"credentials": {"accessKeyId": r["minted_key_id"]}} if r["minted_key_id"] else None,
-            "errorCode": r["error_code"],
-            "requestParameters": pruned(r["request_params"]),
-            "repeatCount": int(r["repeat_count"]) if pd.notna(r["repeat_count"]) else None,
-            "repeatWindow": list(r["repeat_window"]) if r["repeat_window"] is not None else None,
-            "mfaAuthenticated": r["mfa_authenticated"],
-        }
-        return len(json.dumps({k: v for k, v in slim.items() if v is not None}))
-
-    return pd.Series([length(r) for r in rows.astype(object).where(rows.notna(), None).to_dict("records")], dtype="int64")
-
-
-def slim_cost() -> Column:
-    """Characters of the slim record of an event as JSON."""
-    plain = ["event_time", "event_name", "event_source", "region", "source_ip", "user_agent", "account", "access_key_id", "minted_key_id", "error_code", "request_params", "repeat_count", "repeat_window", "mfa_authenticated"]
-    return _slim_length(F.struct(*plain, "actor.type", "actor.arn", "actor.user_name"))
+PARAMS_LIMIT, MEMBERS, MEMBER_LIMIT = 260, 8, 60
+
+
+@F.pandas_udf(StringType())
+def _pruned(params: pd.Series) -> pd.Series:
+    """Texts that the JSON functions don't settle: long ones, numbers with fractions, and what is no JSON."""
+
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        try:
+            value = json.loads(text)
+        except ValueError:
+            value = text
+        full = json.dumps(value)
+        if len(full) > PARAMS_LIMIT:
+            short = lambda v: v if len(v) <= MEMBER_LIMIT else v[: MEMBER_LIMIT - 3] + "..."
+            value = {k: short(str(v)) for k, v in list(value.items())[:MEMBERS]} if isinstance(value, dict) else full[:PARAMS_LIMIT]
+        return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+    return params.map(one, na_action="ignore")
+
+
+def _bare(text: Column) -> Column:
+    """A JSON text with its strings emptied."""
+    return F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', '""')
+
+
+def dumps_length(text: Column) -> Column:
+    """How many characters a compact JSON text has when written with a space after commas and colons, and with escapes for all but ASCII."""
+    spaces = F.length(F.regexp_replace(_bare(text), "[^,:]", ""))
+    wide = F.length(F.regexp_replace(text, r"[\x00-\x7F]+", ""))
+    paired = F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]+", ""))
+    return F.length(text) + spaces + 5 * wide + 6 * paired
+
+
+def pruned_params(params: Column) -> Column:
+    """Request parameters as compact JSON: whole up to a limit, of longer objects the first members in short.
+
+    Python sees only the texts that need it.
+    """
+    given = F.nullif(params, F.lit(""))
+    plain = F.to_json(F.try_parse_json(given))
+    settled = plain.isNotNull() & ~_bare(given).rlike("[0-9][.eE]") & (dumps_length(plain) <= PARAMS_LIMIT)
+    return F.when(F.coalesce(settled, F.lit(False)), plain).otherwise(_pruned(F.when(~F.coalesce(settled, F.lit(False)), given)))
+
+
+def _json(c: Column) -> Column:
+    """A value as JSON; null for null."""
+    one = F.to_json(F.struct(c.alias("v")))
+    return F.when(c.isNotNull(), F.substr(one, F.lit(6), F.length(one) - 6))
+
+
+def slim_json() -> Column:
+    """The slim record of a canonical event as compact JSON: members without a value are left out, those of the actor are null."""
+    col = F.col
+    or_null = lambda c: F.coalesce(_json(c), F.lit("null"))
+    actor = F.concat(F.lit('{"type":'), or_null(col("actor.type")), F.lit(',"arn":'), or_null(col("actor.arn")), F.lit(',"userName":'), or_null(col("actor.user_name")), F.lit("}"))
+    minted = F.concat(F.lit('{"credentials":{"accessKeyId":'), _json(F.nullif("minted_key_id", F.lit(""))), F.lit("}}"))
+    members = [
+        ("eventTime", _json(col("event_time"))), ("eventName", _json(col("event_name"))), ("eventSource", _json(col("event_source"))), ("awsRegion", _json(col("region"))),
+        ("sourceIPAddress", _json(col("source_ip"))), ("userAgent", _json(truncated(col("user_agent"), 80))), ("account", _json(col("account"))), ("actor", actor),
+        ("accessKeyId", _json(col("access_key_id"))), ("responseElements", minted), ("errorCode", _json(col("error_code"))), ("requestParameters", pruned_params(col("request_params"))),
+        ("repeatCount", _json(col("repeat_count"))), ("repeatWindow", _json(col("repeat_window"))), ("mfaAuthenticated", _json(col("mfa_authenticated"))),
+    ]
+    return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*[F.concat(F.lit(f'"{n}":'), v) for n, v in members])), ","), F.lit("}"))
+
+
+def slim(events: DataFrame) -> DataFrame:
+    """(row_id, event_time, slim, cost): the slim records and how many characters they have."""
+    return events.select("row_id", "event_time", F.explode(F.array(slim_json())).alias("slim")).withColumn("cost", dumps_length(F.col("slim")))
 
 
 def greedy_fill(rows: DataFrame, rank: Sequence[Column], cost: Column, capacity: int, keys: Sequence[str] = ()) -> DataFrame:
@@ -124,11 +154,12 @@ def greedy_fill(rows: DataFrame, rank: Sequence[Column], cost: Column, capacity:
 
     The order decides, so one fold over the sorted costs does it.  Every row costs 1 at least,
     so only the first ``capacity`` rows by cost and rank can be taken from any one cost class:
-    of each cost, capacity // cost rows at most reach the fold.  ``keys``: columns that fill
-    budgets of their own.
+    of each cost, capacity // cost rows at most reach the fold (the sum of capacity / cost over all costs up to the capacity bounds
+    them).  ``keys``: columns that fill budgets of their own.  The rank tells all rows apart.
     """
     names = [f"__r{i}" for i in range(len(rank))]
-    marked = rows.withColumns({**dict(zip(names, rank, strict=True)), "__cost": cost.cast("bigint")}).filter(F.col("__cost").between(1, capacity))
+    ranked = rows.withColumns(dict(zip(names, rank, strict=True)))
+    marked = ranked.select(*keys, *names, cost.cast("bigint").alias("__cost")).filter(F.col("__cost").between(1, capacity))
     nth = F.row_number().over(Window.partitionBy(*keys, "__cost").orderBy(*names))
     marked = marked.withColumn("__nth", nth).filter(F.col("__nth") <= F.floor(F.lit(capacity) / F.col("__cost")))
     listed = marked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*names, "__cost"))).alias("__all"))
@@ -139,13 +170,17 @@ def greedy_fill(rows: DataFrame, rank: Sequence[Column], cost: Column, capacity:
         lambda a: a["taken"],
     )
     taken = listed.select(*keys, F.explode(fold).alias("__t")).select(*keys, *[F.col(f"__t.{n}").alias(n) for n in names])
-    return marked.join(F.broadcast(taken) if not keys else taken, [*keys, *names], "left_semi").drop(*names, "__cost", "__nth")
+    return ranked.join(F.broadcast(taken) if not keys else taken, [*keys, *names], "left_semi").drop(*names)
 
 
 def fit_budget(events: DataFrame, tokens: int = 40_000) -> DataFrame:
-    """Tier 5: events by signal, then time, as far as their slim records fit the budget."""
+    """Tier 5: events by signal, then time, as far as their slim records fit the budget; the rows come in time order."""
+    # exploded from an array of one, as the optimizer would copy the long expression into each of its uses otherwise
+    priced = events.select("*", F.explode(F.array(slim_json())).alias("__slim"))
+    priced = priced.select(*events.columns, F.explode(F.array(dumps_length(F.col("__slim")))).alias("__chars"))
     rank = [signal_rank(F.col("event_name")), F.coalesce("event_time", F.lit("")), F.col("row_id")]
-    return greedy_fill(events, rank, slim_cost(), int(tokens * rules.CHARS_PER_TOKEN))
+    taken = greedy_fill(priced, rank, F.col("__chars"), int(tokens * rules.CHARS_PER_TOKEN)).select(*events.columns)
+    return taken.orderBy(F.coalesce("event_time", F.lit("")), "row_id")
 
 
 def reduce_events(events: DataFrame, start: str, end: str, names: Sequence[str] | None = None, actors: Sequence[str] = (), tokens: int = 40_000) -> tuple[DataFrame, DataFrame]:

@@ -8,11 +8,12 @@ import re
 from collections.abc import Iterable, Sequence
 from pathlib import PurePosixPath
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.schema import filled, short_name
 
+# The columns of the export, and below the tags.
 COLUMNS = ("message", "datetime", "timestamp_desc", "event_name", "event_source", "actor", "actor_type", "account", "region", "source_ip", "user_agent", "mfa", "error_code", "repeat_count", "tag")
 
 
@@ -162,6 +163,20 @@ def matching(events: DataFrame, names: Sequence[str] = (), actor_part: str = "",
     return out
 
 
+def actor_detail(events: DataFrame, actor_part: str, listed: int = 60) -> DataFrame:
+    """(event_count, place, ...): the first events of the matching actors in time order, with the number of all."""
+    found = brief_rows(matching(events, actor_part=actor_part), "row_id")
+    count = found.agg(F.count("*").alias("event_count"))
+    first = found.orderBy(F.coalesce("event_time", F.lit("")), "row_id").limit(listed)  # so few that one task numbers them
+    place = F.row_number().over(Window.orderBy(F.coalesce("event_time", F.lit("")), "row_id")).cast("bigint")
+    return first.withColumn("place", place).crossJoin(count).drop("row_id")
+
+
+def brief_rows(events: DataFrame, *more: str) -> DataFrame:
+    """Events in eight columns."""
+    return events.select("event_time", "event_name", filled(F.col("actor.arn"), F.col("actor.user_name")).alias("actor"), "account", "region", "source_ip", "error_code", "repeat_count", *more)
+
+
 def session_detail(sessions: DataFrame, key: str) -> DataFrame:
     return sessions.filter(F.col("key").startswith(key[:8])).orderBy("key").limit(1)
 
