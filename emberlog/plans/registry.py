@@ -389,20 +389,29 @@ def _(spark, sf_dir):
 
 
 def _pivots(spark, sf_dir):
-    return correlate.pivots(events(spark, sf_dir, {"view": "AssumeRole"}).filter("source_ip = '3'"))
+    return correlate.pivots(events(spark, sf_dir, {"view": "AssumeRole"}))
+
+
+def _sessions(spark, sf_dir):
+    """A third of the sign-ups mint a key of their user; errors of other users are actions under keys."""
+    e, k = events(spark, sf_dir, {"signup": "AssumeRole", "error": "StopLogging"}), F.col("source_ip").cast("int")
+    user = F.regexp_extract("actor.arn", r"\d+", 0).cast("int")
+    mint = (F.col("event_name") == "AssumeRole") & (k % 3 == 0)
+    key = F.when(F.col("event_name") == "StopLogging", F.concat(F.lit("K"), (user * 7 % 400).cast("string")))
+    return correlate.session_chains(e.withColumns({"minted_key_id": F.when(mint, F.concat(F.lit("K"), user.cast("string"))), "access_key_id": key}))
 
 
 @query(
     "timeline_tags",
     f"""WITH {EVENTS_SQL}, {_GAPS}, {_CHAINS}, tg AS (SELECT actor, access_time AS time, 'escalation_chain_start' AS tag, 1 AS p, access_time || ' 0' AS o FROM c UNION ALL SELECT actor, step_time, 'escalation', 1, access_time || ' 1' FROM c
       UNION ALL SELECT disabled_by, start, 'logging_disabled', 2, start || ' 0' FROM g UNION ALL SELECT disabled_by, "end", 'logging_restored', 2, start || ' 1' FROM g WHERE NOT still_open
-      UNION ALL SELECT actor, event_time, 'cross_account_pivot', 3, '' FROM e WHERE event_name = 'view' AND k = 3 AND k % 7 <> user_id % 7),
+      UNION ALL SELECT actor, event_time, 'cross_account_pivot', 3, '' FROM e WHERE event_name = 'view' AND k % 7 <> user_id % 7
+      UNION ALL SELECT actor, max(event_time), 'session_start', 4, '' FROM e WHERE event_name = 'signup' AND k % 3 = 0 GROUP BY actor),
     b AS (SELECT actor, time, arg_max(tag, (p, o, tag)) AS tag FROM tg GROUP BY actor, time)
     SELECT e.event_name || ' by u' || user_id || ' from ' || source_ip AS message, event_time AS datetime, e.actor, coalesce(tag, '') AS tag FROM e LEFT JOIN b ON b.actor = e.actor AND b.time = event_time""",
 )
 def _(spark, sf_dir):
-    none = correlate.session_chains(events(spark, sf_dir).filter("1 = 0"))
-    tagged = timeline.tags(_chains(spark, sf_dir), _gaps(spark, sf_dir), _pivots(spark, sf_dir), none)
+    tagged = timeline.tags(_chains(spark, sf_dir), _gaps(spark, sf_dir), _pivots(spark, sf_dir), _sessions(spark, sf_dir))
     return timeline.timeline(events(spark, sf_dir), tagged).select("message", "datetime", "actor", "tag")
 
 
@@ -436,10 +445,11 @@ def _(spark, sf_dir):
     return correlate.summary(actors=correlate.timelines(e), logging_gaps=gaps, open_gaps=gaps.filter("still_open"), escalation_chains=_chains(spark, sf_dir), attack_patterns=correlate.attack_patterns(events(spark, sf_dir, NAMES)))
 
 
-@query("compromised_principals", f"WITH {EVENTS_SQL}, {_CHAINS}, {_PATTERNS} SELECT DISTINCT actor FROM (SELECT actor FROM c UNION ALL SELECT actor FROM p WHERE severity IN ('critical', 'high'))")
+@query("compromised_principals", f"""WITH {EVENTS_SQL}, {_CHAINS}, {_PATTERNS} SELECT DISTINCT actor FROM (SELECT actor FROM c UNION ALL SELECT actor FROM p WHERE severity = 'critical'
+    UNION ALL SELECT actor FROM e WHERE event_name = 'signup' AND k % 3 = 0 AND user_id IN (SELECT user_id * 7 % 400 FROM e WHERE event_name = 'error'))""")
 def _(spark, sf_dir):
-    none = correlate.session_chains(events(spark, sf_dir).filter("1 = 0"))
-    return correlate.compromised_principals(_chains(spark, sf_dir), none, correlate.attack_patterns(events(spark, sf_dir, NAMES)))
+    severe = correlate.attack_patterns(events(spark, sf_dir, NAMES)).filter("severity = 'critical'")  # the others are true of nearly every actor here
+    return correlate.compromised_principals(_chains(spark, sf_dir), _sessions(spark, sf_dir), severe)
 
 
 @query("query_events", f"WITH {EVENTS_SQL} SELECT row_id, event_time, actor FROM e WHERE event_name IN ('error', 'signup') AND contains(actor, 'u1') AND event_time >= '2024-01-03' AND event_time <= '2024-01-20'")

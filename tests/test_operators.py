@@ -1,6 +1,7 @@
 """Behaviour of the relational operators on small literal inputs."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,6 +95,58 @@ def test_budget_keeps_signal_and_skips_what_does_not_fit(spark):
     assert sorted(r["c"] for r in reduce.greedy_fill(rows, [F.col("i")], F.col("c"), 8).collect()) == [3, 5]
 
 
+def test_events_in_gaps_against_a_plain_count(spark):
+    r = random.Random(3)
+    time = lambda: f"2026-01-0{r.randint(1, 2)}T{r.choice(['00', '09', '10', '23'])}:00:{r.randint(0, 3):02d}.{r.randint(0, 3)}Z"
+    rows = [ev(time(), r.choice(["StopLogging", "StartLogging", "X", "Y", "Y"]), actor=r.choice(["a", "b"])) for _ in range(300)] + [ev(None, "X"), ev("no time", "X"), ev("", "StopLogging")]
+    e = frame(spark, rows)
+    times = [x["event_time"] for x in e.collect() if x["event_time"] is not None]
+    got = correlate.logging_gaps(e).collect()
+    assert len(got) > 20
+    for g in got:
+        assert g["events_during_gap"] == (0 if g["still_open"] else sum(g["start"] < t < g["end"] for t in times))
+
+
+def test_followers_stop_at_unreadable_times(spark):
+    r = random.Random(4)
+    some = ["2026-01-01T00:59:%02dZ", "2026-01-01T01:00:%02dZ", "2026-01-01T01:14:%02dZ"]
+    rows = [ev(r.choice(some) % r.randint(0, 59), r.choice(["ConsoleLogin", "CreateUser", "X"]), actor=r.choice("abc")) for _ in range(150)]
+    rows += [ev(t, "X", actor=a) for t, a in (("2026-01-01T00:59:30x", "a"), ("2026-01-01T0x", "b"), ("2026-01-01T01:00:5", "b"), ("", "c"))]
+    e = frame(spark, rows)
+    got = {(x["a_row_id"], x["b_row_id"]) for x in correlate.followers(e).collect()}
+    want = set()
+    for actor in "abc":
+        mine = sorted((x for x in e.collect() if x["actor"]["arn"] == actor), key=lambda x: (x["event_time"] or "", x["row_id"]))
+        for i, a in enumerate(mine):
+            if a["event_name"] == "ConsoleLogin" and a["event_ts"]:
+                for b in mine[i + 1 :]:
+                    if not b["event_ts"] or (b["event_ts"] - a["event_ts"]).total_seconds() > 900:
+                        break
+                    if b["event_name"] == "CreateUser":
+                        want.add((a["row_id"], b["row_id"]))
+    assert got == want and want
+
+
+def test_slim_records_cost_what_they_weigh(spark):
+    params = [None, "{}", '{"b": 1, "a": [1, 2.50, {"c": "x, y: z"}]}', '{"k": "é😀\\n\\"q\\""}', "not json", "n" * 400, json.dumps({f"k{i}": "v" * 90 for i in range(12)}), json.dumps({"u": "ü" * 60}), json.dumps([1] * 200), '{"a": 1, "a": 2}', '{"e": 1e5}', '"text"']
+    e = frame(spark, [ev("2026-01-01T00:00:00Z", "X", actor="ärn" if i % 2 else "arn") for i in range(len(params))])
+    rows = e.orderBy("row_id").collect()
+    e = spark.createDataFrame([(*x[: e.columns.index("request_params")], p, *x[e.columns.index("request_params") + 1 :]) for x, p in zip(rows, params, strict=True)], e.schema)
+    by_row = {x["row_id"]: p for x, p in zip(rows, params, strict=True)}
+    for x in reduce.slim(e).collect():
+        record, p = json.loads(x["slim"]), by_row[x["row_id"]]
+        assert x["cost"] == len(json.dumps(record)) and list(record["actor"]) == ["type", "arn", "userName"]
+        got = record.get("requestParameters")
+        try:
+            value = json.loads(p) if p else None
+        except ValueError:
+            value = p
+        full = json.dumps(value)
+        if len(full) > 260:
+            value = {k: v if len(v) <= 60 else v[:57] + "..." for k, v in list(value.items())[:8]} if isinstance(value, dict) else full[:260]
+        assert got == value, p
+
+
 def test_tiers_shrink(spark):
     e = frame(spark, [ev("2026-01-01T00:00:00Z", n) for n in ("ListUsers", "NoSuchCall", "CreateUser")])
     kept, counts = reduce.reduce_events(e, "2026-01-01T00:00:00Z", "2026-01-01T00:00:00Z")
