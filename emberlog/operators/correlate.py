@@ -237,6 +237,11 @@ def by_count(lines: DataFrame) -> DataFrame:
     return lines.orderBy(F.desc("event_count"), "first_seen", "actor")
 
 
+def by_actions(sessions: DataFrame) -> DataFrame:
+    """Sessions, those with the most actions first."""
+    return sessions.orderBy(F.desc("action_count"), "key")
+
+
 def compromised_principals(chains: DataFrame, sessions: DataFrame, patterns: DataFrame) -> DataFrame:
     """Distinct principals behind chains, sessions with notable actions, and severe patterns."""
     found = chains.select("actor").union(sessions.filter(F.size("notable") > 0).select("assumed_by")).union(patterns.filter(F.col("severity").isin("critical", "high")).select("actor"))

@@ -101,5 +101,5 @@ def estate_summary(scored: DataFrame) -> DataFrame:
 
 
 def gap_frequency(scored: DataFrame) -> DataFrame:
-    """(gap, n): gaps by the text before the first colon."""
-    return scored.select(F.explode("gaps").alias("gap")).groupBy(F.substring_index("gap", ":", 1).alias("gap")).agg(F.count("*").alias("n"))
+    """(gap, n): gaps by the text before the first colon, the most frequent first."""
+    return scored.select(F.explode("gaps").alias("gap")).groupBy(F.substring_index("gap", ":", 1).alias("gap")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "gap")

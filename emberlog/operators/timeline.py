@@ -67,11 +67,14 @@ def case_id(text: str) -> str:
     return name
 
 
-def preserve(artifacts: dict[str, DataFrame], folder: str, case: str) -> DataFrame:
-    """Writes every artifact as JSON under the case and a manifest of the hashes of all files; returns the manifest."""
+def preserve(artifacts: dict[str, DataFrame], folder: str, case: str, rows_in_file: int = 500_000) -> DataFrame:
+    """Writes every artifact as JSON under the case and a manifest of the hashes of all files; returns the manifest.
+
+    A file is hashed as one value, so files have a bounded number of rows.
+    """
     root = str(PurePosixPath(folder) / case_id(case)) if "://" not in folder else f"{folder.rstrip('/')}/{case_id(case)}"
     for name, df in artifacts.items():
-        df.write.mode("overwrite").json(f"{root}/artifacts/{name}")
+        df.write.mode("overwrite").option("maxRecordsPerFile", rows_in_file).json(f"{root}/artifacts/{name}")
     spark = next(iter(artifacts.values())).sparkSession
     hashes(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/artifacts")).write.mode("overwrite").json(f"{root}/manifest")
     return spark.read.schema("path string, sha256 string").json(f"{root}/manifest")

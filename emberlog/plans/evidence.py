@@ -332,6 +332,9 @@ def _(spark, sf_dir):
     return timeline.timeline(e, tagged)
 
 
+_SESSION_COUNTS = "s AS (SELECT printf('K%010d', o_orderkey) AS key, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)"
+
+
 @query("actor_detail", f"WITH {EVENTS_SQL}, m AS (SELECT *, count(*) OVER () AS event_count, row_number() OVER (ORDER BY event_time, row_id) AS place FROM e WHERE contains(actor, 'user/u1')) SELECT event_count, place, event_time, event_name, actor FROM m WHERE place <= 60")
 def _(spark, sf_dir):
     return timeline.actor_detail(events(spark, sf_dir), "user/u1").select("event_count", "place", "event_time", "event_name", "actor")
@@ -342,6 +345,28 @@ def _(spark, sf_dir):
     return correlate.by_count(correlate.timelines(events(spark, sf_dir))).select("actor", "event_count", "first_seen").limit(12)
 
 
+_EXPOSED = {"purchase": "AuthorizeSecurityGroupIngress", "error": "DeleteObjects", "signup": "PutBucketVersioning", "view": "Decrypt", "click": "DescribeInstances"}
+
+
+@query(
+    "tamper_patterns",
+    f"""WITH {EVENTS_SQL}, n AS (SELECT actor, count(*) FILTER (event_name = 'purchase') AS exposed, count(*) FILTER (event_name = 'error') AS deletes, count(*) FILTER (event_name = 'signup') AS tamper FROM e WHERE k < 30 GROUP BY actor)
+    SELECT actor, 'resource_exposure' AS pattern, 'T1562.007' AS technique, 'high' AS severity, exposed || ' exposure-related change(s)' AS detail FROM n WHERE exposed >= 3
+    UNION ALL SELECT actor, 's3_ransomware_indicator', 'T1485', 'critical', deletes || ' delete calls, ' || tamper || ' lifecycle/versioning changes' FROM n WHERE deletes >= 20 OR (deletes > 0 AND tamper > 0)""",
+)
+def _(spark, sf_dir):
+    few = events(spark, sf_dir, _EXPOSED).filter(F.col("source_ip").cast("int") < 30)
+    found = correlate.attack_patterns(few)
+    return found.filter(F.col("pattern").isin("resource_exposure", "s3_ransomware_indicator")).select("actor", "pattern", "technique", "severity", "detail")
+
+
+@query("busiest_sessions", f"WITH {_SESSION_COUNTS} SELECT key, n AS action_count FROM s ORDER BY n DESC, key LIMIT 8")
+def _(spark, sf_dir):
+    from emberlog.plans.views import order_sessions
+
+    return correlate.by_actions(correlate.session_chains(order_sessions(spark, sf_dir))).select("key", "action_count").limit(8)
+
+
 @query("brief_events", f"WITH {EVENTS_SQL} SELECT event_time, event_name, actor, account, region, source_ip, CAST(NULL AS VARCHAR) AS error_code, CAST(NULL AS BIGINT) AS repeat_count FROM e WHERE event_name = 'signup'")
 def _(spark, sf_dir):
     return timeline.brief_rows(timeline.matching(events(spark, sf_dir), ("signup",)))
