@@ -25,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, mix
+from .common import Words, mix, sliced
 
 
 @dataclass(frozen=True)
 class Settings:
     samples: int = 64  #: a multiple of 16
     rows_at_once: int = 512
+    chars_at_once: int = 4_000_000  #: or one text
     rows_in_range: int = 5000  #: ids that one task orders, about
 
 
@@ -102,7 +103,7 @@ def fingerprints(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id and fingerprint of each row, without any shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in sliced(batches):
             for i in range(0, len(whole), settings.rows_at_once):
                 b = whole.slice(i, settings.rows_at_once)
                 yield pa.record_batch({"doc_id": b["doc_id"], "fingerprint": as_text(sampled(b["text"], settings.samples))})
@@ -136,19 +137,21 @@ def _compare(settings: Settings):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, closed = None, False
+        now, closed, size = None, False, 0
         ids: list[int] = []
         texts: list[str] = []
-        for b in batches:
+        for b in sliced(batches):
             for part, ahead, i, text in zip(*(b[c].to_pylist() for c in ("slice", "ahead", "id", "text")), strict=True):
-                if part != now or len(ids) > settings.rows_at_once:
+                if part != now or len(ids) > settings.rows_at_once or size > settings.chars_at_once:
                     if len(ids) > 1:
                         yield report(ids, texts)
                     same = part == now
                     ids, texts, now, closed = (ids[-1:], texts[-1:], part, closed) if same else ([], [], part, False)
+                    size = sum(map(len, texts))
                 if not closed:
                     ids.append(i)
                     texts.append(text)
+                    size += len(text)
                     closed = ahead
         if len(ids) > 1:
             yield report(ids, texts)

@@ -48,6 +48,7 @@ class Settings:
     damping: float = 0.85
     threshold: float = 0.5
     tolerance: float = 1e-4
+    steps_at_once: int = 4
     broadcast_hosts: int = 500_000  #: hosts up to this number are broadcast, more are joined by a shuffle
 
 
@@ -90,27 +91,29 @@ def links(pages: DataFrame) -> DataFrame:
 
 
 def spread(seeds: DataFrame, edges: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(host, value): value = seed + damping * (shares of the values of those that point to it).
+    """(kind, host, value): value = seed + damping * (shares of the values of those that point to it), for each kind on its own.
 
-    seeds: (host, seed) of every host; edges: (src, dst, share), the shares of a src sum to 1.  The sum of
-    all moves falls by the damping in each step, so the steps end.
+    seeds: (kind, host, seed) of every host; edges: (kind, src, dst, share), the shares of a src sum to 1.  The sum of
+    all moves falls by the damping in each step, so the steps end.  A few steps are planned at once, then checkpointed.
     """
     if not 0 <= settings.damping < 1 or settings.tolerance <= 0:
         raise ValueError("damping must be at least 0 and less than 1, and tolerance positive")
     values = checkpointed(seeds.withColumn("value", F.col("seed")))
     moving = not edges.isEmpty()
     while moving:
-        flow = edges.join(values.select(F.col("host").alias("src"), "value"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("value") * F.col("share")).alias("flow"))
-        moved = values.join(flow, "host", "left").select("host", "seed", F.col("value").alias("old"), (F.col("seed") + settings.damping * F.coalesce("flow", F.lit(0.0))).alias("value"))
+        moved = values.withColumn("old", F.col("value"))
+        for _ in range(settings.steps_at_once):
+            flow = edges.join(moved.select("kind", F.col("host").alias("src"), "value"), ["kind", "src"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("value") * F.col("share")).alias("flow"))
+            moved = moved.join(flow, ["kind", "host"], "left").select("kind", "host", "seed", F.col("value").alias("old"), (F.col("seed") + settings.damping * F.coalesce("flow", F.lit(0.0))).alias("value"))
         moved = checkpointed(moved)
-        values = moved.select("host", "seed", "value")
+        values = moved.select("kind", "host", "seed", "value")
         moving = not moved.filter(F.abs(F.col("value") - F.col("old")) > settings.tolerance).isEmpty()
-    return values.select("host", "value")
+    return values.select("kind", "host", "value")
 
 
-def _shares(edges: DataFrame, src: str, dst: str) -> DataFrame:
+def _shares(edges: DataFrame, kind: str, src: str, dst: str) -> DataFrame:
     total = edges.groupBy(F.col(src).alias("from")).agg(F.sum("n").alias("total"))
-    return checkpointed(edges.join(total, edges[src] == total["from"]).select(F.col(src).alias("src"), F.col(dst).alias("dst"), (F.col("n") / F.col("total")).alias("share")))
+    return edges.join(total, edges[src] == total["from"]).select(F.lit(kind).alias("kind"), F.col(src).alias("src"), F.col(dst).alias("dst"), (F.col("n") / F.col("total")).alias("share"))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, settings: Settings = Settings()) -> DataFrame:
@@ -121,9 +124,11 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, settings: Settings
     edges = checkpointed(links(pages))
     seeds = parsed.filter("host <> ''").groupBy("host").agg(share("allow").alias("trusted"), share("block").alias("blocked"))
     seeds = checkpointed(seeds.join(edges.select(F.col("dst").alias("host")).distinct(), "host", "full_outer").na.fill(0.0))
-    trust = spread(seeds.select("host", F.col("trusted").alias("seed")), _shares(edges, "src", "dst"), settings)
-    distrust = spread(seeds.select("host", F.col("blocked").alias("seed")), _shares(edges, "dst", "src"), settings)
-    scores = checkpointed(trust.withColumnRenamed("value", "trust").join(distrust.withColumnRenamed("value", "distrust"), "host"))
+    shares = checkpointed(_shares(edges, "trust", "src", "dst").union(_shares(edges, "distrust", "dst", "src")))
+    kinds = F.array(F.struct(F.lit("trust").alias("kind"), F.col("trusted").alias("seed")), F.struct(F.lit("distrust").alias("kind"), F.col("blocked").alias("seed")))
+    values = spread(seeds.select("host", F.explode(kinds).alias("k")).select("k.kind", "host", "k.seed"), shares, settings)
+    value = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("value"))).alias(kind)
+    scores = checkpointed(values.groupBy("host").agg(value("trust"), value("distrust")))
     few = scores.count() <= settings.broadcast_hosts
     out = parsed.join(F.broadcast(scores) if few else scores, "host", "left").na.fill(0.0, ["trust", "distrust"])
     by_host = F.when(F.col("distrust") - F.col("trust") > settings.threshold, "block").otherwise("allow")

@@ -257,6 +257,15 @@ def test_distrust_settles_in_a_cycle_of_links_without_a_scheme(spark):
     assert got[2]["distrust"] == pytest.approx(0.85 / (1 - 0.85**2), abs=1e-3)
 
 
+def test_distrust_runs_along_a_chain_of_60_hosts(spark):
+    page = lambda i, host, path, *to: (i, f"http://{host}{path}", "".join(f'<a href="https://{t}/x">' for t in to), "clash", 1.0)
+    rows = [page(0, "h0.org", "/es/")] + [page(i, f"h{i}.io", "/", f"h{i - 1}.{'org' if i == 1 else 'io'}") for i in range(1, 60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, trust double")
+    got = {r["page_id"]: r["distrust"] for r in url_filter.judge(df).collect()}
+    assert all(got[i] == pytest.approx(0.85**i, abs=1e-3) for i in range(60)) and got[55] > 0
+    assert url_filter.judge(df.limit(0)).count() == 0
+
+
 def test_only_keys_make_candidates(spark):
     held = spark.createDataFrame([(1, 10, [5, 6, 7]), (2, 20, [7, 8]), (None, 30, [5])], "doc_id long, text_key long, held array<long>")
     keys = spark.createDataFrame([("a", 5), ("a", 6), ("b", 6)], "item_id string, shingle long")
