@@ -2,9 +2,10 @@
 
 ``spark.read.format("audit_api").option("client", "module:function")``; the function gets
 (account, region) and returns a client whose ``pages(start, end)`` yields lists of event records with ``EventName`` and
-``CloudTrailEvent`` (JSON).  A target that fails becomes a row with its error; the scan goes on.  No network client is shipped.
+``CloudTrailEvent`` (JSON).  For findings the client has ``detectors()``, ``finding_ids(detector)`` and ``findings(detector, ids)``, which
+gets ``batch`` ids at a time and returns dicts.  A target that fails becomes a row with its error; the scan goes on.  No network client is shipped.
 
-Options: client, targets (JSON list of [account, region]), start, end, names (JSON list of event names; none keeps all).
+Options: client, targets (JSON list of [account, region]), kind (events or findings), start, end, names (JSON list of event names; none keeps all), batch.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 from pyspark.sql.types import StructType
 
-from emberlog.sources.events import parse_embedded
+from emberlog.sources.events import parse_embedded, parse_findings
 
 SCHEMA = "event_json string, event_name string, account string, region string, error string"
 
@@ -35,6 +36,7 @@ class ApiReader(DataSourceReader):
         self.client, self.start, self.end = options["client"], options.get("start", ""), options.get("end", "")
         self.targets = [Target(str(a), str(r)) for a, r in json.loads(options["targets"])]
         self.names = frozenset(json.loads(options.get("names", "[]")))
+        self.kind, self.batch = options.get("kind", "events"), int(options.get("batch", "50"))
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
         """Accounts and regions choose partitions; Spark applies everything else."""
@@ -52,14 +54,30 @@ class ApiReader(DataSourceReader):
         try:
             module, _, function = self.client.partition(":")
             client = getattr(importlib.import_module(module), function)(partition.account, partition.region)
-            for page in client.pages(self.start, self.end):
-                for record in page:
-                    if not self.names or record.get("EventName") in self.names:
-                        yield record.get("CloudTrailEvent"), record.get("EventName"), partition.account, partition.region, None
+            for text, name in self.findings(client) if self.kind == "findings" else self.events(client):
+                yield text, name, partition.account, partition.region, None
         except Exception as e:  # a failed target is a row, so that it can't end the scan of the others
             yield None, None, partition.account, partition.region, f"{type(e).__name__}: {e}"[:300]
 
 
+    def events(self, client) -> Iterator[tuple]:
+        for page in client.pages(self.start, self.end):
+            for record in page:
+                if not self.names or record.get("EventName") in self.names:
+                    yield record.get("CloudTrailEvent"), record.get("EventName")
+
+    def findings(self, client) -> Iterator[tuple]:
+        for detector in client.detectors():
+            ids: list = []
+            for one in client.finding_ids(detector):
+                ids.append(one)
+                if len(ids) == self.batch:
+                    yield from ((json.dumps(f, default=str), None) for f in client.findings(detector, ids))
+                    ids = []
+            if ids:
+                yield from ((json.dumps(f, default=str), None) for f in client.findings(detector, ids))
+
+
 class ApiSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -72,10 +90,20 @@ class ApiSource(DataSource):
         return ApiReader(self.options)
 
 
-def read(spark: SparkSession, client: str, targets: list[tuple[str, str]], start: str = "", end: str = "", names: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(canonical events, failures) of the targets; failures: (account, region, error)."""
+def _rows(spark: SparkSession, client: str, targets: list[tuple[str, str]], **options: str) -> tuple[DataFrame, DataFrame]:
     spark.dataSource.register(ApiSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    rows = spark.read.format("audit_api").options(client=client, targets=json.dumps(targets), start=start, end=end, names=json.dumps(names)).load()
-    failed = rows.filter("error IS NOT NULL").select("account", "region", "error")
-    return parse_embedded(rows.filter("error IS NULL")), failed.withColumn("error", F.col("error"))
+    rows = spark.read.format("audit_api").options(client=client, targets=json.dumps(targets), **options).load()
+    return rows.filter("error IS NULL"), rows.filter("error IS NOT NULL").select("account", "region", "error")
+
+
+def read(spark: SparkSession, client: str, targets: list[tuple[str, str]], start: str = "", end: str = "", names: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(canonical events, failures) of the targets; failures: (account, region, error)."""
+    rows, failed = _rows(spark, client, targets, start=start, end=end, names=json.dumps(names))
+    return parse_embedded(rows), failed
+
+
+def read_findings(spark: SparkSession, client: str, targets: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
+    """(findings, failures) of the targets' detectors; a target that fails has no findings."""
+    rows, failed = _rows(spark, client, targets, kind="findings")
+    return parse_findings(rows.select(F.col("event_json").alias("j"), "account", "region")), failed

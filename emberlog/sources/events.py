@@ -89,18 +89,30 @@ Service struct<Action:string,Detection:struct<Sequence:struct<Signals:array<stri
 def read_findings(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Findings from JSON in either letter case: (finding_id, type, severity, title, description, account, region, user_name, principal_id, ips, action, signals, actors).
 
+    """
+    if multi_line:
+        raw = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", "array<string>")).alias("j"))
+    else:
+        raw = spark.read.text(path).select(F.col("value").alias("j"))
+    return parse_findings(raw)
+
+
+def parse_findings(raw: DataFrame) -> DataFrame:
+    """The same out of JSON texts (j), with account and region of the row, if it has them, where the finding names none.
+
     Spark matches JSON members by exact name, so both spellings are read and the one there is is taken.
     """
     lower = FINDING
     for name in ("Id", "Type", "Severity", "Title", "Description", "AccountId", "Region", "Resource", "Service", "AccessKeyDetails", "UserName", "PrincipalId", "Action", "Detection", "Sequence", "Signals", "Actors"):
         lower = lower.replace(f"{name} ", f"{name[0].lower()}{name[1:]} ").replace(f"{name}:", f"{name[0].lower()}{name[1:]}:")
-    raw = spark.read.option("multiLine", multi_line).option("wholetext", multi_line).text(path).select(F.explode(F.from_json("value", "array<string>")).alias("j")) if multi_line else spark.read.text(path).select(F.col("value").alias("j"))
-    f = raw.select(F.from_json("j", FINDING).alias("u"), F.from_json("j", lower).alias("l"))
+    place = [c for c in ("account", "region") if c in raw.columns]
+    f = raw.select(F.from_json("j", FINDING).alias("u"), F.from_json("j", lower).alias("l"), *place)
+    given = lambda c: F.col(c) if c in place else F.lit(None).cast("string")
     both = lambda p: F.coalesce(F.col("u." + p), F.col("l." + ".".join(x[0].lower() + x[1:] for x in p.split("."))))
     action = both("Service.Action")
     return f.select(
         both("Id").alias("finding_id"), both("Type").alias("type"), both("Severity").alias("severity"), both("Title").alias("title"), both("Description").alias("description"),
-        both("AccountId").alias("account"), both("Region").alias("region"), both("Resource.AccessKeyDetails.UserName").alias("user_name"), both("Resource.AccessKeyDetails.PrincipalId").alias("principal_id"),
+        F.coalesce(both("AccountId"), given("account")).alias("account"), F.coalesce(both("Region"), given("region")).alias("region"), both("Resource.AccessKeyDetails.UserName").alias("user_name"), both("Resource.AccessKeyDetails.PrincipalId").alias("principal_id"),
         F.array_distinct(F.regexp_extract_all(F.coalesce(action, F.lit("")), F.lit(r'"[iI]pAddressV4"\s*:\s*"([0-9.]+)"'), F.lit(1))).alias("ips"), action.alias("action"),
         both("Service.Detection.Sequence.Signals").alias("signals"), F.transform(F.coalesce(F.col("u.Service.Detection.Sequence.Actors.Id"), F.col("l.service.detection.sequence.actors.id")), lambda i: F.struct(i.alias("id"))).alias("actors"),
     )

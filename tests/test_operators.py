@@ -356,6 +356,17 @@ class Client:
         yield [{"EventName": "CreateUser", "CloudTrailEvent": json.dumps({"eventID": "1", "eventTime": "2026-01-01T00:00:00Z", "eventName": "CreateUser"})}, {"EventName": "Broken", "CloudTrailEvent": "{"}]
 
 
+    def detectors(self):
+        return ["d1", "d2"]
+
+    def finding_ids(self, detector):
+        return [f"{detector}-{i}" for i in range(60 if detector == "d1" else 1)]
+
+    def findings(self, detector, ids):
+        assert len(ids) <= 50
+        return [{"Id": i, "Type": "AttackSequence:x" if i.endswith("-3") else "T", "Severity": 5} for i in ids]
+
+
 def client(account, region):
     if region == "bad":
         raise RuntimeError("no access")
@@ -370,6 +381,15 @@ def test_api_source_records_failures(spark):
     assert [(r["account"], r["error"]) for r in failed.collect()] == [("2", "RuntimeError: no access")]
 
 
+def test_findings_of_detectors(spark):
+    from emberlog.sources import api
+
+    found, failed = api.read_findings(spark, "tests.test_operators:client", [("1", "r"), ("2", "bad")])
+    single, sequences = correlate.split_findings(found)
+    assert single.count() == 60 and [(x["finding_id"], x["account"], x["region"]) for x in sequences.collect()] == [("d1-3", "1", "r")]
+    assert failed.count() == 1
+
+
 def test_streaming_gaps(spark, tmp_path):
     from emberlog.streaming import correlate as live
 
