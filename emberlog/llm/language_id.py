@@ -11,6 +11,10 @@ The fit uses at most ``sample_per_language`` labelled texts of each language and
 ``landmarks_per_language`` of those as landmarks: those with the smallest hashes of id and
 text.  Scoring covers every text, whole.
 
+A text is foreign to the model when it has far fewer of the landmarks' n-grams, as a share of its own, than any text of the sample:
+below ``foreign`` times the least share there.  Only that, or that it has no letters, lets ``keep_identified`` drop a text; a low score
+doesn't.  Where nothing could be learned it keeps all texts with letters.
+
 Defined results: ``und`` with score 0 for a null text, a text without letters, and any text
 where nothing could be learned; repeated rows are scored each on its own; columns other than
 id, text and label are ignored; an empty table gives an empty result.
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod_5, mix
+from .common import crc_mod_5, mix, sliced
 
 UNKNOWN = "und"
 _BITS = 18
@@ -38,6 +42,7 @@ class Settings:
     landmarks_per_language: int = 32
     ridge: float = 1e-3
     texts_at_once: int = 32
+    foreign: float = 0.5  #: of the least share of known n-grams in the sample
 
 
 def _grams(text: str) -> np.ndarray:
@@ -62,7 +67,10 @@ class Classifier:
             self.matrix[self.place[g], i] = 1 / np.sqrt(len(g))
         self.matrix[-1] = 0
         self.weights = np.zeros((len(chosen), len(self.labels)), np.float32)
+        self.least_known = 0.0
         if chosen:
+            at = range(0, len(texts), settings.texts_at_once)
+            self.least_known = settings.foreign * float(min(self._known(texts[i : i + settings.texts_at_once]).min() for i in at))
             values, vectors = np.linalg.eigh(self._kernels(chosen).astype(np.float64))
             keep = values > 1e-6
             root = vectors[:, keep] / np.sqrt(values[keep])
@@ -72,7 +80,8 @@ class Classifier:
             ridge = settings.ridge * np.eye(x.shape[1])
             self.weights = (root @ np.linalg.solve(x.T @ (x * share) + ridge, x.T @ (y * share))).astype(np.float32)
 
-    def _kernels(self, texts: list[str]) -> np.ndarray:
+    def _present(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the landmarks' n-grams each text has, and how many it has at all."""
         present = np.zeros((len(texts), len(self.grams) + 1), np.float32)
         size = np.ones(len(texts), np.float32)
         for i, t in enumerate(texts):
@@ -82,14 +91,24 @@ class Classifier:
             size[i] = max(1, np.count_nonzero(seen))
             present[i, self.place[g]] = 1
         present[:, -1] = 0
+        return present, size
+
+    def _kernels(self, texts: list[str]) -> np.ndarray:
+        present, size = self._present(texts)
         return (present @ self.matrix) / np.sqrt(size)[:, None]
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    def _known(self, texts: list[str]) -> np.ndarray:
+        present, size = self._present(texts)
+        return present.sum(1) / size
+
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages, scores, and the share of each text's n-grams that the landmarks have."""
         if not self.labels:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        values = self._kernels(texts) @ self.weights
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts))
+        present, size = self._present(texts)
+        values = (present @ self.matrix) / np.sqrt(size)[:, None] @ self.weights
         best = values.argmax(1)
-        return [self.labels[i] for i in best], np.clip((values[np.arange(len(texts)), best] + 1) / 2, 0, 1).astype(float)
+        return [self.labels[i] for i in best], np.clip((values[np.arange(len(texts)), best] + 1) / 2, 0, 1).astype(float), (present.sum(1) / size).astype(float)
 
 
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Classifier:
@@ -107,30 +126,30 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Classifier:
     return Classifier(settings, [r["text"] for r in rows], [r["lang"] for r in rows], [r["rank"] <= settings.landmarks_per_language for r in rows])
 
 
-def _predict(shared, added: tuple[str, str]):
+def _predict(shared, added: tuple[str, str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Classifier = shared.value
         size = model.settings.texts_at_once
-        for b in batches:
+        for b in sliced(batches):
             texts, ok = b["text"].to_pylist(), b["__letters"].to_numpy(zero_copy_only=False)
-            langs, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+            langs, scores, known = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.zeros(len(texts))
             at = np.flatnonzero(ok)
             for i in range(0, len(at), size):
                 part = at[i : i + size]
-                langs[part], scores[part] = model.predict([texts[k] for k in part])
+                langs[part], scores[part], known[part] = model.predict([texts[k] for k in part])
             held = [b[n] for n in b.schema.names if n != "__letters"]
             names = [n for n in b.schema.names if n != "__letters"]
-            yield pa.record_batch([*held, pa.array(langs, pa.string()), pa.array(scores)], [*names, *added])
+            yield pa.record_batch([*held, pa.array(langs, pa.string()), pa.array(scores), pa.array(known)], [*names, *added])
 
     return run
 
 
-def predict(docs: DataFrame, model: Classifier, carry: list[str], added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """``carry`` columns of every row (``text`` among them), with the predicted language and its score."""
+def predict(docs: DataFrame, model: Classifier, carry: list[str], added: tuple[str, str, str] = ("lang_pred", "score", "known_share")) -> DataFrame:
+    """``carry`` columns of every row (``text`` among them), with the predicted language, its score, and the share of known n-grams."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a size that the settings bound
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     given = docs.select(*carry)
-    schema = given.schema.add(added[0], "string").add(added[1], "double")
+    schema = given.schema.add(added[0], "string").add(added[1], "double").add(added[2], "double")
     return given.withColumn("__letters", letters).mapInArrow(_predict(shared, added), schema)
 
 
@@ -139,11 +158,13 @@ def identify(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     held_out = crc_mod_5(F.col("doc_id")) == 0
     model = fit(docs.filter(~held_out), settings)
     out = predict(docs.withColumn("held_out", held_out), model, ["doc_id", "text", "held_out"])
-    return out.select("doc_id", "held_out", "lang_pred", "score")
+    return out.select("doc_id", "held_out", "lang_pred", "score", "known_share")
 
 
 def keep_identified(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs`` whose text has a language, with the columns they had."""
+    """The rows of ``docs`` whose text is in one of the languages, with the columns they had."""
     model = fit(docs.filter(crc_mod_5(F.col("doc_id")) != 0), settings)
-    out = predict(docs, model, docs.columns, ("__lang_pred", "__score"))
-    return out.filter(F.col("__lang_pred") != UNKNOWN).select(*docs.columns)
+    if not model.labels:
+        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    out = predict(docs, model, docs.columns, ("__lang_pred", "__score", "__known"))
+    return out.filter((F.col("__lang_pred") != UNKNOWN) & (F.col("__known") >= model.least_known)).select(*docs.columns)
