@@ -16,7 +16,7 @@ training the contexts of a token are counted without it, so that what has been s
 Words that are not among the ``known_words`` most frequent of the training texts share their cluster's rest evenly, with one unit for
 words that were never seen.  A word's exact count, for the base score, is the number of training tokens whose last word it is: its block knows.
 
-Words are hashed to 64 bits (two different words share a hash with probability 2**-64); inside blocks contexts and unknown words have 20 to 24 bits.
+Words are hashed to 64 bits (two different words share a hash with probability 2**-64); inside blocks contexts and unknown words have 20 to 24 bits of those.
 
 Defined results: a null or empty text has just its end as a token; repeated rows are scored
 each on its own; columns other than the id and the text are ignored; an empty table gives an
@@ -49,7 +49,7 @@ class Settings:
     classes: int = 16  #: fixed classes, 16 at most
     hot_words: int = 4  #: words with a class of their own
     known_words: int = 1 << 18  #: most frequent words, which tasks hold; at most 2**18
-    block_tokens: int = 1 << 19
+    block_tokens: int = 1 << 18
     dealt_tokens: int = 1 << 20  #: tokens that a task holds before it deals them out
     step: int = 8192  #: tokens in one gradient step
     rate: float = 0.3
@@ -146,19 +146,16 @@ class Vocabulary:
     def codes(self, h: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row of each word among the known ones, or -1; and 24 bits that tell it: the row, or class and hash."""
         row = self.known.find(h).astype(np.int64)
-        rare = _RARE + self.class_of_key[key] * _PER_CLASS + (h >> np.uint64(40)).astype(np.int64) % _PER_CLASS
+        rare = self.class_of_key[key] << 20 | (h >> np.uint64(44)).astype(np.int64)  # the class of the end, 0, has no other word
         return row, np.where(row >= 0, row, rare)
 
     def about(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class and share of the words with these codes; -1 for none: no class and no share."""
-        known = (code >= 0) & (code < _RARE)
-        c = np.where(known, np.append(self.of_known, 0)[np.where(known, code, len(self.words))], np.maximum(code - _RARE, 0) // _PER_CLASS)
-        share = np.where(known, np.append(self.counts + 0.5, 0)[np.where(known, code, len(self.words))], self.rare_share[np.minimum(c, len(self.rare_share) - 1)])
-        return np.where(code >= 0, c, -1), np.where(code >= 0, share, 0.0)
-
-
-_RARE = 1 << 18
-_PER_CLASS = ((1 << 24) - _RARE) // 16
+        """Class and share of the words with these codes; of -1, which is none, -1 and 0."""
+        c = (code >> 20).astype(np.int32)
+        share = np.append(self.rare_share, 0).astype(np.float32)[c]
+        known = np.flatnonzero(c == 0)
+        c[known], share[known] = self.of_known[code[known]], self.counts[code[known]] + 0.5
+        return c, share
 
 
 def _clusters(pairs: np.ndarray, k: int) -> np.ndarray:
@@ -209,7 +206,7 @@ def vocabulary(docs: DataFrame, settings: Settings = Settings()) -> Vocabulary:
     pairs = np.zeros(ENDINGS * CONTEXTS)
     for h, n in counted.filter(F.col("key") == PAIR).select("h", "n").collect():
         pairs[h] = n
-    top = _most_frequent(words, min(settings.known_words, _RARE - 2))
+    top = _most_frequent(words, min(settings.known_words, (1 << 18) - 2))
     forget(counted)
     return Vocabulary(settings, top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), top["key"].to_numpy(np.int64), pairs.reshape(ENDINGS, CONTEXTS), by_key)
 
@@ -246,9 +243,9 @@ def _deal(shared):
 
         def flush() -> Iterator[pa.RecordBatch]:
             last, row, two, three, code, text, out, block = (np.concatenate(x) for x in zip(*held, strict=True))
-            group = out * 2 + (row < 0)
-            order = np.argsort(block * 4 + group, kind="stable")
-            edges = np.searchsorted((block * 4 + group)[order], np.arange(4 * v.blocks + 1))
+            group = (block * 4 + out * 2 + (row < 0)).astype(np.min_scalar_type(4 * v.blocks))  # small integers are sorted faster
+            order = np.argsort(group, kind="stable")
+            edges = np.searchsorted(group[order], np.arange(4 * v.blocks + 1))
             start = [_packed(np.maximum(row, 0)[order], 3), _packed(last[order], 6)]
             rest = [_packed(x[order], size) for x, size in ((two, 3), (three, 3), (code, 3), (text, 2))]
             data, blocks = [np.concatenate(texts).tobytes()], [-1 - batch % 1009]
@@ -302,7 +299,7 @@ def _deal(shared):
 
 def _numbered(x: np.ndarray) -> tuple[np.ndarray, int]:
     u, at = np.unique(x, return_inverse=True)
-    return at.astype(np.int64), len(u)
+    return at.astype(np.int32), len(u)
 
 
 class Followers:
@@ -310,11 +307,11 @@ class Followers:
 
     def __init__(self, context: np.ndarray, contexts: int, code: np.ndarray, train: int):
         """The first ``train`` tokens are those for training."""
-        self.n = np.bincount(context[:train], minlength=contexts)
-        self.word, self.count = np.full((2, contexts), -1, np.int64), np.zeros((2, contexts), np.int64)
+        self.n = np.bincount(context[:train], minlength=contexts).astype(np.int32)
+        self.word, self.count = np.full((2, contexts), -1, np.int32), np.zeros((2, contexts), np.int32)
         if not train:
             return
-        runs = np.sort(context[:train] << 24 | code[:train])
+        runs = np.sort(context[:train].astype(np.int64) << 24 | code[:train])
         first = np.flatnonzero(np.append(True, runs[1:] != runs[:-1]))
         runs, count = runs[first], np.diff(np.append(first, train))
         of = runs >> 24
@@ -328,18 +325,29 @@ class Followers:
             value[value == np.repeat(best, np.diff(np.append(edge, len(of))))] = 0
 
     def foretold(self, context: np.ndarray, code: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(word or -1, how sure it is: 0 to 7) for tokens of these contexts; with ``code`` each token is left out of its own context."""
-        n, word, count = self.n[context], self.word[0, context], self.count[0, context]
+        """(place in ``words``, how sure it is: 0 to 7) for tokens of these contexts; with ``code`` each token is left out of its own context."""
+        n, count, size = self.n[context], self.count[0, context], self.word.shape[1]
+        at = context
         if code is not None:
-            other, less = self.word[1, context], self.count[1, context]
-            own = word == code
+            less = self.count[1, context]
+            own = self.word[0, context] == code
             n, count = n - 1, count - own
             second = own & (less > count)
-            word, count = np.where(second, other, word), np.where(second, less, count)
-        word = np.where(count > 0, word, -1)
-        share = count / np.maximum(n, 1)
-        sure = np.select([n <= 0, n == 1, (n == 2) & (share < 1), n == 2, share < 0.3, share < 0.7, (n < 8) | (share < 0.9)], np.arange(7), 7)
-        return word, sure
+            at, count = context + second * size, np.where(second, less, count)
+        return np.where(count > 0, at, 2 * size), _SURENESS[np.minimum(n, 8) * 11 + count * 10 // np.maximum(n, 1)]
+
+    def words(self) -> np.ndarray:
+        """The most frequent word of each context, then the next, then -1 for none."""
+        return np.append(self.word.ravel(), -1)
+
+
+def _sureness() -> np.ndarray:
+    """By the number of tokens, up to 8, and the tenths of them that have the word."""
+    n, tenths = np.divmod(np.arange(99), 11)
+    return np.select([n <= 0, n == 1, (n == 2) & (tenths < 10), n == 2, tenths < 3, tenths < 7, (n < 8) | (tenths < 9)], np.arange(7), 7).astype(np.int32)
+
+
+_SURENESS = _sureness()
 
 
 class Block:
@@ -347,26 +355,27 @@ class Block:
 
     def __init__(self, v: Vocabulary, last: np.ndarray, two: np.ndarray, three: np.ndarray, code: np.ndarray, train: int):
         """last: a number for each last word; two, three: 24 bits of the words before; code: that of the word itself."""
-        self.v, self.code, self.train = v, code, train
+        self.v, self.code, self.train = v, code.astype(np.int32), train
         pair, skip = (last.astype(np.uint64) << np.uint64(24) | x for x in (two, three))
         self.context = []
         self.followers = []
         for x in (pair, skip, last):
             at, n = _numbered(x)
             self.context.append(at)
-            self.followers.append(Followers(at, n, code, train))
+            self.followers.append(Followers(at, n, self.code, train))
         kept = sum(int(np.count_nonzero(f.n > 1)) for f in self.followers)
         bits = max(8, int(np.ceil(np.log2(2 * kept + 1))))
         rows = []
         for kind, (x, at, f) in enumerate(zip((pair, skip, last.astype(np.uint64)), self.context, self.followers, strict=True)):
-            hashed = (mix(x * np.uint64(8) + np.uint64(kind + 1)) >> np.uint64(64 - bits)).astype(np.int64) + _SURE
-            rows.append(np.where(f.n[at] > 1, hashed, _SURE + (1 << bits)))  # contexts that were seen once share a row
-        rows.append((mix(two.astype(np.uint64) * np.uint64(8) + np.uint64(5)) >> np.uint64(64 - bits)).astype(np.int64) + _SURE)
+            hashed = (mix(x * np.uint64(8) + np.uint64(kind + 1)) >> np.uint64(64 - bits)).astype(np.int32) + _SURE
+            rows.append(np.where(f.n[at] > 1, hashed, _SURE + (1 << bits)))  # contexts that were seen once have the last row, which stays zero
+        rows.append((mix(two.astype(np.uint64) * np.uint64(8) + np.uint64(5)) >> np.uint64(64 - bits)).astype(np.int32) + _SURE)
         self.rows = rows
         self.classes = v.settings.classes
         self.width = len(self.followers) + self.classes
         self.weights = np.zeros((_SURE + (1 << bits) + 1, self.width), np.float32)
         self.bias = np.zeros(self.width, np.float32)
+        self.words = [(w := f.words(), *v.about(w)) for f in self.followers]
 
     def part(self, at: slice, learning: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the tokens of a slice: rows of the weights, classes that can't be, their class, and log10 P(word | class, history)."""
@@ -374,24 +383,25 @@ class Block:
         n, k = len(code), len(self.followers)
         out = np.zeros((n, self.width), bool)
         own, share = v.about(code)
-        label, taken = own + k, np.zeros(n)
-        level = np.zeros(n, np.int64)
+        label, taken = own + k, np.zeros(n, np.float32)
+        level = np.zeros(n, np.int32)
         earlier: list[np.ndarray] = []
-        for i, (f, context) in enumerate(zip(self.followers, self.context, strict=True)):
-            word, sure = f.foretold(context[at], code if learning else None)
+        for i, (f, context, (words, classes, shares)) in enumerate(zip(self.followers, self.context, self.words, strict=True)):
+            place, sure = f.foretold(context[at], code if learning else None)
             level = level * 8 + sure
-            for e in earlier:
-                word = np.where(word == e, -1, word)
+            for word in earlier:
+                place = np.where(words[place] == word, len(words) - 1, place)
+            word = words[place]
             earlier.append(word)
             out[:, i] = word < 0
-            c, q = v.about(word)
+            c = classes[place]
             lone = np.flatnonzero((c >= 0) & (c < v.alone))
             out[lone, k + c[lone]] = True
-            taken += np.where(c == own, q, 0)
+            taken += shares[place] * (c == own)
             label = np.where((word == code) & (label >= k), i, label)
         rows = np.stack([level, *[r[at] for r in self.rows]])
-        rest = np.maximum(v.size[own] - taken, 1e-9)
-        inside = np.where(label < k, 0.0, np.log10(share) - np.log10(rest))
+        rest = np.maximum(v.size.astype(np.float32)[own] - taken, np.float32(1e-9))
+        inside = np.where(label < k, 0.0, np.log10(share / rest))
         return rows, out, label, np.minimum(inside, 0)
 
     def chances(self, rows: np.ndarray, out: np.ndarray) -> np.ndarray:
@@ -400,10 +410,10 @@ class Block:
         for r in rows[1:]:
             x += self.weights.take(r, 0)
         x += self.bias
-        x[out] = -1e9
-        x -= x.max(1, keepdims=True)
+        np.minimum(x, 60, out=x)  # the weights stay far from where exp would overflow, and are held there
         np.exp(x, out=x)
-        x /= x.sum(1, keepdims=True)
+        x *= ~out
+        x /= (x @ np.ones(self.width, np.float32))[:, None]
         return x
 
     def learn(self) -> None:
@@ -416,13 +426,14 @@ class Block:
             g = self.chances(rows, out)
             g[np.arange(len(label)), label] -= 1
             flat = rows.ravel()
-            order = np.argsort(flat, kind="stable")
-            flat = flat[order]
+            at = np.flatnonzero(flat != len(self.weights) - 1)
+            at = at[np.argsort(flat[at], kind="stable")]
+            flat = flat[at]
             first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
-            total = np.add.reduceat(g[order % len(label)], first, axis=0)
+            total = np.add.reduceat(g[at % len(label)], first, axis=0)
             u = flat[first]
-            square[u] += (total**2).sum(1)
-            self.weights[u] -= rate * total * (3 / np.sqrt(square[u] + 1))[:, None]
+            square[u] += np.einsum("ij,ij->i", total, total)
+            self.weights[u] -= total * (3 * rate / np.sqrt(square[u] + 1))[:, None]
 
     def score(self) -> np.ndarray:
         """log10 of the probability of each token."""

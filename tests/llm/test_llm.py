@@ -123,7 +123,7 @@ def test_lm_probabilities_of_a_history_sum_to_one(spark, texts, known):
         block.code = code
         rows, no, _, _ = block.part(slice(at, at + 1), False)
         p = block.chances(rows, no)[0]
-        foretold = [f.foretold(x[at : at + 1])[0][0] for f, x in zip(block.followers, block.context, strict=True)]
+        foretold = [f.words()[f.foretold(x[at : at + 1])[0][0]] for f, x in zip(block.followers, block.context, strict=True)]
         for c in range(v.alone, v.settings.classes):
             taken = sum(v.about(np.array([w]))[1][0] for w in set(foretold) if w >= 0 and v.about(np.array([w]))[0][0] == c)
             unseen += p[len(block.followers) + c] * v.rare_share[c] / (v.size[c] - taken)
@@ -148,8 +148,8 @@ def test_lm_softmax_against_a_plain_one(spark, texts):
 def test_lm_followers_leave_the_token_itself_out():
     context, code = np.array([0, 0, 0, 1, 1, 2, 0]), np.array([7, 7, 8, 5, 6, 4, 9])
     f = lm_scoring.Followers(context, 4, code, 6)
-    assert f.foretold(np.array([0, 1, 2, 3]))[0].tolist() == [7, 6, 4, -1]
-    assert f.foretold(context[:6], code[:6])[0].tolist() == [7, 7, 7, 6, 5, -1]
+    assert f.words()[f.foretold(np.array([0, 1, 2, 3]))[0]].tolist() == [7, 6, 4, -1]
+    assert f.words()[f.foretold(context[:6], code[:6])[0]].tolist() == [7, 7, 7, 6, 5, -1]
 
 
 @pytest.mark.parametrize("known", [3, 1000])
