@@ -66,12 +66,12 @@ def _items(benchmark: DataFrame, settings: Settings) -> DataFrame:
 
 
 def candidates(held: DataFrame, keys: DataFrame) -> DataFrame:
-    """(doc_id, text_key, held, item_id): documents with the items that they hold a key of.
+    """(row, held, item_id): documents with the items that they hold a key of.
 
-    held: (doc_id, text_key, held), the items' shingles in each document; keys: (item_id, shingle).
+    held: (row, held), the items' shingles in each document, and what else there is; keys: (item_id, shingle).
     """
-    found = held.select("doc_id", "text_key", "held", F.explode("held").alias("shingle")).join(keys, "shingle")
-    return found.dropDuplicates(["doc_id", "text_key", "item_id"]).select("doc_id", "text_key", "held", "item_id")
+    found = held.select("*", F.explode("held").alias("shingle")).join(keys, "shingle")
+    return found.dropDuplicates(["row", "item_id"]).drop("shingle")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -82,14 +82,15 @@ def find(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings())
     held = lambda df: F.broadcast(df) if small else df
     keys = items.select("item_id", F.explode("keys").alias("shingle"))
     members = items.select(F.explode("shingles").alias("shingle")).distinct()
-    words = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("words"))
+    # repeated rows are rows of their own; the number is only used within this plan
+    words = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("words"))
     found = F.array().cast("array<bigint>")
     for n in sorted(widths):
         found = F.concat(found, shingles_of(F.col("words"), n))
-    shingles = words.select("doc_id", "text_key", F.explode(found).alias("shingle"))
+    shingles = words.select("row", "doc_id", "text_key", F.explode(found).alias("shingle"))
     # of the documents' shingles only the items' own matter; most are gone before any shuffle
     hits = shingles.join(held(members), "shingle", "left_semi")
-    found = candidates(hits.groupBy("doc_id", "text_key").agg(F.collect_set("shingle").alias("held")), held(keys))
+    found = candidates(hits.groupBy("row", "doc_id", "text_key").agg(F.collect_set("shingle").alias("held")), held(keys))
     facts = items.select("item_id", "copies", "shingles", F.size("shingles").alias("item_shingles"), "need")
     shared = found.join(held(facts), "item_id").withColumn("shared", F.size(F.array_intersect("held", "shingles")))
     out = shared.filter("shared >= need")
