@@ -440,7 +440,7 @@ t AS (SELECT c_custkey, c_custkey % 3 = 0 AS said, 'svc-prod-eu-west-1-data-plat
 
 
 def _tokens(rows):
-    return redact.mapping(rows, "text", redact.harvested(rows, "text"))
+    return redact.mapping(rows, "text", redact.harvested(rows, "text")).persist()
 
 
 @query(
