@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod_5, mix, sliced
+from .common import crc_mod_5, sliced
 
 UNKNOWN = "und"
 _BITS = 18
