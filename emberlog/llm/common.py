@@ -45,9 +45,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage, keeps column pruning."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    tidy(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the files of shuffles that nothing needs any more.
+
+    It does so when the driver has collected the objects that stand for them, which on a driver with little to do may take very long.
+    """
+    spark._jvm.System.gc()
+
+
 def forget(table: DataFrame) -> None:
     """Deletes a table that ``written`` made and nothing reads any more."""
     spark = table.sparkSession
@@ -56,9 +65,16 @@ def forget(table: DataFrame) -> None:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` after a reliable checkpoint in the shared folder."""
+    """``df`` after a reliable checkpoint in the shared folder; what was shuffled before it isn't needed then."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    _made[0] += 1
+    if _made[0] % 4 == 0:
+        tidy(df.sparkSession)
+    return out
+
+
+_made = [0]  # checkpoints so far
 
 
 def crc_mod_5(doc_id) -> F.Column:

@@ -20,11 +20,19 @@ changes is enough: each set takes its least, and the least that two linked sets
 
 Signatures are made and shuffled once: a window over each signature's rows keeps those that two sets share.
 
-Texts with equal sets are one node.  Nodes that share a signature are candidates, in two rounds
-so that a large group of near copies costs a few pairs for each member, not all pairs.  First each
-node is compared with its anchor: of the nodes in its signatures the one that meets the most others.  Then the nodes of a signature that are still in different
-components are compared; where more than ``crowd`` nodes have one anchor, their differences from it tell which of them
-may link at all.  Each pair is decided on the sets themselves, and no pair that links is left out.
+Texts with equal sets are one node.  Nodes that share a signature are candidates, in two rounds, so that a large group of
+near copies costs a few pairs for each member, not all pairs.  First each node is compared with its anchor: of the nodes in its
+signatures' hubs (who meet the most others for their size) the one of most signatures.  Then come the nodes that are still in different components:
+
+* Nodes of a signature with at most ``crowd`` nodes are compared with each other.
+* Nodes of a larger one (a passage that very many texts share) must meet once more: linked sets have one of their first shingles in
+  common, if all sets are put into one order and each gives as many as it may lack, plus one; the order is from rare to frequent by a table
+  of counts of fixed size, so that such a passage comes last.
+* Where more than ``crowd`` nodes differ from one representative by at most twice what linked sets may, they are a crowd, and its nodes meet
+  each other by those differences only: two sets differ in as many shingles as their differences do, so the same order tells which may link.
+
+A pair is given up early where sizes or the parities of the sets' shingles in 512 cells (a lower bound of their difference) rule
+a link out; each other pair is decided on the sets themselves, and no pair that links is left out.
 
 Defined results: texts without words have an empty set and are linked with nothing; null ids
 stay null and count as the smallest; repeated rows are a group; columns other than id and text
@@ -41,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, as_long, checkpointed, mix, sliced, written
+from .common import Words, as_long, checkpointed, forget, mix, sliced, written
 
 
 @dataclass(frozen=True)
@@ -49,7 +57,7 @@ class Settings:
     words: int = 3  #: words of a shingle
     percent: int = 90
     growth: float = 1.3  #: of the sizes from one band to the next
-    crowd: int = 50  #: nodes with one anchor; more are compared by their differences from it
+    crowd: int = 20  #: nodes of a signature that are all compared; those of larger ones meet by their rare shingles
     deals: int = 8  #: rounds of dealing shingles to partitions, for sets that are badly dealt
     seen: int = 100_000  #: sets that a task remembers so as to sign copies once; a matter of speed only
     slice_bytes: int = 1 << 20  #: bytes of text at a time
@@ -131,7 +139,7 @@ def _nodes(settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, settings.slice_bytes):
             sets = shingle_sets(b["text"], settings.words)
-            yield pa.record_batch({"id": b["id"], "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array([_node(s) for s in sets], pa.int64())})
+            yield pa.record_batch({"id": b["id"], "key": b["key"], "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array([_node(s) for s in sets], pa.int64())})
 
     return run
 
@@ -165,6 +173,8 @@ def _signed(settings: Settings, seed: int):
 
 
 def _sets(settings: Settings):
+    """The set of each text, as bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, settings.slice_bytes):
             sets = shingle_sets(b["text"], settings.words)
@@ -173,28 +183,104 @@ def _sets(settings: Settings):
     return run
 
 
-_COMPARED = "a long, b long, crowded boolean, linked boolean, size_a int, size_b int, difference array<long>"
+_CELLS = 512
+
+
+def parities(s: np.ndarray) -> np.ndarray:
+    """Whether each cell holds an odd number of the set's shingles, as 64-bit words: two sets differ in at least as many shingles as cells."""
+    odd = np.bincount((mix(s ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(55)).astype(np.int64), minlength=_CELLS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _outlines(settings: Settings):
+    """Size and parities of the set of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, settings.slice_bytes):
+            sets = shingle_sets(b["text"], settings.words)
+            odd = pa.array([parities(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.record_batch({"node": pa.array([_node(s) for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int32()), "odd": odd})
+
+    return run
+
+
+_ORDER_BITS, _ORDER_BLOCK = 22, 1 << 12
+
+
+def _slot(s: np.ndarray) -> np.ndarray:
+    return (mix(s ^ np.uint64(0x14057B7EF767814F)) >> np.uint64(64 - _ORDER_BITS)).astype(np.int64)
+
+
+def _counted(settings: Settings):
+    """How many sets have a shingle in each slot of a table of fixed size, by blocks of slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << _ORDER_BITS, np.int32)
+        for b in sliced(batches, settings.slice_bytes):
+            for s in shingle_sets(b["text"], settings.words):
+                np.add.at(table, _slot(s), 1)
+        for i, block in enumerate(table.reshape(-1, _ORDER_BLOCK)):
+            if block.any():
+                yield pa.record_batch({"block": pa.array([i], pa.int32()), "counts": pa.array([block.tobytes()], pa.binary())})
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for i, x in zip(b["block"].to_pylist(), b["counts"].to_pylist(), strict=True):
+            total[i] = total.get(i, 0) + np.frombuffer(x, np.int32).astype(np.int64)
+    if total:
+        most = (1 << 31) - 1
+        yield pa.record_batch({"block": pa.array(list(total), pa.int32()), "counts": pa.array([np.minimum(x, most).astype(np.int32).tobytes() for x in total.values()], pa.binary())})
+
+
+def _first_shingles(settings: Settings, order):
+    """(shingle, node): of each set as many shingles as a linked one may lack, plus one, the rare ones first.  What no other set has is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table: np.ndarray = order.value
+        for b in sliced(batches, settings.slice_bytes):
+            sets = [s for s in shingle_sets(b["text"], settings.words) if len(s)]
+            if sets:
+                first = []
+                for s in sets:
+                    often = table[_slot(s)]
+                    kept = np.lexsort((s, often))[: len(s) + 1 - -(-settings.percent * len(s) // 100)]
+                    first.append(s[kept[often[kept] > 1]])
+                yield pa.record_batch({"shingle": as_long(np.concatenate(first)), "node": np.repeat(np.array([_node(s) for s in sets], np.int64), [len(f) for f in first])})
+
+    return run
+
 
+def _compared(settings: Settings, reach: int):
+    """The pairs (a, b, x, y) whose sets differ by at most ``reach`` times what linked sets may: with linked, m and, for a reach of 2, the difference."""
 
-def _linked(settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = settings.percent
         for b in batches:
-            linked, sizes, differences = [], [], []
-            for x, y, crowded in zip(b["x"], b["y"], b["crowded"].to_pylist(), strict=True):
+            out = []
+            for i, (x, y) in enumerate(zip(b["x"], b["y"], strict=True)):
                 s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 both = np.concatenate([s, t])
                 both.sort()
                 again = both[1:] == both[:-1]
-                common = int(np.count_nonzero(again))
-                linked.append(100 * common >= settings.percent * (len(both) - common))
-                sizes.append((len(s), len(t)))
-                differences.append(as_long(both[~(np.append(again, False) | np.append(False, again))]) if crowded else None)
-            columns = [b["a"], b["b"], b["crowded"], pa.array(linked, pa.bool_()), *(pa.array([z[i] for z in sizes], pa.int32()) for i in (0, 1)), pa.array(differences, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _COMPARED.split(", ")])
+                m, k = len(both) - 2 * int(np.count_nonzero(again)), len(both) * (100 - p) // (100 + p)
+                if m <= reach * k:
+                    kept = as_long(both[~(np.append(again, False) | np.append(False, again))]) if reach > 1 else None
+                    out.append((i, m <= k, m, len(t), kept))
+            at = pa.array([o[0] for o in out], pa.int64())
+            columns = [b["a"].take(at), b["b"].take(at), pa.array([o[1] for o in out], pa.bool_()), *(pa.array([o[i] for o in out], pa.int32()) for i in (2, 3)), pa.array([o[4] for o in out], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _PAIR.split(", ")])
 
     return run
 
 
+_PAIR = "a long, b long, linked boolean, m int, n int, difference array<long>"
+_SALTS, _OFTEN = 16, 500  #: a set of more than so many pairs is copied to so many places
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for the nodes of ``links`` (a, b): the smallest node that links reach."""
     edges = checkpointed(links.select("a", "b").union(links.select("b", "a")).distinct())
@@ -217,12 +303,14 @@ class Join:
     def __init__(self, docs: DataFrame, settings: Settings = Settings()):
         self.settings = settings
         self.docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-        self.nodes = checkpointed(self.docs.mapInArrow(_nodes(settings), "id long, n long, node long"))
-        self.first = self.nodes.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"))
+        keyed = self.docs.withColumn("key", F.xxhash64("text"))
+        self.nodes = checkpointed(keyed.mapInArrow(_nodes(settings), "id long, key long, n long, node long"))
+        distinct = checkpointed(self.nodes.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n")))
+        self.first, self.sizes = distinct.select("node", "id"), distinct.select("node", "n")
 
     def texts(self, nodes: DataFrame) -> DataFrame:
         """(id, text) of one row for each node."""
-        ids = checkpointed(self.first.join(nodes, "node", "left_semi").select("id").distinct())
+        ids = checkpointed(self.first.join(nodes, "node", "left_semi").select("id"))
         few = ids.count() <= self.settings.broadcast_rows
         return self.docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
@@ -232,86 +320,162 @@ class Join:
         own = Window.partitionBy("sig")
         shared = signed.withColumns({"low": F.min("node").over(own), "high": F.max("node").over(own)}).filter("low < high")
         members = written(shared.select("sig", "node").distinct(), "jaccard-members")
-        # how many others a node meets in its signatures: copies with few changes meet the most
-        size = members.groupBy("sig").agg((F.count("*") - 1).alias("others"))
-        weight = checkpointed(members.join(size, "sig").groupBy("node").agg(F.sum("others").alias("weight")))
-        ranked = members.join(weight, "node")
-        hubs = ranked.groupBy("sig").agg(F.max(F.struct("weight", "node")).alias("hub"))
-        anchors = checkpointed(members.join(hubs, "sig").groupBy("node").agg(F.max("hub").alias("hub")).select("node", F.col("hub.node").alias("anchor")))
-        crowds = checkpointed(anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > self.settings.crowd).select("anchor"))
-        anchors = checkpointed(anchors.join(crowds.withColumn("__c", F.lit(True)), "anchor", "left").select("node", "anchor", F.coalesce("__c", F.lit(False)).alias("crowded")))
-        tried = anchors.filter("node <> anchor").select(F.col("anchor").alias("a"), F.col("node").alias("b"), "crowded")
-        first = self._compared(tried)
-        links = first.filter("linked").select("a", "b")
-        pairs = self._apart(members, anchors, links, first)
-        return links if pairs.isEmpty() else checkpointed(links.union(self._compared(pairs.withColumn("crowded", F.lit(False))).filter("linked").select("a", "b")))
-
-    def _compared(self, pairs: DataFrame) -> DataFrame:
-        """The pairs of nodes (a, b, crowded) with: linked, the sizes, and for crowded ones the difference of their sets."""
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        sets = checkpointed(self.texts(wanted).mapInArrow(_sets(self.settings), "node long, members binary").dropDuplicates(["node"]))
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
-        return checkpointed(both.mapInArrow(_linked(self.settings), _COMPARED))
-
-    def _apart(self, members: DataFrame, anchors: DataFrame, links: DataFrame, first: DataFrame) -> DataFrame:
-        """Pairs of nodes (a, b) that may link and that the links so far leave in different components."""
+        # how many others a node meets in its signatures, for its size: copies with few changes meet the most, and of a common passage the texts with little else
+        size = checkpointed(members.groupBy("sig").agg((F.count("*") - 1).alias("others")))
+        met = members.join(size, "sig").groupBy("node").agg(F.sum("others").alias("others"))
+        weight = checkpointed(met.join(self.sizes, "node").select("node", (F.col("others") / F.col("n")).alias("weight")))
+        hubs = members.join(weight, "node").groupBy("sig").agg(F.max(F.struct("weight", "node")).alias("hub"))
+        votes = members.join(hubs, "sig").groupBy("node", "hub").agg(F.count("*").alias("votes"))
+        anchors = checkpointed(votes.groupBy("node").agg(F.max(F.struct("votes", "hub"))["hub"]["node"].alias("anchor")))
+        anchored = anchors.filter("node <> anchor").select(F.col("anchor").alias("a"), F.col("node").alias("b"))
+        near = self._near(anchored, 2)
+        links = checkpointed(near.filter("linked").select("a", "b"))
         roots = components(links)
-        known = checkpointed(anchors.join(roots, "node", "left").select("node", "anchor", "crowded", F.coalesce("root", "node").alias("root")))
-        rows = members.join(known, "node")
-        mixed = rows.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("sig")
-        rows = written(rows.join(mixed, "sig"), "jaccard-apart")
-        one, two = (rows.select("sig", *[F.col(c).alias(f"{c}_{n}") for c in ("node", "root", "anchor", "crowded")]) for n in "ab")
-        # nodes of one crowd are compared by their differences from its anchor instead
-        other = ~F.col("crowded_a") | (F.col("anchor_a") != F.col("anchor_b"))
-        met = one.join(two, "sig").filter(F.col("node_a") < F.col("node_b")).filter((F.col("root_a") != F.col("root_b")) & other)
-        near = self._near_in_crowds(first.filter("crowded"), known)
-        pairs = met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).union(near).distinct()
-        done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        return checkpointed(pairs.join(done, ["a", "b"], "left_anti"))
-
-    def _near_in_crowds(self, compared: DataFrame, known: DataFrame) -> DataFrame:
-        """Pairs of nodes with one anchor that may link, where at least one doesn't link with the anchor.
-
-        The sets x and y differ in as many shingles as their differences X and Y from the anchor do.
-        So with K the largest difference that linked sets may have, a pair links only if
-        |X and Y| >= (|X| + |Y| - K) / 2.  One of them, the outsider, has at least the smallest difference
-        ``least`` of all outsiders, hence the other shares at least (its own + least - K) / 2 shingles with it; and
-        an outsider shares at least |X| - K with a node inside.  By the prefix principle, with shingles
-        ordered from rare to frequent, the first |X| - overlap + 1 of both have one in common.  Where no overlap
-        is needed a mark stands for it.
+        crowds = self._crowds(near, anchored, weight, roots)
+        pairs = self._met(members.join(size.filter(F.col("others") < self.settings.crowd), "sig", "left_semi"), "sig", roots, crowds)
+        large = self._mixed(members.join(size.filter(F.col("others") >= self.settings.crowd), "sig", "left_semi"), "sig", roots, crowds)
+        if not large.isEmpty():
+            pairs = pairs.union(self._met(self._rare_shingles(large.select("node")), "shingle", roots, crowds))
+        if not crowds.isEmpty():
+            pairs = pairs.union(self._met_in_crowds(crowds, roots))
+        tried = anchors.select(F.least("anchor", "node").alias("a"), F.greatest("anchor", "node").alias("b"))
+        found = self._near(pairs.distinct().join(tried, ["a", "b"], "left_anti"), 1)
+        inside = crowds.filter("linked AND node <> chief").select(F.col("chief").alias("a"), F.col("node").alias("b"))
+        out = checkpointed(links.union(inside).union(found.filter("linked").select("a", "b")))
+        forget(members)
+        return out
+
+    def _near(self, pairs: DataFrame, reach: int) -> DataFrame:
+        """Of the pairs of nodes (a, b) those whose sets differ by at most ``reach`` (1 or 2) times what linked sets may: with linked, m, n, difference.
+
+        The sets of nodes that are the ``a`` of very many pairs are dealt to several tasks.
+        """
+        pairs = checkpointed(pairs)
+        p, settings = self.settings.percent, self.settings
+
+        def with_both(df: DataFrame, made, schema: str) -> DataFrame:
+            """What ``made`` tells of the sets of a and b, joined to the pairs; rows with equal ids may bring a set twice."""
+            a, b = (self.texts(df.select(F.col(c).alias("node")).distinct()).mapInArrow(made(settings), schema) for c in "ab")
+            values = [c for c in a.columns if c != "node"]
+            a = a.select(F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in values])
+            b = b.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in values])
+            often = df.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > _OFTEN).select("a", F.lit(True).alias("often"))
+            salts = F.when(F.col("often"), F.array(*[F.lit(i) for i in range(_SALTS)])).otherwise(F.array(F.lit(0)))
+            salted = df.join(often, "a", "left").withColumn("salt", F.when(F.col("often"), F.pmod(F.xxhash64("b"), F.lit(_SALTS)).cast("int")).otherwise(0)).drop("often")
+            a = a.join(often, "a", "left").withColumn("salt", F.explode(salts)).drop("often")
+            return salted.join(a, ["a", "salt"]).drop("salt").join(b, "b")
+
+        apart = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        may = (100 + p) * apart <= reach * (100 - p) * (F.col("n_a") + F.col("n_b"))
+        if reach == 1:
+            may = may & (100 * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b"))
+        left = checkpointed(with_both(pairs, _outlines, "node long, n int, odd array<long>").filter(may).select("a", "b").distinct())
+        both = with_both(left, _sets, "node long, members binary").select("a", "b", F.col("members_a").alias("x"), F.col("members_b").alias("y"))
+        return checkpointed(both.mapInArrow(_compared(settings, reach), _PAIR).dropDuplicates(["a", "b"]))
+
+    def _crowds(self, near: DataFrame, anchored: DataFrame, weight: DataFrame, roots: DataFrame) -> DataFrame:
+        """(label, chief, node, linked, m, n, difference): nodes near the representative of more than ``crowd`` nodes that had their anchors in one component.
+
+        The representative, or chief, is the anchor that meets the most others; it is in the table itself.
+        """
+        named = near.join(roots.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("root", "a").alias("label"), "a", "b")
+        large = named.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") > self.settings.crowd)
+        named = checkpointed(named.join(large, "label", "left_semi"))
+        if named.isEmpty():
+            return named.select("label", F.col("a").alias("chief"), F.col("b").alias("node"), F.lit(False).alias("linked"), F.lit(0).alias("m"), F.lit(0).alias("n"), F.array().cast("array<long>").alias("difference"))
+        chief = named.select("label", F.col("a").alias("node")).distinct().join(weight, "node").groupBy("label").agg(F.max(F.struct("weight", "node"))["node"].alias("chief"))
+        nodes = named.select("label", F.col("b").alias("node")).union(named.select("label", F.col("a").alias("node"))).distinct()
+        nodes = checkpointed(nodes.groupBy("node").agg(F.min("label").alias("label")).join(chief, "label"))
+        # most have been compared with the chief as their anchor
+        wanted = nodes.filter("node <> chief").select(F.col("chief").alias("a"), F.col("node").alias("b"))
+        known = near.join(wanted, ["a", "b"], "left_semi")
+        compared = known.unionByName(self._near(wanted.join(anchored, ["a", "b"], "left_anti"), 2))
+        others = compared.join(nodes.withColumnRenamed("node", "b"), "b").select("label", "chief", F.col("b").alias("node"), "linked", "m", "n", "difference")
+        own = chief.select("label", "chief", F.col("chief").alias("node"), F.lit(True).alias("linked"), F.lit(0).alias("m"), F.lit(0).alias("n"), F.array().cast("array<long>").alias("difference"))
+        return checkpointed(others.union(own))
+
+    def _mixed(self, rows: DataFrame, key: str, roots: DataFrame, crowds: DataFrame) -> DataFrame:
+        """The rows (key, node) with root and unit, of keys that more than one unit has.
+
+        A unit are the nodes of a crowd that link with its representative, its other nodes, or the nodes of a component outside crowds.
+        """
+        crowd = crowds.select("node", F.col("label").alias("crowd"), "linked")
+        rows = rows.join(roots, "node", "left").join(crowd, "node", "left").select(key, "node", F.coalesce("root", "node").alias("root"), "crowd", "linked")
+        # (component or crowd, kind): 0 a component outside crowds, 1 a crowd's nodes in the component of its representative, 2 its other nodes
+        kind = F.when(F.col("crowd").isNull(), 0).when(F.col("linked") | (F.col("crowd") == F.col("root")), 1).otherwise(2)
+        rows = rows.withColumn("unit", F.struct(F.when(kind == 0, F.col("root")).otherwise(F.col("crowd")).alias("of"), kind.alias("kind")))
+        mixed = rows.groupBy(key).agg(F.min("unit").alias("low"), F.max("unit").alias("high")).filter("low <> high").select(key)
+        return checkpointed(rows.join(mixed, key))
+
+    def _met(self, rows: DataFrame, key: str, roots: DataFrame, crowds: DataFrame) -> DataFrame:
+        """Pairs of nodes of different components in one ``key``, but for those of one crowd.
+
+        Units meet before nodes do, so a key that only one component or crowd has costs nothing, and one that a few more nodes have costs those.
         """
         p = self.settings.percent
-        d = compared.select(F.col("a").alias("anchor"), F.col("b").alias("node"), "linked", "size_a", "size_b", "difference").join(known.select("node", "root"), "node")
-        d = checkpointed(d.withColumn("m", F.size("difference")))
-        facts = d.groupBy("anchor").agg(F.floor(2 * F.greatest(F.max("size_a"), F.max("size_b")) * (100 - p) / (100 + p)).alias("k"), F.min(F.when(~F.col("linked"), F.col("m"))).alias("least")).filter("least IS NOT NULL")
-        each = d.select("anchor", "node", F.explode("difference").alias("shingle"))
-        rare = each.groupBy("anchor", "shingle").agg(F.count("*").alias("often"))
-        listed = each.join(rare, ["anchor", "shingle"]).groupBy("anchor", "node").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("listed"))
-        x = d.join(facts, "anchor").join(listed, ["anchor", "node"])
+        rows = self._mixed(rows, key, roots, crowds).join(self.sizes, "node")
+        units = rows.select(key, "unit").distinct()
+        # units of one name may hold links only where one is a component outside crowds and the other a crowd's other nodes
+        may = (F.col("unit_a.of") != F.col("unit_b.of")) | (F.struct("unit_a.kind", "unit_b.kind") == F.struct(F.lit(0), F.lit(2)))
+        met = units.withColumnRenamed("unit", "unit_a").join(units.withColumnRenamed("unit", "unit_b"), key).filter((F.col("unit_a") < F.col("unit_b")) & may)
+        one, two = (rows.select(key, F.col("unit").alias(f"unit_{n}"), F.col("node").alias(f"node_{n}"), F.col("root").alias(f"root_{n}"), F.col("n").alias(f"n_{n}")) for n in "ab")
+        near = 100 * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b")
+        pairs = met.join(one, [key, "unit_a"]).join(two, [key, "unit_b"]).filter((F.col("root_a") != F.col("root_b")) & near)
+        return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+
+    def _met_in_crowds(self, crowds: DataFrame, roots: DataFrame) -> DataFrame:
+        """Pairs of nodes of one crowd that may link, where at least one doesn't link with the representative.
+
+        Sets that differ from the representative's in X and Y differ from each other in as many shingles as X and Y do.  So with k the
+        largest difference that sets of the crowd may have, a pair links only if |X and Y| >= (|X| + |Y| - k) / 2.  One of them, the
+        outsider, has at least the smallest difference ``least`` of all outsiders, hence the other shares at least (its own + least - k) / 2
+        shingles with it; and an outsider shares at least |X| - k with a node inside.  With shingles ordered from rare to frequent, the
+        first |X| - overlap + 1 of both have one in common.  Where no overlap is needed a mark stands for it.
+        """
+        p = self.settings.percent
+        d = crowds.filter("node <> chief").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        facts = d.groupBy("label").agg(F.floor(2 * F.max("n") * (100 - p) / (100 + p)).alias("k"), F.min(F.when(~F.col("linked"), F.col("m"))).alias("least")).filter("least IS NOT NULL")
+        d = checkpointed(d.join(facts, "label"))
+        each = d.select("label", "node", F.explode("difference").alias("shingle"))
+        often = each.groupBy("label", "shingle").agg(F.count("*").alias("often"))
+        listed = each.join(often, ["label", "shingle"]).groupBy("label", "node").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("listed"))
         need = lambda o: F.greatest(o.cast("int"), F.lit(1))
         first_of = lambda overlap: F.slice("listed.shingle", F.lit(1), F.greatest(F.col("m") - overlap + 1, F.lit(0)))
-        x = x.withColumns(
-            {
-                "half": first_of(need(F.ceil((F.col("m") + F.col("least") - F.col("k")) / 2))),
-                "long": first_of(need(F.col("m") - F.col("k"))),
-            }
-        ).drop("difference", "listed")
-        mark = lambda c, cond: F.when(cond, F.concat(c, F.array(F.lit(0).cast("long")))).otherwise(F.col(c))
-        x = checkpointed(x.select("anchor", "node", "root", "linked", "m", "k", mark("half", F.col("m") <= F.col("k") - F.col("least")).alias("half"), mark("long", F.col("m") < F.col("k")).alias("long")))
-        side = lambda rows, c, n: rows.select("anchor", F.explode(c).alias("shingle"), F.col("node").alias(f"node_{n}"), F.col("root").alias(f"root_{n}"))
+        mark = lambda c, cond: F.when(cond, F.concat(c, F.array(F.lit(0).cast("long")))).otherwise(c)
+        half = F.ceil((F.col("m") + F.col("least") - F.col("k")) / 2)
+        x = d.drop("difference").join(listed, ["label", "node"]).select(
+            "label", "node", "root", "linked", "m", "k",
+            mark(first_of(need(half)), F.col("m") <= F.col("k") - F.col("least")).alias("half"), mark(first_of(need(F.col("m") - F.col("k"))), F.col("m") < F.col("k")).alias("long"),
+        )
+        x = checkpointed(x)
+        side = lambda rows, c, n: rows.select("label", F.explode(c).alias("shingle"), F.col("node").alias(f"node_{n}"), F.col("root").alias(f"root_{n}"))
         outside, inside = x.filter(~F.col("linked")), x.filter("linked")
-        apart = side(outside, "half", "a").join(side(outside, "half", "b"), ["anchor", "shingle"]).filter("node_a < node_b")
-        across = side(outside.filter(F.col("m") <= 2 * F.col("k")), "long", "a").join(side(inside, "half", "b"), ["anchor", "shingle"])
+        apart = side(outside, "half", "a").join(side(outside, "half", "b"), ["label", "shingle"]).filter("node_a < node_b")
+        across = side(outside.filter(F.col("m") <= 2 * F.col("k")), "long", "a").join(side(inside, "half", "b"), ["label", "shingle"])
         return apart.union(across).filter("root_a <> root_b").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
 
+    def _rare_shingles(self, nodes: DataFrame) -> DataFrame:
+        """(shingle, node) of the first shingles of each of the nodes."""
+        texts = self.texts(nodes)
+        context = texts.sparkSession.sparkContext
+        blocks = texts.mapInArrow(_counted(self.settings), "block int, counts binary").repartition("block").mapInArrow(_summed, "block int, counts binary")
+        table = np.zeros(1 << _ORDER_BITS, np.int32)
+        for block, counts in blocks.toLocalIterator():  # 2**22 counts at most
+            table[block * _ORDER_BLOCK : (block + 1) * _ORDER_BLOCK] = np.frombuffer(counts, np.int32)
+        order = context.broadcast(table)
+        return texts.mapInArrow(_first_shingles(self.settings, order), "shingle long, node long").distinct()
+
+    def named(self) -> DataFrame:
+        """node and the least id of its component, with the component's root."""
+        roots = components(self.all_links())
+        named = self.first.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
+        least = named.groupBy("root").agg(F.min("id").alias("least"))
+        return named.join(least, "root").select("node", "root", "least")
+
     def groups(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row."""
-        roots = components(self.all_links())
-        named = self.first.join(roots, "node", "left")
-        least = named.filter("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("least"))
-        named = named.join(least, "root", "left").select("node", F.coalesce("least", "id").alias("least"))
         null = lambda c: F.when(F.col(c) != _NULL, F.col(c))
-        full = self.nodes.filter("n > 0").join(named, "node").select("id", "n", "least")
+        full = self.nodes.filter("n > 0").join(self.named(), "node").select("id", "n", "least")
         empty = self.nodes.filter("n = 0").select("id", "n", F.col("id").alias("least"))
         return full.union(empty).select(null("id").alias("doc_id"), F.col("n").alias("n_shingles"), null("least").alias("component_id"))
 
@@ -322,10 +486,18 @@ def join_groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs`` without those that link, directly or not, with one of a smaller id.
+    """One row of ``docs`` for each group of links: that of the smallest id, and of the smallest text hash among those.
 
-    Rows with a repeated or null id stay when their group has no smaller one.
+    A null id is the smallest.  Of rows with equal ids and texts any one stays.  Texts without words are no group and stay.
     """
-    groups = join_groups(docs, settings)
-    later = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__later"))
-    return docs.join(later.distinct(), F.col("doc_id") == F.col("__later"), "left_anti")
+    join = Join(docs, settings)
+    rows = checkpointed(join.nodes.filter("n > 0").join(join.named().select("node", "root"), "node").groupBy("root", "id", "key").agg(F.count("*").alias("copies")))
+    first = rows.groupBy("root").agg(F.min(F.struct("id", "key")).alias("f")).select("root", F.col("f.id").alias("__first"), F.col("f.key").alias("__first_key"))
+    marked = rows.join(first, "root").withColumn("__goes", (F.col("id") != F.col("__first")) | (F.col("key") != F.col("__first_key")))
+    marked = checkpointed(marked.select(F.col("id").alias("__id"), F.col("key").alias("__key"), "__goes", "copies").filter("__goes OR copies > 1"))
+    on = (F.coalesce(docs["doc_id"].cast("long"), F.lit(_NULL)) == F.col("__id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__key"))
+    kept = docs.join(marked.select("__id", "__key").distinct(), on, "left_anti")
+    repeated = marked.groupBy("__id", "__key").agg(F.every("__goes").alias("__goes")).filter("NOT __goes").drop("__goes")
+    if repeated.isEmpty():
+        return kept
+    return kept.unionByName(docs.join(repeated, on, "left_semi").dropDuplicates(["doc_id", "text"]))

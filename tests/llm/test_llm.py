@@ -267,10 +267,19 @@ def test_distrust_runs_along_a_chain_of_60_hosts(spark):
 
 
 def test_only_keys_make_candidates(spark):
-    held = spark.createDataFrame([(1, 10, [5, 6, 7]), (2, 20, [7, 8]), (None, 30, [5])], "doc_id long, text_key long, held array<long>")
+    held = spark.createDataFrame([(1, [5, 6, 7]), (2, [7, 8]), (3, [5])], "row long, held array<long>")
     keys = spark.createDataFrame([("a", 5), ("a", 6), ("b", 6)], "item_id string, shingle long")
-    got = {(r["doc_id"], r["item_id"]) for r in decontamination.candidates(held, keys).collect()}
-    assert got == {(1, "a"), (1, "b"), (None, "a")}
+    got = sorted((r["row"], r["item_id"]) for r in decontamination.candidates(held, keys).collect())
+    assert got == [(1, "a"), (1, "b"), (3, "a")]
+
+
+def test_repeated_documents_are_each_reported(spark):
+    t = "one two three four five six seven eight"
+    d = spark.createDataFrame([(1, t, "x"), (1, t, "y"), (2, t, "z"), (None, t, "w"), (None, t, "w"), (3, "", "v")], "doc_id long, text string, item_id string")
+    b = spark.createDataFrame([(7, t, 1)], "item_id long, text string, doc_id int")
+    got = Counter(r["doc_id"] for r in decontamination.find(d, b).collect())
+    assert got == Counter({1: 2, 2: 1, None: 2})
+    assert [r["doc_id"] for r in decontamination.drop_contaminated(d, b).collect()] == [3]
 
 
 def test_warc_round_trip(spark, tmp_path):
