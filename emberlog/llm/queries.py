@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprint, jaccard_join, language_id, lm_scoring, packing, pii, sharding, url_filter, warc
+from . import decontamination, exact_dedup, fingerprint, jaccard_join, language_id, lm_scoring, packing, pii, sharding, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,7 @@ QUERIES: dict[str, Query] = {
     "op8_language_id": _on("documents", language_id.identify),
     "op9_packing": _on("documents", packing.pack),
     "op10_jaccard_join": _on("documents", jaccard_join.join_groups),
+    "op13_exact_dedup": _on("documents", exact_dedup.groups),
 }
 
 _PII = r"""
@@ -107,10 +108,16 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM sets UNION SELECT reach.a, links.b FR
 SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least_id AS component_id FROM sets JOIN (SELECT a, min(b) AS least_id FROM reach GROUP BY a) ON a = sets.doc_id
 """
 
+_EXACT = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, text_sha256
+FROM (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents) WINDOW same AS (PARTITION BY text_sha256)
+"""
+
 #: The others' results rest on a trained model, hashes, a tokenizer's ids, a fixpoint or a greedy cut.
 ORACLE_SQL: dict[str, str] = {
     "op2_pii": _PII,
     "op4_warc": _WARC,
     "op6_decontamination": _DECONTAMINATION,
     "op10_jaccard_join": _JACCARD,
+    "op13_exact_dedup": _EXACT,
 }
