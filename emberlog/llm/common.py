@@ -20,6 +20,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[np.frombuffer(SPACES, np.uint8)] = True
+#: Bytes that part terms: all of ASCII but letters and digits.
+NO_TERM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _CHUNK = 1 << 16
@@ -127,18 +129,18 @@ def sliced(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[p
 
 
 class Words:
-    """Words of a batch of texts as 64-bit hashes.
+    """Words of a batch of texts as 64-bit hashes; ``parts`` tells for each byte whether it parts words.
 
     ``hash``: a hash of each word, in order; ``first``: index of the first word of each
     text, with the total at the end; ``start`` and ``stop``: byte places in ``raw``,
     the lower-cased bytes.
     """
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, parts: np.ndarray = _IS_SPACE):
         raw, offs = string_buffer(texts)
         self.raw = raw = _LOWER[raw]
         n = len(raw)
-        inside = ~_IS_SPACE[raw]
+        inside = ~parts[raw]
         opens = inside.copy()
         opens[1:] &= ~inside[:-1]
         cuts = offs[1:-1][offs[1:-1] < n]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, fingerprint, jaccard_join, language_id, lm_scoring, packing, pii, sharding, url_filter, warc
+from . import centroids, decontamination, exact_dedup, fingerprint, jaccard_join, language_id, lm_scoring, packing, pii, ranked_search, sharding, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def _decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
+def _ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_lm_scoring": _on("documents", lm_scoring.score),
     "op2_pii": _on("documents", pii.report),
@@ -34,6 +38,8 @@ QUERIES: dict[str, Query] = {
     "op8_language_id": _on("documents", language_id.identify),
     "op9_packing": _on("documents", packing.pack),
     "op10_jaccard_join": _on("documents", jaccard_join.join_groups),
+    "op11_ranked_search": _ranked_search,
+    "op12_centroids": _on("embeddings", centroids.cluster),
     "op13_exact_dedup": _on("documents", exact_dedup.groups),
 }
 
@@ -108,6 +114,35 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM sets UNION SELECT reach.a, links.b FR
 SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least_id AS component_id FROM sets JOIN (SELECT a, min(b) AS least_id FROM reach GROUP BY a) ON a = sets.doc_id
 """
 
+_RANKED = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT row_number() OVER () AS k, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+facts AS (SELECT count(*) FILTER (len(w) > 0) AS docs, sum(len(w))::BIGINT AS terms FROM d),
+asked AS MATERIALIZED (SELECT k, item_id, term, count(*) AS times FROM (SELECT k, item_id, unnest(w) AS term FROM i) GROUP BY ALL),
+tf AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM tf, facts GROUP BY term, docs),
+long AS (SELECT r, doc_id, 25 + (75 * len(w) * docs) // terms AS m FROM d, facts WHERE len(w) > 0),
+scores AS (SELECT k, item_id, r, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN long USING (r) GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id NULLS FIRST))::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""
+
+#: A round: distances of every vector to every centroid, the nearest one, then the floors of the means.
+_ROUND = """
+n{i} AS MATERIALIZED (SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT r, c, sum((v.x - m.x) * (v.x - m.x))::BIGINT AS d FROM v JOIN c{i} m USING (j) GROUP BY r, c) GROUP BY r),
+c{k} AS MATERIALIZED (SELECT c, j, coalesce(y, m.x) AS x FROM c{i} m LEFT JOIN (SELECT c, j, floor(sum(x)::DOUBLE / count(*))::BIGINT AS y FROM n{i} JOIN v USING (r) GROUP BY c, j) USING (c, j)),"""
+
+_CENTROIDS = f"""
+WITH kept AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)::BIGINT) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+v AS MATERIALIZED (SELECT r, unnest(e) AS x, generate_subscripts(e, 1) AS j FROM kept),
+c0 AS MATERIALIZED (SELECT c, j, x FROM v JOIN (SELECT r, row_number() OVER (ORDER BY sha256('1:' || vec_id), e) - 1 AS c FROM kept QUALIFY c < 16) USING (r)),
+{"".join(_ROUND.format(i=i, k=i + 1) for i in range(4))}
+hashed AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY j)) AS centroid_sha256 FROM c3 GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, centroid_sha256
+FROM n3 JOIN kept USING (r) JOIN hashed USING (c)
+"""
+
 _EXACT = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, text_sha256
 FROM (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents) WINDOW same AS (PARTITION BY text_sha256)
@@ -119,5 +154,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_warc": _WARC,
     "op6_decontamination": _DECONTAMINATION,
     "op10_jaccard_join": _JACCARD,
+    "op11_ranked_search": _RANKED,
+    "op12_centroids": _CENTROIDS,
     "op13_exact_dedup": _EXACT,
 }
