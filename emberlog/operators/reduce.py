@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from emberlog import rules
+from emberlog.functions.shared import stored
 from emberlog.schema import actor_of, truncated
 
 
@@ -59,15 +57,20 @@ def with_actors(events: DataFrame, parts: Sequence[str]) -> DataFrame:
 def collapse_runs(events: DataFrame) -> DataFrame:
     """Tier 4: of more than two events alike, the first, with count and window, and the last.
 
-    Alike: same name, actor, address, account and region, over the whole input.
+    Alike: same name, actor, address, account and region, over the whole input.  A hash of these is counted first, in fixed-size buffers; events of
+    hashes with one or two rows are no run and pass as they are.  Only the others are grouped: of each group, tasks send on a count and its two ends.
     """
-    alike = [F.coalesce(c, F.lit("")).alias(f"__k{i}") for i, c in enumerate((F.col("event_name"), actor_of(), F.col("source_ip"), F.col("account"), F.col("region")))]
-    # tasks combine: of each group a count and its two ends are sent on, however long the run is
-    row = F.struct(F.coalesce("event_time", F.lit("")).alias("at"), F.col("row_id").alias("id"), F.struct("*").alias("row"))
-    runs = events.groupBy(*alike).agg(F.count("*").alias("n"), F.min(row).alias("first"), F.max(row).alias("last"))
+    alike = [F.coalesce(c, F.lit("")) for c in (F.col("event_name"), actor_of(), F.col("source_ip"), F.col("account"), F.col("region"))]
+    keyed = events.withColumn("__alike", F.xxhash64(*alike))
+    often = keyed.groupBy("__alike").agg(F.count("*").alias("n")).filter("n > 2").select("__alike", F.lit(True).alias("__often"))
+    keyed = keyed.join(often, "__alike", "left")
+    row = F.struct(F.coalesce("event_time", F.lit("")).alias("at"), F.col("row_id").alias("id"), F.struct(*events.columns).alias("row"))
+    keys = [c.alias(f"__k{i}") for i, c in enumerate(alike)]
+    runs = keyed.filter("__often").groupBy("__alike", *keys).agg(F.count("*").alias("n"), F.min(row).alias("first"), F.max(row).alias("last"))
     window = F.when(F.col("n") > 2, F.array("first.at", "last.at"))
     first = F.col("first.row").withField("repeat_count", F.coalesce(F.when(F.col("n") > 2, F.col("n")), F.col("first.row.repeat_count"))).withField("repeat_window", F.coalesce(window, F.col("first.row.repeat_window")))
-    return runs.select(F.inline(F.when(F.col("n") > 1, F.array(first, F.col("last.row"))).otherwise(F.array(first)))).select(*events.columns)
+    ends = runs.select(F.inline(F.when(F.col("n") > 1, F.array(first, F.col("last.row"))).otherwise(F.array(first)))).select(*events.columns)
+    return keyed.filter("__often IS NULL").select(*events.columns).union(ends)
 
 
 def signal_rank(name: Column) -> Column:
@@ -76,51 +79,78 @@ def signal_rank(name: Column) -> Column:
     return F.when(name.isin(*rules.CRITICAL_EVENTS), 0).when(name.isin(*g["identity_mutation"]), 1).when(name.isin(*g["data_access"]), 2).when(name.isin(*g["persistence"]), 3).otherwise(4)
 
 
+# Limits of request parameters in characters, of members, and of a member's text.
 PARAMS_LIMIT, MEMBERS, MEMBER_LIMIT = 260, 8, 60
 
+_STRING = r'"(?:[^"\\]|\\.)*+(?:"|\\?$)'  #: a JSON string, the last one perhaps cut off
 
-@F.pandas_udf(StringType())
-def _pruned(params: pd.Series) -> pd.Series:
-    """Texts that the JSON functions don't settle: long ones, numbers with fractions, and what is no JSON."""
 
-    def one(text: str | None) -> str | None:
-        if text is None:
-            return None
-        try:
-            value = json.loads(text)
-        except ValueError:
-            value = text
-        full = json.dumps(value)
-        if len(full) > PARAMS_LIMIT:
-            short = lambda v: v if len(v) <= MEMBER_LIMIT else v[: MEMBER_LIMIT - 3] + "..."
-            value = {k: short(str(v)) for k, v in list(value.items())[:MEMBERS]} if isinstance(value, dict) else full[:PARAMS_LIMIT]
-        return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+def _outside_strings(text: Column, change: Callable[[Column], Column], string: Callable[[Column], Column] = lambda s: s) -> Column:
+    """A JSON text with what lies between strings, and the strings themselves, changed."""
+    gaps, strings = F.split(text, _STRING, -1), F.regexp_extract_all(text, F.lit(_STRING), F.lit(0))
+    return F.array_join(F.zip_with(gaps, strings, lambda g, s: F.concat(change(g), F.coalesce(string(s), F.lit("")))), "")
 
-    return params.map(one, na_action="ignore")
 
-
-def _bare(text: Column) -> Column:
-    """A JSON text with its strings emptied."""
-    return F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', '""')
+def _spaced(gap: Column) -> Column:
+    return F.regexp_replace(gap, "([,:])", "$1 ")
 
 
 def dumps_length(text: Column) -> Column:
     """How many characters a compact JSON text has when written with a space after commas and colons, and with escapes for all but ASCII."""
-    spaces = F.length(F.regexp_replace(_bare(text), "[^,:]", ""))
+    spaces = F.length(F.regexp_replace(F.regexp_replace(text, _STRING, '""'), "[^,:]", ""))
     wide = F.length(F.regexp_replace(text, r"[\x00-\x7F]+", ""))
     paired = F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]+", ""))
     return F.length(text) + spaces + 5 * wide + 6 * paired
 
 
+def _dumps_start(text: Column, limit: int) -> Column:
+    """The first characters of a compact JSON text, written with spaces and escapes."""
+    escape = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+
+    def ascii_only(c: Column) -> Column:
+        n = F.ascii(c).cast("bigint")
+        pair = F.concat(escape(F.shiftright(n - 0x10000, 10) + 0xD800), escape((n - 0x10000) % 1024 + 0xDC00))
+        return F.when(n < 128, c).when(n < 0x10000, escape(n)).otherwise(pair)
+
+    start = _outside_strings(F.substring(text, 1, limit), _spaced)
+    return F.substring(F.array_join(F.transform(F.split(start, ""), ascii_only), ""), 1, limit)
+
+
+def _quoted(string: Column) -> Column:
+    """A JSON string as Python shows it inside lists and objects."""
+    value = F.get_json_object(F.concat(F.lit('{"v":'), string, F.lit("}")), "$.v")
+    for old, new in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        value = F.replace(value, F.lit(old), F.lit(new))
+    double = F.contains(value, F.lit("'")) & ~F.contains(value, F.lit('"'))
+    return F.when(double, F.concat(F.lit('"'), value, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
+def _constants(gap: Column) -> Column:
+    return F.replace(F.replace(F.replace(gap, F.lit("true"), F.lit("True")), F.lit("false"), F.lit("False")), F.lit("null"), F.lit("None"))
+
+
+def _members_in_short(text: Column) -> Column:
+    """Of a JSON object the first members in its own order, each a text of bounded length: strings as they are, all else as Python shows it."""
+    kinds, texts = F.from_json(text, "map<string,variant>"), F.from_json(text, "map<string,string>")
+
+    def short(name: Column) -> Column:
+        kind, value = F.schema_of_variant(F.element_at(kinds, name)), F.element_at(texts, name)
+        nested = _outside_strings(value, lambda g: _constants(_spaced(g)), _quoted)
+        shown = F.when(kind == "STRING", value).when(kind.rlike("^(OBJECT|ARRAY)"), nested).otherwise(_constants(F.coalesce(value, F.lit("null"))))
+        return F.struct(name.alias("name"), truncated(shown, MEMBER_LIMIT).alias("value"))
+
+    return F.to_json(F.map_from_entries(F.transform(F.slice(F.array_distinct(F.json_object_keys(text)), 1, MEMBERS), short)))
+
+
 def pruned_params(params: Column) -> Column:
-    """Request parameters as compact JSON: whole up to a limit, of longer objects the first members in short.
+    """Request parameters as compact JSON: whole up to a limit; of longer objects the first members in short; of anything else longer its first characters.
 
-    Python sees only the texts that need it.
+    What is no JSON counts as a text.  Numbers are written as the JSON functions write them.
     """
     given = F.nullif(params, F.lit(""))
     plain = F.to_json(F.try_parse_json(given))
-    settled = plain.isNotNull() & ~_bare(given).rlike("[0-9][.eE]") & (dumps_length(plain) <= PARAMS_LIMIT)
-    return F.when(F.coalesce(settled, F.lit(False)), plain).otherwise(_pruned(F.when(~F.coalesce(settled, F.lit(False)), given)))
+    text = F.coalesce(plain, _json(given))
+    return F.when(dumps_length(text) <= PARAMS_LIMIT, text).when(plain.startswith("{"), _members_in_short(given)).otherwise(_json(_dumps_start(text, PARAMS_LIMIT)))
 
 
 def _json(c: Column) -> Column:
@@ -149,28 +179,96 @@ def slim(events: DataFrame) -> DataFrame:
     return events.select("row_id", "event_time", F.explode(F.array(slim_json())).alias("slim")).withColumn("cost", dumps_length(F.col("slim")))
 
 
-def greedy_fill(rows: DataFrame, rank: Sequence[Column], cost: Column, capacity: int, keys: Sequence[str] = ()) -> DataFrame:
+#: Rows of each budget that one round of filling looks at.
+CHUNK = 4096
+
+
+def _literal(df: DataFrame, names: Sequence[str], values: Sequence[object]) -> Column:
+    return F.struct(*[F.lit(v).cast(df.schema[n].dataType).alias(n) for n, v in zip(names, values, strict=True)])
+
+
+def fill_steps(priced: DataFrame, names: Sequence[str], capacity: int, chunk: int = CHUNK) -> tuple[list[tuple[tuple, int]], int]:
+    """Where the most that a row may cost falls, and to what: [(rank, most)]; and the least cost of all.
+
+    priced: (``names`` of the rank, ``__cost``).  The driver sees counts and sums by cost class, then in rounds the next rows that may still fit, no more of them than
+    ``left // least + 1``, as one of so many doesn't fit.  What is left then is less than that row's cost, so rounds are few.
+    """
+    kind = (F.length(F.bin("__cost")) - 1).alias("kind")
+    found = priced.filter(F.col("__cost").between(1, capacity)).groupBy(kind).agg(F.count("*").alias("n"), F.sum("__cost").alias("total"), F.min("__cost").alias("least")).collect()
+    classes = {r.kind: [r.total, r.least] for r in found}
+    left, most, after, steps = capacity, capacity, None, []
+    while True:
+        open_ = [c for c in classes.values() if c[0] > 0 and c[1] <= most]
+        if sum(c[0] for c in open_) <= left:
+            break
+        rows = priced.filter(F.col("__cost").between(1, most))
+        if after is not None:
+            rows = rows.filter(F.struct(*names) > _literal(priced, names, after))
+        seen = rows.orderBy(*names).limit(min(chunk, left // min(c[1] for c in open_) + 1)).collect()
+        if not seen:
+            break
+        for r in seen:
+            cost, after = r["__cost"], tuple(r[n] for n in names)
+            classes[cost.bit_length() - 1][0] -= cost
+            if cost <= left:
+                left -= cost
+            elif cost <= most:
+                steps, most = [*steps, (after, left)], left
+    return steps, min((r.least for r in found), default=1)
+
+
+def _steps_by_key(priced: DataFrame, names: Sequence[str], capacity: int, keys: Sequence[str], chunk: int) -> DataFrame:
+    """The same for budgets by key, all in the same rounds: (keys, steps, least)."""
+    none = F.lit(None)
+    rank = "struct<" + ",".join(f"{n}:{priced.schema[n].dataType.simpleString()}" for n in names) + ">"
+    budgets = priced.groupBy(*keys).agg(F.min("__cost").alias("least"))
+    state = budgets.select(*keys, "least", F.lit(capacity).cast("bigint").alias("left"), F.lit(capacity).cast("bigint").alias("most"), none.cast(rank).alias("after"), F.array().cast(f"array<struct<at:{rank},most:bigint>>").alias("steps"), F.lit(True).alias("open"))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*names))
+    while True:
+        rows = priced.join(state.filter("open").select(*keys, "most", "after"), [*keys]).filter((F.col("__cost") <= F.col("most")) & (F.col("after").isNull() | (F.struct(*names) > F.col("after"))))
+        seen = rows.select(*keys, *names, "__cost").withColumn("__nth", nth).filter(F.col("__nth") <= chunk)  # tasks send on so many of each budget
+        seen = seen.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.struct(*names).alias("at"), "__cost"))).alias("seen"))
+        state = state.join(seen, [*keys], "left")
+        start = F.struct("left", "most", "steps")
+
+        def next_(a: Column, x: Column) -> Column:
+            cost = x["__cost"]
+            step = F.concat(a["steps"], F.array(F.struct(x["at"].alias("at"), a["left"].alias("most"))))
+            return F.when(cost <= a["left"], F.struct((a["left"] - cost).alias("left"), a["most"].alias("most"), a["steps"].alias("steps"))).when(
+                cost <= a["most"], F.struct(a["left"].alias("left"), a["left"].alias("most"), step.alias("steps"))
+            ).otherwise(a)
+
+        state = state.withColumn("now", F.when(F.size("seen") > 0, F.aggregate("seen", start, next_)).otherwise(start))
+        full = F.coalesce(F.size("seen") == chunk, F.lit(False))
+        state = stored(
+            state.select(*keys, "least", "now.left", "now.most", F.when(full, F.element_at("seen", -1)["at"]).otherwise(F.col("after")).alias("after"), "now.steps", (full & (F.col("now.most") >= F.col("least"))).alias("open")), "budget"
+        )
+        if state.filter("open").isEmpty():
+            return state.select(*keys, "steps", "least")
+
+
+def greedy_fill(rows: DataFrame, rank: Sequence[Column], cost: Column, capacity: int, keys: Sequence[str] = (), chunk: int = CHUNK) -> DataFrame:
     """Takes rows in the order of ``rank`` as far as they fit, passing over those that don't.
 
-    The order decides, so one fold over the sorted costs does it.  Every row costs 1 at least,
-    so only the first ``capacity`` rows by cost and rank can be taken from any one cost class:
-    of each cost, capacity // cost rows at most reach the fold (the sum of capacity / cost over all costs up to the capacity bounds
-    them).  ``keys``: columns that fill budgets of their own.  The rank tells all rows apart.
+    What is left only falls, so a row is taken if its cost is no more than what was left when the last row of a lower cost limit was passed over: the rows taken are those
+    under a falling staircase of cost over rank.  Its steps are found in rounds over (rank, cost) alone; then one filter takes the rows, and nothing is sorted or joined as a whole.
+    Costs below 1 are never taken.  ``keys``: columns, not null, that fill budgets of their own; their stairs are joined by key.  The rank tells all rows apart.
     """
     names = [f"__r{i}" for i in range(len(rank))]
-    ranked = rows.withColumns(dict(zip(names, rank, strict=True)))
-    marked = ranked.select(*keys, *names, cost.cast("bigint").alias("__cost")).filter(F.col("__cost").between(1, capacity))
-    nth = F.row_number().over(Window.partitionBy(*keys, "__cost").orderBy(*names))
-    marked = marked.withColumn("__nth", nth).filter(F.col("__nth") <= F.floor(F.lit(capacity) / F.col("__cost")))
-    listed = marked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*names, "__cost"))).alias("__all"))
-    fold = F.aggregate(
-        "__all",
-        F.struct(F.lit(0).cast("bigint").alias("used"), F.slice("__all", 1, 0).alias("taken")),
-        lambda a, x: F.when(a["used"] + x["__cost"] <= capacity, F.struct((a["used"] + x["__cost"]).alias("used"), F.concat(a["taken"], F.array(x)).alias("taken"))).otherwise(a),
-        lambda a: a["taken"],
-    )
-    taken = listed.select(*keys, F.explode(fold).alias("__t")).select(*keys, *[F.col(f"__t.{n}").alias(n) for n in names])
-    return ranked.join(F.broadcast(taken) if not keys else taken, [*keys, *names], "left_semi").drop(*names)
+    priced = stored(rows.select(*keys, *[r.alias(n) for r, n in zip(rank, names, strict=True)], cost.cast("bigint").alias("__cost")).filter(F.col("__cost").between(1, capacity)), "priced")
+    here = F.struct(*[r.alias(n) for r, n in zip(rank, names, strict=True)])
+    if keys:
+        stairs = _steps_by_key(priced, names, capacity, keys, chunk).withColumnsRenamed({"steps": "__steps", "least": "__least"})
+        passed = F.filter("__steps", lambda s: s["at"] <= here)
+        limit = F.coalesce(F.try_element_at(passed, F.lit(-1))["most"], F.lit(capacity))
+        return rows.join(stairs, [*keys]).filter((limit >= F.col("__least")) & cost.between(1, limit)).select(*rows.columns)
+    steps, least = fill_steps(priced, names, capacity, chunk)
+    limit, last = None, capacity
+    for at, most in steps:
+        below = here < _literal(priced, names, at)
+        limit, last = F.when(below, last) if limit is None else limit.when(below, last), most
+    limit = F.lit(last) if limit is None else limit.otherwise(last)
+    return rows.filter((limit >= least) & cost.between(1, limit))
 
 
 def fit_budget(events: DataFrame, tokens: int = 40_000) -> DataFrame:
