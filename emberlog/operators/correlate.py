@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from emberlog import rules
 from emberlog.functions.dates import minutes_between
+from emberlog.functions.shared import stored
 from emberlog.schema import actor_of, first_param, truncated
 
 TIME = "event_time"
@@ -42,25 +43,17 @@ def timelines(events: DataFrame, phases: dict[str, tuple[str, ...]] = rules.PHAS
     )
 
 
-def counts_at(events: DataFrame, times: DataFrame, time: str = TIME) -> DataFrame:
-    """(at, upto, before): how many events have a time not after, and before, each of the distinct times (at).
+def placed(rows: DataFrame, *order: str) -> DataFrame:
+    """Adds ``place``: 0, 1, ... in the order of columns that tell all rows apart, as a prefix sum in two passes.
 
-    Times are texts.  Events are counted by their first 19 characters (the second), where tasks combine; within the seconds of the times asked for
-    they are counted by whole times.  Running sums go over those counts: by time within a second, by second within an hour, by hour.
+    Rows are dealt by ranges of the order and numbered within their range as they are written; then the sizes of all ranges before are added.
     """
-    stamp = events.select(F.col(time).alias("at")).filter("at IS NOT NULL").withColumns({"second": F.substring("at", 1, 19), "hour": F.substring("at", 1, 13)})
-    ahead = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    sum_ahead = lambda *by: F.coalesce(F.sum("n").over(ahead(*by)), F.lit(0))
-    seconds = stamp.groupBy("hour", "second").agg(F.count("*").alias("n"))
-    hours = seconds.groupBy("hour").agg(F.sum("n").alias("n")).withColumn("in_hours", sum_ahead("hour")).drop("n")  # a row for each hour of the log
-    asked = times.select("at").distinct().withColumns({"second": F.substring("at", 1, 19), "hour": F.substring("at", 1, 13)})
-    seconds = seconds.join(asked.select("hour").distinct(), "hour", "left_semi").withColumn("in_seconds", sum_ahead("hour", "second")).drop("n")
-    whole = stamp.join(asked.select("second").distinct(), "second", "left_semi").groupBy("second", "at").agg(F.count("*").alias("n"))
-    # the times asked for are events' own times, so they are among the counted ones
-    whole = whole.withColumn("in_second", sum_ahead("second", "at"))
-    found = asked.join(whole, ["second", "at"]).join(seconds, ["hour", "second"]).join(hours, "hour")
-    before = F.col("in_hours") + F.col("in_seconds") + F.col("in_second")
-    return found.select("at", (before + F.col("n")).alias("upto"), before.alias("before"))
+    table = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "placed")
+    part = F.shiftright("__at", 33)
+    sizes = table.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))  # a row for each range
+    ahead = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("__part", ahead.alias("__ahead"))
+    return table.withColumn("__part", part).join(F.broadcast(sizes), "__part").withColumn("place", F.col("__ahead") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__at", "__part", "__ahead")
 
 
 def gap_resource() -> Column:
@@ -71,18 +64,22 @@ def logging_gaps(events: DataFrame, disable: Sequence[str] = rules.DISABLE, enab
     """Windows between a disabling event and the next enabling one of the same account, region and resource.
 
     A later disabling event replaces an earlier one; a window without an end stays open.  ``events_during_gap`` counts
-    all events strictly inside a closed window, whoever caused them.
+    all events strictly inside a closed window, whoever caused them; none, if one of its ends has no time.
+
+    Events are read once.  All get their place in order of time, of equal times the enabling ones first and the disabling ones last, so that the first place of the enabling events of a
+    time is the number of events before it, and the last place of the disabling ones that of the events up to it.  Only these events are paired.
     """
     name = F.col("event_name")
-    turns = events.filter(name.isin(*disable, *enable)).withColumn("resource", resource if resource is not None else gap_resource())
-    turns = turns.select("row_id", TIME, "event_ts", "event_name", "resource", F.coalesce("account", F.lit("")).alias("account"), F.coalesce("region", F.lit("")).alias("region"), actor_of().alias("disabled_by"))
+    side = F.when(name.isin(*enable), 0).when(name.isin(*disable), 2).otherwise(1)
+    turn = F.struct("event_ts", "event_name", (resource if resource is not None else gap_resource()).alias("resource"), F.coalesce("account", F.lit("")).alias("account"), F.coalesce("region", F.lit("")).alias("region"), actor_of().alias("disabled_by"))
+    rows = events.select(TIME, side.alias("side"), "row_id", F.when(side != 1, turn).alias("turn"))
+    turns = placed(rows, TIME, "side", "row_id").filter("side <> 1").select(TIME, "side", "row_id", "place", "turn.*")
+    edges = turns.groupBy(TIME).agg(F.min(F.when(F.col("side") == 0, F.col("place"))).alias("before"), (F.max(F.when(F.col("side") == 2, F.col("place"))) + 1).alias("upto"))
+    turns = turns.drop("place").join(edges, TIME, "left")  # a time that is null has no edges
     w = Window.partitionBy("account", "region", "resource").orderBy(F.coalesce(TIME, F.lit("")), "row_id")
     nxt = lambda c: F.lead(c).over(w)
-    pairs = turns.withColumns({"next_name": nxt("event_name"), "end": nxt(TIME), "end_ts": nxt("event_ts")}).filter(name.isin(*disable))
+    pairs = turns.withColumns({"next_name": nxt("event_name"), "end": nxt(TIME), "end_ts": nxt("event_ts"), "end_before": nxt("before")}).filter(name.isin(*disable))
     pairs = pairs.filter(F.col("next_name").isNull() | F.col("next_name").isin(*enable))
-    ends = pairs.filter("next_name IS NOT NULL").select(F.explode(F.array(TIME, "end")).alias("at")).filter("at IS NOT NULL")
-    at = counts_at(events, ends)
-    pairs = pairs.join(at.select(F.col("at").alias(TIME), "upto"), TIME, "left").join(at.select(F.col("at").alias("end"), "before"), "end", "left")
     return pairs.select(
         F.col(TIME).alias("start"),
         "end",
@@ -93,7 +90,7 @@ def logging_gaps(events: DataFrame, disable: Sequence[str] = rules.DISABLE, enab
         "account",
         "region",
         F.col("next_name").isNull().alias("still_open"),
-        F.when(F.col("next_name").isNull(), F.lit(0)).otherwise(F.greatest(F.coalesce(F.col("before") - F.col("upto"), F.lit(0)), F.lit(0))).cast("bigint").alias("events_during_gap"),
+        F.when(F.col("next_name").isNull(), F.lit(0)).otherwise(F.greatest(F.coalesce(F.col("end_before") - F.col("upto"), F.lit(0)), F.lit(0))).cast("bigint").alias("events_during_gap"),
     )
 
 
@@ -143,16 +140,18 @@ def escalation_chains(events: DataFrame, access: Sequence[str] = rules.ACCESS, e
 def session_chains(events: DataFrame, after_mint_only: bool = False, listed: int = 25) -> DataFrame:
     """Minted session keys with what was done under them; keys without actions stay.
 
-    The last event that minted a key is its origin.  ``after_mint_only`` leaves out actions before it.
+    The last event that minted a key is its origin.  ``after_mint_only`` leaves out actions before it.  Events are read once and joined with the origins once.
     """
-    mint = events.filter(F.col("event_name").isin(*rules.MINTING) & (F.coalesce("minted_key_id", F.lit("")) != ""))
-    origin = mint.groupBy(F.col("minted_key_id").alias("key")).agg(
-        F.max_by(F.struct(F.col("row_id").alias("mint_row"), actor_of().alias("assumed_by"), F.col(TIME).alias("assumed_at"), F.get_json_object("request_params", "$.roleArn").alias("role"), "source_ip"), F.struct(*ORDER)).alias("o")
-    ).select("key", "o.*")
-    done = events.filter(F.col("access_key_id").isNotNull()).select(F.col("access_key_id").alias("key"), "row_id", F.col(TIME).alias("time"), F.col("event_name").alias("event"), "account", "region")
-    joined = origin.join(done, "key", "left").withColumn("own", F.col("row_id").isNotNull() & (F.col("row_id") != F.col("mint_row")))
+    minted = F.col("event_name").isin(*rules.MINTING) & (F.coalesce("minted_key_id", F.lit("")) != "")
+    mint = F.struct(TIME, F.col("row_id").alias("mint_row"), actor_of().alias("assumed_by"), F.col(TIME).alias("assumed_at"), F.get_json_object("request_params", "$.roleArn").alias("role"), "source_ip")
+    done = F.struct(F.col(TIME).alias("time"), "row_id", F.col("event_name").alias("event"), "account", "region")
+    uses = F.array(F.struct(F.when(minted, F.col("minted_key_id")).alias("key"), mint.alias("mint"), F.lit(None).cast(events.select(done).schema[0].dataType).alias("done")), F.struct(F.col("access_key_id").alias("key"), F.lit(None).cast(events.select(mint).schema[0].dataType).alias("mint"), done.alias("done")))
+    uses = stored(events.select(F.inline(F.filter(uses, lambda u: u["key"].isNotNull()))), "key-uses")
+    origin = uses.filter("mint IS NOT NULL").groupBy("key").agg(F.max(F.struct(f"mint.{TIME}", "mint.mint_row", "mint")).alias("o")).select("key", "o.mint.*").drop(TIME)
+    joined = origin.join(uses.filter("done IS NOT NULL").select("key", "done.*"), "key", "left").withColumn("own", F.col("row_id").isNotNull() & (F.col("row_id") != F.col("mint_row")))
     if after_mint_only:
         joined = joined.withColumn("own", F.col("own") & (F.col("time") >= F.col("assumed_at")))
+    joined = stored(joined, "sessions")
     notable = F.col("event").isin(*rules.ESCALATION, *rules.DISABLE, *rules.EXFILTRATION)
     own = F.col("own")
     about = joined.groupBy("key", "assumed_by", "assumed_at", "role", "source_ip").agg(F.count_if(own).alias("action_count"), F.array_sort(F.collect_set(F.when(own & notable, F.col("event")))).alias("notable"))
