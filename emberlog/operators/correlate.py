@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emberlog import rules
 from emberlog.functions.dates import minutes_between
-from emberlog.functions.shared import stored
+from emberlog.functions.shared import placed, stored
 from emberlog.schema import actor_of, first_param, truncated
 
 TIME = "event_time"
@@ -43,19 +43,6 @@ def timelines(events: DataFrame, phases: dict[str, tuple[str, ...]] = rules.PHAS
     )
 
 
-def placed(rows: DataFrame, *order: str) -> DataFrame:
-    """Adds ``place``: 0, 1, ... in the order of columns that tell all rows apart, as a prefix sum in two passes.
-
-    Rows are dealt by ranges of the order and numbered within their range as they are written; then the sizes of all ranges before are added.
-    """
-    table = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "placed")
-    part = F.shiftright("__at", 33)
-    sizes = table.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))  # a row for each range
-    ahead = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("__part", ahead.alias("__ahead"))
-    return table.withColumn("__part", part).join(F.broadcast(sizes), "__part").withColumn("place", F.col("__ahead") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__at", "__part", "__ahead")
-
-
 def gap_resource() -> Column:
     return first_param("request_params", ("name", "trailName", "flowLogIds", "detectorId", "configurationRecorderName"), F.lit("unknown"))
 

@@ -20,6 +20,11 @@ def _number(ip: Column) -> Column:
     return F.when((F.size(p) == 4) & plain, value)
 
 
+def is_ipv4(ip: Column) -> Column:
+    """Whether a dotted text is an IPv4 address; null counts as no."""
+    return _number(ip).isNotNull()
+
+
 def routable_ipv4(ip: Column) -> Column:
     """Whether a dotted IPv4 address is valid and publicly routable; null counts as no."""
     n, inside = _number(ip), F.lit(False)

@@ -1,9 +1,9 @@
 """Reversible pseudonyms for identifiers in text columns, JSON texts among them.
 
 The mapping is a DataFrame (value, token, kind, restored): every distinct identifier gets a number of its kind.
-Rows are rewritten with the mapping of the identifiers that they hold, so the mapping may be as large as it likes and is never
-written anywhere.  What the patterns find is joined by value.  Bare names are joined by their longest run of letters and digits, which a text
-that holds the name has as a word of its own.  A text is rewritten in one pass, so that no token is replaced again.
+Rows are rewritten with the mapping of the identifiers that they hold, so the mapping may be as large as it likes; it is a plan, the same whenever it is
+made, and written nowhere.  What the patterns find is joined by value.  Bare names are found by an inverted index of the texts' words: a name is looked up by that of its words that the
+fewest texts have, and tested against the text before anything is grouped.  A text is rewritten in one pass, so that no token is replaced again.
 """
 
 from __future__ import annotations
@@ -11,16 +11,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlog.operators import intel
+
 # Identifier patterns; longer ones come first, so that an ARN is one identifier.
-PATTERNS = (
-    ("ARN", r"arn:aws(?:-us-gov|-cn)?:[a-z0-9-]+:[a-z0-9-]*:(?:\d{12})?:[^\s\"',]+"),
-    ("KEY", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"),
-    ("ACCOUNT", r"(?<!\d)\d{12}(?!\d)"),
-    ("IP", r"\b(?:\d{1,3}\.){3}\d{1,3}\b"),
-    ("BUCKET", r"(?i)(?<=bucket[\"' :=]{1,3})[a-z0-9][a-z0-9.-]{2,62}|(?<=bucketName\":\s?\")[a-z0-9][a-z0-9.-]{2,62}"),
-)
+_ARN = r"arn:aws(?:-us-gov|-cn)?:[a-z0-9-]+:[a-z0-9-]*:(?:\d{12})?:[^\s\"',]+"
+_KEY = r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"
+_ACCOUNT = r"(?<!\d)\d{12}(?!\d)"
+_IP = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
+_LEAD = r"(?i:bucket[\"' :=]{1,3}|bucketName\":\s?\")"  #: stands before the name of a bucket and belongs to the match, so that no other begins inside the name
+_BUCKET = rf"{_LEAD}(?!{_ARN}|{_KEY}|{_ACCOUNT}|{_IP})(?i:[a-z0-9][a-z0-9.-]{{2,62}})"
+PATTERNS = (("ARN", _ARN), ("KEY", _KEY), ("ACCOUNT", _ACCOUNT), ("IP", _IP), ("BUCKET", _BUCKET))
 _ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
-_PRIVATE = r"^(10\.|127\.|169\.254\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)"
+
+
+def _identifier(match: Column) -> Column:
+    """What a pattern found, without what stands before a bucket."""
+    return F.regexp_replace(match, f"^{_LEAD}", "")
+
+
+def found_in(text: Column) -> Column:
+    """The distinct identifiers that the patterns find in a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_ANY), F.lit(0)), _identifier))
+
+
+def _private(ip: Column) -> Column:
+    """Addresses of networks that aren't public; multicast ones count as public."""
+    return ~intel.routable_ipv4(ip) & ~F.split(ip, r"\.")[0].cast("int").between(224, 239)
 
 
 def kind_of(value: Column) -> Column:
@@ -33,7 +49,7 @@ def kind_of(value: Column) -> Column:
         .when(arn, "RESOURCE")
         .when(value.rlike("^(AKIA|ASIA)[A-Z0-9]{16}$"), "KEY")
         .when(value.rlike(r"^\d{12}$"), "ACCOUNT")
-        .when(value.rlike(r"^(\d{1,3}\.){3}\d{1,3}$"), F.when(value.rlike(_PRIVATE), "IP-PRIVATE").otherwise("IP"))
+        .when(value.rlike(r"^(\d{1,3}\.){3}\d{1,3}$"), F.when(_private(value), "IP-PRIVATE").otherwise("IP"))
         .otherwise("BUCKET")
     )
 
@@ -48,9 +64,9 @@ def mapping(texts: DataFrame, column: str, names: DataFrame | None = None, name_
     """(value, token, kind, restored) of all identifiers in a text column, and of bare names (name, and kind where there is one).
 
     A bare name shares the token of the ARN that holds it; the ARN is what the token is restored to.
-    Tokens are numbered by kind: within slices of the values' hashes, with the slices' sizes added up.
+    What looks like an address and is none stays as it is.  Tokens are numbered by kind: within slices of the values' hashes, with the slices' sizes added up.
     """
-    found = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(_ANY), F.lit(0)))).alias("value")).filter("value <> ''").distinct()
+    found = texts.select(F.explode(found_in(F.col(column))).alias("value")).distinct().filter(~F.col("value").rlike(rf"^{_IP}\z") | intel.is_ipv4(F.col("value")))
     arns = found.withColumn("kind", kind_of(F.col("value"))).withColumn("name", bare_name(F.col("value")))
     owned = arns.filter("name IS NOT NULL").groupBy("name").agg(F.min_by(F.struct("value", "kind"), "value").alias("o"))
     bare = owned.select("name", F.col("o.value").alias("owner"), F.col("o.kind").alias("kind"))
@@ -79,14 +95,33 @@ _OUTSIDE = "[A-Za-z0-9]"  #: bare names stand between other characters than thes
 def _rewritten(text: Column, pattern: Column, pairs: Column) -> Column:
     """The text with what the pattern finds replaced by the (old, new) pairs; what has no pair stays."""
     known = F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["old"], p["new"])))
-    found = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: F.coalesce(F.try_element_at(known, m), m))
+
+    def new(match: Column) -> Column:
+        bare = _identifier(match)
+        lead = F.substring(match, F.lit(1), F.length(match) - F.length(bare))
+        return F.coalesce(F.try_element_at(known, match), F.concat(lead, F.try_element_at(known, bare)), match)
+
+    found = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), new)
     return F.array_join(F.zip_with(F.split(text, pattern, -1), found, lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
 
 
-def _probe(name: Column) -> Column:
-    """The longest run of letters and digits of a name, or else its first character."""
-    runs = F.array_sort(F.transform(F.regexp_extract_all(name, F.lit(f"{_OUTSIDE}+"), F.lit(0)), lambda r: F.struct((-F.length(r)).alias("long"), r.alias("run"))))
-    return F.coalesce(F.get(runs, F.lit(0))["run"], F.substring(name, 1, 1))
+def _words(text: Column) -> Column:
+    """The distinct words of a text: runs of letters and digits, and each other character."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?s){_OUTSIDE}+|."), F.lit(0)))
+
+
+def candidates(rows: DataFrame, key: str, column: str, names: DataFrame) -> DataFrame:
+    """(key, old, new) of names (old, new) whose rarest word a text has.
+
+    A name stands between other characters than letters and digits, so a text that holds it has all its words.  Only words of names are indexed; a name with
+    a word that no text has is looked up nowhere.
+    """
+    spelt = names.select("old", "new", F.explode(_words(F.col("old"))).alias("word"))
+    index = rows.select(F.col(key), F.explode(_words(F.col(column))).alias("word")).join(spelt.select("word").distinct(), "word", "left_semi")
+    spelt = spelt.join(index.groupBy("word").agg(F.count("*").alias("texts")), "word", "left")
+    rarest = F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), (-F.length("word")).alias("long"), "word"))
+    probes = spelt.groupBy("old", "new").agg(rarest.alias("p")).filter("p.texts > 0").select("old", "new", F.col("p.word").alias("word"))
+    return index.join(probes, "word").select(key, "old", "new")
 
 
 def _with_pairs(rows: DataFrame, key: str, each: DataFrame) -> DataFrame:
@@ -98,13 +133,11 @@ def _with_pairs(rows: DataFrame, key: str, each: DataFrame) -> DataFrame:
 
 def redact(rows: DataFrame, key: str, column: str, tokens: DataFrame) -> DataFrame:
     """The rows with the identifiers in ``column`` replaced; ``key`` is unique."""
-    text = F.coalesce(column, F.lit(""))
-    values = rows.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)))).alias("old"))
+    values = rows.select(key, F.explode(found_in(F.col(column))).alias("old"))
     values = values.join(tokens.select(F.col("value").alias("old"), F.col("token").alias("new")), "old").select(key, "old", "new", F.lit(False).alias("bare"))
-    names = tokens.filter(~F.col("value").rlike(f"^(?:{_ANY})\\z")).select(F.col("value").alias("old"), F.col("token").alias("new"), _probe(F.col("value")).alias("probe"))
-    words = rows.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s){_OUTSIDE}+|."), F.lit(0)))).alias("probe"))
-    joined = _with_pairs(rows, key, values.union(words.join(names, "probe").select(key, "old", "new", F.lit(True).alias("bare"))))
-    joined = joined.withColumn("__pairs", F.filter("__pairs", lambda p: ~p["bare"] | F.contains(F.col(column), p["old"])))
+    names = tokens.filter(~F.col("value").rlike(f"^(?:{_ANY})\\z")).select(F.col("value").alias("old"), F.col("token").alias("new"))
+    held = candidates(rows, key, column, names).join(rows.select(key, F.col(column).alias("__text")), key).filter(F.contains("__text", "old"))
+    joined = _with_pairs(rows, key, values.union(held.select(key, "old", "new", F.lit(True).alias("bare"))))
     bare = F.transform(F.filter("__pairs", lambda p: p["bare"]), lambda p: F.replace(p["old"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")))
     pattern = F.when(F.size(bare) > 0, F.concat(F.lit(f"{_ANY}|(?<!{_OUTSIDE})(?:\\Q"), F.array_join(bare, "\\E|\\Q"), F.lit(f"\\E)(?!{_OUTSIDE})"))).otherwise(_ANY)
     return joined.withColumn(column, F.when(F.size("__pairs") > 0, _rewritten(F.col(column), pattern, F.col("__pairs"))).otherwise(F.col(column))).drop("__pairs")

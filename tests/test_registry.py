@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+import __spark_entry__  # noqa: F401  registers all queries
 from emberlog.plans import registry
 
 DATA = "/root/testdata/sf0.001"
