@@ -31,7 +31,7 @@ signatures' hubs (who meet the most others for their size) the one of most signa
 * Where more than ``crowd`` nodes differ from one representative by at most twice what linked sets may, they are a crowd, and its nodes meet
   each other by those differences only: two sets differ in as many shingles as their differences do, so the same order tells which may link.
 
-A pair is given up early where sizes or the parities of the sets' shingles in 512 cells (a lower bound of their difference) rule
+A pair is given up early where sizes or the parities of the sets' shingles in 512 cells, for large sets also in 16384 (a lower bound of their difference), rule
 a link out; each other pair is decided on the sets themselves, and no pair that links is left out.
 
 Defined results: texts without words have an empty set and are linked with nothing; null ids
@@ -183,22 +183,23 @@ def _sets(settings: Settings):
     return run
 
 
-_CELLS = 512
+#: Cells of a set's outline, and of the finer one by which large sets are told apart, from so many shingles on.
+_CELLS, _FINE_CELLS, _LARGE = 1 << 9, 1 << 14, 512
 
 
-def parities(s: np.ndarray) -> np.ndarray:
+def parities(s: np.ndarray, cells: int = _CELLS) -> np.ndarray:
     """Whether each cell holds an odd number of the set's shingles, as 64-bit words: two sets differ in at least as many shingles as cells."""
-    odd = np.bincount((mix(s ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(55)).astype(np.int64), minlength=_CELLS) & 1
+    odd = np.bincount((mix(s ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(65 - cells.bit_length())).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _outlines(settings: Settings):
+def _outlines(settings: Settings, cells: int = _CELLS):
     """Size and parities of the set of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, settings.slice_bytes):
             sets = shingle_sets(b["text"], settings.words)
-            odd = pa.array([parities(s) for s in sets], pa.list_(pa.int64()))
+            odd = pa.array([parities(s, cells) for s in sets], pa.list_(pa.int64()))
             yield pa.record_batch({"node": pa.array([_node(s) for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int32()), "odd": odd})
 
     return run
@@ -355,11 +356,13 @@ class Join:
 
         def with_both(df: DataFrame, made, schema: str) -> DataFrame:
             """What ``made`` tells of the sets of a and b, joined to the pairs; rows with equal ids may bring a set twice."""
-            a, b = (self.texts(df.select(F.col(c).alias("node")).distinct()).mapInArrow(made(settings), schema) for c in "ab")
+            a, b = (self.texts(df.select(F.col(c).alias("node")).distinct()).mapInArrow(made, schema) for c in "ab")
             values = [c for c in a.columns if c != "node"]
             a = a.select(F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in values])
             b = b.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in values])
             often = df.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > _OFTEN).select("a", F.lit(True).alias("often"))
+            if often.isEmpty():
+                return df.join(a, "a").join(b, "b")
             salts = F.when(F.col("often"), F.array(*[F.lit(i) for i in range(_SALTS)])).otherwise(F.array(F.lit(0)))
             salted = df.join(often, "a", "left").withColumn("salt", F.when(F.col("often"), F.pmod(F.xxhash64("b"), F.lit(_SALTS)).cast("int")).otherwise(0)).drop("often")
             a = a.join(often, "a", "left").withColumn("salt", F.explode(salts)).drop("often")
@@ -369,8 +372,14 @@ class Join:
         may = (100 + p) * apart <= reach * (100 - p) * (F.col("n_a") + F.col("n_b"))
         if reach == 1:
             may = may & (100 * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b"))
-        left = checkpointed(with_both(pairs, _outlines, "node long, n int, odd array<long>").filter(may).select("a", "b").distinct())
-        both = with_both(left, _sets, "node long, members binary").select("a", "b", F.col("members_a").alias("x"), F.col("members_b").alias("y"))
+        outline = "node long, n int, odd array<long>"
+        left = checkpointed(with_both(pairs, _outlines(settings), outline).filter(may).select("a", "b", (F.greatest("n_a", "n_b") >= _LARGE).alias("large")).distinct())
+        # outlines of so few cells are full for large sets, whose members are long to ship
+        large = left.filter("large").drop("large")
+        if not large.isEmpty():
+            fine = with_both(large, _outlines(settings, _FINE_CELLS), outline).filter(may).select("a", "b").distinct()
+            left = checkpointed(left.filter("NOT large").drop("large").union(fine))
+        both = with_both(left.select("a", "b"), _sets(settings), "node long, members binary").select("a", "b", F.col("members_a").alias("x"), F.col("members_b").alias("y"))
         return checkpointed(both.mapInArrow(_compared(settings, reach), _PAIR).dropDuplicates(["a", "b"]))
 
     def _crowds(self, near: DataFrame, anchored: DataFrame, weight: DataFrame, roots: DataFrame) -> DataFrame:
@@ -495,8 +504,10 @@ def keep_first(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     first = rows.groupBy("root").agg(F.min(F.struct("id", "key")).alias("f")).select("root", F.col("f.id").alias("__first"), F.col("f.key").alias("__first_key"))
     marked = rows.join(first, "root").withColumn("__goes", (F.col("id") != F.col("__first")) | (F.col("key") != F.col("__first_key")))
     marked = checkpointed(marked.select(F.col("id").alias("__id"), F.col("key").alias("__key"), "__goes", "copies").filter("__goes OR copies > 1"))
+    few = marked.count() <= settings.broadcast_rows  # of two numbers each
     on = (F.coalesce(docs["doc_id"].cast("long"), F.lit(_NULL)) == F.col("__id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__key"))
-    kept = docs.join(marked.select("__id", "__key").distinct(), on, "left_anti")
+    gone = marked.select("__id", "__key").distinct()
+    kept = docs.join(F.broadcast(gone) if few else gone, on, "left_anti")
     repeated = marked.groupBy("__id", "__key").agg(F.every("__goes").alias("__goes")).filter("NOT __goes").drop("__goes")
     if repeated.isEmpty():
         return kept
