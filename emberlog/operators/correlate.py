@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from emberlog import rules
 from emberlog.functions.dates import minutes_between
 from emberlog.functions.shared import placed, stored
+from emberlog.operators import profiles
 from emberlog.schema import actor_of, first_param, truncated
 
 TIME = "event_time"
@@ -20,27 +21,31 @@ def _sorted_set(c: Column) -> Column:
     return F.array_sort(F.collect_set(F.nullif(c, F.lit(""))))
 
 
-def timelines(events: DataFrame, phases: dict[str, tuple[str, ...]] = rules.PHASES, weight: str = "rows") -> DataFrame:
-    """One row for each actor; ``weight="repeat"`` counts collapsed events as often as they occurred."""
+def timelines(events: DataFrame, phases: dict[str, tuple[str, ...]] = rules.PHASES, weight: str = "rows", listed: int = profiles.LISTED) -> DataFrame:
+    """One row for each actor; ``weight="repeat"`` counts collapsed events as often as they occurred.
+
+    Accounts, regions and addresses are the first ``listed`` in order, with the number of all; ``profiles.actor_values`` has them all as rows.
+    """
     name = F.col("event_name")
     phase = F.array_sort(F.array_compact(F.array(*[F.max(F.when(name.isin(*names), F.lit(p))) for p, names in phases.items()])))
     times = F.coalesce("repeat_count", F.lit(1)) if weight == "repeat" else F.lit(1)
-    return (
+    about = (
         events.withColumn("actor_key", actor_of())
         .filter("actor_key <> ''")
         .groupBy(F.col("actor_key").alias("actor"))
         .agg(
             F.sum(times).cast("bigint").alias("event_count"),
-            _sorted_set(F.col("account")).alias("accounts"),
-            _sorted_set(F.col("region")).alias("regions"),
-            _sorted_set(F.col("source_ip")).alias("source_ips"),
             F.min(F.nullif(TIME, F.lit(""))).alias("first_seen"),
             F.max(F.nullif(TIME, F.lit(""))).alias("last_seen"),
             phase.alias("phases"),
             F.count_if(F.lower("mfa_authenticated") == "false").alias("mfa_absent_events"),
         )
-        .withColumn("cross_account", F.size("accounts") > 1)
     )
+    names = {"account": ("accounts", "account_count"), "region": ("regions", "region_count"), "source_ip": ("source_ips", "source_ip_count")}
+    lists = profiles.wide(profiles.bounded_lists(profiles.actor_values(events), listed), names)
+    none = F.array().cast("array<string>")
+    filled_in = {c: F.coalesce(c, none) for c, _ in names.values()} | {n: F.coalesce(n, F.lit(0)) for _, n in names.values()}
+    return about.join(lists, "actor", "left").withColumns(filled_in).withColumn("cross_account", F.col("account_count") > 1)
 
 
 def gap_resource() -> Column:
@@ -175,14 +180,15 @@ def attack_patterns(events: DataFrame, weight: str = "rows") -> DataFrame:
         ("secrets_harvesting", c("secrets") >= 5, "T1552.005", "Unsecured Credentials: Cloud Instance Metadata API", F.lit("high"), F.concat(c("secrets"), F.lit(" secret/parameter retrievals"))),
         ("resource_exposure", c("exposed") >= 3, "T1562.007", "Impair Defenses: Disable or Modify Cloud Firewall", F.lit("high"), F.concat(c("exposed"), F.lit(" exposure-related change(s)"))),
     ]
-    rows = [F.when(cond, F.struct(F.lit(p).alias("pattern"), F.lit(t).alias("technique"), F.lit(tn).alias("technique_name"), s.alias("severity"), d.alias("detail"))) for p, cond, t, tn, s, d in found]
+    rows = [F.when(cond, F.struct(F.lit(p).alias("pattern"), F.lit(t).alias("technique"), F.lit(tn).alias("technique_name"), F.lit(rules.technique_url(t)).alias("url"), s.alias("severity"), d.alias("detail"))) for p, cond, t, tn, s, d in found]
     return counts.withColumn("p", F.explode(F.array_compact(F.array(*rows)))).select("p.*", "actor", "first_seen", "last_seen", "event_count", "accounts")
 
 
-def link_findings(findings: DataFrame, lines: DataFrame, by_short_name: bool = False) -> DataFrame:
+def link_findings(findings: DataFrame, lines: DataFrame, by_short_name: bool = False, addresses: DataFrame | None = None) -> DataFrame:
     """(finding_id, actor): the timeline of the finding's principal, else the first that shares an address.
 
-    findings: (finding_id, user_name, principal_id, ips).  First means seen first, then by name.
+    findings: (finding_id, user_name, principal_id, ips).  First means seen first, then by name.  addresses: all values of actors, for those that have more addresses
+    than their timeline lists.
     """
     keys = findings.select("finding_id", F.explode(F.array_distinct(F.array_compact(F.array(F.nullif("user_name", F.lit("")), F.nullif("principal_id", F.lit("")))))).alias("key"))
     named = lines.select("actor", "first_seen", F.col("actor").alias("key"))
@@ -192,7 +198,12 @@ def link_findings(findings: DataFrame, lines: DataFrame, by_short_name: bool = F
     exact = keys.join(named, "key").groupBy("finding_id").agg(best.alias("actor"), F.lit("principal").alias("matched_by"))
     rest = findings.join(exact, "finding_id", "left_anti").select("finding_id", F.explode("ips").alias("ip")).distinct()
     # one actor for each address first, so that a shared address meets each finding once
-    seen = lines.select(F.struct("first_seen", "actor").alias("who"), F.explode("source_ips").alias("ip")).groupBy("ip").agg(F.min("who").alias("who"))
+    who = F.struct("first_seen", "actor").alias("who")
+    if addresses is None:
+        shown = lines.select(who, F.explode("source_ips").alias("ip"))
+    else:
+        shown = addresses.filter("dimension = 'source_ip'").select("actor", F.col("value").alias("ip")).join(lines.select("actor", "first_seen"), "actor").select(who, "ip")
+    seen = shown.groupBy("ip").agg(F.min("who").alias("who"))
     by_ip = rest.join(seen, "ip").groupBy("finding_id").agg(F.min("who")["actor"].alias("actor"), F.lit("address").alias("matched_by"))
     return exact.union(by_ip)
 

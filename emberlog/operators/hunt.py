@@ -20,6 +20,11 @@ def looks_automated(actor: Column, agent: Column) -> Column:
     return text.rlike("|".join(h.replace("-", r"\-") for h in rules.AUTOMATION_HINTS))
 
 
+def url_of(technique: Column) -> Column:
+    head, tail = rules.technique_url("|").split("|")
+    return F.concat(F.lit(head), technique, F.lit(tail))
+
+
 def mechanisms(spark: SparkSession) -> DataFrame:
     """(event_name, mechanism, technique, technique_name, base_severity, effect): one row for each event name."""
     rows = [(e, m, t, n, s, d) for m, (events, t, n, s, d) in rules.MECHANISMS.items() for e in events]
@@ -45,6 +50,7 @@ def hunt_events(events: DataFrame, suspects: DataFrame | None = None, table: Dat
         "mechanism",
         "technique",
         "technique_name",
+        url_of(F.col("technique")).alias("url"),
         F.when(automated & ~F.col("suspect"), "low").otherwise(F.col("base_severity")).alias("severity"),
         F.col("actor_key").alias("actor"),
         F.coalesce("account", F.lit("")).alias("account"),
@@ -74,12 +80,9 @@ def persistence_summary(findings: DataFrame) -> DataFrame:
     return findings.select(F.explode(F.array_compact(each)).alias("x")).groupBy("x.dimension", "x.value").agg(F.count("*").alias("n"))
 
 
-_STATE = ("mechanism", "technique", "technique_name", "severity", "actor", "account", "region", "time", "detail", "event_name", "resource")
-
-
 def _state(df: DataFrame, mechanism: str, technique: str, name: str, severity: Column, resource: Column, detail: Column, time: Column, region: Column | None = None) -> DataFrame:
     return df.select(
-        F.lit(mechanism).alias("mechanism"), F.lit(technique).alias("technique"), F.lit(name).alias("technique_name"), severity.alias("severity"),
+        F.lit(mechanism).alias("mechanism"), F.lit(technique).alias("technique"), F.lit(name).alias("technique_name"), F.lit(rules.technique_url(technique)).alias("url"), severity.alias("severity"),
         F.lit("unknown").alias("actor"), F.col("account"), (region if region is not None else F.lit("global")).alias("region"), time.cast("string").alias("time"),
         detail.alias("detail"), F.lit("live_state").alias("event_name"), resource.alias("resource"), F.lit(False).alias("likely_automation"), F.lit("state").alias("source"),
     )

@@ -284,23 +284,27 @@ def fit_budget(events: DataFrame, tokens: int = 40_000) -> DataFrame:
 def reduce_events(events: DataFrame, start: str, end: str, names: Sequence[str] | None = None, actors: Sequence[str] = (), tokens: int = 40_000) -> tuple[DataFrame, DataFrame]:
     """All five tiers: the selected events, and a row of counts."""
     steps = {"in_window": is_in_window(start, end), "allowed": has_name(names if names is not None else allowlist()), "scoped": has_actor(actors)}
-    t3 = events.filter(steps["in_window"] & steps["allowed"] & steps["scoped"])
-    t4 = collapse_runs(t3)
-    t5 = fit_budget(t4, tokens)
-    return t5, tier_counts(events, steps, {"collapsed": t4, "selected": t5})
+    selected = fit_budget(collapse_runs(events.filter(steps["in_window"] & steps["allowed"] & steps["scoped"])), tokens)
+    return selected, tier_counts(events, steps, {"selected": selected})
 
 
-def tier_counts(raw: DataFrame, steps: dict[str, Column], later: dict[str, DataFrame]) -> DataFrame:
-    """One row: the count of each tier, and the share of the first that the last leaves out.
+def tier_counts(raw: DataFrame, steps: dict[str, Column], later: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One row: the count of each tier, that of ``collapsed`` runs, and the share of the first that the last leaves out.
 
-    steps: conditions that narrow ``raw`` one after the other, all counted in one pass; later: tiers that are no conditions.
+    steps: conditions that narrow ``raw`` one after the other; later: tiers beyond the runs.  One pass over ``raw`` counts all but these: rows that
+    pass every step are counted by what makes them alike, of which at most two stay; all others by how far they come.
     """
-    passed, counts = F.lit(True), [F.count("*").alias("raw")]
-    for name, condition in steps.items():
-        passed = passed & condition
-        counts.append(F.count_if(passed).alias(name))
-    out = raw.agg(*counts)
-    for name, df in later.items():
+    depth, passed = F.lit(0), F.lit(True)
+    for condition in steps.values():
+        passed = passed & F.coalesce(condition, F.lit(False))
+        depth = depth + passed.cast("int")
+    alike = [F.when(passed, F.coalesce(c, F.lit(""))).alias(f"k{i}") for i, c in enumerate((F.col("event_name"), actor_of(), F.col("source_ip"), F.col("account"), F.col("region")))]
+    cells = raw.groupBy(depth.alias("depth"), *alike).agg(F.count("*").alias("n"))
+    reached = lambda d: F.coalesce(F.sum(F.when(F.col("depth") >= d, F.col("n"))), F.lit(0))
+    counts = [reached(0).alias("raw"), *[reached(i).alias(name) for i, name in enumerate(steps, 1)]]
+    kept = F.coalesce(F.sum(F.when(F.col("depth") == len(steps), F.least("n", F.lit(2)))), F.lit(0)).alias("collapsed")
+    out = cells.agg(*counts, kept)
+    for name, df in (later or {}).items():
         out = out.crossJoin(df.agg(F.count("*").alias(name)))  # one row each
-    last = [*steps, *later][-1]
+    last = [*(later or {})][-1] if later else "collapsed"
     return out.withColumn("reduction_ratio", F.when(F.col("raw") > 0, F.round(1 - F.col(last) / F.col("raw"), 4)).otherwise(F.lit(0.0)))

@@ -8,9 +8,11 @@ import re
 from collections.abc import Iterable, Sequence
 from pathlib import PurePosixPath
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from emberlog.functions.shared import placed
+from emberlog.operators import merkle
 from emberlog.schema import filled, short_name
 
 # The columns of the export, and below the tags.
@@ -68,33 +70,52 @@ def case_id(text: str) -> str:
 
 
 def preserve(artifacts: dict[str, DataFrame], folder: str, case: str, rows_in_file: int = 500_000) -> DataFrame:
-    """Writes every artifact as JSON under the case and a manifest of the hashes of all files; returns the manifest.
+    """Writes every artifact as JSON lines under the case, and a manifest of hash trees over the lines; returns the manifest: (artifact, level, node, n, sha256).
 
-    A file is hashed as one value, so files have a bounded number of rows.
+    Lines carry their number (``_row``), so that a block is the same rows whatever file they lie in; neither files nor artifacts are ever read as one value.
     """
-    root = str(PurePosixPath(folder) / case_id(case)) if "://" not in folder else f"{folder.rstrip('/')}/{case_id(case)}"
+    root = _case_root(folder, case)
     for name, df in artifacts.items():
-        df.write.mode("overwrite").option("maxRecordsPerFile", rows_in_file).json(f"{root}/artifacts/{name}")
+        if "_row" in df.columns:
+            raise ValueError(f"artifact {name!r} has a column _row")
+        placed(df).select(F.col("place").alias("_row"), *[F.col(f"`{c}`") for c in df.columns]).write.mode("overwrite").option("maxRecordsPerFile", rows_in_file).json(f"{root}/artifacts/{name}")
     spark = next(iter(artifacts.values())).sparkSession
-    hashes(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/artifacts")).write.mode("overwrite").json(f"{root}/manifest")
-    return spark.read.schema("path string, sha256 string").json(f"{root}/manifest")
+    merkle.grown(_blocks(spark, root), ["artifact"]).write.mode("overwrite").json(f"{root}/manifest")
+    return _manifest(spark, root)
 
 
-def hashes(files: DataFrame) -> DataFrame:
-    """(path below the artifacts, sha256) of binary files; bookkeeping files of the writer are left out."""
-    path = F.regexp_extract("path", r"/artifacts/(.*)$", 1)
-    return files.filter(~F.col("path").rlike(r"/[._][^/]*$")).select(path.alias("path"), F.sha2("content", 256).alias("sha256"))
+def _case_root(folder: str, case: str) -> str:
+    return str(PurePosixPath(folder) / case_id(case)) if "://" not in folder else f"{folder.rstrip('/')}/{case_id(case)}"
 
 
-def verify(spark, folder: str, case: str) -> DataFrame:
-    """(path, state): OK, MODIFIED or MISSING for every file of the manifest."""
-    root = f"{folder.rstrip('/')}/{case_id(case)}"
-    listed = spark.read.schema("path string, sha256 string").json(f"{root}/manifest")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(f"{root}/artifacts")
-    there = files.select(F.regexp_extract("path", r"/artifacts/(.*)$", 1).alias("path"), F.lit(True).alias("there"))  # reads no contents
-    now = hashes(files).withColumnRenamed("sha256", "now")  # a file that fails its own checksum has no hash
-    state = F.when(F.col("there").isNull(), "MISSING").when(F.coalesce(F.col("now") == F.col("sha256"), F.lit(False)), "OK").otherwise("MODIFIED")
-    return listed.join(there, "path", "left").join(now, "path", "left").select("path", state.alias("state"))
+def _manifest(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema("artifact string, level int, node bigint, n bigint, sha256 string").json(f"{root}/manifest")
+
+
+def _artifact(path: Column) -> Column:
+    return F.regexp_extract(path, r"/artifacts/([^/]+)/", 1)
+
+
+def _blocks(spark: SparkSession, root: str) -> DataFrame:
+    """The blocks of lines of all artifacts; lines without a number are in no block."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("pathGlobFilter", "part-*").text(f"{root}/artifacts")
+    rows = lines.select(_artifact(F.col("_metadata.file_path")).alias("artifact"), F.get_json_object("value", "$._row").try_cast("bigint").alias("place"), F.sha2("value", 256).alias("digest"))
+    return merkle.leaves(rows.filter("place IS NOT NULL"), "place", "digest", ["artifact"])
+
+
+def verify(spark: SparkSession, folder: str, case: str) -> DataFrame:
+    """(artifact, block, first_row, last_row, state): OK, MODIFIED, MISSING or ADDED for every block of lines.
+
+    Blocks whose hashes differ are found from the root of each artifact's tree down.  A block that is gone counts as missing where no file of its artifact is left, else as modified.
+    """
+    root = _case_root(folder, case)
+    listed = _manifest(spark, root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(f"{root}/artifacts")  # no contents are read
+    there = files.select(_artifact(F.col("path")).alias("artifact")).distinct().withColumn("there", F.lit(True))
+    found = merkle.changes(listed, merkle.grown(_blocks(spark, root), ["artifact"]), ["artifact"])
+    found = found.join(there, "artifact", "left").select("artifact", "node", F.when((F.col("state") == "MISSING") & F.col("there"), "MODIFIED").otherwise(F.col("state")).alias("state"))
+    blocks = listed.filter("level = 0").select("artifact", "node").join(found, ["artifact", "node"], "full_outer")
+    return blocks.select("artifact", F.col("node").alias("block"), (F.col("node") * merkle.BLOCK).alias("first_row"), ((F.col("node") + 1) * merkle.BLOCK - 1).alias("last_row"), F.coalesce("state", F.lit("OK")).alias("state"))
 
 
 def row_hashes(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

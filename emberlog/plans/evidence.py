@@ -92,8 +92,7 @@ def _(spark, sf_dir):
 @query(
     "ocsf_table_scan",
     f"""WITH {EVENTS_SQL} SELECT strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS event_time, event_name, region, account, source_ip, actor, CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END AS mfa_authenticated, CASE WHEN k % 4 = 0 THEN 'denied' END AS error_code FROM e
-    WHERE strftime(ts, '%Y-%m-%dT%H:%M:%SZ') BETWEEN '2024-01-05T00:00:00Z' AND '2024-01-09T00:00:00Z' AND event_name IN ('purchase', 'click')
-    ORDER BY 1, sha256(row_id) LIMIT 100000000""",
+    WHERE strftime(ts, '%Y-%m-%dT%H:%M:%SZ') BETWEEN '2024-01-05T00:00:00Z' AND '2024-01-09T00:00:00Z' AND event_name IN ('purchase', 'click')""",
 )
 def _(spark, sf_dir):
     f = _flat(spark, sf_dir)
@@ -350,13 +349,12 @@ _EXPOSED = {"purchase": "AuthorizeSecurityGroupIngress", "error": "DeleteObjects
 
 @query(
     "tamper_patterns",
-    f"""WITH {EVENTS_SQL}, n AS (SELECT actor, count(*) FILTER (event_name = 'purchase') AS exposed, count(*) FILTER (event_name = 'error') AS deletes, count(*) FILTER (event_name = 'signup') AS tamper FROM e WHERE k < 30 GROUP BY actor)
+    f"""WITH {EVENTS_SQL}, n AS (SELECT actor, count(*) FILTER (event_name = 'purchase') AS exposed, count(*) FILTER (event_name = 'error') AS deletes, count(*) FILTER (event_name = 'signup') AS tamper FROM e GROUP BY actor)
     SELECT actor, 'resource_exposure' AS pattern, 'T1562.007' AS technique, 'high' AS severity, exposed || ' exposure-related change(s)' AS detail FROM n WHERE exposed >= 3
     UNION ALL SELECT actor, 's3_ransomware_indicator', 'T1485', 'critical', deletes || ' delete calls, ' || tamper || ' lifecycle/versioning changes' FROM n WHERE deletes >= 20 OR (deletes > 0 AND tamper > 0)""",
 )
 def _(spark, sf_dir):
-    few = events(spark, sf_dir, _EXPOSED).filter(F.col("source_ip").cast("int") < 30)
-    found = correlate.attack_patterns(few)
+    found = correlate.attack_patterns(events(spark, sf_dir, _EXPOSED))
     return found.filter(F.col("pattern").isin("resource_exposure", "s3_ransomware_indicator")).select("actor", "pattern", "technique", "severity", "detail")
 
 
@@ -467,9 +465,13 @@ def _(spark, sf_dir):
     return redact.mapping_summary(tokens).join(facts, "kind").select("kind", "n", "identifiers", "highest")
 
 
-@query("redaction_restored", f"WITH {_TOKENED} SELECT c_custkey, account, key FROM t WHERE said")
+@query(
+    "redaction_restored",
+    f"""WITH {_TOKENED}, o AS (SELECT who, min('arn:aws:iam::' || account || ':user/' || who) AS arn FROM t WHERE NOT said AND even GROUP BY who), b AS (SELECT t.*, coalesce(o.arn, t.who) AS owner FROM t LEFT JOIN o USING (who))
+    SELECT c_custkey, CASE WHEN said THEN '{{"' || key || '":{{"bucket":"b' || b || '-data"}},"said":"login by ' || owner || ' in ' || account || '"}}' ELSE '{{"inner":"10.0.0.' || inr || '","key":"' || key || '","outer":"8.8.4.' || outr || '","userIdentity":{{' || CASE WHEN even THEN '"arn":"' || owner || '"' ELSE '"userName":"' || owner || '"' END || '}}}}' END AS text FROM b""",
+)
 def _(spark, sf_dir):
-    rows = _secrets(spark, sf_dir).filter(F.col("c_custkey") % 3 == 0)
+    """Every text comes back, a bare name as the ARN whose token it shares."""
+    rows = _secrets(spark, sf_dir)
     tokens = _tokens(rows)
-    back = redact.restore(redact.redact(rows, "c_custkey", "text", tokens), "c_custkey", "text", tokens)
-    return back.select("c_custkey", F.regexp_extract("text", r" in (\d{12})\"", 1).alias("account"), F.regexp_extract("text", r"\"(AKIA\d{16})\"", 1).alias("key"))
+    return redact.restore(redact.redact_json(rows, "c_custkey", "text", tokens), "c_custkey", "text", tokens).select("c_custkey", "text")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.operators import correlate, hunt, intel, landscape, redact, reduce, scoring, timeline
+from emberlog.operators import correlate, hunt, intel, landscape, profiles, redact, reduce, scoring, timeline
 from emberlog.plans.views import EVENTS_SQL, events, order_sessions, table
 from emberlog.sources import feeds
 
@@ -77,8 +77,7 @@ def _(spark, sf_dir):
       round(1 - (SELECT CAST(coalesce(sum(least(c, 2)), 0) AS DOUBLE) FROM n) / (SELECT count(*) FROM e), 4) AS reduction_ratio""",
 )
 def _(spark, sf_dir):
-    e, steps = events(spark, sf_dir), {"in_window": reduce.is_in_window(START, END), "allowed": reduce.has_name(KEPT)}
-    return reduce.tier_counts(e, steps, {"collapsed": reduce.collapse_runs(e.filter(steps["in_window"] & steps["allowed"]))})
+    return reduce.tier_counts(events(spark, sf_dir), {"in_window": reduce.is_in_window(START, END), "allowed": reduce.has_name(KEPT)})
 
 
 PHASES = {"access": ("signup",), "impact": ("purchase", "error"), "recon": ("view", "click")}
@@ -165,10 +164,10 @@ p AS (
 """
 
 
-@query("attack_patterns", f"WITH {EVENTS_SQL}, {_PATTERNS} SELECT pattern, technique, severity, detail, actor, first_seen, last_seen, event_count, accounts FROM p")
+@query("attack_patterns", f"WITH {EVENTS_SQL}, {_PATTERNS} SELECT pattern, technique, 'https://aws-samples.github.io/threat-technique-catalog-for-aws/Techniques/' || technique || '.html' AS url, severity, detail, actor, first_seen, last_seen, event_count, accounts FROM p")
 def _(spark, sf_dir):
     p = correlate.attack_patterns(events(spark, sf_dir, NAMES))
-    return p.select("pattern", "technique", "severity", "detail", "actor", "first_seen", "last_seen", "event_count", *joined("accounts"))
+    return p.select("pattern", "technique", "url", "severity", "detail", "actor", "first_seen", "last_seen", "event_count", *joined("accounts"))
 
 
 def _findings(spark, sf_dir):
@@ -185,7 +184,8 @@ def _findings(spark, sf_dir):
     SELECT * FROM x UNION ALL SELECT * FROM y""",
 )
 def _(spark, sf_dir):
-    return correlate.link_findings(_findings(spark, sf_dir), correlate.timelines(events(spark, sf_dir)))
+    e = events(spark, sf_dir)
+    return correlate.link_findings(_findings(spark, sf_dir), correlate.timelines(e), addresses=profiles.actor_values(e))
 
 
 _IPV4_SQL = r"regexp_extract_all(coalesce(text, ''), '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b')"
@@ -445,11 +445,10 @@ def _(spark, sf_dir):
     return correlate.summary(actors=correlate.timelines(e), logging_gaps=gaps, open_gaps=gaps.filter("still_open"), escalation_chains=_chains(spark, sf_dir), attack_patterns=correlate.attack_patterns(events(spark, sf_dir, NAMES)))
 
 
-@query("compromised_principals", f"""WITH {EVENTS_SQL}, {_CHAINS}, {_PATTERNS} SELECT DISTINCT actor FROM (SELECT actor FROM c UNION ALL SELECT actor FROM p WHERE severity = 'critical'
+@query("compromised_principals", f"""WITH {EVENTS_SQL}, {_CHAINS}, {_PATTERNS} SELECT DISTINCT actor FROM (SELECT actor FROM c UNION ALL SELECT actor FROM p WHERE severity IN ('critical', 'high')
     UNION ALL SELECT actor FROM e WHERE event_name = 'signup' AND k % 3 = 0 AND user_id IN (SELECT user_id * 7 % 400 FROM e WHERE event_name = 'error'))""")
 def _(spark, sf_dir):
-    severe = correlate.attack_patterns(events(spark, sf_dir, NAMES)).filter("severity = 'critical'")  # the others are true of nearly every actor here
-    return correlate.compromised_principals(_chains(spark, sf_dir), _sessions(spark, sf_dir), severe)
+    return correlate.compromised_principals(_chains(spark, sf_dir), _sessions(spark, sf_dir), correlate.attack_patterns(events(spark, sf_dir, NAMES)))
 
 
 @query("query_events", f"WITH {EVENTS_SQL} SELECT row_id, event_time, actor FROM e WHERE event_name IN ('error', 'signup') AND contains(actor, 'u1') AND event_time >= '2024-01-03' AND event_time <= '2024-01-20'")

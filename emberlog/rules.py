@@ -65,6 +65,13 @@ CORRELATED_ONLY = (
     "UpdateDocument", "CreateAssociation", "CreateSAMLProvider", "UpdateSAMLProvider", "CreateOpenIDConnectProvider",
 )
 
+
+
+def technique_url(technique: str) -> str:
+    """The page of a technique in the public catalog of cloud techniques."""
+    return f"https://aws-samples.github.io/threat-technique-catalog-for-aws/Techniques/{technique}.html"
+
+
 # Persistence mechanisms (events, technique, name, severity, text).
 MECHANISMS: dict[str, tuple[tuple[str, ...], str, str, str, str]] = {
     "iam_backdoor": (("CreateUser", "CreateAccessKey", "CreateLoginProfile", "AttachUserPolicy", "PutUserPolicy", "AddUserToGroup"), "T1136.003", "Create Account: Cloud Account", "high", "establishes or extends an IAM identity"),

@@ -393,7 +393,7 @@ def test_findings_of_detectors(spark):
 def test_streaming_gaps(spark, tmp_path):
     from emberlog.streaming import correlate as live
 
-    e = frame(spark, [ev("2026-01-01T00:00:00Z", "StopLogging"), ev("2026-01-01T00:05:00Z", "StartLogging"), ev("2026-01-01T00:01:00Z", "ConsoleLogin"), ev("2026-01-01T00:02:00Z", "CreateUser")])
+    e = frame(spark, [ev("2026-01-01T00:00:00Z", "StopLogging"), ev("2026-01-01T00:05:00Z", "StartLogging"), ev("2026-01-01T00:01:00Z", "ConsoleLogin"), ev("2026-01-01T00:02:00Z", "CreateUser"), ev("2026-01-01T01:00:00Z", "StartLogging")])
     e.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))
     for name, df in (("gaps", live.logging_gaps(stream, "'trail'")), ("steps", live.followers(stream))):
