@@ -79,6 +79,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
 _made = [0]  # checkpoints so far
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets batches of at most 2 MB go to Python workers, unless the session has a size of its own.
+
+    With the default, a task's buffers for long texts take some 100 MB of an executor's memory outside its heap, and keep it.
+    """
+    name, default = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20)
+    if spark.conf.get(name, default).rstrip("b") == default:
+        spark.conf.set(name, "2m")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added as far as a column of ``df`` has one already, in any letter case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def crc_mod_5(doc_id) -> F.Column:
     """crc32 of the id as text, modulo 5; a null id counts as the empty text."""
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5).cast("int")

@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, fresh
 
 
 @dataclass(frozen=True)
@@ -107,5 +107,8 @@ def find(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings())
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of ``docs`` that contain no item; rows are told apart by id and text."""
-    hit = find(docs, benchmark, settings).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key")), "left_anti")
+    id, key = fresh(docs, "__id", "__key")
+    hit = checkpointed(find(docs, benchmark, settings).select(F.col("doc_id").alias(id), F.col("text_key").alias(key)).distinct())
+    few = hit.count() <= settings.broadcast_rows  # of two numbers each
+    on = F.col("doc_id").eqNullSafe(F.col(id)) & (F.xxhash64("text") == F.col(key))
+    return docs.join(F.broadcast(hit) if few else hit, on, "left_anti")

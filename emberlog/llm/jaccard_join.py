@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, as_long, checkpointed, forget, mix, sliced, written
+from .common import Words, as_long, checkpointed, forget, fresh, mix, sliced, small_batches, written
 
 
 @dataclass(frozen=True)
@@ -303,6 +303,7 @@ _NULL = -(1 << 63)
 class Join:
     def __init__(self, docs: DataFrame, settings: Settings = Settings()):
         self.settings = settings
+        small_batches(docs.sparkSession)
         self.docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
         keyed = self.docs.withColumn("key", F.xxhash64("text"))
         self.nodes = checkpointed(keyed.mapInArrow(_nodes(settings), "id long, key long, n long, node long"))
@@ -501,14 +502,15 @@ def keep_first(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """
     join = Join(docs, settings)
     rows = checkpointed(join.nodes.filter("n > 0").join(join.named().select("node", "root"), "node").groupBy("root", "id", "key").agg(F.count("*").alias("copies")))
-    first = rows.groupBy("root").agg(F.min(F.struct("id", "key")).alias("f")).select("root", F.col("f.id").alias("__first"), F.col("f.key").alias("__first_key"))
-    marked = rows.join(first, "root").withColumn("__goes", (F.col("id") != F.col("__first")) | (F.col("key") != F.col("__first_key")))
-    marked = checkpointed(marked.select(F.col("id").alias("__id"), F.col("key").alias("__key"), "__goes", "copies").filter("__goes OR copies > 1"))
+    first = rows.groupBy("root").agg(F.min(F.struct("id", "key")).alias("f")).select("root", F.col("f.id").alias("first"), F.col("f.key").alias("first_key"))
+    marked = rows.join(first, "root").withColumn("goes", (F.col("id") != F.col("first")) | (F.col("key") != F.col("first_key")))
+    id, key = fresh(docs, "__id", "__key")
+    marked = checkpointed(marked.select(F.col("id").alias(id), F.col("key").alias(key), "goes", "copies").filter("goes OR copies > 1"))
     few = marked.count() <= settings.broadcast_rows  # of two numbers each
-    on = (F.coalesce(docs["doc_id"].cast("long"), F.lit(_NULL)) == F.col("__id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__key"))
-    gone = marked.select("__id", "__key").distinct()
+    on = (F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)) == F.col(id)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(key))
+    gone = marked.select(id, key).distinct()
     kept = docs.join(F.broadcast(gone) if few else gone, on, "left_anti")
-    repeated = marked.groupBy("__id", "__key").agg(F.every("__goes").alias("__goes")).filter("NOT __goes").drop("__goes")
+    repeated = marked.groupBy(id, key).agg(F.every("goes").alias("goes")).filter("NOT goes").select(id, key)
     if repeated.isEmpty():
         return kept
     return kept.unionByName(docs.join(repeated, on, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod_5, sliced
+from .common import crc_mod_5, fresh, sliced, small_batches
 
 UNKNOWN = "und"
 _BITS = 18
@@ -126,19 +126,19 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Classifier:
     return Classifier(settings, [r["text"] for r in rows], [r["lang"] for r in rows], [r["rank"] <= settings.landmarks_per_language for r in rows])
 
 
-def _predict(shared, added: tuple[str, str, str]):
+def _predict(shared, added: tuple[str, str, str], letters: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Classifier = shared.value
         size = model.settings.texts_at_once
         for b in sliced(batches):
-            texts, ok = b["text"].to_pylist(), b["__letters"].to_numpy(zero_copy_only=False)
+            texts, ok = b["text"].to_pylist(), b[letters].to_numpy(zero_copy_only=False)
             langs, scores, known = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.zeros(len(texts))
             at = np.flatnonzero(ok)
             for i in range(0, len(at), size):
                 part = at[i : i + size]
                 langs[part], scores[part], known[part] = model.predict([texts[k] for k in part])
-            held = [b[n] for n in b.schema.names if n != "__letters"]
-            names = [n for n in b.schema.names if n != "__letters"]
+            held = [b[n] for n in b.schema.names if n != letters]
+            names = [n for n in b.schema.names if n != letters]
             yield pa.record_batch([*held, pa.array(langs, pa.string()), pa.array(scores), pa.array(known)], [*names, *added])
 
     return run
@@ -147,10 +147,11 @@ def _predict(shared, added: tuple[str, str, str]):
 def predict(docs: DataFrame, model: Classifier, carry: list[str], added: tuple[str, str, str] = ("lang_pred", "score", "known_share")) -> DataFrame:
     """``carry`` columns of every row (``text`` among them), with the predicted language, its score, and the share of known n-grams."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a size that the settings bound
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    given = docs.select(*carry)
+    small_batches(docs.sparkSession)
+    given = docs.select(*[F.col(f"`{c}`") for c in carry])
+    (letters,) = fresh(given, "__letters")
     schema = given.schema.add(added[0], "string").add(added[1], "double").add(added[2], "double")
-    return given.withColumn("__letters", letters).mapInArrow(_predict(shared, added), schema)
+    return given.withColumn(letters, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(_predict(shared, added, letters), schema)
 
 
 def identify(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -166,5 +167,6 @@ def keep_identified(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     model = fit(docs.filter(crc_mod_5(F.col("doc_id")) != 0), settings)
     if not model.labels:
         return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    out = predict(docs, model, docs.columns, ("__lang_pred", "__score", "__known"))
-    return out.filter((F.col("__lang_pred") != UNKNOWN) & (F.col("__known") >= model.least_known)).select(*docs.columns)
+    lang, score, known = fresh(docs, "__lang_pred", "__score", "__known")
+    out = predict(docs, model, docs.columns, (lang, score, known))
+    return out.filter((F.col(lang) != UNKNOWN) & (F.col(known) >= model.least_known)).select(*[F.col(f"`{c}`") for c in docs.columns])

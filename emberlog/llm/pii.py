@@ -157,17 +157,19 @@ def redact(docs: DataFrame) -> DataFrame:
     Of spans that overlap the first gives the mask for all.
     """
     columns = docs.columns
-    some = F.size("__pii") > 0
+    # the rows as one column, so that no name of theirs meets a name used here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), "text")
+    some = F.size("pii") > 0
     three = lambda s, *more: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"), *more)
-    df = detect(docs, "__pii").withColumn("__pii", F.array_sort(F.transform("__pii", lambda s: three(s))))
-    before = lambda i: F.coalesce(F.array_max(F.transform(F.slice("__pii", F.lit(1), i), lambda s: s["stop"])), F.lit(0).cast("long"))
-    df = df.withColumn("__pii", F.transform("__pii", lambda s, i: three(s, before(i).alias("before"))))
+    df = detect(rows, "pii").withColumn("pii", F.array_sort(F.transform("pii", lambda s: three(s))))
+    before = lambda i: F.coalesce(F.array_max(F.transform(F.slice("pii", F.lit(1), i), lambda s: s["stop"])), F.lit(0).cast("long"))
+    df = df.withColumn("pii", F.transform("pii", lambda s, i: three(s, before(i).alias("before"))))
     cut = lambda at, n: F.substr("text", (at + 1).cast("int"), n.cast("int"))
     mask = lambda kind: F.coalesce(*[F.when(kind == k.name, k.mask) for k in KINDS])
-    pieces = F.transform("__pii", lambda s: F.concat(cut(s["before"], F.greatest(s["start"] - s["before"], F.lit(0))), F.when(s["start"] >= s["before"], mask(s["kind"])).otherwise("")))
-    end = F.array_max(F.transform("__pii", lambda s: s["stop"]))
-    df = df.withColumn("__text", F.when(some, F.concat(F.array_join(pieces, ""), F.substr("text", (end + 1).cast("int")))).otherwise(F.col("text")))
-    new = {"text": F.col("__text")}
+    pieces = F.transform("pii", lambda s: F.concat(cut(s["before"], F.greatest(s["start"] - s["before"], F.lit(0))), F.when(s["start"] >= s["before"], mask(s["kind"])).otherwise("")))
+    end = F.array_max(F.transform("pii", lambda s: s["stop"]))
+    df = df.withColumn("masked", F.when(some, F.concat(F.array_join(pieces, ""), F.substr("text", (end + 1).cast("int")))).otherwise(F.col("text")))
+    new = {"text": F.col("masked")}
     if "n_chars" in columns:
-        new["n_chars"] = F.when(some, F.length("__text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return df.select(*[new[c].alias(c) if c in new else F.col(c) for c in columns])
+        new["n_chars"] = F.when(some, F.length("masked")).otherwise(F.col("doc.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return df.select(*[new[c].alias(c) if c in new else F.col(f"doc.`{c}`") for c in columns])
