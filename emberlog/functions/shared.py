@@ -28,6 +28,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(table: DataFrame) -> None:
+    """Deletes the files of a table that ``stored`` made."""
+    spark = table.sparkSession
+    first = next(iter(table.inputFiles()), None)
+    if first is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(first).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def placed(rows: DataFrame, *order: str) -> DataFrame:
     """Adds ``place``: 0, 1, ... as a prefix sum in two passes, in the order of columns that tell all rows apart, or as the rows lie without any.
 

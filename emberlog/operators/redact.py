@@ -1,8 +1,8 @@
 """Reversible pseudonyms for identifiers in text columns, JSON texts among them.
 
 The mapping is a DataFrame (value, token, kind, restored): every distinct identifier gets a number of its kind.
-Rows are rewritten with the mapping of the identifiers that they hold, so the mapping may be as large as it likes; it is a plan, the same whenever it is
-made, and written nowhere.  What the patterns find is joined by value.  Bare names are found by an inverted index of the texts' words: a name is looked up by that of its words that the
+Rows are rewritten with the mapping of the identifiers that they hold, so the mapping may be as large as it likes.  It is one table in the shared
+folder of checkpoints, which restricts who may read it as it does for the inputs' own checkpoints, and nowhere else; ``forgotten`` deletes it.  What the patterns find is joined by value.  Bare names are found by an inverted index of the texts' words: a name is looked up by that of its words that the
 fewest texts have, and tested against the text before anything is grouped.  A text is rewritten in one pass, so that no token is replaced again.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlog.functions.shared import removed, stored
 from emberlog.operators import intel
 
 # Identifier patterns; longer ones come first, so that an ARN is one identifier.
@@ -76,7 +77,14 @@ def mapping(texts: DataFrame, column: str, names: DataFrame | None = None, name_
         bare = bare.join(given, "name", "full_outer").select("name", F.coalesce("owner", "name").alias("owner"), F.coalesce("kind", "__kind").alias("kind"))
     keys = arns.join(bare.select("name", "owner"), "name", "left").select("value", "kind", F.coalesce("owner", "value").alias("owner"))
     keys = keys.union(bare.select(F.col("name").alias("value"), "kind", "owner"))
-    return keys.join(numbered(keys.select("owner", "kind").distinct(), "kind", "owner"), ["owner", "kind"]).select("value", F.concat_ws("-", "kind", F.col("number").cast("string")).alias("token"), "kind", F.col("owner").alias("restored")).dropDuplicates(["value"])
+    keys = stored(keys, "identifiers")
+    named = keys.join(numbered(keys.select("owner", "kind").distinct(), "kind", "owner"), ["owner", "kind"])
+    return stored(named.select("value", F.concat_ws("-", "kind", F.col("number").cast("string")).alias("token"), "kind", F.col("owner").alias("restored")).dropDuplicates(["value"]), "mapping")
+
+
+def forgotten(tokens: DataFrame) -> None:
+    """Deletes the table of a mapping; nothing that rests on it can be read any more."""
+    removed(tokens)
 
 
 def numbered(rows: DataFrame, kind: str, value: str, slices: int = 64) -> DataFrame:

@@ -1,5 +1,6 @@
 """Redaction: buckets, addresses, and names found by their rarest word."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from emberlog.operators import redact
@@ -51,3 +52,12 @@ def test_names_of_odd_characters(spark):
     token = {r.value: r.token for r in tokens.collect()}
     got = {r.id: r.t for r in redact.redact(df, "id", "t", tokens).collect()}
     assert [got[i] for i in range(9)] == [f"<{token['---']}>", f"({token['a b\nc']})", token["Ωμ!"], f"{token['x.y-z']}, {token['y-z']}; ax.{token['y-z']}", token["\\Q.\\E"], token["bucket ab"], "ab", None, ""]
+
+
+def test_a_mapping_can_be_forgotten(spark):
+    df = spark.createDataFrame([(1, "from 8.8.8.8")], "id int, t string")
+    tokens = redact.mapping(df, "t")
+    assert tokens.count() == 1
+    redact.forgotten(tokens)
+    with pytest.raises(Exception, match="FILE|does not exist|not found"):
+        tokens.collect()
