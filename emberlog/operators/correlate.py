@@ -119,14 +119,22 @@ def followers(events: DataFrame, access: Sequence[str] = rules.ACCESS, escalatio
     return a.join(b, (F.col("a_actor_key") == F.col("b_actor_key")) & (F.col("bucket") == F.col("b_bucket")) & (F.col("a_torn") == F.col("b_torn")) & later)
 
 
-def escalation_chains(events: DataFrame, access: Sequence[str] = rules.ACCESS, escalation: Sequence[str] = rules.ESCALATION, minutes: int = 15) -> DataFrame:
-    """One row for each access event that an escalation event follows in time."""
-    step = F.struct(F.col(f"b_{TIME}").alias("time"), F.col("b_row_id").alias("row_id"), F.col("b_event_name").alias("event"), F.col("b_account").alias("account"), F.col("b_region").alias("region"))
-    return (
-        followers(events, access, escalation, minutes)
-        .groupBy(F.col("a_actor_key").alias("actor"), F.col("a_row_id").alias("access_row"))
-        .agg(F.first(f"a_{TIME}").alias("access_time"), F.first("a_event_name").alias("access_event"), F.array_sort(F.collect_list(step)).alias("escalation_events"), F.lit(minutes).alias("window_minutes"))
-    )
+def escalation_steps(events: DataFrame, access: Sequence[str] = rules.ACCESS, escalation: Sequence[str] = rules.ESCALATION, minutes: int = 15) -> DataFrame:
+    """(actor, access_row, access_time, access_event, time, row_id, event, account, region): a row for each escalation event after each access event, however many."""
+    return followers(events, access, escalation, minutes).select(
+        F.col("a_actor_key").alias("actor"), F.col("a_row_id").alias("access_row"), F.col(f"a_{TIME}").alias("access_time"), F.col("a_event_name").alias("access_event"),
+        F.col(f"b_{TIME}").alias("time"), F.col("b_row_id").alias("row_id"), F.col("b_event_name").alias("event"), F.col("b_account").alias("account"), F.col("b_region").alias("region"),
+    )
+
+
+def escalation_chains(events: DataFrame, access: Sequence[str] = rules.ACCESS, escalation: Sequence[str] = rules.ESCALATION, minutes: int = 15, listed: int = 100) -> DataFrame:
+    """One row for each access event that an escalation event follows in time: how many do, and the first ``listed`` of them."""
+    steps = stored(escalation_steps(events, access, escalation, minutes), "escalation-steps")
+    key = ["actor", "access_row"]
+    about = steps.groupBy(*key).agg(F.first("access_time").alias("access_time"), F.first("access_event").alias("access_event"), F.count("*").alias("escalation_count"), F.lit(minutes).alias("window_minutes"))
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("time", "row_id"))  # tasks send on so many of each
+    first = steps.withColumn("nth", nth).filter(F.col("nth") <= listed).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("time", "row_id", "event", "account", "region"))).alias("escalation_events"))
+    return about.join(first, key)
 
 
 def session_chains(events: DataFrame, after_mint_only: bool = False, listed: int = 25) -> DataFrame:

@@ -19,13 +19,15 @@ from emberlog.schema import filled, short_name
 COLUMNS = ("message", "datetime", "timestamp_desc", "event_name", "event_source", "actor", "actor_type", "account", "region", "source_ip", "user_agent", "mfa", "error_code", "repeat_count", "tag")
 
 
-def tags(chains: DataFrame, gaps: DataFrame, pivots: DataFrame, sessions: DataFrame) -> DataFrame:
+def tags(chains: DataFrame, gaps: DataFrame, pivots: DataFrame, sessions: DataFrame, steps: DataFrame | None = None) -> DataFrame:
     """(actor, time, tag): of several tags for one key, that of the later source stands.
 
+    steps: of ``escalation_steps``, for chains that have more than they list.
+
     Sources in order: the chains by access time, each start before its steps, then gaps, pivots and sessions.
     """
     row = lambda df, actor, time, tag, phase, order: df.select(F.col(actor).alias("actor"), F.col(time).alias("time"), F.lit(tag).alias("tag"), F.struct(F.lit(phase).alias("phase"), order.cast("string").alias("at"), F.lit(tag).alias("kind")).alias("ord"))
-    steps = chains.select("actor", "access_time", F.explode("escalation_events.time").alias("time"))
+    steps = steps if steps is not None else chains.select("actor", "access_time", F.explode("escalation_events.time").alias("time"))
     found = [
         row(chains, "actor", "access_time", "escalation_chain_start", 1, F.concat("access_time", F.lit(" 0"))),
         row(steps, "actor", "time", "escalation", 1, F.concat("access_time", F.lit(" 1"))),

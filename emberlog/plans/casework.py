@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from emberlog.operators import correlate, lineage, merkle, profiles, tools
+from emberlog import rules
+from emberlog.functions.shared import shared_dir
+from emberlog.operators import correlate, hunt, lineage, merkle, package, profiles, reduce, timeline, tools
 from emberlog.plans.evidence import _MISSING, _missing_feeds
-from emberlog.plans.registry import _scores_sql, _steps, joined, query
+from emberlog.plans.registry import _GAPS, _PATTERNS, NAMES, _gaps, _scores_sql, _steps, joined, query
 from emberlog.plans.views import EVENTS_SQL, events, order_sessions, table
 
 # --- what actors touched --------------------------------------------------------------------------------------------------------
@@ -179,3 +183,104 @@ def _(spark, sf_dir):
     e, k = events(spark, sf_dir), F.col("source_ip").cast("int")
     taken = e.filter((F.col("event_name") == "view") & (k < 30)).select("account", F.col("event_ts").alias("taken"), "row_id", k.alias("score"))
     return lineage.as_of(e.filter("event_name <> 'view'"), taken, ["account"], "event_ts", "taken", order="row_id").select("row_id", "account", F.col("snapshot.score").alias("score"))
+
+
+# --- the real rules over all event names -----------------------------------------------------------------------------------------
+
+#: All names that a rule knows, and some that none does; an event gets one by its number.
+_EVERY = tuple(dict.fromkeys([n for g in rules.EVENT_GROUPS.values() for n in g] + [n for m in rules.MECHANISMS.values() for n in m[0]] + list(rules.LOGGING_RESTORE) + list(rules.CORRELATED_ONLY))) + ("ListTags", "Unknown", "")
+_LISTED = "[" + ", ".join(f"'{n}'" for n in _EVERY) + "]"
+_NAMED = f"nm AS (SELECT e.*, list_extract({_LISTED}, CAST(CAST(row_id AS BIGINT) * 7 % {len(_EVERY)} AS INTEGER) + 1) AS name FROM e)"
+
+
+def _named(spark, sf_dir):
+    at = (F.col("row_id").cast("bigint") * 7 % len(_EVERY)).cast("int")
+    return events(spark, sf_dir).withColumn("event_name", F.get(F.array(*[F.lit(n) for n in _EVERY]), at))
+
+
+def _in(names) -> str:
+    return "(" + ", ".join(f"'{n}'" for n in names) + ")"
+
+
+@query("allowlisted_events", f"WITH {EVENTS_SQL}, {_NAMED} SELECT row_id, name AS event_name, name IN {_in(reduce.allowlist(strict=True))} AS strict FROM nm WHERE name IN {_in(reduce.allowlist())}")
+def _(spark, sf_dir):
+    return reduce.with_names(_named(spark, sf_dir), reduce.allowlist()).select("row_id", "event_name", reduce.has_name(reduce.allowlist(strict=True)).alias("strict"))
+
+
+@query("signal_ranks", f"WITH {EVENTS_SQL}, {_NAMED} SELECT row_id, CASE WHEN name IN {_in(rules.CRITICAL_EVENTS)} THEN 0 WHEN name IN {_in(rules.EVENT_GROUPS['identity_mutation'])} THEN 1 WHEN name IN {_in(rules.EVENT_GROUPS['data_access'])} THEN 2 WHEN name IN {_in(rules.EVENT_GROUPS['persistence'])} THEN 3 ELSE 4 END AS rank FROM nm")
+def _(spark, sf_dir):
+    return _named(spark, sf_dir).select("row_id", reduce.signal_rank(F.col("event_name")).alias("rank"))
+
+
+_MECHANISM_ROWS = ", ".join(f"('{n}', '{m}', '{t}', '{s}', '{d}')" for m, (names, t, _, s, d) in rules.MECHANISMS.items() for n in names)
+
+
+@query(
+    "persistence_mechanisms",
+    f"""WITH {EVENTS_SQL}, {_NAMED}, m(name, mechanism, technique, severity, effect) AS (VALUES {_MECHANISM_ROWS})
+    SELECT row_id, mechanism, technique, 'https://aws-samples.github.io/threat-technique-catalog-for-aws/Techniques/' || technique || '.html' AS url, CASE WHEN k < 10 THEN 'low' ELSE severity END AS severity, name || ' ' || effect AS detail FROM nm JOIN m USING (name)""",
+)
+def _(spark, sf_dir):
+    e = _named(spark, sf_dir)
+    found = hunt.hunt_events(e).join(e.select("row_id", F.col("actor.arn").alias("actor"), F.col("event_time").alias("time"), "event_name"), ["actor", "time", "event_name"])
+    return found.select("row_id", "mechanism", "technique", "url", "severity", "detail")
+
+
+# --- exports, bundles, the package -----------------------------------------------------------------------------------------------
+
+
+@query("timeline_export", f"WITH {EVENTS_SQL} SELECT event_name || ' by u' || user_id || ' from ' || source_ip AS message, event_time AS datetime, actor, account FROM e")
+def _(spark, sf_dir):
+    """Exported as CSV and read back."""
+    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    e = events(spark, sf_dir)
+    none = e.limit(0).select(F.lit("").alias("actor"), F.lit("").alias("time"), F.lit("").alias("tag"))
+    timeline.export(timeline.timeline(e, none), path)
+    return spark.read.option("header", True).csv(path).select("message", "datetime", "actor", "account")
+
+
+_BUNDLE = """
+b AS (SELECT 'conversations' AS artifact, count(*) AS n FROM conversations UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'labels', count(*) FROM labels),
+bl AS (SELECT artifact, unnest(range(0, CAST(ceil(n / 1024) AS BIGINT))) AS block, n FROM b)
+"""
+
+
+def _bundle(spark, sf_dir):
+    folder = f"{shared_dir(spark)}/bundles"
+    case = f"case-{uuid.uuid4().hex}"
+    return folder, case, timeline.preserve({n: table(spark, sf_dir, n) for n in ("conversations", "documents", "labels")}, folder, case)
+
+
+@query("bundle_manifest", f"WITH {_BUNDLE} SELECT artifact, block AS node, least(1024, n - block * 1024) AS n FROM bl")
+def _(spark, sf_dir):
+    return _bundle(spark, sf_dir)[2].filter("level = 0").select("artifact", "node", "n")
+
+
+@query("bundle_verified", f"WITH {_BUNDLE} SELECT artifact, block, block * 1024 AS first_row, block * 1024 + 1023 AS last_row, 'OK' AS state FROM bl")
+def _(spark, sf_dir):
+    folder, case, _ = _bundle(spark, sf_dir)
+    return timeline.verify(spark, folder, case)
+
+
+def _json_list(fields: dict[str, str], source: str, order: str) -> str:
+    item = ", ".join(f"{n}: {c}" for n, c in fields.items())
+    return f"(SELECT to_json({{total: (SELECT count(*) FROM {source}), items: (SELECT list({{{item}}} ORDER BY {order}) FROM (SELECT * FROM {source} ORDER BY {order} LIMIT 4))}})::VARCHAR)"
+
+
+@query(
+    "evidence_package",
+    f"""WITH {EVENTS_SQL}, {_GAPS}, {_PATTERNS} SELECT {_json_list({"start": "start", "disabled_by": "disabled_by", "still_open": "still_open"}, "g", "start, disabled_by, account, region")} AS gaps,
+    {_json_list({"pattern": "pattern", "actor": "actor", "severity": "severity"}, "p", "actor, pattern")} AS patterns, {_json_list({"row_id": "row_id", "event_name": "event_name"}, "e", "event_time, row_id")} AS events,
+    to_json({{first: (SELECT min(event_time) FROM e), last: (SELECT max(event_time) FROM e)}})::VARCHAR AS "window" """,
+)
+def _(spark, sf_dir):
+    e, by = events(spark, sf_dir), lambda *names: [F.col(n) for n in names]
+    row = package.package(
+        {
+            "gaps": package.part(_gaps(spark, sf_dir), by("start", "disabled_by", "account", "region"), ["start", "disabled_by", "still_open"], 4),
+            "patterns": package.part(correlate.attack_patterns(events(spark, sf_dir, NAMES)), by("actor", "pattern"), ["pattern", "actor", "severity"], 4),
+            "events": package.part(e, by("event_time", "row_id"), ["row_id", "event_name"], 4),
+        },
+        {"window": e.agg(F.min("event_time").alias("first"), F.max("event_time").alias("last"))},
+    )
+    return row.select(*[F.to_json(c).alias(c) for c in row.columns])

@@ -121,12 +121,12 @@ c AS (SELECT a.actor, a.row_id AS access_row, a.event_time AS access_time, b.eve
 
 
 def _chains(spark, sf_dir):
-    return correlate.escalation_chains(events(spark, sf_dir), ("signup",), ("purchase",), 360)
+    return correlate.escalation_chains(events(spark, sf_dir), ("signup",), ("purchase",), 360, listed=1000)
 
 
 @query("escalation_chains", f"WITH {EVENTS_SQL}, {_CHAINS} SELECT actor, access_row, access_time, count(*) AS n, string_agg(step_time, ',' ORDER BY step_time, step_row) AS steps FROM c GROUP BY ALL")
 def _(spark, sf_dir):
-    return _chains(spark, sf_dir).select("actor", "access_row", "access_time", F.size("escalation_events").cast("bigint").alias("n"), F.array_join("escalation_events.time", ",").alias("steps"))
+    return _chains(spark, sf_dir).select("actor", "access_row", "access_time", F.col("escalation_count").alias("n"), F.array_join("escalation_events.time", ",").alias("steps"))
 
 
 _SESSIONS = """
@@ -411,7 +411,8 @@ def _sessions(spark, sf_dir):
     SELECT e.event_name || ' by u' || user_id || ' from ' || source_ip AS message, event_time AS datetime, e.actor, coalesce(tag, '') AS tag FROM e LEFT JOIN b ON b.actor = e.actor AND b.time = event_time""",
 )
 def _(spark, sf_dir):
-    tagged = timeline.tags(_chains(spark, sf_dir), _gaps(spark, sf_dir), _pivots(spark, sf_dir), _sessions(spark, sf_dir))
+    steps = correlate.escalation_steps(events(spark, sf_dir), ("signup",), ("purchase",), 360)
+    tagged = timeline.tags(steps, _gaps(spark, sf_dir), _pivots(spark, sf_dir), _sessions(spark, sf_dir), steps)
     return timeline.timeline(events(spark, sf_dir), tagged).select("message", "datetime", "actor", "tag")
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import importlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,3 +35,36 @@ def read(spark: SparkSession, path: str, feed: str, kind: str) -> DataFrame:
     """A feed file (or several); the place of a line decides which duplicate wins."""
     lines = spark.read.text(path).select(F.col("value").alias("line"), F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()).alias("at"))
     return parse(lines, feed, kind)
+
+
+_ENTRY = "feed string, kind string, indicator string, confidence int, category string, description string, error string"
+
+
+def lookup(indicators: DataFrame, client: str, feed: str, batch: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(entries, failures) of a provider that answers for single indicators, in the shape of the other feeds; failures: (feed, kind, indicator, error).
+
+    indicators: (kind, value).  ``client`` names a function, "module:function", that gets the feed's name and returns an object whose ``lookup(kind, values)`` takes ``batch`` values at most and
+    returns a mapping of those it knows to dicts with category, confidence and description.  Each distinct indicator is asked for once, by the task that holds it; a request that
+    fails is a failure for its indicators and the others go on.  No network client is shipped.
+    """
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        module, _, function = client.partition(":")
+        provider = getattr(importlib.import_module(module), function)(feed)
+        for rows in batches:
+            out = []
+            for kind, values in rows.groupby("kind")["value"]:
+                every = list(values)
+                for part in (every[i : i + batch] for i in range(0, len(every), batch)):
+                    try:
+                        found = provider.lookup(kind, part)
+                    except Exception as e:  # a failed request is a row for each of its indicators
+                        out += [(feed, kind, v, None, None, None, f"{type(e).__name__}: {e}"[:300]) for v in part]
+                        continue
+                    out += [(feed, kind, v, int(e.get("confidence", 75)), e.get("category") or "suspicious", e.get("description") or "", None) for v, e in found.items() if v in set(part)]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _ENTRY.split(", ")]).astype({"confidence": "Int32"})
+
+    asked = indicators.select("kind", F.lower("value").alias("value")).distinct()
+    rows = asked.mapInPandas(ask, _ENTRY)
+    entries = rows.filter("error IS NULL").select("feed", "kind", "indicator", "confidence", "category", "description", group_of(F.concat_ws(" ", "category", "description")).alias("group_id"))
+    return entries, rows.filter("error IS NOT NULL").select("feed", "kind", "indicator", "error")
