@@ -9,8 +9,9 @@ last and third last word and of the second last word alone, and how often and ho
 smoothed shares, without those that the history's own classes have taken, so that all probabilities of a history sum to 1.
 
 Distribution: all tokens are dealt by their last word to blocks of about ``block_tokens``, so that a block holds all that its features
-ever see; last words with many tokens are dealt on by the second last word.  Blocks, hence weights and contexts, grow in number with the corpus.
-A block takes gradient steps over its training tokens on its own hashed weights, then scores all its tokens; sums by text come back.  In
+ever see; last words with many tokens are dealt on by the second last word, and pairs of words with many tokens by text and stretches of text (a table of
+fixed size has upper bounds of the pairs' counts).  Blocks, hence weights and contexts, grow in number with the corpus.
+A block puts its training tokens into an order of their own, so that the result doesn't depend on how rows are dealt to tasks, takes gradient steps over them on its own hashed weights, then scores all its tokens; sums by text come back.  In
 training the contexts of a token are counted without it, so that what has been seen once does not foretell itself.
 
 Words that are not among the ``known_words`` most frequent of the training texts share their cluster's rest evenly, with one unit for
@@ -35,10 +36,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashTable, Words, as_long, crc_mod_5, forget, mix, sliced, written
+from .common import HashTable, Words, as_long, crc_mod_5, forget, mix, sliced, small_batches, written
 
 END = np.uint64(0x5D588B656C078965)
-PAIR = -1  #: key of the rows that count pairs of endings
+PAIR, CELL = -1, -2  #: keys of the rows that count pairs of endings, and tokens after pairs of words by cells
 ENDINGS, CONTEXTS = 1024, 64
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[np.frombuffer(b".,;:!?\"'()[]{}*#$%&", np.uint8)] = True
@@ -51,6 +52,7 @@ class Settings:
     known_words: int = 1 << 18  #: most frequent words, which tasks hold; at most 2**18
     block_tokens: int = 1 << 18
     dealt_tokens: int = 1 << 20  #: tokens that a task holds before it deals them out
+    pair_cells: int = 1 << 16  #: of the counts of pairs; where pairs share a cell, they are dealt finer than they need
     step: int = 8192  #: tokens in one gradient step
     rate: float = 0.3
 
@@ -73,9 +75,22 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, key, first
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _back(x: np.ndarray, place: np.ndarray, k: int, none: int) -> np.ndarray:
+    """What stands k places before each token in its text, else ``none``."""
+    out = np.full_like(x, none)
+    out[k:] = x[:-k]
+    out[place < k] = none
+    return out
+
+
+def _cell(two: np.ndarray, last: np.ndarray, cells: int) -> np.ndarray:
+    return (mix(mix(two) + last) % np.uint64(cells)).astype(np.int64)
+
+
+def _count(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
+    after = np.zeros(cells, np.int64)
 
     def flush():
         h, key = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -93,7 +108,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     for b in sliced(batches):
-        h, key, _ = _tokens(b["text"])
+        h, key, first = _tokens(b["text"])
+        place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
+        after += np.bincount(_cell(_back(h, place, 2, 0), _back(h, place, 1, 0), cells)[place > 0], minlength=cells)
         held.append((h, key))
         size += len(h)
         if size > 4_000_000:
@@ -101,13 +118,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, size = [], 0
     if held:
         yield from flush()
+    some = np.flatnonzero(after)
+    yield pa.record_batch({"h": some.astype(np.int64), "key": np.full(len(some), CELL, np.int32), "n": after[some]})
 
 
 class Vocabulary:
     """What all tasks share, of a size that the settings bound: the known words with counts, the classes and their sizes."""
 
-    def __init__(self, settings: Settings, words: np.ndarray, counts: np.ndarray, keys: np.ndarray, pairs: np.ndarray, by_key: np.ndarray):
-        """words, counts, keys: the most frequent; pairs: ENDINGS x CONTEXTS; by_key: tokens and types of each key."""
+    def __init__(self, settings: Settings, words: np.ndarray, counts: np.ndarray, keys: np.ndarray, pairs: np.ndarray, by_key: np.ndarray, after: np.ndarray):
+        """words, counts, keys: the most frequent; pairs: ENDINGS x CONTEXTS; by_key: tokens and types of each key; after: tokens after the pairs of each cell."""
         if END not in words:
             words, counts, keys = np.append(words, END), np.append(counts, np.int64(by_key[0, ENDINGS])), np.append(keys, ENDINGS)
         self.settings, self.words, self.counts = settings, words, counts
@@ -132,8 +151,9 @@ class Vocabulary:
         self.n_tokens, self.n_types = int(by_key[0].sum()), int(by_key[1].sum())
         # held-out texts are about a fourth more
         self.blocks = max(1, -(-self.n_tokens * 5 // (4 * settings.block_tokens)))
-        # so many pieces for the tokens after a known word, and one for the starts of texts at the end
-        self.pieces = np.append(np.maximum(1, counts * 5 // settings.block_tokens), 1)
+        # so many pieces for the tokens after a known word, and one for the starts of texts at the end; small ones, so that blocks of some pieces differ little
+        self.pieces = np.append(np.maximum(1, counts * 20 // settings.block_tokens), 1)
+        self.pair_pieces = np.where(after * 2 > settings.block_tokens, after * 20 // settings.block_tokens, 1)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "known"}
@@ -197,18 +217,21 @@ def _most_frequent(vocabulary: DataFrame, most: int) -> pd.DataFrame:
 
 def vocabulary(docs: DataFrame, settings: Settings = Settings()) -> Vocabulary:
     """Of all rows of ``docs`` (text)."""
-    counted = docs.select("text").mapInArrow(_count, "h long, key int, n long").groupBy("h", "key").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(lambda batches: _count(batches, settings.pair_cells), "h long, key int, n long").groupBy("h", "key").agg(F.sum("n").alias("n"))
     counted = written(counted, "lm-counts")
-    words = counted.filter(F.col("key") != PAIR)
+    words = counted.filter(F.col("key") >= 0)
     by_key = np.zeros((2, ENDINGS + 1))
     for key, n, types in words.groupBy("key").agg(F.sum("n"), F.count("*")).collect():  # a row for each key at most
         by_key[:, key] = n, types
     pairs = np.zeros(ENDINGS * CONTEXTS)
     for h, n in counted.filter(F.col("key") == PAIR).select("h", "n").collect():
         pairs[h] = n
+    after = np.zeros(settings.pair_cells, np.int64)
+    for h, n in counted.filter(F.col("key") == CELL).select("h", "n").toLocalIterator():  # a row for each cell at most
+        after[h] = n
     top = _most_frequent(words, min(settings.known_words, (1 << 18) - 2))
     forget(counted)
-    return Vocabulary(settings, top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), top["key"].to_numpy(np.int64), pairs.reshape(ENDINGS, CONTEXTS), by_key)
+    return Vocabulary(settings, top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), top["key"].to_numpy(np.int64), pairs.reshape(ENDINGS, CONTEXTS), by_key, after)
 
 
 def _packed(x: np.ndarray, size: int) -> np.ndarray:
@@ -245,17 +268,18 @@ def _deal(shared):
             last, row, two, three, code, text, out, block = (np.concatenate(x) for x in zip(*held, strict=True))
             group = (block * 4 + out * 2 + (row < 0)).astype(np.min_scalar_type(4 * v.blocks))  # small integers are sorted faster
             order = np.argsort(group, kind="stable")
-            edges = np.searchsorted(group[order], np.arange(4 * v.blocks + 1))
+            group = group[order].astype(np.int64)
+            there = group[np.flatnonzero(np.append(True, group[1:] >> 2 != group[:-1] >> 2))] >> 2  # the blocks that have tokens here
+            edges = np.searchsorted(group, there[:, None] * 4 + np.arange(5))
             start = [_packed(np.maximum(row, 0)[order], 3), _packed(last[order], 6)]
             rest = [_packed(x[order], size) for x, size in ((two, 3), (three, 3), (code, 3), (text, 2))]
             data, blocks = [np.concatenate(texts).tobytes()], [-1 - batch % 1009]
-            for k in np.flatnonzero(edges[4::4] > edges[:-4:4]).tolist():
-                e = edges[4 * k : 4 * k + 5]
+            for k, e in zip(there.tolist(), edges, strict=True):
                 data.append(np.diff(e).astype("<u4").tobytes() + b"".join(start[i % 2][a:b].tobytes() for i, (a, b) in enumerate(zip(e[:-1].tolist(), e[1:].tolist(), strict=True))) + b"".join(x[e[0] : e[4]].tobytes() for x in rest))
                 blocks.append(k)
             yield pa.record_batch([pa.array(blocks, pa.int64()), pa.array(np.full(len(blocks), batch)), pa.array(np.zeros(len(blocks), np.int64)), pa.array(data, pa.binary())], schema=_DEALT)
 
-        for b in sliced(batches, 1 << 20):
+        for b in (x.slice(at, 50_000) for x in sliced(batches, 1 << 20) for at in range(0, len(x), 50_000)):  # a text's number in its batch has 16 bits
             h, key, first = _tokens(b["text"])
             n = np.diff(first)
             row, code = v.codes(h, key)
@@ -263,19 +287,16 @@ def _deal(shared):
             text = np.repeat(np.arange(len(n)), n)
             place = np.arange(len(h)) - first[text]
 
-            def back(x: np.ndarray, k: int, none: int, place=place) -> np.ndarray:
-                out = np.full_like(x, none)
-                out[k:] = x[:-k]
-                out[place < k] = none
-                return out
-
-            last, two, three = (back(h, k, 0) for k in (1, 2, 3))
+            last, two, three = (_back(h, place, k, 0) for k in (1, 2, 3))
             # the starts of texts count as after a word of their own
-            last_row = np.where(place == 0, len(v.words), back(row, 1, 0))
+            last_row = np.where(place == 0, len(v.words), _back(row, place, 1, 0))
             pieces = v.pieces[np.where(last_row >= 0, last_row, len(v.words))].astype(np.uint64)
             own = mix(ids.astype(np.int64).view(np.uint64) + np.uint64(1))[text]
-            piece = np.where(pieces > 1, mix(two + own % (pieces // np.uint64(4096) + np.uint64(1))) % pieces, 0).astype(np.uint64)
-            block = (np.where(place == 0, own, mix(last + piece * np.uint64(0x9E3779B97F4A7C15))) % np.uint64(v.blocks)).astype(np.int64)
+            split = v.pair_pieces[_cell(two, last, len(v.pair_pieces))].astype(np.uint64)
+            stretch = mix(own + (place >> 10).astype(np.uint64)) % split
+            # pieces of a pair, and of a word, go to different blocks in turn
+            piece = (mix(two) % pieces + stretch) % pieces
+            block = (np.where(place == 0, own, mix(last) % np.uint64(v.blocks) + piece) % np.uint64(v.blocks)).astype(np.int64)
             out = b["held_out"].to_numpy(zero_copy_only=False).astype(np.int64)
             if held and n_texts + len(n) > 60_000:
                 yield from flush()
@@ -474,6 +495,10 @@ def _read(batches: list[bytes]) -> tuple[dict[str, np.ndarray], int, np.ndarray]
 def _scored_block(v: Vocabulary, block: list[tuple[int, bytes]]) -> pa.RecordBatch:
     """Sums by text of what a block knows: the model's score, and counts of the words that aren't known."""
     x, train, batch = _read([data for _, data in block])
+    # an order that depends on the tokens alone; those that are alike may change places
+    own = np.argsort(mix(mix(mix(x["last"]) + x["two"]) + (x["three"] << np.uint64(24)) + x["code"])[:train], kind="stable")
+    own = np.append(own, np.arange(train, len(batch)))
+    x, batch = {k: c[own] for k, c in x.items()}, batch[own]
     rare = x["last"] >> np.uint64(63) > 0
     last, lasts = _numbered(x["last"])
     model = Block(v, last, x["two"], x["three"], x["code"].astype(np.int64), train)
@@ -560,6 +585,7 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     ``gain``: by how much the model's log10 probability of a token beats the base on average.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("held_out", crc_mod_5(docs["doc_id"]) == 1)
     v = vocabulary(docs.filter(~F.col("held_out")), settings)
