@@ -8,8 +8,9 @@ Reading: each file is a partition.  Predicates on record_type and on the header
 over by the source: WARC headers are parsed first, and of a record that they rule out the payload
 is never inflated.  ``option("payload", "false")`` leaves payloads of all records alone.
 
-Writing: each task writes files of at most ``bytes_per_file`` under names of its own attempt; only
-those of successful attempts get a name that readers see, so tasks may be lost and repeated.
+Writing: each job has a folder of its own, where tasks write files of at most ``bytes_per_file`` under names of their own attempt.  The job ends with one small file
+there that lists those of successful attempts; readers take no other from it, so tasks may be lost and repeated, and nothing is renamed.  Files of lost attempts go when a job ends, or with ``abort``.
+Lengths have 32 bits: a payload is a value of Spark's, which holds 2 GB at most.
 
 Columns: record_id, record_type, target_uri, date, payload_digest (bare hex SHA-256 of the payload,
 also for revisits), payload_length (of the full payload), refers_to, content_type, payload (binary, null for
@@ -187,6 +188,10 @@ class File(InputPartition):
     path: str
 
 
+#: The prefix of a job's folder, and the file in it that lists what belongs to the archive.
+_JOB, _LIST = "warc-job-", "_files"
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
@@ -209,7 +214,14 @@ class WarcReader(DataSourceReader):
         system, root = _open(self.path)
         info = system.get_file_info(root)
         found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(root, recursive=True))
-        names = [f for f in found if f.type == fs.FileType.File and f.base_name.endswith((".warc", ".warc.gz"))]
+        files = [f for f in found if f.type == fs.FileType.File]
+        listed: set[str] = set()
+        for f in files:
+            if f.base_name == _LIST:
+                folder = f.path.rpartition("/")[0]
+                with system.open_input_stream(f.path) as stream:
+                    listed.update(f"{folder}/{n}" for n in stream.read().decode().split())
+        names = [f for f in files if f.base_name.endswith((".warc", ".warc.gz")) and (f.path in listed or not f.path.rpartition("/")[0].rpartition("/")[2].startswith(_JOB))]
         return [File(f.path) for f in sorted(names, key=lambda f: -f.size)]  # the longest first
 
     def read(self, partition: File) -> Iterator[tuple]:
@@ -230,14 +242,15 @@ class WarcWriter(DataSourceWriter):
     def __init__(self, options: dict[str, str], schema: StructType, overwrite: bool):
         self.path, self.columns = options["path"], schema.names
         self.most = int(options.get("bytes_per_file", 128 << 20))
+        self.job = f"{_JOB}{uuid.uuid4().hex}"
         if overwrite:
             system, root = _open(self.path)
             if system.get_file_info(root).type != fs.FileType.NotFound:
                 system.delete_dir_contents(root)
 
     def write(self, rows: Iterator) -> Wrote:
-        system, root = _open(self.path)
-        system.create_dir(root, recursive=True)
+        system, folder = self._folder()
+        system.create_dir(folder, recursive=True)
         names: list[str] = []
         stream, size = None, 0
         for row in rows:
@@ -245,7 +258,7 @@ class WarcWriter(DataSourceWriter):
                 if stream:
                     stream.close()
                 names.append(f"{uuid.uuid4().hex}.warc.gz")
-                stream, size = system.open_output_stream(f"{root}/_{names[-1]}.part", compression=None), 0
+                stream, size = system.open_output_stream(f"{folder}/{names[-1]}", compression=None), 0
             data = record(dict(zip(self.columns, row, strict=True)))
             stream.write(data)
             size += len(data)
@@ -253,19 +266,25 @@ class WarcWriter(DataSourceWriter):
             stream.close()
         return Wrote(names)
 
-    def commit(self, messages: list[Wrote | None]) -> None:
+    def _folder(self) -> tuple[fs.FileSystem, str]:
         system, root = _open(self.path)
-        system.create_dir(root, recursive=True)
-        for m in messages:
-            for name in m.names if m else ():
-                system.move(f"{root}/_{name}.part", f"{root}/{name}")
+        return system, f"{root.rstrip('/')}/{self.job}"
+
+    def commit(self, messages: list[Wrote | None]) -> None:
+        """Writes the list, which makes all files part of the archive at once; then files of lost attempts go."""
+        system, folder = self._folder()
+        system.create_dir(folder, recursive=True)
+        names = {n for m in messages for n in (m.names if m else ())}
+        with system.open_output_stream(f"{folder}/{_LIST}", compression=None) as stream:
+            stream.write("\n".join(sorted(names)).encode())
+        for f in system.get_file_info(fs.FileSelector(folder)):
+            if f.base_name not in names and f.base_name != _LIST:
+                system.delete_file(f.path)
 
     def abort(self, messages: list[Wrote | None]) -> None:
-        system, root = _open(self.path)
-        for m in messages:
-            for name in m.names if m else ():
-                if system.get_file_info(f"{root}/_{name}.part").type == fs.FileType.File:
-                    system.delete_file(f"{root}/_{name}.part")
+        system, folder = self._folder()
+        if system.get_file_info(folder).type != fs.FileType.NotFound:
+            system.delete_dir(folder)
 
 
 class WarcSource(DataSource):
