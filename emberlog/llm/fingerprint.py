@@ -10,7 +10,8 @@ term and t alone; a fingerprint holds 16 bits of a hash of each.
 
 Defined results: a null text counts as empty; a text without words has a fingerprint of its
 own, which only equals that of another such text; repeated rows come back each on its own;
-rows with equal ids follow each other by text; null ids come first.
+rows with equal ids follow each other by text, in one task, and null ids come first; an empty table gives an empty result; other
+columns are ignored.  Ties of the least value go to neither term, as the value stands for the sample.  A long text is taken alone.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ class Settings:
     rows_at_once: int = 512
     chars_at_once: int = 4_000_000  #: or one text
     rows_in_range: int = 5000  #: ids that one task orders, about
+    most_ranges: int = 1 << 16  #: of which the driver knows the first ids; beyond it ranges grow, which tasks sort with spilling and read in slices
 
 
 _F = np.float32
@@ -171,7 +173,7 @@ def edit_report(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     n = rows.count()
     if not n:
         return spark.createDataFrame([], _OUT)
-    ranges = -(-n // settings.rows_in_range)
+    ranges = min(-(-n // settings.rows_in_range), settings.most_ranges)
     cuts = np.array(sorted({int(c) for c in rows.approxQuantile("id", [i / ranges for i in range(1, ranges)], 0.1 / ranges)}) if ranges > 1 else [], np.int64)
 
     @F.pandas_udf("long")
