@@ -46,7 +46,7 @@ class Settings:
     tokenizer: str = "word_bpe_49k.json"  #: a file of public_tokenizers, or a path
     end_id: int = 2
     block_tokens: int = 8_000_000
-    cached_words: int = 800_000
+    cached_words: int = 240_000
 
 
 #: The tokenizer whose words are independent: these must be its normalizer and its pre-tokenizer.
