@@ -129,9 +129,15 @@ def _constants(gap: Column) -> Column:
     return F.replace(F.replace(F.replace(gap, F.lit("true"), F.lit("True")), F.lit("false"), F.lit("False")), F.lit("null"), F.lit("None"))
 
 
+def _members(text: Column, kind: str) -> Column:
+    """The members of a JSON object as a map; of repeated ones the last counts."""
+    every = F.map_entries(F.from_json(text, f"map<string,{kind}>"))
+    return F.map_from_entries(F.filter(every, lambda m, i: ~F.exists(F.slice(every, i + 2, F.size(every)), lambda later: later["key"] == m["key"])))
+
+
 def _members_in_short(text: Column) -> Column:
     """Of a JSON object the first members in its own order, each a text of bounded length: strings as they are, all else as Python shows it."""
-    kinds, texts = F.from_json(text, "map<string,variant>"), F.from_json(text, "map<string,string>")
+    kinds, texts = _members(text, "variant"), _members(text, "string")
 
     def short(name: Column) -> Column:
         kind, value = F.schema_of_variant(F.element_at(kinds, name)), F.element_at(texts, name)
@@ -145,10 +151,10 @@ def _members_in_short(text: Column) -> Column:
 def pruned_params(params: Column) -> Column:
     """Request parameters as compact JSON: whole up to a limit; of longer objects the first members in short; of anything else longer its first characters.
 
-    What is no JSON counts as a text.  Numbers are written as the JSON functions write them.
+    What is no JSON counts as a text, and so does an object that has members repeated below its own.  Numbers are written as the JSON functions write them.
     """
     given = F.nullif(params, F.lit(""))
-    plain = F.to_json(F.try_parse_json(given))
+    plain = F.coalesce(F.to_json(F.try_parse_json(given)), F.when(given.rlike(r"^\s*\{"), F.to_json(_members(given, "variant"))))
     text = F.coalesce(plain, _json(given))
     return F.when(dumps_length(text) <= PARAMS_LIMIT, text).when(plain.startswith("{"), _members_in_short(given)).otherwise(_json(_dumps_start(text, PARAMS_LIMIT)))
 
