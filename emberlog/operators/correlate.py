@@ -140,15 +140,15 @@ def escalation_chains(events: DataFrame, access: Sequence[str] = rules.ACCESS, e
 def session_chains(events: DataFrame, after_mint_only: bool = False, listed: int = 25) -> DataFrame:
     """Minted session keys with what was done under them; keys without actions stay.
 
-    The last event that minted a key is its origin.  ``after_mint_only`` leaves out actions before it.  Events are read once and joined with the origins once.
+    The last event that minted a key is its origin.  ``after_mint_only`` leaves out actions before it.  Events under minted keys meet their origin in one join, whose
+    rows alone are kept for the counts and the first actions.
     """
-    minted = F.col("event_name").isin(*rules.MINTING) & (F.coalesce("minted_key_id", F.lit("")) != "")
-    mint = F.struct(TIME, F.col("row_id").alias("mint_row"), actor_of().alias("assumed_by"), F.col(TIME).alias("assumed_at"), F.get_json_object("request_params", "$.roleArn").alias("role"), "source_ip")
-    done = F.struct(F.col(TIME).alias("time"), "row_id", F.col("event_name").alias("event"), "account", "region")
-    uses = F.array(F.struct(F.when(minted, F.col("minted_key_id")).alias("key"), mint.alias("mint"), F.lit(None).cast(events.select(done).schema[0].dataType).alias("done")), F.struct(F.col("access_key_id").alias("key"), F.lit(None).cast(events.select(mint).schema[0].dataType).alias("mint"), done.alias("done")))
-    uses = stored(events.select(F.inline(F.filter(uses, lambda u: u["key"].isNotNull()))), "key-uses")
-    origin = uses.filter("mint IS NOT NULL").groupBy("key").agg(F.max(F.struct(f"mint.{TIME}", "mint.mint_row", "mint")).alias("o")).select("key", "o.mint.*").drop(TIME)
-    joined = origin.join(uses.filter("done IS NOT NULL").select("key", "done.*"), "key", "left").withColumn("own", F.col("row_id").isNotNull() & (F.col("row_id") != F.col("mint_row")))
+    mint = events.filter(F.col("event_name").isin(*rules.MINTING) & (F.coalesce("minted_key_id", F.lit("")) != ""))
+    origin = mint.groupBy(F.col("minted_key_id").alias("key")).agg(
+        F.max(F.struct(TIME, F.col("row_id").alias("mint_row"), actor_of().alias("assumed_by"), F.col(TIME).alias("assumed_at"), F.get_json_object("request_params", "$.roleArn").alias("role"), "source_ip")).alias("o")
+    ).select("key", "o.*").drop(TIME)
+    done = events.filter(F.col("access_key_id").isNotNull()).select(F.col("access_key_id").alias("key"), "row_id", F.col(TIME).alias("time"), F.col("event_name").alias("event"), "account", "region")
+    joined = origin.join(done, "key", "left").withColumn("own", F.col("row_id").isNotNull() & (F.col("row_id") != F.col("mint_row")))
     if after_mint_only:
         joined = joined.withColumn("own", F.col("own") & (F.col("time") >= F.col("assumed_at")))
     joined = stored(joined, "sessions")

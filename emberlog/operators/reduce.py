@@ -129,23 +129,29 @@ def _constants(gap: Column) -> Column:
     return F.replace(F.replace(F.replace(gap, F.lit("true"), F.lit("True")), F.lit("false"), F.lit("False")), F.lit("null"), F.lit("None"))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _members(text: Column, kind: str) -> Column:
     """The members of a JSON object as a map; of repeated ones the last counts."""
-    every = F.map_entries(F.from_json(text, f"map<string,{kind}>"))
-    return F.map_from_entries(F.filter(every, lambda m, i: ~F.exists(F.slice(every, i + 2, F.size(every)), lambda later: later["key"] == m["key"])))
+    last = lambda every: F.filter(every, lambda m, i: ~F.exists(F.slice(every, i + 2, F.size(every)), lambda later: later["key"] == m["key"]))
+    return F.map_from_entries(_once(F.map_entries(F.from_json(text, f"map<string,{kind}>")), last))
 
 
 def _members_in_short(text: Column) -> Column:
     """Of a JSON object the first members in its own order, each a text of bounded length: strings as they are, all else as Python shows it."""
-    kinds, texts = _members(text, "variant"), _members(text, "string")
 
-    def short(name: Column) -> Column:
-        kind, value = F.schema_of_variant(F.element_at(kinds, name)), F.element_at(texts, name)
+    def short(name: Column, kind: Column, value: Column) -> Column:
         nested = _outside_strings(value, lambda g: _constants(_spaced(g)), _quoted)
         shown = F.when(kind == "STRING", value).when(kind.rlike("^(OBJECT|ARRAY)"), nested).otherwise(_constants(F.coalesce(value, F.lit("null"))))
         return F.struct(name.alias("name"), truncated(shown, MEMBER_LIMIT).alias("value"))
 
-    return F.to_json(F.map_from_entries(F.transform(F.slice(F.array_distinct(F.json_object_keys(text)), 1, MEMBERS), short)))
+    names = F.slice(F.array_distinct(F.json_object_keys(text)), 1, MEMBERS)
+    both = F.struct(names.alias("names"), _members(text, "variant").alias("kinds"), _members(text, "string").alias("texts"))
+    each = _once(both, lambda b: F.transform(b["names"], lambda n: short(n, F.schema_of_variant(F.element_at(b["kinds"], n)), F.element_at(b["texts"], n))))
+    return F.to_json(F.map_from_entries(each))
 
 
 def pruned_params(params: Column) -> Column:
@@ -154,9 +160,14 @@ def pruned_params(params: Column) -> Column:
     What is no JSON counts as a text, and so does an object that has members repeated below its own.  Numbers are written as the JSON functions write them.
     """
     given = F.nullif(params, F.lit(""))
-    plain = F.coalesce(F.to_json(F.try_parse_json(given)), F.when(given.rlike(r"^\s*\{"), F.to_json(_members(given, "variant"))))
-    text = F.coalesce(plain, _json(given))
-    return F.when(dumps_length(text) <= PARAMS_LIMIT, text).when(plain.startswith("{"), _members_in_short(given)).otherwise(_json(_dumps_start(text, PARAMS_LIMIT)))
+    parsed = F.to_json(F.try_parse_json(given))
+    repeated = F.when(given.rlike(r"(?s)^\s*\{.*\}\s*$"), F.to_json(_members(given, "variant")))
+
+    def pruned(plain: Column) -> Column:
+        text = F.coalesce(plain, _json(given))
+        return F.when(dumps_length(text) <= PARAMS_LIMIT, text).when(plain.startswith("{"), _members_in_short(given)).otherwise(_json(_dumps_start(text, PARAMS_LIMIT)))
+
+    return F.when(given.isNotNull(), _once(F.coalesce(parsed, repeated), pruned))
 
 
 def _json(c: Column) -> Column:
