@@ -132,11 +132,16 @@ def candidates(rows: DataFrame, key: str, column: str, names: DataFrame) -> Data
     return index.join(probes, "word").select(key, "old", "new")
 
 
+def _by_shuffle(rows: DataFrame) -> DataFrame:
+    """Rows that a join must not send whole to every task: they are as many as the texts, but Spark guesses their size by that of compressed files."""
+    return rows.hint("merge")
+
+
 def _with_pairs(rows: DataFrame, key: str, each: DataFrame) -> DataFrame:
     """Adds ``__pairs``, the longest first, out of each (key, old, new, bare)."""
     each = each.groupBy(key, "old").agg(F.max("new").alias("new"), F.max("bare").alias("bare"))
     order = F.struct((-F.length("old")).alias("long"), "old", "new", "bare")
-    return rows.join(each.groupBy(key).agg(F.array_sort(F.collect_list(order)).alias("__pairs")), key, "left")
+    return rows.join(_by_shuffle(each.groupBy(key).agg(F.array_sort(F.collect_list(order)).alias("__pairs"))), key, "left")
 
 
 def redact(rows: DataFrame, key: str, column: str, tokens: DataFrame) -> DataFrame:
@@ -144,7 +149,7 @@ def redact(rows: DataFrame, key: str, column: str, tokens: DataFrame) -> DataFra
     values = rows.select(key, F.explode(found_in(F.col(column))).alias("old"))
     values = values.join(tokens.select(F.col("value").alias("old"), F.col("token").alias("new")), "old").select(key, "old", "new", F.lit(False).alias("bare"))
     names = tokens.filter(~F.col("value").rlike(f"^(?:{_ANY})\\z")).select(F.col("value").alias("old"), F.col("token").alias("new"))
-    held = candidates(rows, key, column, names).join(rows.select(key, F.col(column).alias("__text")), key).filter(F.contains("__text", "old"))
+    held = candidates(rows, key, column, names).join(_by_shuffle(rows.select(key, F.col(column).alias("__text"))), key).filter(F.contains("__text", "old"))
     joined = _with_pairs(rows, key, values.union(held.select(key, "old", "new", F.lit(True).alias("bare"))))
     bare = F.transform(F.filter("__pairs", lambda p: p["bare"]), lambda p: F.replace(p["old"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")))
     pattern = F.when(F.size(bare) > 0, F.concat(F.lit(f"{_ANY}|(?<!{_OUTSIDE})(?:\\Q"), F.array_join(bare, "\\E|\\Q"), F.lit(f"\\E)(?!{_OUTSIDE})"))).otherwise(_ANY)

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from emberlog import schema
 from emberlog.functions import dates
+from emberlog.functions.shared import stored
 from emberlog.operators import correlate, hunt, intel, landscape, redact, reduce, scoring, timeline
 from emberlog.plans.registry import joined, query
-from emberlog.plans.views import EVENTS_SQL, events, table
+from emberlog.plans.views import EVENTS_SQL, dealt, events, table
 from emberlog.sources import events as sources
 from emberlog.sources import feeds
 
@@ -422,14 +423,14 @@ def _(spark, sf_dir):
 
 def _secrets(spark, sf_dir):
     """JSON texts that hold ARNs, keys, accounts, addresses, buckets and bare names, in values and in keys."""
-    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    c, k = dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey"), F.col("c_custkey")
     text = lambda x: x.cast("string")
     who = F.concat(F.lit("svc-prod-eu-west-1-data-platform-etl-job-"), text(k % 50))
     account, key = F.lpad(text(F.col("c_nationkey")), 12, "0"), F.concat(F.lit("AKIA"), F.lpad(text(k % 30), 16, "0"))
     arn = F.concat(F.lit("arn:aws:iam::"), account, F.lit(":user/"), who)
     obj = F.to_json(F.struct(F.struct(F.when(k % 2 == 0, arn).alias("arn"), F.when(k % 2 == 1, who).alias("userName")).alias("userIdentity"), key.alias("key"), F.concat(F.lit("10.0.0."), text(k % 9)).alias("inner"), F.concat(F.lit("8.8.4."), text(k % 7)).alias("outer")))
     said = F.concat(F.lit('{"said": "login by '), who, F.lit(" in "), account, F.lit('", "'), key, F.lit('": {"bucket": "b'), text(k % 5), F.lit('-data"}}'))
-    return redact.plain_json(c.select("c_custkey", F.when(k % 3 == 0, said).otherwise(obj).alias("text")), "text")
+    return stored(redact.plain_json(c.select("c_custkey", F.when(k % 3 == 0, said).otherwise(obj).alias("text")), "text"), "secrets")
 
 
 _TOKENED = """

@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by keys to four tasks a core: a table that compresses well has few splits, however much work its rows are."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def events(spark: SparkSession, sf_dir: str, names: dict[str, str] | None = None) -> DataFrame:
     """``events`` as canonical events; ``names`` maps event types to API names."""
     e = table(spark, sf_dir, "events")

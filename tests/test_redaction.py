@@ -61,3 +61,16 @@ def test_a_mapping_can_be_forgotten(spark):
     redact.forgotten(tokens)
     with pytest.raises(Exception, match="FILE|does not exist|not found"):
         tokens.collect()
+
+
+def test_texts_are_never_sent_whole_to_every_task(spark, tmp_path):
+    """A table of equal texts is a small file, by which Spark guessed that it may be broadcast."""
+    spark.range(3000).select("id", F.lit("job-1 from 8.8.8.8 by " * 20).alias("t")).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    tokens = redact.mapping(rows, "t", spark.createDataFrame([("job-1",)], "name string"))
+    out = redact.redact(rows, "id", "t", tokens)
+    for df in (out, redact.restore(out, "id", "t", tokens)):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        on_id = [line for line in plan.splitlines() if "Join [id#" in line]
+        assert len(on_id) >= 2 and all("SortMergeJoin" in line for line in on_id), on_id
+    assert out.select("t").distinct().collect()[0].t == "PRINCIPAL-1 from IP-1 by " * 20
