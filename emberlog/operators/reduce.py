@@ -82,7 +82,7 @@ def signal_rank(name: Column) -> Column:
 # Limits of request parameters in characters, of members, and of a member's text.
 PARAMS_LIMIT, MEMBERS, MEMBER_LIMIT = 260, 8, 60
 
-_STRING = r'"(?:[^"\\]|\\.)*+(?:"|\\?$)'  #: a JSON string, the last one perhaps cut off
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\\?$)'  #: a JSON string, the last one perhaps cut off
 
 
 def _outside_strings(text: Column, change: Callable[[Column], Column], string: Callable[[Column], Column] = lambda s: s) -> Column:
@@ -97,10 +97,15 @@ def _spaced(gap: Column) -> Column:
 
 def dumps_length(text: Column) -> Column:
     """How many characters a compact JSON text has when written with a space after commas and colons, and with escapes for all but ASCII."""
-    spaces = F.length(F.regexp_replace(F.regexp_replace(text, _STRING, '""'), "[^,:]", ""))
+    gaps = F.regexp_replace(text, _STRING, "")
+    spaces = 2 * F.length(gaps) - F.length(F.replace(gaps, F.lit(","))) - F.length(F.replace(gaps, F.lit(":")))
     wide = F.length(F.regexp_replace(text, r"[\x00-\x7F]+", ""))
     paired = F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]+", ""))
-    return F.length(text) + spaces + 5 * wide + 6 * paired
+    return F.length(text) + spaces + F.when(_is_ascii(text), 0).otherwise(5 * wide + 6 * paired)
+
+
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
 
 
 def _dumps_start(text: Column, limit: int) -> Column:
@@ -112,8 +117,8 @@ def _dumps_start(text: Column, limit: int) -> Column:
         pair = F.concat(escape(F.shiftright(n - 0x10000, 10) + 0xD800), escape((n - 0x10000) % 1024 + 0xDC00))
         return F.when(n < 128, c).when(n < 0x10000, escape(n)).otherwise(pair)
 
-    start = _outside_strings(F.substring(text, 1, limit), _spaced)
-    return F.substring(F.array_join(F.transform(F.split(start, ""), ascii_only), ""), 1, limit)
+    escaped = lambda start: F.when(_is_ascii(start), start).otherwise(F.array_join(F.transform(F.split(start, ""), ascii_only), ""))
+    return F.substring(_once(_outside_strings(F.substring(text, 1, limit), _spaced), escaped), 1, limit)
 
 
 def _quoted(string: Column) -> Column:
@@ -137,7 +142,8 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
 def _members(text: Column, kind: str) -> Column:
     """The members of a JSON object as a map; of repeated ones the last counts."""
     last = lambda every: F.filter(every, lambda m, i: ~F.exists(F.slice(every, i + 2, F.size(every)), lambda later: later["key"] == m["key"]))
-    return F.map_from_entries(_once(F.map_entries(F.from_json(text, f"map<string,{kind}>")), last))
+    told_apart = lambda m: F.when(F.size(F.array_distinct(F.map_keys(m))) == F.size(m), m).otherwise(F.map_from_entries(last(F.map_entries(m))))
+    return _once(F.from_json(text, f"map<string,{kind}>"), told_apart)
 
 
 def _members_in_short(text: Column) -> Column:
@@ -165,7 +171,8 @@ def pruned_params(params: Column) -> Column:
 
     def pruned(plain: Column) -> Column:
         text = F.coalesce(plain, _json(given))
-        return F.when(dumps_length(text) <= PARAMS_LIMIT, text).when(plain.startswith("{"), _members_in_short(given)).otherwise(_json(_dumps_start(text, PARAMS_LIMIT)))
+        # no text is shorter than its characters, and long ones aren't looked through
+        return F.when((F.length(text) <= PARAMS_LIMIT) & (dumps_length(text) <= PARAMS_LIMIT), text).when(plain.startswith("{"), _members_in_short(given)).otherwise(_json(_dumps_start(text, PARAMS_LIMIT)))
 
     return F.when(given.isNotNull(), _once(F.coalesce(parsed, repeated), pruned))
 

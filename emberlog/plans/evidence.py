@@ -27,7 +27,7 @@ def _long_params(k):
 
 def _slim_events(spark, sf_dir):
     k = F.col("source_ip").cast("int")
-    return events(spark, sf_dir, _NAMES).withColumn("request_params", _long_params(k)).withColumn("user_agent", F.repeat("user_agent", (k % 12).cast("int")))
+    return events(spark, sf_dir, _NAMES, deal=True).withColumn("request_params", _long_params(k)).withColumn("user_agent", F.repeat("user_agent", (k % 12).cast("int")))
 
 
 _SLIM = f"""

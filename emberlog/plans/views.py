@@ -22,9 +22,10 @@ def dealt(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
-def events(spark: SparkSession, sf_dir: str, names: dict[str, str] | None = None) -> DataFrame:
-    """``events`` as canonical events; ``names`` maps event types to API names."""
+def events(spark: SparkSession, sf_dir: str, names: dict[str, str] | None = None, deal: bool = False) -> DataFrame:
+    """``events`` as canonical events; ``names`` maps event types to API names, ``deal`` deals the rows over all cores."""
     e = table(spark, sf_dir, "events")
+    e = dealt(e, "event_id") if deal else e
     k = F.get_json_object("props", "$.k").cast("int")
     name = F.coalesce(*[F.when(F.col("event_type") == t, n) for t, n in names.items()], F.col("event_type")) if names else F.col("event_type")
     none = F.lit(None).cast("string")
