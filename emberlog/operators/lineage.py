@@ -24,8 +24,29 @@ def closure(edges: DataFrame) -> DataFrame:
 
     Pointer jumping: every round each key takes over the pointer of the key it points to, so steps double and a chain of n keys needs log2(n) rounds.  A parent that has no row of its own is a root.
     What has come to no root after as many rounds as there are keys to double to is below a cycle: its root is null.  The driver sees one count a round.
+    Before, keys that are nobody's parent are left out as long as that halves the rows, all others' chains lie within the rest; they take over their parents' roots at the end.
     """
-    known = edges.select("key", F.nullif("parent", F.lit("")).alias("parent"))
+    levels = [stored(edges.select("key", F.nullif("parent", F.lit("")).alias("parent")), "session-edges")]
+    counts = [levels[0].count()]
+    while counts[-1]:
+        parents = levels[-1].filter("parent IS NOT NULL").select(F.col("parent").alias("key")).distinct()
+        rest = stored(levels[-1].join(parents, "key", "left_semi"), "session-edges")
+        if (n := rest.count()) * 2 > counts[-1]:
+            break
+        levels, counts = [*levels, rest], [*counts, n]
+    closed = _jumped(levels.pop())
+    for rows in reversed(levels):
+        above = closed.select(F.col("key").alias("parent"), "root", F.col("depth").alias("__depth"), "in_cycle")
+        in_cycle = F.coalesce("in_cycle", F.lit(False))
+        closed = rows.join(above, "parent", "left").select(
+            "key", F.when(~in_cycle, F.coalesce("root", "parent", "key")).alias("root"),
+            F.when(~in_cycle, F.when(F.col("parent").isNull(), 0).otherwise(F.coalesce("__depth", F.lit(0)) + 1)).cast("bigint").alias("depth"), in_cycle.alias("in_cycle"),
+        )
+    return closed
+
+
+def _jumped(known: DataFrame) -> DataFrame:
+    """The closure of (key, parent) by pointer jumping alone."""
     inner = known.select(F.col("key").alias("parent"), F.lit(True).alias("__has"))
     # a pointer leads to a key; ``open`` tells whether that key has a pointer of its own
     state = known.join(inner, "parent", "left").select("key", F.coalesce("parent", "key").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("depth"), (F.col("parent").isNotNull() & F.col("__has").isNotNull()).alias("open"))
