@@ -39,7 +39,10 @@ def group_id(name: Column) -> Column:
 
 def threat_confidence(confidence: Column, groups: Column, n_iocs: Column, n_sources: Column) -> Column:
     tier = {g: 2.0 if t == "state" else 1.5 for g, _, t, _ in rules.THREAT_GROUPS}
-    bonus = F.coalesce(F.array_max(F.transform(groups, lambda g: _pick(group_id(g), tier, 0.0))), F.lit(0.0))
+    # by name in lower case; ids come first, then the first group of an alias
+    named = [(g, g) for g, *_ in rules.THREAT_GROUPS] + [(a, g) for g, _, _, names in rules.THREAT_GROUPS for a in names]
+    known = F.create_map(*[F.lit(x) for n, g in reversed({n.lower(): (n, g) for n, g in reversed(named)}.values()) for x in (n.lower(), tier[g])])
+    bonus = F.coalesce(F.array_max(F.transform(groups, lambda g: F.coalesce(F.try_element_at(known, F.lower(g)), F.lit(0.0)))), F.lit(0.0))
     more = lambda n, most: F.least(F.lit(most), F.greatest(F.lit(0), F.coalesce(n, F.lit(0)) - 1) * 0.5)
     return _two(clamp(F.coalesce(confidence.cast("double") / 10, F.lit(5.0)) + bonus + more(n_iocs, 2.0) + more(n_sources, 1.0)))
 

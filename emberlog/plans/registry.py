@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.operators import correlate, hunt, intel, landscape, profiles, redact, reduce, scoring, timeline
-from emberlog.plans.views import EVENTS_SQL, events, order_sessions, table
+from emberlog.plans.views import EVENTS_SQL, dealt, events, order_sessions, table
 from emberlog.sources import feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -342,7 +342,7 @@ def _(spark, sf_dir):
 
 
 def _steps(spark, sf_dir):
-    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    p, k = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey"), F.col("p_partkey")
     pick = lambda n, *v: F.get(F.array(*[F.lit(x) for x in v]), (k % n).cast("int"))
     some = lambda n, text: F.transform(F.sequence(F.lit(1), (k % n).cast("int") + 1), lambda i: F.concat(F.lit(text), i.cast("string")))
     gaps = F.map_from_entries(F.transform(some(2, "gap "), lambda s: F.struct(s, F.lit("x"))))
