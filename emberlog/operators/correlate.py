@@ -137,11 +137,11 @@ def escalation_chains(events: DataFrame, access: Sequence[str] = rules.ACCESS, e
     return about.join(first, key)
 
 
-def session_chains(events: DataFrame, after_mint_only: bool = False, listed: int = 25) -> DataFrame:
+def session_chains(events: DataFrame, after_mint_only: bool = False, listed: int = 25, keep: bool = True) -> DataFrame:
     """Minted session keys with what was done under them; keys without actions stay.
 
     The last event that minted a key is its origin.  ``after_mint_only`` leaves out actions before it.  Events under minted keys meet their origin in one join, whose
-    rows alone are kept for the counts and the first actions.
+    rows alone are kept for the counts and the first actions; without ``keep`` nothing is written or run here, which serves filters by key and uses of the counts alone.
     """
     mint = events.filter(F.col("event_name").isin(*rules.MINTING) & (F.coalesce("minted_key_id", F.lit("")) != ""))
     origin = mint.groupBy(F.col("minted_key_id").alias("key")).agg(
@@ -151,7 +151,7 @@ def session_chains(events: DataFrame, after_mint_only: bool = False, listed: int
     joined = origin.join(done, "key", "left").withColumn("own", F.col("row_id").isNotNull() & (F.col("row_id") != F.col("mint_row")))
     if after_mint_only:
         joined = joined.withColumn("own", F.col("own") & (F.col("time") >= F.col("assumed_at")))
-    joined = stored(joined, "sessions")
+    joined = stored(joined, "sessions") if keep else joined
     notable = F.col("event").isin(*rules.ESCALATION, *rules.DISABLE, *rules.EXFILTRATION)
     own = F.col("own")
     about = joined.groupBy("key", "assumed_by", "assumed_at", "role", "source_ip").agg(F.count_if(own).alias("action_count"), F.array_sort(F.collect_set(F.when(own & notable, F.col("event")))).alias("notable"))

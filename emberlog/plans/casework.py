@@ -85,7 +85,7 @@ def _policies(spark, sf_dir):
 
 def _with_tools(spark, sf_dir):
     feed = _missing_feeds(spark, sf_dir).withColumnRenamed("indicator", "value")
-    tools.register(spark, events(spark, sf_dir), correlate.session_chains(order_sessions(spark, sf_dir)), _policies(spark, sf_dir), feed, _steps(spark, sf_dir))
+    tools.register(spark, events(spark, sf_dir), correlate.session_chains(order_sessions(spark, sf_dir), keep=False), _policies(spark, sf_dir), feed, _steps(spark, sf_dir))
     return spark
 
 
@@ -168,7 +168,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     e = _minted(spark, sf_dir)
-    return lineage.rolled_up(lineage.closure(lineage.minted_under(e)), correlate.session_chains(e)).select("root", "keys", "depth", "action_count")
+    return lineage.rolled_up(lineage.closure(lineage.minted_under(e)), correlate.session_chains(e, keep=False)).select("root", "keys", "depth", "action_count")
 
 
 # --- values as of a time --------------------------------------------------------------------------------------------------------
