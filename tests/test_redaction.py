@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from emberlog.operators import redact
 
 
@@ -74,3 +75,9 @@ def test_texts_are_never_sent_whole_to_every_task(spark, tmp_path):
         on_id = [line for line in plan.splitlines() if "Join [id#" in line]
         assert len(on_id) >= 2 and all("SortMergeJoin" in line for line in on_id), on_id
     assert out.select("t").distinct().collect()[0].t == "PRINCIPAL-1 from IP-1 by " * 20
+
+
+def test_texts_are_redacted_once_before_they_are_restored(spark):
+    out = __spark_entry__.queries()["redaction_restored"](spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Join [") == 2, plan  # of the tokens found with the mapping, and of the texts with their pairs
