@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, as_long, checkpointed, forget, fresh, mix, sliced, small_batches, written
+from .common import Words, as_long, checkpointed, forget, fresh, mix, narrow, sliced, small_batches, written
 
 
 @dataclass(frozen=True)
@@ -284,14 +284,14 @@ _SALTS, _OFTEN = 16, 500  #: a set of more than so many pairs is copied to so ma
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for the nodes of ``links`` (a, b): the smallest node that links reach."""
-    edges = checkpointed(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = checkpointed(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")))
+    edges = narrow(links.select("a", "b").union(links.select("b", "a")).distinct(), 1)
+    labels = narrow(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")), 1)
     while True:
         near = edges.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("root").alias("near"))
         stepped = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("next"))
         # a jump: the root's own root
         up = labels.select(F.col("node").alias("next"), F.col("root").alias("far"))
-        moved = checkpointed(stepped.join(up, "next").select("node", F.col("root").alias("old"), F.least("next", "far").alias("root")))
+        moved = narrow(stepped.join(up, "next").select("node", F.col("root").alias("old"), F.least("next", "far").alias("root")), 1)
         labels = moved.select("node", "root")
         if moved.filter(F.col("old") != F.col("root")).isEmpty():
             return labels
@@ -307,12 +307,12 @@ class Join:
         self.docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
         keyed = self.docs.withColumn("key", F.xxhash64("text"))
         self.nodes = checkpointed(keyed.mapInArrow(_nodes(settings), "id long, key long, n long, node long"))
-        distinct = checkpointed(self.nodes.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n")))
+        distinct = narrow(self.nodes.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n")))
         self.first, self.sizes = distinct.select("node", "id"), distinct.select("node", "n")
 
     def texts(self, nodes: DataFrame) -> DataFrame:
         """(id, text) of one row for each node."""
-        ids = checkpointed(self.first.join(nodes, "node", "left_semi").select("id"))
+        ids = narrow(self.first.join(nodes, "node", "left_semi").select("id"))
         few = ids.count() <= self.settings.broadcast_rows
         return self.docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
@@ -323,15 +323,15 @@ class Join:
         shared = signed.withColumns({"low": F.min("node").over(own), "high": F.max("node").over(own)}).filter("low < high")
         members = written(shared.select("sig", "node").distinct(), "jaccard-members")
         # how many others a node meets in its signatures, for its size: copies with few changes meet the most, and of a common passage the texts with little else
-        size = checkpointed(members.groupBy("sig").agg((F.count("*") - 1).alias("others")))
+        size = narrow(members.groupBy("sig").agg((F.count("*") - 1).alias("others")))
         met = members.join(size, "sig").groupBy("node").agg(F.sum("others").alias("others"))
-        weight = checkpointed(met.join(self.sizes, "node").select("node", (F.col("others") / F.col("n")).alias("weight")))
+        weight = narrow(met.join(self.sizes, "node").select("node", (F.col("others") / F.col("n")).alias("weight")))
         hubs = members.join(weight, "node").groupBy("sig").agg(F.max(F.struct("weight", "node")).alias("hub"))
         votes = members.join(hubs, "sig").groupBy("node", "hub").agg(F.count("*").alias("votes"))
-        anchors = checkpointed(votes.groupBy("node").agg(F.max(F.struct("votes", "hub"))["hub"]["node"].alias("anchor")))
+        anchors = narrow(votes.groupBy("node").agg(F.max(F.struct("votes", "hub"))["hub"]["node"].alias("anchor")))
         anchored = anchors.filter("node <> anchor").select(F.col("anchor").alias("a"), F.col("node").alias("b"))
         near = self._near(anchored, 2)
-        links = checkpointed(near.filter("linked").select("a", "b"))
+        links = narrow(near.filter("linked").select("a", "b"))
         roots = components(links)
         crowds = self._crowds(near, anchored, weight, roots)
         pairs = self._met(members.join(size.filter(F.col("others") < self.settings.crowd), "sig", "left_semi"), "sig", roots, crowds)
@@ -343,7 +343,7 @@ class Join:
         tried = anchors.select(F.least("anchor", "node").alias("a"), F.greatest("anchor", "node").alias("b"))
         found = self._near(pairs.distinct().join(tried, ["a", "b"], "left_anti"), 1)
         inside = crowds.filter("linked AND node <> chief").select(F.col("chief").alias("a"), F.col("node").alias("b"))
-        out = checkpointed(links.union(inside).union(found.filter("linked").select("a", "b")))
+        out = narrow(links.union(inside).union(found.filter("linked").select("a", "b")))
         forget(members)
         return out
 
@@ -352,7 +352,7 @@ class Join:
 
         The sets of nodes that are the ``a`` of very many pairs are dealt to several tasks.
         """
-        pairs = checkpointed(pairs)
+        pairs = narrow(pairs)
         p, settings = self.settings.percent, self.settings
 
         def with_both(df: DataFrame, made, schema: str) -> DataFrame:
@@ -374,12 +374,12 @@ class Join:
         if reach == 1:
             may = may & (100 * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b"))
         outline = "node long, n int, odd array<long>"
-        left = checkpointed(with_both(pairs, _outlines(settings), outline).filter(may).select("a", "b", (F.greatest("n_a", "n_b") >= _LARGE).alias("large")).distinct())
+        left = narrow(with_both(pairs, _outlines(settings), outline).filter(may).select("a", "b", (F.greatest("n_a", "n_b") >= _LARGE).alias("large")).distinct())
         # outlines of so few cells are full for large sets, whose members are long to ship
         large = left.filter("large").drop("large")
         if not large.isEmpty():
             fine = with_both(large, _outlines(settings, _FINE_CELLS), outline).filter(may).select("a", "b").distinct()
-            left = checkpointed(left.filter("NOT large").drop("large").union(fine))
+            left = narrow(left.filter("NOT large").drop("large").union(fine))
         both = with_both(left.select("a", "b"), _sets(settings), "node long, members binary").select("a", "b", F.col("members_a").alias("x"), F.col("members_b").alias("y"))
         return checkpointed(both.mapInArrow(_compared(settings, reach), _PAIR).dropDuplicates(["a", "b"]))
 
@@ -390,12 +390,12 @@ class Join:
         """
         named = near.join(roots.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("root", "a").alias("label"), "a", "b")
         large = named.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") > self.settings.crowd)
-        named = checkpointed(named.join(large, "label", "left_semi"))
+        named = narrow(named.join(large, "label", "left_semi"))
         if named.isEmpty():
             return named.select("label", F.col("a").alias("chief"), F.col("b").alias("node"), F.lit(False).alias("linked"), F.lit(0).alias("m"), F.lit(0).alias("n"), F.array().cast("array<long>").alias("difference"))
         chief = named.select("label", F.col("a").alias("node")).distinct().join(weight, "node").groupBy("label").agg(F.max(F.struct("weight", "node"))["node"].alias("chief"))
         nodes = named.select("label", F.col("b").alias("node")).union(named.select("label", F.col("a").alias("node"))).distinct()
-        nodes = checkpointed(nodes.groupBy("node").agg(F.min("label").alias("label")).join(chief, "label"))
+        nodes = narrow(nodes.groupBy("node").agg(F.min("label").alias("label")).join(chief, "label"))
         # most have been compared with the chief as their anchor
         wanted = nodes.filter("node <> chief").select(F.col("chief").alias("a"), F.col("node").alias("b"))
         known = near.join(wanted, ["a", "b"], "left_semi")
@@ -415,7 +415,7 @@ class Join:
         kind = F.when(F.col("crowd").isNull(), 0).when(F.col("linked") | (F.col("crowd") == F.col("root")), 1).otherwise(2)
         rows = rows.withColumn("unit", F.struct(F.when(kind == 0, F.col("root")).otherwise(F.col("crowd")).alias("of"), kind.alias("kind")))
         mixed = rows.groupBy(key).agg(F.min("unit").alias("low"), F.max("unit").alias("high")).filter("low <> high").select(key)
-        return checkpointed(rows.join(mixed, key))
+        return narrow(rows.join(mixed, key))
 
     def _met(self, rows: DataFrame, key: str, roots: DataFrame, crowds: DataFrame) -> DataFrame:
         """Pairs of nodes of different components in one ``key``, but for those of one crowd.
@@ -501,11 +501,11 @@ def keep_first(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     A null id is the smallest.  Of rows with equal ids and texts any one stays.  Texts without words are no group and stay.
     """
     join = Join(docs, settings)
-    rows = checkpointed(join.nodes.filter("n > 0").join(join.named().select("node", "root"), "node").groupBy("root", "id", "key").agg(F.count("*").alias("copies")))
+    rows = narrow(join.nodes.filter("n > 0").join(join.named().select("node", "root"), "node").groupBy("root", "id", "key").agg(F.count("*").alias("copies")))
     first = rows.groupBy("root").agg(F.min(F.struct("id", "key")).alias("f")).select("root", F.col("f.id").alias("first"), F.col("f.key").alias("first_key"))
     marked = rows.join(first, "root").withColumn("goes", (F.col("id") != F.col("first")) | (F.col("key") != F.col("first_key")))
     id, key = fresh(docs, "__id", "__key")
-    marked = checkpointed(marked.select(F.col("id").alias(id), F.col("key").alias(key), "goes", "copies").filter("goes OR copies > 1"))
+    marked = narrow(marked.select(F.col("id").alias(id), F.col("key").alias(key), "goes", "copies").filter("goes OR copies > 1"))
     few = marked.count() <= settings.broadcast_rows  # of two numbers each
     on = (F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)) == F.col(id)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(key))
     gone = marked.select(id, key).distinct()
