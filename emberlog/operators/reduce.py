@@ -295,13 +295,54 @@ def greedy_fill(rows: DataFrame, rank: Sequence[Column], cost: Column, capacity:
     return rows.filter((limit >= least) & cost.between(1, limit))
 
 
-def fit_budget(events: DataFrame, tokens: int = 40_000) -> DataFrame:
-    """Tier 5: events by signal, then time, as far as their slim records fit the budget; the rows come in time order."""
+#: Characters of a slim record without any value.
+_LEAST_RECORD = len('{"actor": {"type": null, "arn": null, "userName": null}}')
+
+
+def least_cost() -> Column:
+    """No more than the cost of an event's slim record, out of the lengths of its texts alone."""
+    col = F.col
+    texts = {
+        "eventTime": col("event_time"), "eventName": col("event_name"), "eventSource": col("event_source"), "awsRegion": col("region"), "sourceIPAddress": col("source_ip"), "userAgent": truncated(col("user_agent"), 80),
+        "account": col("account"), "accessKeyId": col("access_key_id"), "errorCode": col("error_code"), "mfaAuthenticated": col("mfa_authenticated"),
+    }
+    cost = F.lit(_LEAST_RECORD)
+    for name, text in texts.items():
+        cost = cost + F.coalesce(F.length(text) + len(f'"{name}": "", '), F.lit(0))
+    for text in (col("actor.type"), col("actor.arn"), col("actor.user_name")):
+        cost = cost + F.coalesce(F.length(text) + len('""') - len("null"), F.lit(0))
+    return cost
+
+
+def _priced(events: DataFrame) -> DataFrame:
+    """Adds ``__chars``, the cost of each event's slim record."""
     # exploded from an array of one, as the optimizer would copy the long expression into each of its uses otherwise
     priced = events.select("*", F.explode(F.array(slim_json())).alias("__slim"))
-    priced = priced.select(*events.columns, F.explode(F.array(dumps_length(F.col("__slim")))).alias("__chars"))
+    return priced.select(*events.columns, F.explode(F.array(dumps_length(F.col("__slim")))).alias("__chars"))
+
+
+def fit_budget(events: DataFrame, tokens: int = 40_000) -> DataFrame:
+    """Tier 5: events by signal, then time, as far as their slim records fit the budget; the rows come in time order.
+
+    Records are only written of events that may fit: of the first ones, more than the budget can hold, and of those after them whose least cost is no more
+    than what these leave.
+    """
+    capacity = int(tokens * rules.CHARS_PER_TOKEN)
     rank = [signal_rank(F.col("event_name")), F.coalesce("event_time", F.lit("")), F.col("row_id")]
-    taken = greedy_fill(priced, rank, F.col("__chars"), int(tokens * rules.CHARS_PER_TOKEN)).select(*events.columns)
+    names = [f"__r{i}" for i in range(len(rank))]
+    here = F.struct(*[r.alias(n) for r, n in zip(rank, names, strict=True)])
+    ranks = events.select(*[r.alias(n) for r, n in zip(rank, names, strict=True)])
+    first = ranks.orderBy(*names).limit(max(capacity, 0) // _LEAST_RECORD + 1).agg(F.max(F.struct(*names)).alias("at")).first()["at"]
+    if first is None:
+        return events.limit(0)
+    last = _literal(ranks, names, tuple(first))
+    head = stored(_priced(events.filter(here <= last)), "first")
+    taken = greedy_fill(head, rank, F.col("__chars"), capacity)
+    left = capacity - (taken.agg(F.sum("__chars").alias("n")).first()["n"] or 0)
+    taken = taken.select(*events.columns)
+    if left >= _LEAST_RECORD:
+        others = _priced(events.filter((here > last) & (least_cost() <= left)))
+        taken = taken.union(greedy_fill(others, rank, F.col("__chars"), left).select(*events.columns))
     return taken.orderBy(F.coalesce("event_time", F.lit("")), "row_id")
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberlog.operators import reduce
+from emberlog.plans.views import events
 
 
 def plain_fill(rows, capacity):
@@ -79,3 +80,31 @@ def test_other_long_values_keep_their_first_characters(spark, value):
 def test_long_texts_that_are_no_json(spark):
     text = "no json: 'x' \"é\" \\ " * 30
     assert [json.loads(p) for p in pruned(spark, [text])] == [json.dumps(text)[:260]]
+
+
+def odd_events(spark):
+    """Events whose records cost little and much, early and late in rank."""
+    e = events(spark, "/root/testdata/sf0.01", {"error": "StopLogging", "click": "ListUsers"})
+    k = F.col("source_ip").cast("int")
+    none = F.lit(None).cast("string")
+    e = e.withColumn("request_params", F.when(k % 3 == 0, none).otherwise(F.concat(F.lit('{"k": "é'), F.repeat(F.lit("y"), k * 5), F.lit('"}'))))
+    for name in ("region", "account", "source_ip", "user_agent", "mfa_authenticated", "event_time"):
+        e = e.withColumn(name, F.when(k % 97 == 96, none).otherwise(F.col(name)))
+    return e.withColumn("error_code", F.when(k % 7 == 1, '"\\é'))
+
+
+def test_the_least_cost_is_no_more_than_the_cost(spark):
+    both = reduce._priced(odd_events(spark)).select("request_params", "error_code", reduce.least_cost().alias("least"), "__chars")
+    assert both.filter("least > __chars").count() == 0
+    plain = both.filter("request_params IS NULL AND error_code IS NULL")
+    assert plain.count() > 1000 and plain.filter("least <> __chars").count() == 0
+
+
+@pytest.mark.parametrize("tokens", [0, 10, 40, 3_000, 40_000])
+def test_few_records_are_written_to_fill_a_budget(spark, monkeypatch, tokens):
+    e, sizes, priced = odd_events(spark), [], reduce._priced
+    monkeypatch.setattr(reduce, "_priced", lambda rows: sizes.append(rows.count()) or priced(rows))
+    got = sorted(r.row_id for r in reduce.fit_budget(e, tokens).collect())
+    every = priced(e).select(reduce.signal_rank(F.col("event_name")), F.coalesce("event_time", F.lit("")), "row_id", "__chars").collect()
+    assert got == sorted(r[2] for r in plain_fill([(tuple(r[:3]), r[3]) for r in every], int(tokens * 3.5)))
+    assert sum(sizes) <= len(every) // 3
