@@ -87,50 +87,57 @@ def _none(kind: str) -> Column:
     return F.array().cast(kind)
 
 
-def _places(df: DataFrame, kind: Kind) -> DataFrame:
-    """Adds ``__spans_<kind>``: array of (kind, start, stop, score), in order of start."""
-    some = F.col("__text").contains("@") if kind.trigger == "@" else F.col("__text").rlike(kind.trigger)
-    df = df.withColumns(
-        {
-            "__m": F.when(some, F.regexp_extract_all("__text", F.lit(kind.pattern), F.lit(0))).otherwise(_none("array<string>")),
-            "__g": F.when(some, F.split("__text", kind.pattern, -1)).otherwise(_none("array<string>")),
-        }
-    )
-    # sums of gaps and matches by blocks, then within a block, so that many matches cost little more than few
-    df = df.withColumn("__step", F.zip_with(F.slice("__g", 1, F.size("__m")), "__m", lambda g, m: (F.length(g) + F.length(m)).cast("long")))
-    plus = lambda a, x: a + x
-    zero = F.lit(0).cast("long")
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size("__step") - 1) / _BLOCK).cast("int")),
-        lambda b: F.aggregate(F.slice("__step", b * _BLOCK + 1, F.lit(_BLOCK)), zero, plus),
-    )
-    df = df.withColumn("__block", F.when(F.size("__step") > 0, blocks).otherwise(_none("array<bigint>")))
-    df = df.withColumn("__before", F.transform("__block", lambda _, b: F.aggregate(F.slice("__block", F.lit(1), b), zero, plus)))
+def detect(docs: DataFrame, into: str = "pii_spans") -> DataFrame:
+    """Adds a column to the rows: array of (kind, start, stop, score) by kind, then start.
 
-    def span(m: Column, i: Column) -> Column:
-        b = F.floor(i / _BLOCK).cast("int")
-        stop = F.get("__before", b) + F.aggregate(F.slice("__step", b * _BLOCK + 1, i - b * _BLOCK + 1), zero, plus)
-        return F.struct((stop - F.length(m)).alias("start"), stop.alias("stop"), m.alias("match"))
+    Each step is one projection for all kinds: Spark goes through the whole plan again at each step that is added to it.
+    """
+    plus, zero = lambda a, x: a + x, F.lit(0).cast("long")
+    of = lambda name, kind: F.col(f"__{name}_{kind.name}")
 
-    df = df.withColumn("__found", F.filter(F.transform("__m", span), lambda s: confirmed(kind.name, s["match"])))
+    def step(df: DataFrame, **made) -> DataFrame:
+        return df.withColumns({f"__{name}_{k.name}": f(k) for name, f in made.items() for k in KINDS})
 
-    def scored(s: Column) -> Column:
-        around = F.lower(F.concat(F.substr("__text", F.greatest(s["start"] - NEAR + 1, F.lit(1)).cast("int"), F.least(s["start"], F.lit(NEAR)).cast("int")), F.lit(" "), F.substr("__text", (s["stop"] + 1).cast("int"), F.lit(NEAR))))
-        score = F.lit(kind.worth) + F.when(around.rlike(kind.context), LIFT).otherwise(0.0)
-        return F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), score.alias("score"))
+    def some(kind: Kind) -> Column:
+        return F.col("__text").contains("@") if kind.trigger == "@" else F.col("__text").rlike(kind.trigger)
 
-    kept = F.transform("__found", scored)
-    if kind in EXTRA:
-        kept = F.filter(kept, lambda s: s["score"] >= THRESHOLD)
-    return df.withColumn(f"__spans_{kind.name}", kept).drop("__m", "__g", "__step", "__block", "__before", "__found")
+    def blocks(kind: Kind) -> Column:
+        sums = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(of("step", kind)) - 1) / _BLOCK).cast("int")),
+            lambda b: F.aggregate(F.slice(of("step", kind), b * _BLOCK + 1, F.lit(_BLOCK)), zero, plus),
+        )
+        return F.when(F.size(of("step", kind)) > 0, sums).otherwise(_none("array<bigint>"))
 
+    def found(kind: Kind) -> Column:
+        def span(m: Column, i: Column) -> Column:
+            b = F.floor(i / _BLOCK).cast("int")
+            stop = F.get(of("before", kind), b) + F.aggregate(F.slice(of("step", kind), b * _BLOCK + 1, i - b * _BLOCK + 1), zero, plus)
+            return F.struct((stop - F.length(m)).alias("start"), stop.alias("stop"), m.alias("match"))
+
+        return F.filter(F.transform(of("m", kind), span), lambda s: confirmed(kind.name, s["match"]))
+
+    def kept(kind: Kind) -> Column:
+        def scored(s: Column) -> Column:
+            around = F.lower(F.concat(F.substr("__text", F.greatest(s["start"] - NEAR + 1, F.lit(1)).cast("int"), F.least(s["start"], F.lit(NEAR)).cast("int")), F.lit(" "), F.substr("__text", (s["stop"] + 1).cast("int"), F.lit(NEAR))))
+            score = F.lit(kind.worth) + F.when(around.rlike(kind.context), LIFT).otherwise(0.0)
+            return F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), score.alias("score"))
+
+        spans = F.transform(of("found", kind), scored)
+        return F.filter(spans, lambda s: s["score"] >= THRESHOLD) if kind in EXTRA else spans
 
-def detect(docs: DataFrame, into: str = "pii_spans") -> DataFrame:
-    """Adds a column to the rows: array of (kind, start, stop, score) by kind, then start."""
     df = docs.withColumn("__text", F.coalesce("text", F.lit("")))
-    for kind in KINDS:
-        df = _places(df, kind)
-    return df.withColumn(into, F.flatten(F.array(*[F.col(f"__spans_{k.name}") for k in KINDS]))).drop("__text", *[f"__spans_{k.name}" for k in KINDS])
+    df = step(
+        df,
+        m=lambda k: F.when(some(k), F.regexp_extract_all("__text", F.lit(k.pattern), F.lit(0))).otherwise(_none("array<string>")),
+        g=lambda k: F.when(some(k), F.split("__text", k.pattern, -1)).otherwise(_none("array<string>")),
+    )
+    # sums of gaps and matches by blocks, then within a block, so that many matches cost little more than few
+    df = step(df, step=lambda k: F.zip_with(F.slice(of("g", k), 1, F.size(of("m", k))), of("m", k), lambda g, m: (F.length(g) + F.length(m)).cast("long")))
+    df = step(df, block=blocks)
+    df = step(df, before=lambda k: F.transform(of("block", k), lambda _, b: F.aggregate(F.slice(of("block", k), F.lit(1), b), zero, plus)))
+    df = step(df, found=found)
+    made = [f"__{name}_{k.name}" for name in ("m", "g", "step", "block", "before", "found") for k in KINDS]
+    return df.withColumn(into, F.flatten(F.array(*[kept(k) for k in KINDS]))).drop("__text", *made)
 
 
 def _listed(spans: Column) -> Column:
